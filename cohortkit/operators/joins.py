@@ -145,7 +145,7 @@ def left_join_unique(left: DataFrame, right: DataFrame, on: str | Sequence[str],
 def pair_start_end(cases: DataFrame, case_col: str = "Case_ID", type_col: str = "Operationshændelse",
                    ts_col: str = "Operationshændelses_Tidspunkt", status_col: str = "Status",
                    start_type: str = "Knivtid/procedure start", start_status: str = "Fuldført",
-                   end_type: str = "Knivtid/procedure slut", id_col: str = "CPR_hash") -> DataFrame:
+                   end_type: str = "Sidste sutur/procedure slut", id_col: str = "CPR_hash") -> DataFrame:
     """J12 + P7: start rows (type and status) left-joined to end rows of the
     same case (end rows are not status-filtered and may be several)."""
     starts = cases.where((F.col(type_col) == start_type) & (F.col(status_col) == start_status)) \

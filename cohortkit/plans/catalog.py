@@ -140,3 +140,6 @@ agg AS (SELECT PID, bin_counter, FEATURE, avg(VALUE) AS VALUE FROM placed GROUP
 SELECT bn.PID, bn.bin_start, bn.bin_end, bn.bin_counter, bn.bin_freq, a.FEATURE, round(a.VALUE, 6) AS VALUE
 FROM bins bn LEFT JOIN agg a ON bn.PID = a.PID AND bn.bin_counter = a.bin_counter
 WHERE NOT (a.FEATURE IS NOT NULL AND a.VALUE IS NULL)""")(k19_bin_mean)
+
+
+from . import catalog_ops  # noqa: E402,F401  (registers more queries)

@@ -46,7 +46,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(values: list[str], idx) -> F.Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values)) + 1)
+    return F.element_at(F.array(*[F.lit(v) for v in values]), ((idx % len(values)) + 1).cast("int"))
 
 
 def _sql_pick(values: list[str], idx: str) -> str:
@@ -145,3 +145,83 @@ SQL_LABS = f"""labs_raw AS (
 
 def with_sql(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# -- diagnoses, vitals, medication, patient info -------------------------------
+def diagnoses(events: DataFrame) -> DataFrame:
+    """Diagnosis rows from ``error`` events: code by k, noted k*5 days
+    before the event, resolved k%40 days after (unresolved when k%3==0)."""
+    k = prop_k()
+    return events.where(F.col("event_type") == "error").select(
+        F.col("event_id"), F.col("user_id").cast("string").alias("CPR_hash"),
+        _pick(DIAGNOSIS_CODES, k).alias("Diagnosekode"),
+        (F.col("ts") - F.make_interval(days=k * 5)).alias("Noteret_dato"),
+        F.when(k % 3 != 0, F.col("ts") + F.make_interval(days=k % 40)).alias("Løst_dato"))
+
+
+SQL_DIAG = f"""diag AS (
+  SELECT event_id, CAST(user_id AS VARCHAR) AS CPR_hash, {_sql_pick(DIAGNOSIS_CODES, SQL_K)} AS Diagnosekode,
+         ts - to_days({SQL_K} * 5) AS Noteret_dato,
+         CASE WHEN {SQL_K} % 3 <> 0 THEN ts + to_days({SQL_K} % 40) END AS "Løst_dato"
+  FROM events WHERE event_type = 'error')"""
+
+
+def vitals(events: DataFrame) -> DataFrame:
+    """Vital rows: name by k; BP names carry ``sys/dia`` text; Temp. has a
+    converted column."""
+    k = prop_k()
+    name = _pick(VITAL_NAMES, k)
+    v = F.format_string("%.2f", F.col("value"))
+    bp = F.concat(F.round(F.col("value")).cast("bigint").cast("string"), F.lit("/"),
+                  F.round(F.col("value") / 2).cast("bigint").cast("string"))
+    return events.select(F.col("event_id"), F.col("user_id").alias("PID"),
+                         F.col("user_id").cast("string").alias("CPR_hash"),
+                         name.alias("Vital_parametre"),
+                         F.when(name.isin("BT", "NIBP"), bp).otherwise(v).alias("Værdi"),
+                         F.format_string("%.2f", F.col("value") * 0.1 + 30).alias("Værdi_Omregnet"),
+                         F.col("ts").alias("Registreringstidspunkt"))
+
+
+SQL_VITALS = f"""vit AS (
+  SELECT event_id, user_id AS PID, CAST(user_id AS VARCHAR) AS CPR_hash,
+         {_sql_pick(VITAL_NAMES, SQL_K)} AS Vital_parametre,
+         CASE WHEN {_sql_pick(VITAL_NAMES, SQL_K)} IN ('BT', 'NIBP')
+              THEN CAST(CAST(round(value) AS BIGINT) AS VARCHAR) || '/' || CAST(CAST(round(value / 2) AS BIGINT) AS VARCHAR)
+              ELSE printf('%.2f', value) END AS "Værdi",
+         printf('%.2f', value * 0.1 + 30) AS "Værdi_Omregnet",
+         ts AS Registreringstidspunkt
+  FROM events)"""
+
+
+def medication(events: DataFrame) -> DataFrame:
+    k = prop_k()
+    return events.select(F.col("event_id"), F.col("user_id").alias("PID"),
+                         _pick(ATC_CODES, k).alias("ATC"), _pick(MED_ACTIONS, F.col("event_id")).alias("Handling"),
+                         F.col("ts").alias("Administrationstidspunkt"), end_ts().alias("Seponeringstidspunkt"))
+
+
+SQL_MED = f"""med AS (
+  SELECT event_id, user_id AS PID, {_sql_pick(ATC_CODES, SQL_K)} AS ATC,
+         {_sql_pick(MED_ACTIONS, 'event_id')} AS Handling,
+         ts AS Administrationstidspunkt, {SQL_END} AS Seponeringstidspunkt
+  FROM events)"""
+
+
+def patient_info(customer: DataFrame) -> DataFrame:
+    """Demographics from customer rows (customer key = patient id)."""
+    ck = F.col("c_custkey")
+    return customer.select(
+        ck.cast("string").alias("CPR_hash"),
+        (F.lit("1930-01-01 00:00:00").cast("timestamp_ntz") + F.make_interval(days=(ck * 7919) % 25000)).alias("DOB"),
+        F.when(F.col("c_acctbal") < 0, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+               + F.make_interval(days=(ck * 31) % 60, hours=ck % 24)).alias("DOD"),
+        F.when(ck % 2 == 0, "Mand").otherwise("Kvinde").alias("SEX_RAW"))
+
+
+SQL_PINFO = """pinfo AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS CPR_hash,
+         TIMESTAMP '1930-01-01 00:00:00' + to_days(CAST((c_custkey * 7919) % 25000 AS INTEGER)) AS DOB,
+         CASE WHEN c_acctbal < 0 THEN TIMESTAMP '2024-01-01 00:00:00'
+              + to_days(CAST((c_custkey * 31) % 60 AS INTEGER)) + to_hours(CAST(c_custkey % 24 AS BIGINT)) END AS DOD,
+         CASE WHEN c_custkey % 2 = 0 THEN 'Mand' ELSE 'Kvinde' END AS SEX_RAW
+  FROM customer)"""
