@@ -220,11 +220,12 @@ def strip_code_ends(c: Column) -> Column:
 
 
 def hours_label(minutes: Column) -> Column:
-    """X13 short label: ``6.0h`` below a day, else ``2.5d``; null -> N/A."""
+    """X13 short label: ``6.0h`` below a day, else ``2.5d``; null -> N/A.
+    One decimal, half-to-even (``6.25`` -> ``6.2``)."""
     h = minutes / 60.0
     return F.when(minutes.isNull(), F.lit("N/A")) \
-            .when(h < 24, F.concat(F.format_string("%.1f", h), F.lit("h"))) \
-            .otherwise(F.concat(F.format_string("%.1f", h / 24.0), F.lit("d")))
+            .when(h < 24, F.concat(F.format_string("%.1f", F.bround(h, 1)), F.lit("h"))) \
+            .otherwise(F.concat(F.format_string("%.1f", F.bround(h / 24.0, 1)), F.lit("d")))
 
 
 def _num_text(x: Column) -> Column:
