@@ -14,6 +14,7 @@ from ..operators.grid import assign_points, expand_intervals, make_bins
 from ..operators.joins import window_join
 from . import driver_tables as dt
 from .binning import map_concept
+from .catalog_ops import _sql_classify
 from .catalog import BINS, SQL_BASE, SQL_WLONG, base, r6, register, sql_bins, windowed_long
 from .cohort import add_first_contacts
 
@@ -106,7 +107,7 @@ register("j6_interval_overlap", W(dt.SQL_ADT, SQL_BASE, sql_bins()) + f""",
 inside AS (SELECT DISTINCT a.*, b.PID FROM adt a JOIN base b ON a.CPR_hash = b.CPR_hash
            AND a.Flyt_ind >= b.start AND a.Flyt_ind <= b."end")
 SELECT i.event_id, i.PID, bn.bin_start AS "TIMESTAMP",
-       {__import__('cohortkit.plans.catalog_ops', fromlist=['x'])._sql_classify('i.Afsnit')} AS VALUE
+       {_sql_classify('i.Afsnit')} AS VALUE
 FROM inside i JOIN bins bn ON i.PID = bn.PID AND i.Flyt_ind < bn.bin_end AND i.Flyt_ud > bn.bin_start""")(
     j6_interval_overlap)
 

@@ -142,7 +142,8 @@ def height_weight(base: DataFrame, vitals: DataFrame, per: str = "PID") -> DataF
     """K13 height/weight: numeric vitals 'Højde'/'Vægt' converted (in->cm,
     oz->kg), the latest value at or before ``end`` per (``per``, feature),
     pivoted to HEIGHT / WEIGHT (R3, W6)."""
-    v = vitals.withColumn("FEATURE", codes.recode(F.col("Vital_parametre"), codes.HEIGHT_WEIGHT_MAP)) \
+    v = vitals.select("CPR_hash", "Vital_parametre", "Værdi", "Registreringstidspunkt")
+    v = v.withColumn("FEATURE", codes.recode(F.col("Vital_parametre"), codes.HEIGHT_WEIGHT_MAP)) \
               .withColumn("VALUE", numeric_or_null(F.col("Værdi"))) \
               .withColumn("TIMESTAMP", to_ts(F.col("Registreringstidspunkt"))) \
               .where(F.col("VALUE").isNotNull() & F.col("FEATURE").isin("HEIGHT", "WEIGHT"))

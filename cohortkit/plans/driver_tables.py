@@ -178,7 +178,7 @@ def vitals(events: DataFrame) -> DataFrame:
                          F.col("user_id").cast("string").alias("CPR_hash"),
                          name.alias("Vital_parametre"),
                          F.when(name.isin("BT", "NIBP"), bp).otherwise(v).alias("Værdi"),
-                         F.format_string("%.2f", F.col("value") * 0.1 + 30).alias("Værdi_Omregnet"),
+                         F.format_string("%.2f", F.col("value") + 30).alias("Værdi_Omregnet"),
                          F.col("ts").alias("Registreringstidspunkt"))
 
 
@@ -188,7 +188,7 @@ SQL_VITALS = f"""vit AS (
          CASE WHEN {_sql_pick(VITAL_NAMES, SQL_K)} IN ('BT', 'NIBP')
               THEN CAST(CAST(round(value) AS BIGINT) AS VARCHAR) || '/' || CAST(CAST(round(value / 2) AS BIGINT) AS VARCHAR)
               ELSE printf('%.2f', value) END AS "Værdi",
-         printf('%.2f', value * 0.1 + 30) AS "Værdi_Omregnet",
+         printf('%.2f', value + 30) AS "Værdi_Omregnet",
          ts AS Registreringstidspunkt
   FROM events)"""
 
@@ -225,3 +225,44 @@ SQL_PINFO = """pinfo AS (
               + to_days(CAST((c_custkey * 31) % 60 AS INTEGER)) + to_hours(CAST(c_custkey % 24 AS BIGINT)) END AS DOD,
          CASE WHEN c_custkey % 2 = 0 THEN 'Mand' ELSE 'Kvinde' END AS SEX_RAW
   FROM customer)"""
+
+
+# -- ICU scores, cases, procedure categories -----------------------------------
+ICU_NAMES = ["GLASGOW COMA SCORE", "SAPS 3 SCORE", "SOFA total score", "Glasgow Coma Score", "RASS"]
+# Fixture catalogue for the procedure normaliser (category -> codes).
+PROCEDURE_CATEGORIES = {"abdominal_major": ["KJJA96", "KJJB00", "KJJW96", "KJJA50", "KNHJ63", "KJDH70"]}
+
+
+def ita(events: DataFrame) -> DataFrame:
+    k = prop_k()
+    return events.select(F.col("event_id"), F.col("user_id").alias("PID"), _pick(ICU_NAMES, k).alias("ITAOversigt_Måling"),
+                         F.format_string("%.2f", F.col("value")).alias("Værdi"), F.col("ts").alias("Målingstidspunkt"))
+
+
+SQL_ITA = f"""ita AS (
+  SELECT event_id, user_id AS PID, {_sql_pick(ICU_NAMES, SQL_K)} AS "ITAOversigt_Måling",
+         printf('%.2f', value) AS "Værdi", ts AS "Målingstidspunkt" FROM events)"""
+
+
+def cases(events: DataFrame) -> DataFrame:
+    """Operation events: ``click`` = knife start (completed unless k%4==0),
+    ``view`` = last suture; case = patient and day of month."""
+    k = prop_k()
+    case = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.dayofmonth("ts").cast("string"))
+    ev = events.where(F.col("event_type").isin("click", "view"))
+    return ev.select(F.col("user_id").cast("string").alias("CPR_hash"), case.alias("Case_ID"),
+                     F.lit("KJJA96").alias("SKS_Kode"),
+                     F.when(F.col("event_type") == "click", "Knivtid/procedure start")
+                      .otherwise("Sidste sutur/procedure slut").alias("Operationshændelse"),
+                     F.col("ts").alias("Operationshændelses_Tidspunkt"),
+                     F.when(F.col("event_type") == "click",
+                            F.when(k % 4 == 0, "Aflyst").otherwise("Fuldført")).alias("Status"))
+
+
+SQL_CASES = f"""cases AS (
+  SELECT CAST(user_id AS VARCHAR) AS CPR_hash, CAST(user_id AS VARCHAR) || '-' || CAST(day(ts) AS VARCHAR) AS Case_ID,
+         CASE WHEN event_type = 'click' THEN 'Knivtid/procedure start' ELSE 'Sidste sutur/procedure slut' END
+           AS "Operationshændelse",
+         ts AS "Operationshændelses_Tidspunkt",
+         CASE WHEN event_type = 'click' THEN CASE WHEN {SQL_K} % 4 = 0 THEN 'Aflyst' ELSE 'Fuldført' END END AS Status
+  FROM events WHERE event_type IN ('click', 'view'))"""
