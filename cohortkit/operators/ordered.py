@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +74,10 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     for o in cumsum:
         out = out.withColumn(f"__os_c_{o}", F.sum(f"__os_v_{o}").over(wr))
         aggs.append(F.sum(f"__os_v_{o}").alias(f"__os_tot_{o}"))
-    summ = df.groupBy(*pk).agg(*aggs)
+    # The summary is taken from the windowed frame: it is already partitioned
+    # by (keys, bucket), so the aggregate needs no new shuffle and the input
+    # is scanned once (the window's exchange is reused).
+    summ = out.groupBy(*pk).agg(*aggs)
     sw = Window.partitionBy(*keys).orderBy(bucket) if keys else Window.orderBy(bucket)
     keep = list(pk)
     for o in lag:
@@ -109,21 +113,34 @@ def range_buckets(df: DataFrame, order: Sequence[str], n_buckets: int | None = N
     """
     spark = df.sparkSession
     n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id().cast("bigint"))
-    return cut_lineage(ranged)
+    # The range sample and the shuffle both read the input: keep it for the
+    # duration of the checkpoint so it is computed once (lost blocks are
+    # simply recomputed from lineage).
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = src.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id().cast("bigint"))
+        return cut_lineage(ranged)
+    finally:
+        src.unpersist()
 
 
 def dense_rank_global(df: DataFrame, key_cols: Sequence[str], out: str = "PID",
                       n_buckets: int | None = None) -> DataFrame:
-    """Dense 1-based id of the distinct ``key_cols`` in key order.
+    """Dense 1-based id of ``key_cols`` in key order, attached to every row
+    of ``df`` (K11).
 
-    Distinct keys are range-partitioned; each range numbers its keys locally
-    and adds the count of all earlier ranges.  No single-partition window.
+    Rows are range-partitioned on the keys (equal keys share a range) and
+    checkpointed; inside a range a key change is seen with ``lag``; the
+    running count of key changes plus the count of all earlier ranges is
+    the id.  No single-partition window, no join back.
     """
-    keys = range_buckets(df.select(*key_cols).distinct(), key_cols, n_buckets)
-    ranked = ordered_scan(keys.withColumn("__one", F.lit(1)), [], list(key_cols), "__rb",
-                          cumsum={out: "__one"})
-    return ranked.select(*key_cols, F.col(out).cast("bigint").alias(out))
+    ranged = range_buckets(df, key_cols, n_buckets)
+    w = Window.partitionBy("__rb").orderBy(*key_cols)
+    k = F.struct(*[F.col(c) for c in key_cols])
+    prev = F.lag(k).over(w)
+    ranged = ranged.withColumn("__new", F.when(prev.isNull() | ~prev.eqNullSafe(k), 1).otherwise(0))
+    ranked = ordered_scan(ranged, [], list(key_cols), "__rb", cumsum={out: "__new"})
+    return ranked.withColumn(out, F.col(out).cast("bigint")).drop("__new", "__rb")
 
 
 def global_running_sums(df: DataFrame, order: Sequence[str], sums: dict[str, str | Column],

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import ordered_scan, time_bucket
@@ -54,6 +54,53 @@ def session_ids(df: DataFrame, id_col: str = "CPR_hash", start: str = "start", e
     return d.withColumn(out, F.col(out).cast("bigint")).drop("__prev_end", "__new", "__b")
 
 
+def sessionize(df: DataFrame, id_col: str, start: str, end: str, gap_hours: float,
+               tie_cols: Sequence[str] = (), bucket_seconds: int = 86400, admit: F.Column | None = None,
+               out: str = "group_id", counter_out: str = "trajectory") -> DataFrame:
+    """W2 (+W1) in one bucketed pass: gap-session id per row and, when
+    ``admit`` (0/1 column) is given, the running admission counter.
+
+    Inside each (id, day) bucket one sorted window gives the previous end,
+    the local running sum of new-session flags (the bucket's first row is
+    settled later) and the local admission count.  A per-bucket summary --
+    first start, last end, totals -- is aggregated from the windowed rows
+    (same partitioning, no new shuffle), carried across buckets with a
+    window over the summary only, and joined back: one large shuffle.
+    """
+    gap_us = int(round(gap_hours * 3_600_000_000))
+    pk = [id_col, "__b"]
+    order = [F.col(start), *[F.col(c) for c in tie_cols]]
+    d = df.where(F.col(start).isNotNull()).withColumn("__b", time_bucket(start, bucket_seconds))
+    w = Window.partitionBy(*pk).orderBy(*order)
+    wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("__pe", F.lag(end).over(w))
+    d = d.withColumn("__f", F.coalesce(F.timestamp_diff("MICROSECOND", F.col("__pe"), F.col(start)) >= gap_us,
+                                       F.lit(False)).cast("int"))
+    d = d.withColumn("__fc", F.sum("__f").over(wr))
+    aggs = [F.max_by(F.col(end), F.struct(*order)).alias("__last_end"), F.min(start).alias("__first_start"),
+            F.sum("__f").alias("__fsum")]
+    if admit is not None:
+        d = d.withColumn("__adm", admit.cast("int")).withColumn("__ac", F.sum("__adm").over(wr))
+        aggs.append(F.sum("__adm").alias("__atot"))
+    summ = d.groupBy(*pk).agg(*aggs)
+    sw = Window.partitionBy(id_col).orderBy("__b")
+    before = sw.rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("__ff", F.coalesce(
+        F.timestamp_diff("MICROSECOND", F.lag("__last_end").over(sw), F.col("__first_start")) >= gap_us,
+        F.lit(False)).cast("int"))
+    summ = summ.withColumn("__goff", F.coalesce(F.sum(F.col("__fsum") + F.col("__ff")).over(before), F.lit(0)))
+    keep = [*pk, "__ff", "__goff"]
+    if admit is not None:
+        summ = summ.withColumn("__aoff", F.coalesce(F.sum("__atot").over(before), F.lit(0)))
+        keep.append("__aoff")
+    j = d.join(summ.select(*keep), pk, "left")
+    j = j.withColumn(out, (F.col("__goff") + F.col("__ff") + F.col("__fc")).cast("bigint"))
+    if admit is not None:
+        cnt = F.col("__ac") + F.col("__aoff")
+        j = j.withColumn(counter_out, F.when(cnt > 0, cnt.cast("bigint")))
+    return j.drop("__b", "__pe", "__f", "__fc", "__ff", "__goff", "__adm", "__ac", "__aoff")
+
+
 def collapse_admissions(df: DataFrame, id_col: str = "CPR_hash", start: str = "start",
                         end: str = "end", label_col: str | None = "trajectory",
                         gap_hours: float = 1.0, tie_cols: Sequence[str] = (),
@@ -61,7 +108,10 @@ def collapse_admissions(df: DataFrame, id_col: str = "CPR_hash", start: str = "s
     """Collapse stays into trajectories (K4): ``(id, start, end, trajectory,
     duration)`` with ``trajectory`` the string-sorted distinct labels joined
     by ``,`` (``1,10,2``), nulls ignored; ``duration`` is an interval."""
-    g = session_ids(df, id_col, start, end, gap_hours, tie_cols, "__gid", bucket_seconds)
+    if bucket_seconds:
+        g = sessionize(df, id_col, start, end, gap_hours, tie_cols, bucket_seconds, out="__gid")
+    else:
+        g = session_ids(df, id_col, start, end, gap_hours, tie_cols, "__gid", None)
     aggs = [F.min(start).alias("start"), F.max(end).alias("end")]
     if label_col:
         aggs.append(F.array_join(F.array_sort(F.collect_set(F.col(label_col).cast("bigint").cast("string"))),
@@ -74,12 +124,18 @@ def collapse_admissions(df: DataFrame, id_col: str = "CPR_hash", start: str = "s
 
 
 def build_trajectories(adt: DataFrame, id_col: str = "CPR_hash", gap_hours: float = 1.0,
-                       tie_cols: Sequence[str] = ()) -> DataFrame:
-    """K3: admission counter, then collapse by gap."""
-    numbered = admission_counter(adt, id_col=id_col, tie_cols=tie_cols)
-    stays = numbered.select(id_col, "trajectory", F.col("Flyt_ind").alias("start"),
-                            F.col("Flyt_ud").alias("end"), *tie_cols)
-    return collapse_admissions(stays, id_col, gap_hours=gap_hours, tie_cols=tie_cols)
+                       tie_cols: Sequence[str] = (), admit_value: str = "Indlæggelse",
+                       bucket_seconds: int = 86400) -> DataFrame:
+    """K3 + K4: admission counter and gap sessions in one bucketed pass
+    (:func:`sessionize`), then the collapse aggregate (A7)."""
+    stays = adt.select(id_col, F.col("Flyt_ind").alias("start"), F.col("Flyt_ud").alias("end"),
+                       (F.col("ADT_haendelse") == admit_value).alias("__is_adm"), *tie_cols)
+    g = sessionize(stays, id_col, "start", "end", gap_hours, tie_cols, bucket_seconds,
+                   admit=F.coalesce(F.col("__is_adm"), F.lit(False)), out="__gid")
+    out = g.groupBy(id_col, "__gid").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"),
+        F.array_join(F.array_sort(F.collect_set(F.col("trajectory").cast("string"))), ",").alias("trajectory"))
+    return out.withColumn("duration", F.col("end") - F.col("start")).drop("__gid")
 
 
 def overlap_with_next(df: DataFrame, id_col: str = "CPR_hash", start: str = "start", end: str = "end",

@@ -17,8 +17,9 @@ from ..config import DEFAULT_CONFIG
 from ..operators.grid import Grid, make_bins
 from ..operators.joins import window_join
 from ..operators.ordered import dense_rank_global
-from ..operators.trajectories import admission_counter, collapse_admissions
+from ..operators.trajectories import build_trajectories
 from ..plans.binning import map_concept
+from ..session import cut_lineage
 from . import driver_tables as dt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,10 +49,7 @@ def trajectories(spark: SparkSession, sf: str) -> DataFrame:
     """K3/K4 on the driver events: W1 admission counter, W2 gap sessions,
     A7 label collapse."""
     a = dt.adt(dt.read(spark, sf, "events"))
-    numbered = admission_counter(a, id_col="CPR_hash", tie_cols=["event_id"])
-    stays = numbered.select("CPR_hash", "trajectory", F.col("Flyt_ind").alias("start"),
-                            F.col("Flyt_ud").alias("end"), "event_id")
-    return collapse_admissions(stays, "CPR_hash", gap_hours=GAP_HOURS, tie_cols=["event_id"])
+    return build_trajectories(a, "CPR_hash", gap_hours=GAP_HOURS, tie_cols=["event_id"])
 
 
 SQL_TRAJ = f"""numbered AS (
@@ -74,10 +72,13 @@ traj AS (
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
-    """Trajectories with a dense PID (K11) keyed by (patient, start)."""
-    t = trajectories(spark, sf)
-    ids = dense_rank_global(t, ["CPR_hash", "start"])
-    return t.join(ids, ["CPR_hash", "start"])
+    """Trajectories with a dense PID (K11) keyed by (patient, start).
+
+    The cohort table is a stage boundary: it is materialised once (reliable
+    checkpoint in ``spark.checkpoint.dir``) and every later join, grid and
+    bin placement reads the stored rows instead of recomputing the
+    trajectory scans."""
+    return cut_lineage(dense_rank_global(trajectories(spark, sf), ["CPR_hash", "start"]))
 
 
 SQL_BASE = SQL_TRAJ + """,

@@ -258,8 +258,7 @@ FROM traj""")(w2_k4_trajectories)
 # ---------------------------------------------------------------------------
 def k11_dense_pid(spark: SparkSession, sf: str) -> DataFrame:
     p = dt.procedures(dt.read(spark, sf, "events"))
-    ids = dense_rank_global(p, ["CPR_hash", "ServiceDate"])
-    return p.join(ids, ["CPR_hash", "ServiceDate"]).select("event_id", "CPR_hash", "ServiceDate", "PID")
+    return dense_rank_global(p, ["CPR_hash", "ServiceDate"]).select("event_id", "CPR_hash", "ServiceDate", "PID")
 
 
 register("k11_dense_pid", W(dt.SQL_PROC) + """

@@ -123,8 +123,7 @@ def add_patient_info(df: DataFrame, info: DataFrame) -> DataFrame:
 
 def add_patient_id(df: DataFrame, string_col: str = "CPR_hash", date_col: str = "ServiceDate") -> DataFrame:
     """Dense PID per distinct (id, date), numbered in key order."""
-    ids = dense_rank_global(df, [string_col, date_col])
-    return df.join(ids, [string_col, date_col], "left")
+    return dense_rank_global(df, [string_col, date_col])
 
 
 def final_cleanup(df: DataFrame) -> DataFrame:
