@@ -100,7 +100,7 @@ def bootstrap_ap_ci(df: DataFrame, label: str, score: str, id_col: str, alpha: f
     r = _running(counts, ("b",)).join(tots, "b")
     aps = r.where((F.col("P") > 0) & (F.col("N") > 0)) \
            .groupBy("b").agg(F.sum(_ap_terms(r, F.col("P"), F.col("N"))).alias("ap"))
-    vals = sorted(row[0] for row in aps.collect())
+    vals = sorted(row["ap"] for row in aps.collect())
     if not vals:
         return float("nan"), float("nan")
     lo = vals[int((1.0 - alpha) / 2 * len(vals))]
