@@ -146,3 +146,4 @@ WHERE NOT (a.FEATURE IS NOT NULL AND a.VALUE IS NULL)""")(k19_bin_mean)
 from . import catalog_ops  # noqa: E402,F401  (registers more queries)
 from . import catalog_bins  # noqa: E402,F401
 from . import catalog_cohort  # noqa: E402,F401
+from . import catalog_jobs  # noqa: E402,F401

@@ -18,6 +18,7 @@ from ..operators.joins import (anti_reappend, left_join_unique, lookback_join, m
 from ..operators.ordered import dense_rank_global
 from ..operators.reshape import numbered_pivot
 from ..operators.trajectories import build_trajectories, overlap_with_next
+from ..session import cut_lineage
 
 # The surgical seed code prefix and the diagnosis codes kept
 # for the wide diagnosis columns.
@@ -117,8 +118,10 @@ def add_patient_info(df: DataFrame, info: DataFrame) -> DataFrame:
                      to_ts(F.col("Dødsdato")).alias("DOD"),
                      codes.recode(F.col("Køn"), {"Mand": "Male", "Kvinde": "Female"}).alias("SEX"))
     d = df.join(pi, "CPR_hash", "left")
-    return overlap_with_next(d.where(F.col("start").isNotNull()), "CPR_hash") \
-        .unionByName(d.where(F.col("start").isNull()).withColumn("overlap", F.lit(False)))
+    # rows without a start cannot be ordered: flag False, same as a last row
+    return overlap_with_next(d.withColumn("__s", F.coalesce("start", F.lit("9999-12-31").cast("timestamp_ntz"))),
+                             "CPR_hash", start="__s").drop("__s") \
+        .withColumn("overlap", F.col("start").isNotNull() & F.col("overlap"))
 
 
 def add_patient_id(df: DataFrame, string_col: str = "CPR_hash", date_col: str = "ServiceDate") -> DataFrame:
@@ -168,17 +171,21 @@ def create_base(procedures: DataFrame, adt: DataFrame, cases: DataFrame, diagnos
                 gap_hours: float = 1.0) -> DataFrame:
     """The cohort job end to end."""
     from .comorbidity import add_comorbidity
+    # Stage boundaries (reliable checkpoints): trajectories, the matched
+    # cohort and the enriched cohort are each used by several later joins;
+    # materialising them keeps every plan short and lets a lost executor
+    # recompute from the last stored stage only.
     population = load_population(procedures)
     moves = load_adt(adt)
-    of = build_trajectories(moves, gap_hours=gap_hours)
-    matched = fill_window_from_date(match_population_to_trajectories(of, population))
+    of = cut_lineage(build_trajectories(moves, gap_hours=gap_hours))
+    matched = cut_lineage(fill_window_from_date(match_population_to_trajectories(of, population)))
     d = add_first_contacts(matched, moves)
     d = add_first_hospital(d)
     d = add_case_knife_time(d, cases)
     d = add_diagnoses(d, diagnoses)
-    d = add_patient_info(d, patient_info)
+    d = cut_lineage(add_patient_info(d, patient_info))
     d = add_patient_id(d)
-    d = final_cleanup(d)
+    d = cut_lineage(final_cleanup(d))
     d = add_to_base(d, vitals)
     if comorbidity:
         d = add_comorbidity(d, diagnoses)

@@ -266,3 +266,10 @@ SQL_CASES = f"""cases AS (
          ts AS "Operationshændelses_Tidspunkt",
          CASE WHEN event_type = 'click' THEN CASE WHEN {SQL_K} % 4 = 0 THEN 'Aflyst' ELSE 'Fuldført' END END AS Status
   FROM events WHERE event_type IN ('click', 'view'))"""
+
+
+def patient_info_raw(customer: DataFrame) -> DataFrame:
+    """Demographics in the raw clinical column names (text dates)."""
+    p = patient_info(customer)
+    return p.select("CPR_hash", F.col("DOB").cast("string").alias("Fødselsdato"),
+                    F.col("DOD").cast("string").alias("Dødsdato"), F.col("SEX_RAW").alias("Køn"))

@@ -22,6 +22,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .metrics import auroc_ap
 from .split import stratified_folds
 
@@ -99,8 +100,11 @@ def run_cv_and_final_train(train: DataFrame, holdout: DataFrame, target: str, id
     """M5: preprocessing fitted on train, seeded random search scored by
     CV AUROC, refit on all of train, holdout AUROC / AP."""
     pre = fit_preprocessor(train, categorical, continuous, scale=config["scale"])
-    tr = stratified_folds(pre.transform(train).withColumn("label", F.col(target).cast("double")),
-                          "label", id_col, n_folds, seed)
+    # The search scans the training frame once per fold, candidate and
+    # boosting round: store it once (stage boundary) instead of replaying
+    # the feature plan every time.
+    tr = cut_lineage(stratified_folds(pre.transform(train).withColumn("label", F.col(target).cast("double")),
+                                      "label", id_col, n_folds, seed))
     est = config["estimator"](featuresCol="features", labelCol="label", **({"seed": seed} if config["estimator"] is not LinearSVC else {}))
     grid = sample_grid(est, config["grid"], config["n_iter"], seed)
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, numFolds=n_folds, foldCol="fold",
@@ -125,20 +129,23 @@ def check_class_diversity(df: DataFrame, target: str) -> None:
 
 
 def train_models(dataset: DataFrame, cfg: dict, categorical: Sequence[str], continuous: Sequence[str],
-                 out_dir: str | None = None, configs: Sequence[dict] = MODEL_CONFIGS, **kw) -> list[dict]:
+                 out_dir: str | None = None, configs: Sequence[dict] = MODEL_CONFIGS,
+                 return_pipelines: bool = False, **kw):
     """M9: split by PID, guard classes, fit every configured model, save
-    the pipelines and return one summary row per model (S13)."""
+    the pipelines and return one summary row per model (S13) -- plus the
+    fitted pipelines by name when ``return_pipelines``."""
     from .split import train_test_split
     target, id_col = cfg["target"], cfg["dataset"]["id_col"]
-    train, holdout = train_test_split(cfg, dataset)
+    train, holdout = train_test_split(cfg, cut_lineage(dataset))
     check_class_diversity(train, target)
-    rows = []
+    rows, pipes = [], {}
     for c in configs:
         r = run_cv_and_final_train(train, holdout, target, id_col, categorical, continuous, c, **kw)
         if out_dir:
             r["pipeline"].write().overwrite().save(f"{out_dir}/{c['name']}")
+        pipes[c["name"]] = r["pipeline"]
         rows.append({k: v for k, v in r.items() if k != "pipeline"})
-    return rows
+    return (rows, pipes) if return_pipelines else rows
 
 
 def evaluate_at(model: PipelineModel, dataset: DataFrame, target: str, id_col: str,
