@@ -77,10 +77,14 @@ def match_trajectories(trajectories: DataFrame, df: DataFrame, dt_name: str, off
 
 def lookback_join(base: DataFrame, df: DataFrame, dt_name: str, months: int = 6,
                   start_col: str = "start", end_col: str = "end", id_col: str = "CPR_hash",
-                  carry: Sequence[str] = ("PID",)) -> DataFrame:
-    """``start - N months <= t <= end`` (month end clipped, time kept)."""
+                  carry: Sequence[str] = ("PID",), bucket_seconds: int = 30 * 86400) -> DataFrame:
+    """``start - N months <= t <= end`` (month end clipped, time kept).
+
+    Windows span months, so buckets are 30 days wide: about N+1 bucket rows
+    per window instead of ~30 N day rows, while a heavy patient is still
+    split by month."""
     lo = F.col(start_col) - F.make_interval(months=F.lit(months))
-    return window_join(df, base, id_col, dt_name, lo, F.col(end_col), carry=carry)
+    return window_join(df, base, id_col, dt_name, lo, F.col(end_col), carry=carry, bucket_seconds=bucket_seconds)
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, id_col: str, left_ts: str, right_ts: str,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,7 +126,7 @@ def collapse_admissions(df: DataFrame, id_col: str = "CPR_hash", start: str = "s
 
 def build_trajectories(adt: DataFrame, id_col: str = "CPR_hash", gap_hours: float = 1.0,
                        tie_cols: Sequence[str] = (), admit_value: str = "Indlæggelse",
-                       bucket_seconds: int = 86400) -> DataFrame:
+                       bucket_seconds: int = 86400, keep_group_id: bool = False) -> DataFrame:
     """K3 + K4: admission counter and gap sessions in one bucketed pass
     (:func:`sessionize`), then the collapse aggregate (A7)."""
     stays = adt.select(id_col, F.col("Flyt_ind").alias("start"), F.col("Flyt_ud").alias("end"),
@@ -135,7 +136,26 @@ def build_trajectories(adt: DataFrame, id_col: str = "CPR_hash", gap_hours: floa
     out = g.groupBy(id_col, "__gid").agg(
         F.min("start").alias("start"), F.max("end").alias("end"),
         F.array_join(F.array_sort(F.collect_set(F.col("trajectory").cast("string"))), ",").alias("trajectory"))
-    return out.withColumn("duration", F.col("end") - F.col("start")).drop("__gid")
+    out = out.withColumn("duration", F.col("end") - F.col("start"))
+    return out.withColumnRenamed("__gid", "group_id") if keep_group_id else out.drop("__gid")
+
+
+def number_trajectories(traj: DataFrame, id_col: str = "CPR_hash", group_col: str = "group_id",
+                        out: str = "PID") -> DataFrame:
+    """K11 for trajectories: dense 1-based id in (patient, start) order.
+
+    Session ids are already dense per patient in start order, so the id is
+    (trajectories of all patients sorting before this one) + session id + 1.
+    Only the per-patient count table is put in global order (range buckets,
+    :func:`global_running_sums`); trajectories are never sorted globally.
+    """
+    from .ordered import global_running_sums
+    t = traj.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = t.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
+    offs = global_running_sums(counts, [id_col], {"__cum": "__n"})
+    offs = offs.select(id_col, (F.col("__cum") - F.col("__n")).alias("__off"))
+    res = t.join(offs, id_col, "inner").withColumn(out, (F.col("__off") + F.col(group_col) + 1).cast("bigint"))
+    return res.drop("__off")
 
 
 def overlap_with_next(df: DataFrame, id_col: str = "CPR_hash", start: str = "start", end: str = "end",

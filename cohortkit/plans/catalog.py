@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_CONFIG
 from ..operators.grid import Grid, make_bins
 from ..operators.joins import window_join
-from ..operators.ordered import dense_rank_global
-from ..operators.trajectories import build_trajectories
+from ..operators.trajectories import build_trajectories, number_trajectories
 from ..plans.binning import map_concept
 from ..session import cut_lineage
 from . import driver_tables as dt
@@ -78,7 +77,13 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
     checkpoint in ``spark.checkpoint.dir``) and every later join, grid and
     bin placement reads the stored rows instead of recomputing the
     trajectory scans."""
-    return cut_lineage(dense_rank_global(trajectories(spark, sf), ["CPR_hash", "start"]))
+    a = dt.adt(dt.read(spark, sf, "events"))
+    t = build_trajectories(a, "CPR_hash", gap_hours=GAP_HOURS, tie_cols=["event_id"], keep_group_id=True)
+    numbered = number_trajectories(t)
+    try:
+        return cut_lineage(numbered.drop("group_id"))
+    finally:
+        t.unpersist()
 
 
 SQL_BASE = SQL_TRAJ + """,
