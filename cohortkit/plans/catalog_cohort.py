@@ -442,3 +442,64 @@ j AS (SELECT c.masking_point, w.* FROM wlong w JOIN base b ON w.PID = b.PID JOIN
 SELECT masking_point, PID, FEATURE, round(arg_max(VALUE, "TIMESTAMP"), 6) AS last, round(avg(VALUE), 6) AS mean,
        round(CAST(count(VALUE) AS DOUBLE), 6) AS count
 FROM j GROUP BY masking_point, PID, FEATURE""")(m11_cutoff_features)
+
+
+# ---------------------------------------------------------------------------
+# Included diagnoses in the look-back window, numbered wide
+# ---------------------------------------------------------------------------
+def k9_diagnoses(spark: SparkSession, sf: str) -> DataFrame:
+    from .cohort import DIAGNOSIS_INCLUSION, add_diagnoses
+    b = base(spark, sf).withColumn("ServiceDate", F.col("start"))
+    d = dt.diagnoses(dt.read(spark, sf, "events")).drop("event_id")
+    wide = add_diagnoses(b.select("PID", "CPR_hash", "ServiceDate", "start", "end"), d, DIAGNOSIS_INCLUSION)
+    nums = sorted(int(c.rsplit("_", 1)[1]) for c in wide.columns if c.startswith("Diagnosekode_"))
+    return wide.select("PID", F.concat_ws(",", *[F.col(f"Diagnosekode_{n}") for n in nums]).alias("codes"))
+
+
+def _sql_k9() -> str:
+    from .cohort import DIAGNOSIS_INCLUSION
+    inc = ", ".join(f"'{c}'" for c in DIAGNOSIS_INCLUSION)
+    return W(dt.SQL_ADT, SQL_BASE, dt.SQL_DIAG) + f""",
+m AS (SELECT DISTINCT d.CPR_hash, d.Diagnosekode, d.Noteret_dato, d."Løst_dato", b.start AS ServiceDate
+      FROM diag d JOIN base b ON d.CPR_hash = b.CPR_hash
+      AND d.Noteret_dato >= b.start - INTERVAL 6 MONTH AND d.Noteret_dato <= b."end"
+      WHERE d.Diagnosekode IN ({inc})),
+w AS (SELECT CPR_hash, ServiceDate, string_agg(Diagnosekode, ',' ORDER BY Noteret_dato, Diagnosekode) AS codes
+      FROM m GROUP BY CPR_hash, ServiceDate)
+SELECT b.PID, coalesce(w.codes, '') AS codes FROM base b
+LEFT JOIN w ON b.CPR_hash = w.CPR_hash AND b.start = w.ServiceDate"""
+
+
+register("k9_diagnoses", _sql_k9())(k9_diagnoses)
+
+
+# ---------------------------------------------------------------------------
+# Mixed-format move times parsed, move-ins shifted 1 s
+# ---------------------------------------------------------------------------
+def k2_load_adt(spark: SparkSession, sf: str) -> DataFrame:
+    from .cohort import load_adt
+    a = dt.adt(dt.read(spark, sf, "events"))
+    fmt = F.col("event_id") % 3
+    text_in = (F.when(fmt == 0, F.date_format("Flyt_ind", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+                .when(fmt == 1, F.date_format("Flyt_ind", "dd-MM-yyyy HH:mm:ss"))
+                .otherwise(F.date_format("Flyt_ind", "yyyy-MM-dd'T'HH:mm:ss")))
+    text_out = F.when(F.col("event_id") % 11 == 0, F.lit("unknown")) \
+                .otherwise(F.date_format("Flyt_ud", "yyyy-MM-dd HH:mm"))
+    raw = a.select("event_id", "CPR_hash", "ADT_haendelse", text_in.alias("Flyt_ind"), text_out.alias("Flyt_ud"))
+    return load_adt(raw).select("event_id", "Flyt_ind", "Flyt_ud")
+
+
+register("k2_load_adt", W(dt.SQL_ADT) + """,
+raw AS (SELECT event_id, ADT_haendelse,
+               CASE event_id % 3 WHEN 0 THEN strftime(Flyt_ind, '%Y-%m-%d %H:%M:%S.%f')
+                                 WHEN 1 THEN strftime(Flyt_ind, '%d-%m-%Y %H:%M:%S')
+                                 ELSE strftime(Flyt_ind, '%Y-%m-%dT%H:%M:%S') END AS i,
+               CASE WHEN event_id % 11 = 0 THEN 'unknown' ELSE strftime(Flyt_ud, '%Y-%m-%d %H:%M') END AS u
+        FROM adt),
+p AS (SELECT event_id, ADT_haendelse,
+             coalesce(try_strptime(i, '%Y-%m-%d %H:%M:%S.%f'), try_strptime(i, '%d-%m-%Y %H:%M:%S'),
+                      try_strptime(i, '%Y-%m-%dT%H:%M:%S')) AS fi,
+             try_strptime(u, '%Y-%m-%d %H:%M') AS fu
+      FROM raw)
+SELECT event_id, CASE WHEN ADT_haendelse = 'Flyt Ind' THEN fi + INTERVAL 1 SECOND ELSE fi END AS Flyt_ind,
+       fu AS Flyt_ud FROM p""")(k2_load_adt)
