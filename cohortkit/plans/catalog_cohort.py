@@ -305,7 +305,10 @@ def _weekly_sets(spark: SparkSession, sf: str) -> DataFrame:
     ev = dt.read(spark, sf, "events").withColumn(
         "week", F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("int"))
     p = ev.groupBy("user_id").pivot("week", WEEKS).agg(F.array_sort(F.collect_set("event_type")))
-    return p.select("user_id", F.lit("etype").alias("FEATURE"), *[F.col(str(w)).alias(f"w{w}") for w in WEEKS])
+    # the feature label is derived from the row (a literal would let the
+    # optimizer fold the vocabulary join key away)
+    feature = F.when(F.col("user_id").isNotNull(), F.lit("etype"))
+    return p.select("user_id", feature.alias("FEATURE"), *[F.col(str(w)).alias(f"w{w}") for w in WEEKS])
 
 
 def r7_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
@@ -349,11 +352,12 @@ def _k21_base(spark: SparkSession, sf: str) -> DataFrame:
     b = base(spark, sf)
     pi = dt.patient_info(dt.read(spark, sf, "customer"))
     from ..functions.timefns import age_years, days_between, event_within_days
-    return b.join(pi, "CPR_hash", "left").select(
+    from ..session import cut_lineage
+    return cut_lineage(b.join(pi, "CPR_hash", "left").select(
         "PID", "CPR_hash", "start", "end", age_years(F.col("DOB"), F.col("start")).alias("AGE"),
         r6(days_between(F.col("start"), F.col("end"))).alias("DURATION"),
         codes.normalize_sex(F.col("SEX_RAW")).alias("SEX"),
-        event_within_days(F.col("DOD"), F.col("start"), 90).alias("DECEASED_90d"))
+        event_within_days(F.col("DOD"), F.col("start"), 90).alias("DECEASED_90d")))
 
 
 def k21_wide_dataset(spark: SparkSession, sf: str) -> DataFrame:

@@ -53,7 +53,9 @@ def match_population_to_trajectories(of: DataFrame, population: DataFrame,
     trajectory and procedure columns renamed ``_1`` (J7)."""
     if proc_cols is None:
         proc_cols = [c for c in population.columns if c.startswith("Procedure")] + ["ServiceDatetime"]
-    fdf = match_trajectories(of, population, "ServiceDate")
+    # matched procedures feed the pivot, the first-row pick and the width
+    # probe: store them once
+    fdf = cut_lineage(match_trajectories(of, population, "ServiceDate"))
     keys = ["CPR_hash", "trajectory"]
     order = ["ServiceDate", *tie_cols]
     wide = numbered_pivot(fdf, keys, order, proc_cols)

@@ -38,39 +38,43 @@ def score_counts(df: DataFrame, label: str, score: str, keys: tuple[str, ...] =
         F.sum(w * y).alias("np"), F.sum(w * (1 - y)).alias("nn"))
 
 
-def _running(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    b = _score_bucket(counts, "score")
-    return ordered_scan(b, list(keys), ["score"], "__sb", cumsum={"cum_pos": "np", "cum_neg": "nn"})
-
-
-def _ap_terms(r: DataFrame, p: F.Column, n: F.Column) -> F.Column:
-    tp = p - (F.col("cum_pos") - F.col("np"))                   # positives with score >= s
-    k = (p + n) - (F.col("cum_pos") + F.col("cum_neg") - F.col("np") - F.col("nn"))
-    return F.when(F.col("np") > 0, F.col("np") / p * tp / k).otherwise(F.lit(0.0))
+def _running_desc(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Inclusive running sums from the highest score down: ``tp`` (positives
+    with score >= s), ``fp_all`` (rows with score >= s), ``neg_ge``."""
+    d = counts.withColumn("__neg_score", -F.col("score"))
+    b = _score_bucket(d, "__neg_score")
+    return ordered_scan(b, list(keys), ["__neg_score"], "__sb",
+                        cumsum={"tp": "np", "neg_ge": "nn", "k": F.col("np") + F.col("nn")})
+
+
+def _metric_aggs(keys: tuple[str, ...] = ()) -> list[F.Column]:
+    """AUROC (ties averaged) and AP from the descending sums, no totals needed
+    per row:  AUC*P*N = N*P - sum(np*neg_ge) + 0.5*sum(np*nn);
+    AP*P = sum(np * tp / k)."""
+    P, N = F.sum("np"), F.sum("nn")
+    auc_num = N * P - F.sum(F.col("np") * F.col("neg_ge")) + 0.5 * F.sum(F.col("np") * F.col("nn"))
+    ap_num = F.sum(F.when(F.col("np") > 0, F.col("np") * F.col("tp") / F.col("k")).otherwise(F.lit(0.0)))
+    return [F.try_divide(auc_num, P * N).alias("auroc"), F.try_divide(ap_num, P).alias("ap"),
+            P.alias("__P"), N.alias("__N")]
 
 
 def auroc_ap(df: DataFrame, label: str, score: str, alpha: float = 0.95) -> DataFrame:
-    """M2 + M3 point estimates: one row ``auroc, auroc_var, auroc_ci_low,
-    auroc_ci_high, ap, n, n_positive``.  AUROC variance is the closed form
+    """M2 + M3 point estimates in one pass: one row ``auroc, auroc_var,
+    auroc_ci_low, auroc_ci_high, ap, n, n_positive`` (metrics null when a
+    class is missing).  AUROC variance is the closed form
     ``(A/(2-A) - A^2)/N_neg + (2A^2/(1+A) - A^2)/N_pos`` with a normal CI
     clipped to [0, 1]."""
-    counts = score_counts(df, label, score)
-    tot = counts.agg(F.sum("np").alias("P"), F.sum("nn").alias("N")).first()
-    P, N = float(tot["P"] or 0.0), float(tot["N"] or 0.0)
-    if P == 0 or N == 0:
-        raise ValueError("AUROC needs both classes")
-    r = _running(counts)
-    auc_num = F.sum(F.col("np") * (F.col("cum_neg") - F.col("nn") + 0.5 * F.col("nn")))
-    ap = F.sum(_ap_terms(r, F.lit(P), F.lit(N)))
-    out = r.agg((auc_num / F.lit(P * N)).alias("auroc"), ap.alias("ap"))
+    r = _running_desc(score_counts(df, label, score))
+    out = r.agg(*_metric_aggs())
     z = NormalDist().inv_cdf(1 - (1 - alpha) / 2)
     a = F.col("auroc")
-    var = (a / (2 - a) - a * a) / F.lit(N) + (2 * a * a / (1 + a) - a * a) / F.lit(P)
+    var = F.try_divide(a / (2 - a) - a * a, F.col("__N")) + F.try_divide(2 * a * a / (1 + a) - a * a, F.col("__P"))
     sd = F.sqrt(F.greatest(var, F.lit(0.0)))
     return out.select("auroc", var.alias("auroc_var"),
                       F.greatest(F.lit(0.0), F.least(F.lit(1.0), a - z * sd)).alias("auroc_ci_low"),
                       F.greatest(F.lit(0.0), F.least(F.lit(1.0), a + z * sd)).alias("auroc_ci_high"),
-                      "ap", F.lit(int(P + N)).cast("bigint").alias("n"), F.lit(int(P)).cast("bigint").alias("n_positive"))
+                      "ap", (F.col("__P") + F.col("__N")).cast("bigint").alias("n"),
+                      F.col("__P").cast("bigint").alias("n_positive"))
 
 
 # Poisson(1) inverse CDF thresholds for bootstrap weights (cumulative
@@ -96,11 +100,9 @@ def bootstrap_ap_ci(df: DataFrame, label: str, score: str, id_col: str, alpha: f
     u = (F.abs(F.xxhash64(F.col(id_col), F.col("b"), F.lit(seed))) % F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     w = df.select(id_col, label, score, bs).withColumn("w", poisson_weight(u)).where(F.col("w") > 0)
     counts = score_counts(w, label, score, keys=("b",), weight="w")
-    tots = counts.groupBy("b").agg(F.sum("np").alias("P"), F.sum("nn").alias("N"))
-    r = _running(counts, ("b",)).join(tots, "b")
-    aps = r.where((F.col("P") > 0) & (F.col("N") > 0)) \
-           .groupBy("b").agg(F.sum(_ap_terms(r, F.col("P"), F.col("N"))).alias("ap"))
-    vals = sorted(row["ap"] for row in aps.collect())
+    aps = _running_desc(counts, ("b",)).groupBy("b").agg(*_metric_aggs())
+    aps = aps.where((F.col("__P") > 0) & (F.col("__N") > 0))
+    vals = sorted(row["ap"] for row in aps.select("ap").collect())
     if not vals:
         return float("nan"), float("nan")
     lo = vals[int((1.0 - alpha) / 2 * len(vals))]
