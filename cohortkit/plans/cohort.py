@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.numeric import numeric_or_null
-from ..functions.timefns import age_years, days_between, event_within_days, shift_where, to_ts
+from ..functions.timefns import age_years, days_between, event_within_days, shift_where, ts_column
 from ..operators.aggregates import first_non_null_per_column
 from ..operators.filters import fill_window_from_date, prefix_filter
 from ..operators.joins import (anti_reappend, left_join_unique, lookback_join, match_trajectories,
@@ -33,13 +33,13 @@ DIAGNOSIS_INCLUSION = [
 def load_population(procedures: DataFrame, prefix: str = POPULATION_PREFIX) -> DataFrame:
     """K1: procedure rows whose code starts with the seed prefix; dates parsed."""
     p = prefix_filter(procedures, "ProcedureCode", prefix)
-    return p.withColumn("ServiceDate", to_ts(F.col("ServiceDate"))) \
-            .withColumn("ServiceDatetime", to_ts(F.col("ServiceDatetime")))
+    return p.withColumn("ServiceDate", ts_column(p, "ServiceDate")) \
+            .withColumn("ServiceDatetime", ts_column(p, "ServiceDatetime"))
 
 
 def load_adt(adt: DataFrame) -> DataFrame:
     """K2: parse move times (bad -> null), move-in events +1 s."""
-    d = adt.withColumn("Flyt_ind", to_ts(F.col("Flyt_ind"))).withColumn("Flyt_ud", to_ts(F.col("Flyt_ud")))
+    d = adt.withColumn("Flyt_ind", ts_column(adt, "Flyt_ind")).withColumn("Flyt_ud", ts_column(adt, "Flyt_ud"))
     return d.withColumn("Flyt_ind", shift_where(F.col("Flyt_ind"), F.col("ADT_haendelse") == "Flyt Ind"))
 
 
@@ -93,7 +93,7 @@ def add_first_hospital(df: DataFrame) -> DataFrame:
 def add_case_knife_time(df: DataFrame, cases: DataFrame) -> DataFrame:
     """K8: start/end pairing per case (J12) then the knife time nearest to
     ServiceDate within 24 h per (CPR_hash, ServiceDate) (J5)."""
-    c = cases.withColumn("Operationshændelses_Tidspunkt", to_ts(F.col("Operationshændelses_Tidspunkt")))
+    c = cases.withColumn("Operationshændelses_Tidspunkt", ts_column(cases, "Operationshændelses_Tidspunkt"))
     knife = pair_start_end(c)
     return nearest_in_time(df, knife, "CPR_hash", "ServiceDate", "knife_time",
                            ["CPR_hash", "ServiceDate"], tie_cols=["Case_ID", "knife_time_end"],
@@ -106,7 +106,7 @@ def add_diagnoses(df: DataFrame, diagnoses: DataFrame, inclusion: Sequence[str]
     numbered by note time per (CPR_hash, ServiceDate) into
     ``Diagnosekode_{n}`` (R2)."""
     d = diagnoses.where(F.col("Diagnosekode").isin(list(inclusion))) \
-                 .withColumn("Noteret_dato", to_ts(F.col("Noteret_dato")))
+                 .withColumn("Noteret_dato", ts_column(diagnoses, "Noteret_dato"))
     keys = df.select("CPR_hash", "ServiceDate", "start", "end").distinct()
     m = lookback_join(keys, d, "Noteret_dato", months=6, carry=["ServiceDate"])
     wide = numbered_pivot(m, ["CPR_hash", "ServiceDate"], ["Noteret_dato", "Diagnosekode"], ["Diagnosekode"], max_n)
@@ -116,8 +116,8 @@ def add_diagnoses(df: DataFrame, diagnoses: DataFrame, inclusion: Sequence[str]
 def add_patient_info(df: DataFrame, info: DataFrame) -> DataFrame:
     """DOB/DOD/SEX (sex normalised, X8) and the overlap-with-next flag
     per patient in (start, ServiceDate) order (W5)."""
-    pi = info.select("CPR_hash", to_ts(F.col("Fødselsdato")).alias("DOB"),
-                     to_ts(F.col("Dødsdato")).alias("DOD"),
+    pi = info.select("CPR_hash", ts_column(info, "Fødselsdato").alias("DOB"),
+                     ts_column(info, "Dødsdato").alias("DOD"),
                      codes.recode(F.col("Køn"), {"Mand": "Male", "Kvinde": "Female"}).alias("SEX"))
     d = df.join(pi, "CPR_hash", "left")
     # rows without a start cannot be ordered: flag False, same as a last row
@@ -149,7 +149,7 @@ def height_weight(base: DataFrame, vitals: DataFrame, per: str = "PID") -> DataF
     v = vitals.select("CPR_hash", "Vital_parametre", "Værdi", "Registreringstidspunkt")
     v = v.withColumn("FEATURE", codes.recode(F.col("Vital_parametre"), codes.HEIGHT_WEIGHT_MAP)) \
               .withColumn("VALUE", numeric_or_null(F.col("Værdi"))) \
-              .withColumn("TIMESTAMP", to_ts(F.col("Registreringstidspunkt"))) \
+              .withColumn("TIMESTAMP", ts_column(v, "Registreringstidspunkt")) \
               .where(F.col("VALUE").isNotNull() & F.col("FEATURE").isin("HEIGHT", "WEIGHT"))
     v = v.withColumn("VALUE", F.when(F.col("FEATURE") == "HEIGHT", F.col("VALUE") * 2.54)
                               .otherwise(F.col("VALUE") * 0.0283495231))

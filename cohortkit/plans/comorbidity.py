@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import strip_code_ends
 from ..operators.filters import active_at_index
-from ..functions.timefns import to_ts
+from ..functions.timefns import ts_column
 
 
 def expand(spec: str) -> list[str]:
@@ -105,8 +105,8 @@ def prefix_table(spark: SparkSession) -> DataFrame:
 
 def pre_index_diagnoses(base: DataFrame, diagnoses: DataFrame) -> DataFrame:
     """P8 + X11: diagnoses active at the index start, code ends stripped."""
-    d = diagnoses.withColumn("Noteret_dato", to_ts(F.col("Noteret_dato"))) \
-                 .withColumn("Løst_dato", to_ts(F.col("Løst_dato")))
+    d = diagnoses.withColumn("Noteret_dato", ts_column(diagnoses, "Noteret_dato")) \
+                 .withColumn("Løst_dato", ts_column(diagnoses, "Løst_dato"))
     j = base.select("CPR_hash", "PID", "start").join(d, "CPR_hash", "inner")
     j = j.where(active_at_index(F.col("Noteret_dato"), F.col("Løst_dato"), F.col("start")))
     return j.select("PID", strip_code_ends(F.col("Diagnosekode")).alias("code"))

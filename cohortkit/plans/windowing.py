@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timefns import to_ts
+from ..functions.timefns import ts_column
 from ..operators.filters import preop_cutoff
 from ..operators.joins import filter_by_time_window
 from ..sources.readers import load_catalogue, read_table, table_exists
@@ -15,7 +15,7 @@ def window_table(base: DataFrame, raw: DataFrame, dt_name: str, offset_days: int
                  end_col: str = "end") -> DataFrame:
     """One table: time column parsed, rows in ``[start - off, end + off]``
     of any window of the patient, with that window's PID (J2)."""
-    raw = raw.withColumn(dt_name, to_ts(F.col(dt_name)))
+    raw = raw.withColumn(dt_name, ts_column(raw, dt_name))
     return filter_by_time_window(base, raw, dt_name, "start", end_col, offset_days)
 
 
