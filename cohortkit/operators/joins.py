@@ -22,6 +22,13 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast hint only behind a measured bound (one count job on a
+    small, derived frame such as a vocabulary); above it the join stays a
+    shuffle join."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def semi_join_ids(df: DataFrame, ids: DataFrame, key: str | Sequence[str] = "CPR_hash") -> DataFrame:
     """Keep rows whose id is in the cohort (left semi join).
 

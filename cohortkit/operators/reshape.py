@@ -76,10 +76,10 @@ def multi_hot_vocabulary(df: DataFrame, timestep_cols: Sequence[str], cat_col: s
         voc = voc.where(F.col("feature").isin(list(feature_names)))
         order = F.array_position(F.array(*[F.lit(f) for f in feature_names]), F.col("feature"))
     else:
-        order = F.dense_rank().over(Window.orderBy("feature"))
-    voc = voc.withColumn("__f", order)
-    # offsets of each feature block: counts per feature (small) -> running sum
-    counts = voc.groupBy("feature", "__f").agg(F.count(F.lit(1)).alias("__k"))
+        order = F.col("feature")
+    # offsets of each feature block: one row per feature -> running sum
+    # (the only global window runs over the feature list)
+    counts = voc.groupBy("feature").agg(F.count(F.lit(1)).alias("__k")).withColumn("__f", order)
     counts = counts.withColumn("__off", F.coalesce(
         F.sum("__k").over(Window.orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     voc = voc.join(counts.select("feature", "__off"), "feature")
@@ -105,7 +105,9 @@ def multi_hot_transform(df: DataFrame, vocabulary: DataFrame, sample_col: str, t
     """R8 (sparse form): distinct ``(sample, idx, timestep)`` ones; unknown
     values are ignored; absent samples simply have no rows."""
     long = _melt(df, timestep_cols, cat_col, sample_col).where(F.col("value").isNotNull())
-    j = long.join(F.broadcast(vocabulary.withColumnRenamed("feature", cat_col)), on=[cat_col, "value"], how="inner")
+    from .joins import broadcast_if_small
+    voc = broadcast_if_small(vocabulary.withColumnRenamed("feature", cat_col))
+    j = long.join(voc, on=[cat_col, "value"], how="inner")
     return j.select(sample_col, "idx", "timestep").distinct()
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from cohortkit.config import DEFAULT_CONFIG
 from cohortkit.functions import codes
 from cohortkit.functions.numeric import lab_clean, numeric_or_null, parse_numeric
-from cohortkit.functions.timefns import (age_years, event_within_days, mask_mortality, py_time_to_step,
+from cohortkit.functions.timefns import (age_years, event_within_days, mask_mortality, masking_summary,
+                                         py_time_to_step,
                                          step_to_time, time_thresholds, time_to_step, to_ts)
 from cohortkit.operators.reshape import split_blood_pressure
 
@@ -90,3 +91,5 @@ def test_mask_mortality(spark):
                                "PID long, start timestamp_ntz, end timestamp_ntz, DOD timestamp_ntz")
     got = {r.PID: r.end for r in mask_mortality(df, "percentage").collect()}
     assert got == {1: s + dt.timedelta(hours=9.5), 2: s + dt.timedelta(hours=0.5), 3: s + dt.timedelta(hours=10)}
+    summary = masking_summary(mask_mortality(df, "percentage")).first()
+    assert summary.n_masked == 2 and abs(summary.mean_hours_removed - (0.5 - 0.1) / 2) < 1e-9
