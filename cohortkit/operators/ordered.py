@@ -108,11 +108,13 @@ def range_buckets(df: DataFrame, order: Sequence[str], n_buckets: int | None = N
                   name: str = "__rb") -> DataFrame:
     """Attach a range-partition id (monotone in ``order``) and cut lineage.
 
-    The checkpoint freezes the sampled range bounds, so every later use of
-    the bucket id sees the same split (and survives executor loss).
+    The checkpoint freezes the sampled range bounds: a re-sampled range
+    shuffle is not guaranteed to put a row in the same partition again, so
+    every use of the bucket id must read the stored assignment (which also
+    survives executor loss).
     """
     spark = df.sparkSession
-    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The range sample and the shuffle both read the input: keep it for the
     # duration of the checkpoint so it is computed once (lost blocks are
     # simply recomputed from lineage).

@@ -1,8 +1,9 @@
 """Care trajectories: admission counter (W1), gap sessions (W2/K4) with
 label collapse (A7), overlap-with-next flag (W5), missing-end fill (W4).
 
-All running operators go through :func:`ordered_scan` with day buckets, so
-a patient with a huge history is split over many tasks.
+All running operators scan per (patient, bucket): by default range buckets
+of (patient, time, ties), so a patient -- or a single patient-day -- with a
+huge history is split over many tasks (a fixed time width is optional).
 """
 
 from __future__ import annotations
@@ -13,13 +14,26 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ordered_scan, time_bucket
+from .ordered import ordered_scan, range_buckets, time_bucket
+
+
+def _bucketed(d: DataFrame, id_col: str, ts_col: str, tie_cols: Sequence[str],
+              bucket_seconds: int | str | None) -> tuple[DataFrame, str | None]:
+    """Attach the scan bucket: range buckets of (id, time, ties) -- splits a
+    hot patient or patient-day; the sampled ranges are frozen by a reliable
+    checkpoint, since re-sampling could move rows between buckets --, a
+    fixed time width, or none."""
+    if bucket_seconds == "range":
+        return range_buckets(d, [id_col, ts_col, *tie_cols], name="__b"), "__b"
+    if bucket_seconds:
+        return d.withColumn("__b", time_bucket(ts_col, bucket_seconds)), "__b"
+    return d, None
 
 
 def admission_counter(adt: DataFrame, id_col: str = "CPR_hash", ts_col: str = "Flyt_ind",
                       type_col: str = "ADT_haendelse", admit_value: str = "Indlæggelse",
                       tie_cols: Sequence[str] = (), out: str = "trajectory",
-                      bucket_seconds: int | None = 86400) -> DataFrame:
+                      bucket_seconds: int | str | None = "range") -> DataFrame:
     """Running number of admission rows per patient.
 
     Rows before the first admission get null (the fill is per patient).
@@ -27,10 +41,7 @@ def admission_counter(adt: DataFrame, id_col: str = "CPR_hash", ts_col: str = "F
     """
     df = adt.where(F.col(ts_col).isNotNull()) \
             .withColumn("__adm", F.when(F.col(type_col) == admit_value, 1).otherwise(0))
-    bucket = None
-    if bucket_seconds:
-        df = df.withColumn("__b", time_bucket(ts_col, bucket_seconds))
-        bucket = "__b"
+    df, bucket = _bucketed(df, id_col, ts_col, tie_cols, bucket_seconds)
     df = ordered_scan(df, [id_col], [ts_col, *tie_cols], bucket, cumsum={"__cnt": "__adm"})
     return df.withColumn(out, F.when(F.col("__cnt") > 0, F.col("__cnt").cast("bigint"))) \
              .drop("__cnt", "__adm", "__b")
@@ -38,16 +49,12 @@ def admission_counter(adt: DataFrame, id_col: str = "CPR_hash", ts_col: str = "F
 
 def session_ids(df: DataFrame, id_col: str = "CPR_hash", start: str = "start", end: str = "end",
                 gap_hours: float = 1.0, tie_cols: Sequence[str] = (), out: str = "group_id",
-                bucket_seconds: int | None = 86400) -> DataFrame:
+                bucket_seconds: int | str | None = "range") -> DataFrame:
     """Gap session id per row (W2): a row whose start is at least ``gap``
     after the *previous row's* end (not the running maximum) opens a new
     group; a missing gap keeps the group."""
     gap_us = int(round(gap_hours * 3_600_000_000))
-    d = df.where(F.col(start).isNotNull())
-    bucket = None
-    if bucket_seconds:
-        d = d.withColumn("__b", time_bucket(start, bucket_seconds))
-        bucket = "__b"
+    d, bucket = _bucketed(df.where(F.col(start).isNotNull()), id_col, start, tie_cols, bucket_seconds)
     d = ordered_scan(d, [id_col], [start, *tie_cols], bucket, lag={"__prev_end": end})
     d = d.withColumn("__new", F.coalesce(
         F.expr(f"timestampdiff(MICROSECOND, __prev_end, {start})") >= F.lit(gap_us), F.lit(False)).cast("int"))
@@ -56,12 +63,15 @@ def session_ids(df: DataFrame, id_col: str = "CPR_hash", start: str = "start", e
 
 
 def sessionize(df: DataFrame, id_col: str, start: str, end: str, gap_hours: float,
-               tie_cols: Sequence[str] = (), bucket_seconds: int = 86400, admit: F.Column | None = None,
+               tie_cols: Sequence[str] = (), bucket_seconds: int | str = "range", admit: F.Column | None = None,
                out: str = "group_id", counter_out: str = "trajectory") -> DataFrame:
     """W2 (+W1) in one bucketed pass: gap-session id per row and, when
     ``admit`` (0/1 column) is given, the running admission counter.
 
-    Inside each (id, day) bucket one sorted window gives the previous end,
+    ``bucket_seconds`` is a time-bucket width, or ``"range"`` (default) for
+    checkpointed range buckets of (id, start, ties) that also split a single
+    hot patient-day.
+    Inside each (id, bucket) one sorted window gives the previous end,
     the local running sum of new-session flags (the bucket's first row is
     settled later) and the local admission count.  A per-bucket summary --
     first start, last end, totals -- is aggregated from the windowed rows
@@ -71,7 +81,7 @@ def sessionize(df: DataFrame, id_col: str, start: str, end: str, gap_hours: floa
     gap_us = int(round(gap_hours * 3_600_000_000))
     pk = [id_col, "__b"]
     order = [F.col(start), *[F.col(c) for c in tie_cols]]
-    d = df.where(F.col(start).isNotNull()).withColumn("__b", time_bucket(start, bucket_seconds))
+    d, _ = _bucketed(df.where(F.col(start).isNotNull()), id_col, start, tie_cols, bucket_seconds)
     w = Window.partitionBy(*pk).orderBy(*order)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("__pe", F.lag(end).over(w))
@@ -105,7 +115,7 @@ def sessionize(df: DataFrame, id_col: str, start: str, end: str, gap_hours: floa
 def collapse_admissions(df: DataFrame, id_col: str = "CPR_hash", start: str = "start",
                         end: str = "end", label_col: str | None = "trajectory",
                         gap_hours: float = 1.0, tie_cols: Sequence[str] = (),
-                        bucket_seconds: int | None = 86400, keep_group_id: bool = False) -> DataFrame:
+                        bucket_seconds: int | str | None = "range", keep_group_id: bool = False) -> DataFrame:
     """Collapse stays into trajectories (K4): ``(id, start, end, trajectory,
     duration)`` with ``trajectory`` the string-sorted distinct labels joined
     by ``,`` (``1,10,2``), nulls ignored; ``duration`` is an interval."""
@@ -126,7 +136,7 @@ def collapse_admissions(df: DataFrame, id_col: str = "CPR_hash", start: str = "s
 
 def build_trajectories(adt: DataFrame, id_col: str = "CPR_hash", gap_hours: float = 1.0,
                        tie_cols: Sequence[str] = (), admit_value: str = "Indlæggelse",
-                       bucket_seconds: int = 86400, keep_group_id: bool = False) -> DataFrame:
+                       bucket_seconds: int | str = "range", keep_group_id: bool = False) -> DataFrame:
     """K3 + K4: admission counter and gap sessions in one bucketed pass
     (:func:`sessionize`), then the collapse aggregate (A7)."""
     stays = adt.select(id_col, F.col("Flyt_ind").alias("start"), F.col("Flyt_ud").alias("end"),
@@ -160,13 +170,9 @@ def number_trajectories(traj: DataFrame, id_col: str = "CPR_hash", group_col: st
 
 def overlap_with_next(df: DataFrame, id_col: str = "CPR_hash", start: str = "start", end: str = "end",
                       tie_cols: Sequence[str] = ("ServiceDate",), out: str = "overlap",
-                      bucket_seconds: int | None = 86400) -> DataFrame:
+                      bucket_seconds: int | str | None = "range") -> DataFrame:
     """``end > next.start`` in (start, ties) order; last row False."""
-    d = df
-    bucket = None
-    if bucket_seconds:
-        d = d.withColumn("__b", time_bucket(start, bucket_seconds))
-        bucket = "__b"
+    d, bucket = _bucketed(df, id_col, start, tie_cols, bucket_seconds)
     d = ordered_scan(d, [id_col], [start, *tie_cols], bucket, lead={"__next_start": start})
     return d.withColumn(out, F.coalesce(F.col(end) > F.col("__next_start"), F.lit(False))) \
             .drop("__next_start", "__b")
@@ -174,14 +180,10 @@ def overlap_with_next(df: DataFrame, id_col: str = "CPR_hash", start: str = "sta
 
 def fill_missing_end(df: DataFrame, id_col: str = "PID", start: str = "Flyt_ind", end: str = "Flyt_ud",
                      fallback_end: str | None = "end", tie_cols: Sequence[str] = (),
-                     bucket_seconds: int | None = 86400) -> DataFrame:
+                     bucket_seconds: int | str | None = "range") -> DataFrame:
     """Missing end <- next row's start (same id), else the fallback
     column (base end); rows still missing an end are dropped."""
-    d = df.where(F.col(start).isNotNull())
-    bucket = None
-    if bucket_seconds:
-        d = d.withColumn("__b", time_bucket(start, bucket_seconds))
-        bucket = "__b"
+    d, bucket = _bucketed(df.where(F.col(start).isNotNull()), id_col, start, tie_cols, bucket_seconds)
     d = ordered_scan(d, [id_col], [start, *tie_cols], bucket, lead={"__next": start})
     filled = F.coalesce(F.col(end), F.col("__next"), *( [F.col(fallback_end)] if fallback_end else []))
     return d.withColumn(end, filled).drop("__next", "__b").where(F.col(end).isNotNull())

@@ -19,7 +19,7 @@ def test_collapse_fixture(spark):
     stays = [(0, 2), (2.5, 5), (6, 7), (10, 20), (11, 12), (13.5, 14)]
     df = spark.createDataFrame([("p", h(a), h(b), None) for a, b in stays],
                                "CPR_hash string, start timestamp_ntz, end timestamp_ntz, trajectory long")
-    for bucket in (86400, 3600, None):
+    for bucket in ("range", 86400, 3600, None):
         out = collapse_admissions(df, gap_hours=1, bucket_seconds=bucket).orderBy("start").collect()
         assert [(r.start, r.end) for r in out] == [(h(0), h(5)), (h(6), h(7)), (h(10), h(20)), (h(13.5), h(14))]
 
