@@ -9,7 +9,9 @@ every trajectory, cut where ``bin_end >= end + 10 min``.  So the grid is a
 handful of segments computed once from the config, and every bin question is
 *arithmetic on the offset from start*: generating bins is one ``explode``
 (no join), and placing an event in its bin needs only the trajectory row of
-its PID -- never a join against the (large) bin table.
+its PID -- never a join against the (large) bin table.  Other configs fold
+their per-trajectory segments with ``aggregate()`` and answer the same
+questions by looking the offset up in that short array.
 """
 
 from __future__ import annotations
@@ -75,11 +77,60 @@ def _lit(v: int) -> str:
 
 
 class Grid:
-    """Column builders for one grid configuration."""
+    """Column builders for one grid configuration.
+
+    Non-decreasing bin sizes (every shipped config): constant segments, all
+    bin arithmetic is literal.  Otherwise (``general``) the segments depend
+    on each trajectory's end and are folded per row with ``aggregate()``
+    (:meth:`segments_sql`); bins are still generated and looked up without
+    a join.
+    """
 
     def __init__(self, bin_intervals: dict[str, str]):
         self.bin_intervals = dict(bin_intervals)
-        self.segments = [s for s in grid_segments(bin_intervals) if s.n_bins != 0]
+        try:
+            self.segments = [s for s in grid_segments(bin_intervals) if s.n_bins != 0]
+            self.general = False
+        except ValueError as e:
+            if "non-decreasing" not in str(e):
+                raise
+            self.segments = []
+            self.general = True
+        items = list(self.bin_intervals.items())
+        for i, (end, _) in enumerate(items):
+            if end == "end" and i != len(items) - 1:
+                raise ValueError("'end' must be the last interval")
+
+    # -- general (per-row) segments -----------------------------------------
+    def segments_sql(self, w: str) -> str:
+        """array<struct<s0,f,c0,n,lbl>> of the bins a window of length ``w``
+        gets: each interval's edges run from the previous interval's last
+        edge, strictly below min(interval end, window end)."""
+        cfg = ", ".join(
+            f"named_struct('ie', {'CAST(NULL AS BIGINT)' if end == 'end' else _lit(parse_duration_us(end))}, "
+            f"'f', {_lit(parse_duration_us(freq))}, 'lbl', '{freq}')"
+            for end, freq in self.bin_intervals.items())
+        lim = f"least(coalesce(s.ie, ({w})), ({w}))"
+        edges = f"(CASE WHEN {lim} > acc.cur THEN ({lim} - acc.cur + s.f - 1) div s.f ELSE CAST(0 AS BIGINT) END)"
+        n = f"greatest({edges} - 1, CAST(0 AS BIGINT))"
+        empty = "CAST(array() AS array<struct<s0:bigint,f:bigint,c0:bigint,n:bigint,lbl:string>>)"
+        return (f"aggregate(array({cfg}), named_struct('cur', CAST(0 AS BIGINT), 'cnt', CAST(1 AS BIGINT), 'out', {empty}), "
+                f"(acc, s) -> named_struct('cur', acc.cur + {n} * s.f, 'cnt', acc.cnt + {n}, "
+                f"'out', CASE WHEN {n} > 0 THEN concat(acc.out, array(named_struct('s0', acc.cur, 'f', s.f, "
+                f"'c0', acc.cnt, 'n', {n}, 'lbl', s.lbl))) ELSE acc.out END), acc -> acc.out)")
+
+    @staticmethod
+    def g_total(segs: str = "__segs") -> str:
+        return f"aggregate({segs}, CAST(0 AS BIGINT), (a, s) -> a + s.n)"
+
+    @staticmethod
+    def g_counter_of_offset(t: str, segs: str = "__segs") -> str:
+        seg = f"filter({segs}, s -> ({t}) >= s.s0 AND ({t}) < s.s0 + s.n * s.f)"
+        return f"(CASE WHEN size({seg}) > 0 THEN {seg}[0].c0 + (({t}) - {seg}[0].s0) div {seg}[0].f END)"
+
+    @staticmethod
+    def g_seg_of_counter(c: str, segs: str = "__segs") -> str:
+        return f"filter({segs}, s -> ({c}) >= s.c0 AND ({c}) < s.c0 + s.n)[0]"
 
     # -- counts ---------------------------------------------------------
     def n_bins_sql(self, w: str) -> str:
@@ -122,6 +173,16 @@ class Grid:
 
 
 def _bin_cols(grid: Grid, start: str, counter: str = "bin_counter") -> list[Column]:
+    if grid.general:
+        seg = grid.g_seg_of_counter(counter)
+        s_off = f"({seg}.s0 + (({counter}) - {seg}.c0) * {seg}.f)"
+        f = f"{seg}.f"
+        return [
+            F.expr(f"timestampadd(MICROSECOND, {s_off}, {start})").alias("bin_start"),
+            F.expr(f"timestampadd(MICROSECOND, {s_off} + {f}, {start})").alias("bin_end"),
+            F.col(counter).cast("int").alias("bin_counter"),
+            F.expr(f"{seg}.lbl").alias("bin_freq"),
+        ]
     s_off = grid.start_of_counter_sql(counter)
     f = grid.freq_of_counter_sql(counter)
     return [
@@ -140,7 +201,12 @@ def with_bin_total(base: DataFrame, grid: Grid, start: str = "start", end: str =
     exists (W8, mortality masking) -- no window needed, the count is known.
     """
     w = grid.window_us(start, end)
-    total = f"CASE WHEN {start} IS NULL OR {end} IS NULL OR ({w}) <= 0 THEN CAST(0 AS BIGINT) ELSE {grid.n_bins_sql(w)} END"
+    if grid.general:
+        base = base.withColumn("__segs", F.expr(f"CASE WHEN {start} IS NULL OR {end} IS NULL OR ({w}) <= 0 "
+                                                f"THEN NULL ELSE {grid.segments_sql(w)} END"))
+        total = f"coalesce({grid.g_total()}, CAST(0 AS BIGINT))"
+    else:
+        total = f"CASE WHEN {start} IS NULL OR {end} IS NULL OR ({w}) <= 0 THEN CAST(0 AS BIGINT) ELSE {grid.n_bins_sql(w)} END"
     df = base.withColumn(out, F.expr(total))
     if drop_last_col:
         df = df.withColumn(out, F.when(F.coalesce(F.col(drop_last_col), F.lit(False)) & (F.col(out) > 1),
@@ -156,7 +222,7 @@ def make_bins(base: DataFrame, bin_intervals: dict[str, str], id_col: str = "PID
     null or ``end + 10 min <= start``.
     """
     grid = Grid(bin_intervals)
-    df = with_bin_total(base.select(id_col, start, end, *( [drop_last_col] if drop_last_col else [])),
+    df = with_bin_total(base.select(id_col, start, end, *([drop_last_col] if drop_last_col else [])),
                         grid, start, end, drop_last_col)
     df = df.where(F.col("__nbins") >= 1) \
            .withColumn("bin_counter", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__nbins"))))
@@ -174,15 +240,21 @@ def assign_points(events: DataFrame, base: DataFrame, bin_intervals: dict[str, s
     ``closed`` an event on an edge lands in both adjacent bins.
     """
     grid = Grid(bin_intervals)
+    keep = [id_col, start, "__nbins"] + (["__segs"] if grid.general else [])
     b = with_bin_total(base.select(id_col, start, end, *([drop_last_col] if drop_last_col else [])),
-                       grid, start, end, drop_last_col).select(id_col, start, "__nbins")
+                       grid, start, end, drop_last_col).select(*keep)
     ev = events.join(b, on=id_col, how="inner")
     t = f"timestampdiff(MICROSECOND, {start}, {ts_col})"
-    c_here = grid.counter_of_offset_sql(t)
+    c_here = grid.g_counter_of_offset(t) if grid.general else grid.counter_of_offset_sql(t)
     if closed:
         tm = f"({t} - 1)"
-        c_prev = grid.counter_of_offset_sql(tm)
-        prev_end = f"{grid.start_of_counter_sql(c_prev)} + {grid.freq_of_counter_sql(c_prev)}"
+        if grid.general:
+            c_prev = grid.g_counter_of_offset(tm)
+            seg = grid.g_seg_of_counter(c_prev)
+            prev_end = f"({seg}.s0 + (({c_prev}) - {seg}.c0 + 1) * {seg}.f)"
+        else:
+            c_prev = grid.counter_of_offset_sql(tm)
+            prev_end = f"{grid.start_of_counter_sql(c_prev)} + {grid.freq_of_counter_sql(c_prev)}"
         cands = f"array_distinct(filter(array({c_here}, CASE WHEN {prev_end} = {t} THEN {c_prev} END), x -> x IS NOT NULL))"
         ev = ev.withColumn("bin_counter", F.explode(F.expr(cands)))
     else:
@@ -203,17 +275,29 @@ def expand_intervals(events: DataFrame, base: DataFrame, bin_intervals: dict[str
     the grid), produced by ``explode(sequence(lo, hi))`` -- no join with bins.
     """
     grid = Grid(bin_intervals)
-    b = with_bin_total(base.select(id_col, start, end), grid, start, end).select(id_col, start, "__nbins")
+    keep = [id_col, start, "__nbins"] + (["__segs"] if grid.general else [])
+    b = with_bin_total(base.select(id_col, start, end), grid, start, end).select(*keep)
     ev = events.join(b, on=id_col, how="inner")
     ts_off = f"timestampdiff(MICROSECOND, {start}, {ts_col})"
     te_off = f"timestampdiff(MICROSECOND, {start}, {end_ts_col})"
-    lo = f"CASE WHEN {ts_off} < 0 THEN CAST(1 AS BIGINT) ELSE {grid.counter_of_offset_sql(ts_off)} END"
-    hi = (f"CASE WHEN {te_off} >= 1 THEN "
-          f"least(__nbins, {grid.counter_of_offset_sql(f'({te_off} - 1)')}) END")
+    if grid.general:
+        last_end = f"aggregate(__segs, CAST(0 AS BIGINT), (a, s) -> greatest(a, s.s0 + s.n * s.f))"
+        lo = (f"CASE WHEN {ts_off} < 0 THEN CAST(1 AS BIGINT) WHEN {ts_off} >= {last_end} THEN __nbins + 1 "
+              f"ELSE {grid.g_counter_of_offset(ts_off)} END")
+        hi_c = f"least(__nbins, coalesce({grid.g_counter_of_offset(f'({te_off} - 1)')}, __nbins))"
+        hi = f"CASE WHEN {te_off} >= 1 THEN {hi_c} END"
+    else:
+        lo = f"CASE WHEN {ts_off} < 0 THEN CAST(1 AS BIGINT) ELSE {grid.counter_of_offset_sql(ts_off)} END"
+        hi = (f"CASE WHEN {te_off} >= 1 THEN "
+              f"least(__nbins, {grid.counter_of_offset_sql(f'({te_off} - 1)')}) END")
     ev = ev.withColumn("__lo", F.expr(lo)).withColumn("__hi", F.expr(hi))
     ev = ev.where(F.col("__lo") <= F.col("__hi"))
     ev = ev.withColumn("bin_counter", F.explode(F.sequence(F.col("__lo"), F.col("__hi"))))
-    s_off = grid.start_of_counter_sql("bin_counter")
+    if grid.general:
+        seg = grid.g_seg_of_counter("bin_counter")
+        s_off = f"({seg}.s0 + (bin_counter - {seg}.c0) * {seg}.f)"
+    else:
+        s_off = grid.start_of_counter_sql("bin_counter")
     ev = ev.withColumn(ts_col, F.expr(f"timestampadd(MICROSECOND, {s_off}, {start})"))
     keep = [c for c in events.columns if c != end_ts_col]
     return ev.select(*keep)

@@ -371,3 +371,43 @@ register("a4_bin_count", W(dt.SQL_ADT, SQL_BASE, SQL_WLONG, sql_bins()) + """
 SELECT w.PID, bn.bin_counter, w.FEATURE, CAST(count(w.VALUE) AS DOUBLE) AS VALUE FROM wlong w
 JOIN bins bn ON w.PID = bn.PID AND w."TIMESTAMP" >= bn.bin_start AND w."TIMESTAMP" < bn.bin_end
 GROUP BY w.PID, bn.bin_counter, w.FEATURE""")(a4_bin_count)
+
+
+# ---------------------------------------------------------------------------
+# G1 (general): a grid whose bin sizes shrink -- segments folded per trajectory
+# ---------------------------------------------------------------------------
+GENERAL_BINS = {"1h": "20min", "3h": "5min", "2D": "2h", "end": "1D"}
+
+
+def g1_general_grid_mean(spark: SparkSession, sf: str) -> DataFrame:
+    b = base(spark, sf)
+    out = map_concept(windowed_long(spark, sf, b), b, {"bin_intervals": GENERAL_BINS}, agg_func="mean")
+    return out.withColumn("VALUE", r6("VALUE"))
+
+
+def _sql_general_bins() -> str:
+    from ..operators.grid import parse_duration_us
+    rows = ", ".join(f"({i + 1}, {'NULL' if e == 'end' else parse_duration_us(e)}, {parse_duration_us(f)}, '{f}')"
+                     for i, (e, f) in enumerate(GENERAL_BINS.items()))
+    lim = "least(coalesce(c.ie, r.W), r.W)"
+    n = f"greatest(CASE WHEN {lim} > r.cur THEN ({lim} - r.cur + c.f - 1) // c.f ELSE 0 END - 1, 0)"
+    return f"""cfg(i, ie, f, lbl) AS (VALUES {rows}),
+bw AS (SELECT PID, start, date_diff('microsecond', start, "end") + 600000000 AS W FROM base
+       WHERE start IS NOT NULL AND "end" IS NOT NULL AND date_diff('microsecond', start, "end") + 600000000 > 0),
+rec AS (SELECT PID, start, W, 0 AS i, CAST(0 AS BIGINT) AS s0, CAST(0 AS BIGINT) AS f, CAST(1 AS BIGINT) AS c0,
+               CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS cur, CAST(1 AS BIGINT) AS cnt, '' AS lbl FROM bw
+        UNION ALL
+        SELECT r.PID, r.start, r.W, c.i, r.cur, c.f, r.cnt, {n}, r.cur + {n} * c.f, r.cnt + {n}, c.lbl
+        FROM rec r JOIN cfg c ON c.i = r.i + 1),
+bin_idx AS (SELECT PID, start, s0, f, c0, lbl, unnest(range(n)) AS k FROM rec WHERE n > 0),
+bins AS (SELECT PID, start + to_microseconds(s0 + k * f) AS bin_start, start + to_microseconds(s0 + (k + 1) * f) AS bin_end,
+                CAST(c0 + k AS INTEGER) AS bin_counter, lbl AS bin_freq FROM bin_idx)"""
+
+
+register("g1_general_grid_mean", "WITH RECURSIVE " + W(dt.SQL_ADT, SQL_BASE, SQL_WLONG, _sql_general_bins())[5:] + """,
+placed AS (SELECT w.PID, bn.bin_counter, w.FEATURE, w.VALUE FROM wlong w
+           JOIN bins bn ON w.PID = bn.PID AND w."TIMESTAMP" >= bn.bin_start AND w."TIMESTAMP" < bn.bin_end),
+agg AS (SELECT PID, bin_counter, FEATURE, avg(VALUE) AS VALUE FROM placed GROUP BY PID, bin_counter, FEATURE)
+SELECT bn.PID, bn.bin_start, bn.bin_end, bn.bin_counter, bn.bin_freq, a.FEATURE, round(a.VALUE, 6) AS VALUE
+FROM bins bn LEFT JOIN agg a ON bn.PID = a.PID AND bn.bin_counter = a.bin_counter
+WHERE NOT (a.FEATURE IS NOT NULL AND a.VALUE IS NULL)""")(g1_general_grid_mean)

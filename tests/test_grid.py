@@ -24,9 +24,19 @@ def test_segments_default():
                     (1435, 60, 102, 48), (4315, 360, 150, 44), (20155, 1440, 194, None)]
 
 
-def test_non_monotone_frequencies_rejected():
+def test_non_monotone_grid_is_folded_per_trajectory(spark):
+    cfg = {"1h": "20min", "3h": "5min", "end": "1h"}
     with pytest.raises(ValueError):
-        grid_segments({"3h": "1h", "6h": "5min", "end": "1D"})
+        grid_segments(cfg)  # no constant segments exist for this config
+    b = _base(spark, [(1, T0, T0 + dt.timedelta(minutes=61))])  # window 71 min
+    rows = make_bins(b, cfg).orderBy("bin_counter").collect()
+    # 0-20, 20-40 (edge 60 not below min(60, 71)); then 5-min bins from 40 to 70
+    assert [(r.bin_start.minute if r.bin_start.hour == 0 else 60 + r.bin_start.minute, r.bin_freq) for r in rows] == \
+        [(0, "20min"), (20, "20min")] + [(m, "5min") for m in range(40, 70, 5)]
+    ev = spark.createDataFrame([(1, T0 + dt.timedelta(minutes=42), "x", 1.0), (1, T0 + dt.timedelta(minutes=70), "x", 2.0)],
+                               "PID long, TIMESTAMP timestamp_ntz, FEATURE string, VALUE double")
+    assert sorted((r.VALUE, r.bin_counter) for r in assign_points(ev, b, cfg).collect()) == [(1.0, 3)]
+    assert sorted((r.VALUE, r.bin_counter) for r in assign_points(ev, b, cfg, closed=True).collect()) == [(1.0, 3), (2.0, 8)]
 
 
 @pytest.mark.parametrize("minutes,n,last", [(175, 35, (170, 175, "5min")), (176, 36, (175, 185, "10min"))])
