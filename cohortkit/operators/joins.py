@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 from .ordered import time_bucket
 
 
-def _c(x: str | Column) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast hint only behind a measured bound (one count job on a
     small, derived frame such as a vocabulary); above it the join stays a

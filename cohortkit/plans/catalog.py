@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG
-from ..operators.grid import Grid, make_bins
+from ..operators.grid import Grid
 from ..operators.joins import window_join
 from ..operators.trajectories import build_trajectories, number_trajectories
 from ..plans.binning import map_concept

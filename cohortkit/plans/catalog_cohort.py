@@ -12,7 +12,6 @@ from ..operators.joins import filter_by_time_window
 from ..operators.reshape import category_labels, multi_hot_transform, multi_hot_vocabulary
 from . import driver_tables as dt
 from .catalog import SQL_BASE, SQL_TRAJ, SQL_WLONG, base, r6, register, trajectories, windowed_long
-from .catalog_bins import EVENT_TYPES  # noqa: F401
 from .catalog_ops import _sql_classify
 from .cohort import add_case_knife_time, height_weight, match_population_to_trajectories
 from .comorbidity import CHARLSON, CHARLSON_ZERO, ELIX_ZERO, ELIXHAUSER, add_comorbidity, expand

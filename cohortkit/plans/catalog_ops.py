@@ -15,7 +15,7 @@ from ..operators.joins import (filter_by_time_window, lookback_join, match_traje
 from ..operators.ordered import dense_rank_global
 from ..operators.trajectories import admission_counter, fill_missing_end, overlap_with_next
 from . import driver_tables as dt
-from .catalog import GAP_HOURS, SQL_BASE, SQL_TRAJ, base, r6, register, trajectories
+from .catalog import SQL_BASE, SQL_TRAJ, base, r6, register, trajectories
 from .concepts import filter_labs
 
 W = dt.with_sql

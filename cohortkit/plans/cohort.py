@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions.numeric import numeric_or_null
 from ..functions.timefns import age_years, days_between, event_within_days, shift_where, ts_column
-from ..operators.aggregates import first_non_null_per_column
 from ..operators.filters import fill_window_from_date, prefix_filter
 from ..operators.joins import (anti_reappend, left_join_unique, lookback_join, match_trajectories,
                                nearest_in_time, pair_start_end, window_join)
