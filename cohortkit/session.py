@@ -37,8 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, honouring ``spark.checkpoint.dir``.
 
     On a cluster the folder must be shared storage named by the cluster in
-    ``spark.checkpoint.dir``; we only create a local one when nothing is set
-    (tests, local bench).
+    ``spark.checkpoint.dir`` (an error otherwise); only a ``local[...]``
+    session without a setting (tests, local bench) gets a temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store): "
+                               "stage outputs are checkpointed there")
         configured = tempfile.mkdtemp(prefix="cohortkit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
