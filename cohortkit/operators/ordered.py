@@ -113,14 +113,15 @@ def range_buckets(df: DataFrame, order: Sequence[str], n_buckets: int | None = N
     every use of the bucket id must read the stored assignment (which also
     survives executor loss).
     """
-    spark = df.sparkSession
-    n = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The range sample and the shuffle both read the input: keep it for the
-    # duration of the checkpoint so it is computed once (lost blocks are
-    # simply recomputed from lineage).
+    # Without an explicit count the range shuffle is sized by AQE from the
+    # data (advisory partition size); coalesced ranges stay contiguous, so
+    # the id is still monotone in ``order``.  The range sample and the
+    # shuffle both read the input: keep it for the duration of the
+    # checkpoint so it is computed once (lost blocks are recomputed).
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ranged = src.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id().cast("bigint"))
+        parts = src.repartitionByRange(n_buckets, *order) if n_buckets else src.repartitionByRange(*order)
+        ranged = parts.withColumn(name, F.spark_partition_id().cast("bigint"))
         return cut_lineage(ranged)
     finally:
         src.unpersist()
