@@ -68,7 +68,8 @@ def multi_hot_vocabulary(df: DataFrame, timestep_cols: Sequence[str], cat_col: s
 
     Returns ``(feature, value, idx)`` with ``idx`` the position in the
     concatenated category axis (features in ``feature_names`` order, values
-    sorted inside a feature).  The vocabulary is small (distinct values).
+    sorted inside a feature).  The vocabulary is small (distinct values) and
+    is materialised once, like a fitted model.
     """
     long = _melt(df, timestep_cols, cat_col, None)
     voc = long.select(F.col(cat_col).alias("feature"), "value").where(F.col("value").isNotNull()).distinct()
@@ -85,7 +86,9 @@ def multi_hot_vocabulary(df: DataFrame, timestep_cols: Sequence[str], cat_col: s
     voc = voc.join(counts.select("feature", "__off"), "feature")
     voc = voc.withColumn("idx", (F.col("__off") + F.dense_rank().over(
         Window.partitionBy("feature").orderBy("value")) - 1).cast("int"))
-    return voc.select("feature", "value", "idx")
+    # the fitted vocabulary is reused by transform and labels: store it once
+    from ..session import cut_lineage
+    return cut_lineage(voc.select("feature", "value", "idx"))
 
 
 def _melt(df: DataFrame, timestep_cols: Sequence[str], cat_col: str, sample_col: str | None) -> DataFrame:
