@@ -506,3 +506,21 @@ p AS (SELECT event_id, ADT_haendelse,
       FROM raw)
 SELECT event_id, CASE WHEN ADT_haendelse = 'Flyt Ind' THEN fi + INTERVAL 1 SECOND ELSE fi END AS Flyt_ind,
        fu AS Flyt_ud FROM p""")(k2_load_adt)
+
+
+# ---------------------------------------------------------------------------
+# Catalogue-driven in-hospital windowing of one raw table
+# ---------------------------------------------------------------------------
+def k17_window_labs(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.readers import load_catalogue
+    from .windowing import window_table
+    cat = load_catalogue(spark, configured=["Labsvar"]).where(F.col("filename") == "Labsvar").first()
+    b = base(spark, sf)
+    labs = dt.labs_raw(dt.read(spark, sf, "events"))
+    out = window_table(b, labs, cat.dt_colname, cat.ts_offset)
+    return out.select("event_id", "PID")
+
+
+register("k17_window_labs", W(dt.SQL_ADT, SQL_BASE, dt.SQL_LABS) + """
+SELECT DISTINCT l.event_id, b.PID FROM labs_raw l JOIN base b ON l.CPR_hash = b.CPR_hash
+ AND l."Prøvetagningstidspunkt" >= b.start AND l."Prøvetagningstidspunkt" <= b."end\"""")(k17_window_labs)
