@@ -524,3 +524,25 @@ def k17_window_labs(spark: SparkSession, sf: str) -> DataFrame:
 register("k17_window_labs", W(dt.SQL_ADT, SQL_BASE, dt.SQL_LABS) + """
 SELECT DISTINCT l.event_id, b.PID FROM labs_raw l JOIN base b ON l.CPR_hash = b.CPR_hash
  AND l."Prøvetagningstidspunkt" >= b.start AND l."Prøvetagningstidspunkt" <= b."end\"""")(k17_window_labs)
+
+
+# ---------------------------------------------------------------------------
+# Preoperative windowing (cutoff knife_time -> ServiceDate)
+# ---------------------------------------------------------------------------
+def k18_preoperative_labs(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.filters import preop_cutoff
+    from .windowing import window_table
+    b = base(spark, sf).withColumn("ServiceDate", F.col("start"))
+    long_stay = F.expr("timestampdiff(MICROSECOND, start, end) > 4 * 3600000000")
+    b = b.withColumn("knife_time", F.when(long_stay, F.col("start") + F.make_interval(hours=F.lit(2))))
+    b = b.withColumn("preop_cutoff", preop_cutoff(b))
+    out = window_table(b, dt.labs_raw(dt.read(spark, sf, "events")), "Prøvetagningstidspunkt", 0, "preop_cutoff")
+    return out.select("event_id", "PID")
+
+
+register("k18_preoperative_labs", W(dt.SQL_ADT, SQL_BASE, dt.SQL_LABS) + """,
+pb AS (SELECT PID, CPR_hash, start,
+              coalesce(CASE WHEN date_diff('microsecond', start, "end") > 4 * 3600000000 THEN start + INTERVAL 2 HOUR END,
+                       start) AS cutoff FROM base)
+SELECT DISTINCT l.event_id, b.PID FROM labs_raw l JOIN pb b ON l.CPR_hash = b.CPR_hash
+ AND l."Prøvetagningstidspunkt" >= b.start AND l."Prøvetagningstidspunkt" <= b.cutoff""")(k18_preoperative_labs)

@@ -49,4 +49,4 @@ def test_oracle_parity(spark, con, name):
 def test_every_query_has_oracle_or_is_composite():
     missing = set(entry.queries()) - set(entry.oracle_sql())
     assert missing <= {"k22_cohort", "m9_train_evaluate"}
-    assert len(entry.oracle_sql()) >= 59
+    assert len(entry.oracle_sql()) >= 60
