@@ -398,7 +398,7 @@ kb AS (SELECT b.PID, b.CPR_hash, b.start, b."end",
               CAST(floor(floor(date_diff('microsecond', p.DOB, b.start) / 86400000000.0) / 365.25) AS BIGINT) AS AGE,
               round(date_diff('microsecond', b.start, b."end") / 86400000000.0, 6) AS DURATION,
               CASE p.SEX_RAW WHEN 'Mand' THEN 'Male' WHEN 'Kvinde' THEN 'Female' ELSE p.SEX_RAW END AS SEX,
-              CASE WHEN date_diff('microsecond', b.start, p.DOD) <= 90 * 86400000000 THEN 1.0 ELSE 0.0 END AS DECEASED_90d
+              CASE WHEN date_diff('microsecond', b.start, p.DOD) <= 90 * 86400000000 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS DECEASED_90d
        FROM base b LEFT JOIN pinfo p ON b.CPR_hash = p.CPR_hash),
 lw AS (SELECT DISTINCT l.*, k.PID FROM labs_raw l JOIN kb k ON l.CPR_hash = k.CPR_hash
        AND l."Prøvetagningstidspunkt" >= k.start AND l."Prøvetagningstidspunkt" <= k."end"),

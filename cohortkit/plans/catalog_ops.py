@@ -217,8 +217,8 @@ win AS (SELECT CAST(o_custkey AS VARCHAR) AS CPR_hash, min(o_orderdate) AS start
         FROM orders GROUP BY 1)
 SELECT w.CPR_hash, round(date_diff('microsecond', start, "end") / 86400000000.0, 6) AS DURATION,
        CAST(floor(floor(date_diff('microsecond', DOB, start) / 86400000000.0) / 365.25) AS BIGINT) AS AGE,
-       CASE WHEN date_diff('microsecond', start, DOD) <= 30 * 86400000000 THEN 1.0 ELSE 0.0 END AS DECEASED_30d,
-       CASE WHEN date_diff('microsecond', start, DOD) <= 90 * 86400000000 THEN 1.0 ELSE 0.0 END AS DECEASED_90d,
+       CASE WHEN date_diff('microsecond', start, DOD) <= 30 * 86400000000 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS DECEASED_30d,
+       CASE WHEN date_diff('microsecond', start, DOD) <= 90 * 86400000000 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS DECEASED_90d,
        CASE SEX_RAW WHEN 'Mand' THEN 'Male' WHEN 'Kvinde' THEN 'Female' WHEN 'M' THEN 'Male' WHEN 'F' THEN 'Female'
                     WHEN 'K' THEN 'Female' ELSE SEX_RAW END AS SEX
 FROM win w JOIN pinfo p ON w.CPR_hash = p.CPR_hash""")(d4_d5_static)

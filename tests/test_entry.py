@@ -10,6 +10,8 @@ from cohortkit.plans.driver_tables import TABLES
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"m9_train_evaluate"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+         "boolean": "BOOLEAN"}
 
 
 def test_entry_smoke(spark):
@@ -39,6 +41,8 @@ def test_oracle_parity(spark, con, name):
     rel = con.sql(entry.oracle_sql()[name])
     o_rows = [dict(zip(rel.columns, r)) for r in rel.fetchall()]
     assert sorted(sdf.columns) == sorted(rel.columns)
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    assert spark_types == dict(zip(rel.columns, [str(t) for t in rel.types]))
     cols = sorted(sdf.columns)
 
     def key(rows):
