@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortkit.llm import quality_rules, url_filter
+from cohortkit.llm import decontaminate, packing, quality_rules, url_filter
 from cohortkit.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,38 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_rules", SQL_QUALITY)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+# The 10-word window, word class and case rule are the fixed values of the contract.
+SQL_DECONTAMINATE = r"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, list_slice(w, i, i + least(10, len(w)) - 1) AS g
+        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM win),
+occ AS (SELECT rid, k, i, list_slice(w, i, i + k - 1) AS g
+        FROM (SELECT rid, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM doc, sizes WHERE len(w) >= k)),
+hit AS (SELECT rid, occ.k, i, item_id FROM occ JOIN win ON occ.k = win.k AND occ.g = win.g),
+n AS (SELECT rid, count(DISTINCT i + o) AS n_hit
+      FROM (SELECT rid, i, unnest(range(0, k)) AS o FROM hit) GROUP BY rid),
+m AS (SELECT rid, count(DISTINCT item_id) AS n_items,
+             sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS h FROM hit GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
+"""
+
+
+@query("op2_decontaminate", SQL_DECONTAMINATE)
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.search(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"]))
