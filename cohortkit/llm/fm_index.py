@@ -14,7 +14,7 @@ STEP = 8
 
 
 def suffix_order(codes: np.ndarray) -> np.ndarray:
-    """Positions of the non-zero codes in suffix order (prefix doubling)."""
+    """Positions in suffix order (prefix doubling); the separators first, by position."""
     n = len(codes)
     pos = np.flatnonzero(codes)
     stops = np.append(np.flatnonzero(codes == 0), n)
@@ -30,7 +30,7 @@ def suffix_order(codes: np.ndarray) -> np.ndarray:
         rank[pos[order]] = new
         now = int(new[-1]) if len(new) else 0
         if now == len(pos) or now == groups:
-            return pos[order]
+            return np.concatenate((stops[:-1], pos[order]))
         k, groups = 2 * k, now
 
 
@@ -56,11 +56,11 @@ class FMIndex:
     """Index of one shard; all methods work on arrays of queries at once."""
 
     def __init__(self, codes: np.ndarray):
-        codes = np.asarray(codes, np.int64)
+        codes = np.append(np.asarray(codes, np.int64), 0)  # the last run ends too
         order = suffix_order(codes)
         self.n, top = len(order), int(codes.max(initial=0))
-        bwt = np.where(order > 0, codes[order - 1], 0) if self.n else np.empty(0, np.int64)
-        seen = np.bincount(codes[codes > 0], minlength=top + 2)
+        bwt = np.where(order > 0, codes[order - 1], 0)
+        seen = np.bincount(codes, minlength=top + 1)
         self.first = np.concatenate(([0], np.cumsum(seen)))  # rows whose suffix starts with a smaller code
         self.top = top
         self.levels, self.zeros = [], []
