@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortkit.llm import decontaminate, packing, quality_rules, secrets, url_filter
+from cohortkit.llm import decontaminate, near_dedup, packing, quality_rules, secrets, url_filter
 from cohortkit.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,28 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_secret_scan")
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+# Five words, 75 per cent, white space and case rule are the fixed values of the contract.
+SQL_NEAR_DEDUP = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 4)) AS g, list_slice(w, i, i + 4) AS x
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.x = b.x AND a.doc_id < b.doc_id
+          GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id
+          WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edge AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT id, b FROM reach JOIN edge ON r = a),
+comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN comp ON doc_id = id LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op1_near_dedup", SQL_NEAR_DEDUP)
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
