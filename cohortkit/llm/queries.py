@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortkit.llm import decontaminate, near_dedup, packing, quality_rules, secrets, url_filter
+from cohortkit.llm import decontaminate, near_dedup, packing, quality_rules, secrets, suffix_dedup, url_filter
 from cohortkit.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,8 @@ FROM d JOIN comp ON doc_id = id LEFT JOIN n USING (doc_id)
 @query("op1_near_dedup", SQL_NEAR_DEDUP)
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
