@@ -72,18 +72,26 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+SLICE = 256           # texts of a batch worked on at once
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         sets = list(shingle_sets(batch.column("text").to_pylist(), words))
-        full = [k for k, s in enumerate(sets) if len(s)]
-        tokens = minwise([sets[k] for k in full]) if full else np.empty((0, COORDS), np.uint32)
-        where = {k: i for i, k in enumerate(full)}
-        one = [int(sets[k].sum(dtype=np.uint64).view(np.int64)) if k in where else None for k in range(len(sets))]
-        two = [int(mix(sets[k]).sum(dtype=np.uint64).view(np.int64)) if k in where else None for k in range(len(sets))]
+        full = [s for s in sets if len(s)]
+        tokens = iter(minwise(full)) if full else iter(())
+        total = lambda x: int(x.sum(dtype=np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()),
-             pa.array(two, pa.int64()),
-             pa.array([tokens[where[k]].tobytes() if k in where else None for k in range(len(sets))], pa.binary())],
+            [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([total(s) if len(s) else None for s in sets], pa.int64()),
+             pa.array([total(mix(s)) if len(s) else None for s in sets], pa.int64()),
+             pa.array([next(tokens).tobytes() if len(s) else None for s in sets], pa.binary())],
             names=["id", "n", "one", "two", "tokens"])
 
 
@@ -99,7 +107,7 @@ def _child(node: np.ndarray, coord: np.ndarray, token: np.ndarray) -> np.ndarray
 
 def _roots(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens = np.array([np.frombuffer(x, np.uint32) for x in batch.column("tokens").to_pylist()], np.uint32)
+        tokens = _matrix(batch.column("tokens"), np.uint32)
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         for r in range(trees if len(ids) else 0):
             coord = np.full(len(ids), r * (COORDS // trees) if trees <= COORDS else r % COORDS)
@@ -109,8 +117,7 @@ def _roots(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordB
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens = np.array([np.frombuffer(x, np.uint32) for x in batch.column("tokens").to_pylist()],
-                          np.uint32).reshape(-1, COORDS)
+        tokens = _matrix(batch.column("tokens"), np.uint32)
         node = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         draw = mix(node + np.uint64(1))
@@ -155,60 +162,76 @@ def leaves(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, most: int
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pd.DataFrame]:
-    """Frames of the rows of each key of a stream sorted by it."""
-    held: list[pd.DataFrame] = []
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The stream, sorted by ``key``, cut so that no key's rows are in two tables."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        df = batch.to_pandas()
-        if not len(df):
+        if not batch.num_rows:
             continue
-        keys = df[key].to_numpy()
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        edges = [0, *cuts.tolist(), len(df)]
-        for a, b in zip(edges[:-1], edges[1:]):
-            if held and held[0][key].iat[0] != keys[a]:
-                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-                held = []
-            held.append(df.iloc[a:b])
+        keys = batch.column(key).to_numpy()
+        same = np.flatnonzero(keys != keys[-1])
+        cut = int(same[-1]) + 1 if len(same) else 0   # rows before the last key's
+        if held and (cut or held[-1].column(key)[-1].as_py() != keys[0]):
+            if held[-1].column(key)[-1].as_py() == keys[0]:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            else:
+                yield pa.Table.from_batches(held)
+                if cut:
+                    yield pa.Table.from_batches([batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
     if held:
-        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+        yield pa.Table.from_batches(held)
 
 
-def _offers(batches: Iterator[pa.RecordBatch], percent: int, across: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate links of the leaves: one or two per class, or all between components."""
-    us, vs = [], []
+def _matrix(column, kind=np.uint8) -> np.ndarray:
+    """Rows of COORDS numbers of a binary column."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, COORDS)
 
-    def out():
-        batch = pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-        us.clear()
-        vs.clear()
-        return batch
 
-    for group in _groups(batches, "node"):
-        if len(group) < 2 or (across and group["comp"].nunique() < 2):
-            continue
-        group = group.sort_values("id", kind="stable")
-        ids = group["id"].to_numpy()
-        bytes_ = np.frombuffer(b"".join(group["tokens"]), np.uint8).reshape(len(ids), COORDS)
-        n = group["n"].to_numpy()
-        comp = group["comp"].to_numpy() if across else None
-        for i in range(1, len(ids)):
-            near = np.flatnonzero((100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])) & (ids[:i] != ids[i]))
-            if across:
-                near = near[comp[near] != comp[i]]
-            if not len(near):
-                continue
-            share = (bytes_[near] == bytes_[i]).mean(axis=1)
-            if across:
-                pick = near[share >= SKETCH]
-            else:
-                pick = {int(near[k[0]]) for k in (np.flatnonzero(share >= STRONG), np.flatnonzero(share >= SKETCH)) if len(k)}
-            for j in pick:
-                us.append(ids[i])
-                vs.append(ids[j])
-        if len(us) > 50_000:
-            yield out()
-    yield out()
+PAIRS = 1 << 16       # pairs compared at once
+
+
+def _offers(batches: Iterator[pa.RecordBatch], percent: int, across: bool) -> Iterator[pa.RecordBatch]:
+    """Candidate links of the leaves (rows sorted by node and id): one or two per class, or all between components."""
+    for t in _whole_groups(batches, "node"):
+        node, ids, n = (t.column(c).to_numpy() for c in ("node", "id", "n"))
+        comp = t.column("comp").to_numpy() if across else None
+        data = _matrix(t.column("tokens"))
+        edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
+        start, size = edge[:-1], np.diff(edge)
+        for g in np.unique(size[size > 1]).tolist():
+            j, i = np.triu_indices(g, 1)
+            by = np.lexsort((j, i))
+            i, j = i[by], j[by]                       # later class, earlier class
+            groups = start[size == g]
+            many = max(1, PAIRS // len(i))
+            for at in range(0, len(groups), many):
+                base = groups[at:at + many, None]
+                for lo in range(0, len(i), PAIRS):    # one large group is compared in parts
+                    yield _similar((base + i[lo:lo + PAIRS]).ravel(), (base + j[lo:lo + PAIRS]).ravel(),
+                                   ids, n, data, comp, percent)
+
+
+def _similar(a, b, ids, n, data, comp, percent) -> pa.RecordBatch:
+    """Offers among the pairs (a, b), sorted by a and then b."""
+    use = (ids[a] != ids[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+    if comp is not None:
+        use &= comp[a] != comp[b]
+    a, b = a[use], b[use]
+    share = (data[a] == data[b]).mean(axis=1) if len(a) else np.empty(0)
+    near = share >= SKETCH
+    if comp is None:
+        keep = np.zeros(len(a), bool)
+        for level in (near, share >= STRONG):
+            at = np.flatnonzero(level)
+            keep[at[np.unique(a[at], return_index=True)[1]]] = True
+        near = keep
+    return pa.RecordBatch.from_arrays([pa.array(ids[a[near]]), pa.array(ids[b[near]])], names=["u", "v"])
 
 
 def _offered(rows: DataFrame, classes: DataFrame, percent: int, comp: DataFrame | None) -> DataFrame:
@@ -220,12 +243,12 @@ def _offered(rows: DataFrame, classes: DataFrame, percent: int, comp: DataFrame
         wide = wide.join(c, wide["id"] == c["__c"], "left").select(
             "node", "id", "n", "tokens", F.coalesce("component", "id").alias("comp"))
     parts, across = shuffle_parts(rows.sparkSession), comp is not None
-    return wide.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(
+    return wide.repartition(parts, "node").sortWithinPartitions("node", "id").mapInArrow(
         lambda it: _offers(it, percent, across), "u long, v long").distinct()
 
 
 def _text_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)],
                                           pa.binary())], names=["id", "shingles"])

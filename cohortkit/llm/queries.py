@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortkit.llm import classifier, decontaminate, near_dedup, packing, quality_rules, secrets, suffix_dedup, url_filter
+from cohortkit.llm import classifier, decontaminate, lm_score, near_dedup, packing, quality_rules, secrets, suffix_dedup, url_filter
 from cohortkit.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_classifier")
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op6_lm_score")
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as good; background: all documents."""
+    good = read_table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_score.score(read_table(spark, sf_dir, "documents"), good)

@@ -64,8 +64,8 @@ def _sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
         if c >= words:
             yield np.unique(whole[at:at + c - words + 1])
         elif c:
-            short = (mix(hashes[at:at + c] + np.arange(c, dtype=np.uint64)) * place[:c]).sum(dtype=np.uint64)
-            yield mix(np.array([short + np.uint64(c) * _STEP], np.uint64))
+            short = (mix(hashes[at:at + c] + np.arange(c, dtype=np.uint64)) * place[:c]).sum(dtype=np.uint64, keepdims=True)
+            yield mix(short + np.array([c], np.uint64) * _STEP)
         else:
             yield np.empty(0, np.uint64)
         at += c
