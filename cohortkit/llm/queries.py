@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortkit.llm import classifier, decontaminate, lm_score, near_dedup, packing, quality_rules, secrets, suffix_dedup, url_filter
-from cohortkit.llm.common import read_table
+from cohortkit.llm import classifier, decontaminate, lm_score, near_dedup, packing, quality_rules, secrets, suffix_dedup, token_counts, url_filter
+from cohortkit.llm.common import read_table, stage, stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -161,3 +161,15 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as good; background: all documents."""
     good = read_table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return lm_score.score(read_table(spark, sf_dir, "documents"), good)
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document counted, recounted by a second tokenizer version, exact copies deleted, one batch sent twice."""
+    docs = read_table(spark, sf_dir, "documents")
+    store = token_counts.TokenStore(spark, stage_path(spark, "token-counts"))
+    store.commit("1", docs, versions=["words-1"])
+    store.commit("2", docs, versions=["byte_bpe_50k"])
+    store.commit("3", deletes=stage(token_counts.exact_copies(docs), "copies"))
+    store.commit("2", docs, versions=["byte_bpe_50k"])
+    return store.totals()
