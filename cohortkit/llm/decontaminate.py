@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,14 +148,12 @@ def _search(batches: Iterator[pa.RecordBatch], block: Block, keep: list[str], ag
             names=[*keep, *(f.name for f in FOUND)])
 
 
-def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", window: int = WINDOW,
-           block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keep`` of every row, n_words, items (sorted ids, -1 for a null id) and spans (word [start, end) pairs)."""
+def _found(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """Columns ``keep`` as __0, __1, ..., and n_words, items and spans."""
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    kept = T.StructType([docs.schema[c] for c in keep])
     names = [f"__{i}" for i in range(len(keep))]  # columns of any name pass through
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("__text"))
     for k in range(blocks):
@@ -166,7 +165,14 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
         if k < blocks - 1:
             rows = stage(rows, "decontaminate")
             block.unpersist()
-    return rows.select(*[F.col(n).alias(c) for c, n in zip(kept.names, names)], "n_words", "items", "spans")
+    return rows
+
+
+def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", window: int = WINDOW,
+           block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``keep`` of every row, n_words, items (sorted ids, -1 for a null id) and spans (word [start, end) pairs)."""
+    rows = _found(docs, benchmark, keep, text_col, window, block_bytes)
+    return rows.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], "n_words", "items", "spans")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -194,17 +200,17 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length
            window: int = WINDOW) -> DataFrame:
     """All rows of ``docs``; benchmark passages are cut out of the texts that hold any."""
     columns = docs.columns
-    found = search(docs, benchmark, columns, text_col, window)
+    name = {c: f"__{i}" for i, c in enumerate(columns)}
+    found = _found(docs, benchmark, columns, text_col, window, BLOCK_BYTES)
 
     @F.pandas_udf("string")
-    def cut(text, spans):
-        import pandas as pd
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut_words(t, s) if t else t for t, s in zip(text, spans)], dtype=object)
 
     hit = F.size("spans") > 0
-    out = found.withColumn("__cut", F.when(hit, cut(F.when(hit, F.col(text_col)), F.when(hit, F.col("spans")).otherwise(
-        F.array().cast("array<array<bigint>>")))).otherwise(F.col(text_col)))
+    text = F.col(name[text_col])
+    out = found.withColumn("__cut", F.when(hit, cut(F.when(hit, text), F.col("spans"))).otherwise(text))
     return out.select(*[
         F.col("__cut").alias(c) if c == text_col
-        else F.when(hit, F.length("__cut")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == length_col
-        else F.col(c) for c in columns])
+        else F.when(hit, F.length("__cut")).otherwise(F.col(name[c])).cast(docs.schema[c].dataType).alias(c) if c == length_col
+        else F.col(name[c]).alias(c) for c in columns])

@@ -2,26 +2,60 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and read again as the next
-stage's ``docs``.  All but the last return the columns of ``documents``.
+stage's ``docs``.  All but the last return the columns of ``docs``:
+
+* quality: documents that the quality rules reject go;
+* near_dedup: of each group of near-duplicates the document with the smallest id stays;
+* decontaminate: benchmark passages are cut out of the texts;
+* secrets: secrets are replaced by a mask;
+* packing: the texts as token pieces in sequences of 1,024.
+
+``n_chars`` follows a changed text.  Extra columns stay up to the last stage;
+empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortkit.llm import quality_rules
+from cohortkit.llm import decontaminate, near_dedup, packing, quality_rules, secrets
 from cohortkit.llm.common import read_table, stage
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.keep_good(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.keep_one(docs)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the passages of the benchmark."""
+    return decontaminate.remove(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their secrets masked."""
+    return secrets.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their sequence and place."""
+    return packing.pack(docs)
+
+
 STAGES = [
-    ("quality", quality),
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
 ]
 
+# The stages' tokens, components and tagger have no SQL form: tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 

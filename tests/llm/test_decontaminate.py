@@ -77,8 +77,9 @@ def test_empty_tables_and_columns(spark):
     df = spark.createDataFrame([(*d, "clash", "clash", 1) for d in docs], DOCS)
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert dc.search(df.limit(0), bench, ["doc_id"]).count() == 0
-    none = dc.search(df, bench.limit(0), df.columns).toPandas()
+    none = dc.search(df, bench.limit(0), ["doc_id", "n_chars"]).toPandas()
     assert (none["n_words"] >= 0).all() and len(none) == len(docs)
+    assert dc.remove(df, bench).columns == df.columns
 
 
 def test_removal(spark):
