@@ -41,7 +41,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.llm.common import shuffle_parts, stage
-from cohortkit.llm.shingles import mix
 
 SPAN = 100
 SEED = 32
@@ -52,6 +51,8 @@ BROADCAST_KEYS = 1 << 22   # leading-byte hashes (8 bytes each) that may be broa
 BROADCAST_IDS = 1 << 20
 MAX_ID = (1 << 63) - 1
 
+CHUNK = 1 << 16        # bytes of text worked on at once; a longer text is a chunk of its own
+_SPREAD, _HIGH, _LOW = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF << 32), np.uint64(0xFFFFFFFF)
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, size=256, dtype=np.uint64)
 
 
@@ -66,47 +67,71 @@ def _powers() -> list[tuple[int, np.uint64]]:
 _POWERS = _powers()
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor places, their hashes, and first and last start of the windows of each; in text order."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Text number, anchor's place, its hash, first and last start of its windows; in text order.
+
+    All texts are worked on as one string; windows that reach over a text's end are left out.
+    """
+    raw = np.frombuffer(b"".join(texts), np.uint8)
     none = np.empty(0, np.int64)
     if len(raw) < SPAN:
-        return none, np.empty(0, np.uint64), none, none
+        return none, none, np.empty(0, np.uint64), none, none
     h = _BYTE[raw]
     for m, p in _POWERS:
         h = h[:-m] * p + h[m:]
-    h = mix(h)
-    width = SPAN - SEED + 1
-    low, at, m = h, np.arange(len(h), dtype=np.int32), 1
+    # hash above, place below: the least is the smallest hash, the leftmost one if several
+    low = ((h * _SPREAD) & _HIGH) | np.arange(len(h), dtype=np.uint64)
+    width, m = SPAN - SEED + 1, 1
     while m < width:
         k = min(m, width - m)
-        later = low[k:] < low[:-k]
-        low, at = np.where(later, low[k:], low[:-k]), np.where(later, at[k:], at[:-k])
+        low = np.minimum(low[:-k], low[k:])
         m += k
-    turn = np.flatnonzero(at[1:] != at[:-1])
-    first = np.concatenate(([0], turn + 1))
-    last = np.concatenate((turn, [len(at) - 1]))
-    place = at[first].astype(np.int64)
-    return place, h[place], first, last
+    at = (low & _LOW).astype(np.int64)
+    ends = np.cumsum([len(t) for t in texts])
+    begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    # a run of windows is cut where a text ends; its windows end at that text's last one
+    edges = np.unique(np.concatenate((begin, ends[ends < len(at)])))
+    doc = np.searchsorted(ends, edges, side="right")
+    last = np.minimum(np.concatenate((edges[1:], [len(at)])) - 1, ends[doc] - SPAN)
+    use = last >= edges
+    first, last, doc = edges[use], last[use], doc[use]
+    place, start = at[first], (ends - [len(t) for t in texts])[doc]
+    return doc, place - start, h[place], first - start, last - start
+
+
+def _chunks(texts: list[str | None], tags: list[list]) -> Iterator[tuple[list[bytes], list[list]]]:
+    """Texts of SPAN bytes and more, about CHUNK bytes at a time, with their entries of ``tags``."""
+    held, keep, size = [], [[] for _ in tags], 0
+    for k, t in enumerate(texts):
+        data = t.encode() if t is not None and len(t) * 4 >= SPAN else b""
+        if len(data) < SPAN:
+            continue
+        held.append(data)
+        for x, tag in zip(keep, tags):
+            x.append(tag[k])
+        size += len(data)
+        if size >= CHUNK:
+            yield held, keep
+            held, keep, size = [], [[] for _ in tags], 0
+    if held:
+        yield held, keep
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct anchor hashes of each text, and whether one repeats in it."""
     for batch in batches:
-        keys, tags, many = [], [], []
-        for text, tag in zip(batch.column("text"), batch.column("t1").to_pylist()):
-            t = text.as_py()
-            if t is None or len(t) * 4 < SPAN:
-                continue
-            _, key, _, _ = anchors(np.frombuffer(t.encode(), np.uint8))
-            if len(key):
-                key, n = np.unique(key, return_counts=True)
-                keys.append(key)
-                many.append(n > 1)
-                tags.append(np.full(len(key), tag, np.int64).astype(np.int32))
-        if keys:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(tags)),
-                 pa.array(np.concatenate(many).astype(np.int8))], names=["key", "tag", "many"])
+        out = []
+        for data, (t1,) in _chunks(batch.column("text").to_pylist(), [batch.column("t1").to_pylist()]):
+            doc, _, key, _, _ = anchors(data)
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+            n = np.diff(np.append(np.flatnonzero(new), len(new)))
+            out.append((key[new], np.array(t1, np.int64).astype(np.int32)[doc[new]], (n > 1).astype(np.int8)))
+        if out:
+            key, tag, many = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tag), pa.array(many)],
+                                             names=["key", "tag", "many"])
 
 
 CONTEXT = "key long, c1 long, c2 long, ctx binary, lead int, id long, t1 long, place long, run int"
@@ -116,26 +141,24 @@ def _contexts(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> I
     """Contexts of the anchors whose hash is wanted (sorted array, or the row's own list)."""
     for batch in batches:
         cols = [[] for _ in range(9)]
-        ids, t1s = batch.column("id").to_pylist(), batch.column("t1").to_pylist()
-        for k, text in enumerate(batch.column("text")):
-            t = text.as_py()
-            if t is None or len(t) * 4 < SPAN:
+        tags = [batch.column(c).to_pylist() for c in (["id", "t1"] if wanted is not None else ["id", "t1", "keys"])]
+        for data, (ids, t1s, *lists) in _chunks(batch.column("text").to_pylist(), tags):
+            doc, place, key, first, last = anchors(data)
+            if wanted is None:
+                own = [np.array(x, np.int64).view(np.uint64) for x in lists[0]]
+                use = np.concatenate([np.isin(key[doc == k], x) for k, x in enumerate(own)])
+            elif len(wanted):
+                use = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+            else:
                 continue
-            data = t.encode()
-            place, key, first, last = anchors(np.frombuffer(data, np.uint8))
-            keys = wanted if wanted is not None else np.sort(
-                np.array(batch.column("keys")[k].as_py(), np.int64).view(np.uint64))
-            if not len(place) or not len(keys):
-                continue
-            use = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
-            for p, h, a, b in zip(place[use].tolist(), key[use].view(np.int64).tolist(), first[use].tolist(),
-                                  last[use].tolist()):
-                ctx = data[a:b + SPAN]
+            for k, p, h, a, b in zip(doc[use].tolist(), place[use].tolist(), key[use].view(np.int64).tolist(),
+                                     first[use].tolist(), last[use].tolist()):
+                ctx = data[k][a:b + SPAN]
                 name = xxhash.xxh3_128_digest(ctx, seed=p - a)
                 for c, v in zip(cols, (h, int.from_bytes(name[:8], "little", signed=True),
                                        int.from_bytes(name[8:], "little", signed=True), ctx, p - a, ids[k], t1s[k], p, b - a)):
                     c.append(v)
-            if len(cols[0]) > 50_000:
+            if len(cols[0]) > 20_000:
                 yield _context_batch(cols)
                 cols = [[] for _ in range(9)]
         yield _context_batch(cols)
@@ -284,7 +307,7 @@ def _context_rows(texts: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
         for batch in batches:
             for k, text in enumerate(batch.column("text")):
                 t = text.as_py()
-                key = np.unique(anchors(np.frombuffer((t or "").encode(), np.uint8))[1]).view(np.int64)
+                key = np.unique(anchors([(t or "").encode()])[2]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array([batch.column("id")[k].as_py()] * len(key), pa.int64()),
                      pa.array([batch.column("t1")[k].as_py()] * len(key), pa.int64())], names=["key", "id", "t1"])
@@ -298,14 +321,10 @@ def _context_rows(texts: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
     return rows.mapInArrow(lambda it: _contexts(it, None), CONTEXT)
 
 
-def _lead_key(ctx: bytes, lead: int) -> bytes:
-    return ctx[lead:lead + SEED]
-
-
 def repeats(texts: DataFrame, broadcast_keys: int = BROADCAST_KEYS, hot: int = HOT) -> DataFrame:
     """(id, t1, lo, hi) byte ranges that are repeats, of texts (id, t1, text)."""
     spark = texts.sparkSession
-    found = _context_rows(texts, _shared_keys(texts), broadcast_keys)
+    found = stage(_context_rows(texts, _shared_keys(texts), broadcast_keys), "anchors")
     order = ["id", "t1", "place"]
     distinct = stage(found.groupBy("c1", "c2").agg(
         F.min(F.struct(*order)).alias("f"), F.first("ctx").alias("ctx"), F.first("lead").alias("lead"),

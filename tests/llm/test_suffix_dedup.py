@@ -79,7 +79,8 @@ def test_equal_windows_have_equal_anchors():
     piece = "".join(rnd.choice("abc ") for _ in range(150))
     found = []
     for lead in ("", "zzz", "qwertz" * 20):
-        place, _, first, last = sd.anchors(np.frombuffer((lead + piece + lead).encode(), np.uint8))
-        of = {s: p for p, a, b in zip(place, first, last) for s in range(a, b + 1)}
+        doc, place, _, first, last = sd.anchors([b"short", lead.encode() * 3, (lead + piece + lead).encode(), b"x" * 120])
+        of = {s: p for d, p, a, b in zip(doc, place, first, last) for s in range(a, b + 1) if d == 2}
+        assert sorted(of) == list(range(len(lead + piece + lead) - 99))
         found.append([of[len(lead) + i] - len(lead) - i for i in range(51)])
     assert found[0] == found[1] == found[2]
