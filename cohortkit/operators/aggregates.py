@@ -5,6 +5,7 @@ total order ``(TIMESTAMP, VALUE)`` so they are deterministic and combinable.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -79,18 +80,29 @@ def numeric_wide(long: DataFrame, concept: str, agg_funcs: Sequence[str] = WIDE_
     aggs = [a for a in agg_funcs if a in WIDE_NUMERIC_AGGS]
     d = long.withColumn("__v", numeric_column(long, "VALUE")).where(F.col("__v").isNotNull())
     if features is None:
-        features = sorted(r[0] for r in d.select("FEATURE").distinct().collect() if r[0] is not None)
+        features = _pivot_list(d, "FEATURE")
     order = F.struct(F.col(ts_col), F.col("__v"))
     exprs = [_numeric_agg(a, F.col("__v"), order).cast("double").alias(a) for a in aggs]
     p = d.groupBy(id_col).pivot("FEATURE", list(features)).agg(*exprs)
-    names = []
-    for f in features:
-        for a in aggs:
-            src = f"{f}_{a}" if len(aggs) > 1 else f
-            dst = f"{f}_{concept}_{a}"
-            p = p.withColumnRenamed(src, dst)
-            names.append(dst)
-    return p.fillna(0.0, subset=names), names
+    names = {f"{f}_{a}" if len(aggs) > 1 else f: f"{f}_{concept}_{a}" for f in features for a in aggs}
+    return p.select(id_col, *[F.coalesce(F.col(_quoted(src)), F.lit(0.0)).alias(dst) for src, dst in names.items()]), \
+        list(names.values())
+
+
+def _quoted(name: str) -> str:
+    """A column name that may hold dots and back-ticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+MAX_PIVOT = 10_000  # columns of a derived pivot list; more raise, so nothing is left out unseen
+
+
+def _pivot_list(df: DataFrame, col: str) -> list[str]:
+    """Sorted distinct values for a pivot that was given no list."""
+    found = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_PIVOT + 1).collect()]
+    if len(found) > MAX_PIVOT:
+        raise ValueError(f"{col} has over {MAX_PIVOT} values: keep the long form or give the list of columns")
+    return sorted(found)
 
 
 def clean_name(v: str) -> str:
@@ -105,12 +117,15 @@ def categorical_wide(long: DataFrame, concept: str, values: Sequence[str] | None
     the given / count column lists."""
     d = long.where(F.col("VALUE").isNotNull()).withColumn("VALUE", F.col("VALUE").cast("string"))
     if values is None:
-        values = sorted(r[0] for r in d.select("VALUE").distinct().collect())
+        values = _pivot_list(d, "VALUE")
+    clash = [k for k, n in Counter(clean_name(v) for v in values).items() if n > 1]
+    if clash:
+        raise ValueError(f"values of {concept} share the column names {', '.join(sorted(clash))}")
     p = d.groupBy(id_col).pivot("VALUE", list(values)).agg(F.count(F.lit(1)).cast("bigint"))
     given, count = [], []
     sel = [F.col(id_col)]
     for v in values:
-        c = F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("bigint")
+        c = F.coalesce(F.col(_quoted(v)), F.lit(0)).cast("bigint")
         g = f"{clean_name(v)}_{concept}_given"
         n = f"{clean_name(v)}_{concept}_count"
         sel += [(c > 0).cast("bigint").alias(g), c.alias(n)]

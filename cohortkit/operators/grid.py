@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timefns import micros_sql
 US = {"s": 1_000_000, "min": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 
 # Fixed value: the window end is the trajectory end plus ten minutes.
@@ -169,7 +170,7 @@ class Grid:
     # -- column helpers -------------------------------------------------
     @staticmethod
     def window_us(start: str = "start", end: str = "end") -> str:
-        return (f"timestampdiff(MICROSECOND, {start}, {end}) + {_lit(WINDOW_SLACK_US)}")
+        return f"{micros_sql(start, end)} + {_lit(WINDOW_SLACK_US)}"
 
 
 def _bin_cols(grid: Grid, start: str, counter: str = "bin_counter") -> list[Column]:
@@ -244,7 +245,7 @@ def assign_points(events: DataFrame, base: DataFrame, bin_intervals: dict[str, s
     b = with_bin_total(base.select(id_col, start, end, *([drop_last_col] if drop_last_col else [])),
                        grid, start, end, drop_last_col).select(*keep)
     ev = events.join(b, on=id_col, how="inner")
-    t = f"timestampdiff(MICROSECOND, {start}, {ts_col})"
+    t = micros_sql(start, ts_col)
     c_here = grid.g_counter_of_offset(t) if grid.general else grid.counter_of_offset_sql(t)
     if closed:
         tm = f"({t} - 1)"
@@ -278,8 +279,8 @@ def expand_intervals(events: DataFrame, base: DataFrame, bin_intervals: dict[str
     keep = [id_col, start, "__nbins"] + (["__segs"] if grid.general else [])
     b = with_bin_total(base.select(id_col, start, end), grid, start, end).select(*keep)
     ev = events.join(b, on=id_col, how="inner")
-    ts_off = f"timestampdiff(MICROSECOND, {start}, {ts_col})"
-    te_off = f"timestampdiff(MICROSECOND, {start}, {end_ts_col})"
+    ts_off = micros_sql(start, ts_col)
+    te_off = micros_sql(start, end_ts_col)
     if grid.general:
         last_end = f"aggregate(__segs, CAST(0 AS BIGINT), (a, s) -> greatest(a, s.s0 + s.n * s.f))"
         lo = (f"CASE WHEN {ts_off} < 0 THEN CAST(1 AS BIGINT) WHEN {ts_off} >= {last_end} THEN __nbins + 1 "

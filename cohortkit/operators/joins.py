@@ -15,16 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timefns import micros_sql
 from .ordered import time_bucket
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only behind a measured bound (one count job on a
-    small, derived frame such as a vocabulary); above it the join stays a
-    shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def semi_join_ids(df: DataFrame, ids: DataFrame, key: str | Sequence[str] = "CPR_hash") -> DataFrame:
     """Keep rows whose id is in the cohort (left semi join).
 
@@ -113,7 +107,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, id_col: str, left_ts: str
                .withColumn("__b", time_bucket(left_ts, width)) \
                .withColumn("__lts", F.col(left_ts))
     cand = lsel.join(r, on=[id_col, "__b"], how="inner")
-    diff = F.abs(F.expr(f"timestampdiff(MICROSECOND, __lts, {right_ts})"))
+    diff = F.abs(F.expr(micros_sql("__lts", right_ts)))
     cand = cand.where(diff <= F.lit(tolerance_seconds * 1_000_000))
     order = F.struct(diff.alias("d"), F.col(right_ts).alias("t"), *[F.col(c) for c in tie_cols])
     best = cand.groupBy(*left_keys).agg(F.min_by(F.struct(*[F.col(c) for c in right_cols]), order).alias("__best"))
@@ -160,4 +154,4 @@ def pair_start_end(cases: DataFrame, case_col: str = "Case_ID", type_col: str =
     ends = cases.where(F.col(type_col) == end_type).select(case_col, F.col(ts_col).alias("knife_time_end"))
     out = starts.join(ends, on=case_col, how="left")
     return out.withColumn("elapsed_knife_time_minutes",
-                          F.expr("timestampdiff(MICROSECOND, knife_time, knife_time_end)") / F.lit(60_000_000.0))
+                          F.expr(micros_sql("knife_time", "knife_time_end")) / F.lit(60_000_000.0))

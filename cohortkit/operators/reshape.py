@@ -18,17 +18,23 @@ def explode_values(df: DataFrame, col: str = "VALUE") -> DataFrame:
     return df
 
 
-def numbered_pivot(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-                   max_n: int | None = None) -> DataFrame:
-    """Rows of a group numbered 1..n in ``order``; each of ``cols``
-    spread to ``{col}_{n}`` (first non-null).  The group is numbered by
-    ``row_number`` (groups are procedures per trajectory: bounded).  The
-    width ``max_n`` is derived by one aggregate when not given."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
-    numbered = df.withColumn("__n", F.row_number().over(w))
-    if max_n is None:
-        max_n = numbered.agg(F.max("__n")).first()[0] or 0
-    values = list(range(1, max_n + 1))
+def numbered_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "n") -> DataFrame:
+    """R1/R2 long form: the rows of a group numbered 1..n in ``order``.
+
+    Numbered over range buckets of (keys, order), so a hot group is split
+    over many tasks like every ordered scan."""
+    from .ordered import ordered_scan, range_buckets
+    ranged = range_buckets(df.withColumn("__one", F.lit(1)), [*keys, *order])
+    return ordered_scan(ranged, list(keys), list(order), "__rb", cumsum={out: "__one"}).drop("__rb", "__one")
+
+
+def numbered_pivot(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """R1/R2 wide form: each of ``cols`` of :func:`numbered_rows` spread to
+    ``{col}_{n}`` (first non-null); as wide as the largest group, no row is
+    left out."""
+    numbered = numbered_rows(df, keys, order, "__n")
+    widest = numbered.agg(F.max("__n")).first()[0] or 0
+    values = list(range(1, widest + 1))
     aggs = [F.first(F.col(c), ignorenulls=True).alias(c) for c in cols]
     p = numbered.groupBy(*keys).pivot("__n", values).agg(*aggs)
     for n in values:
@@ -108,9 +114,7 @@ def multi_hot_transform(df: DataFrame, vocabulary: DataFrame, sample_col: str, t
     """R8 (sparse form): distinct ``(sample, idx, timestep)`` ones; unknown
     values are ignored; absent samples simply have no rows."""
     long = _melt(df, timestep_cols, cat_col, sample_col).where(F.col("value").isNotNull())
-    from .joins import broadcast_if_small
-    voc = broadcast_if_small(vocabulary.withColumnRenamed("feature", cat_col))
-    j = long.join(voc, on=[cat_col, "value"], how="inner")
+    j = long.join(vocabulary.withColumnRenamed("feature", cat_col), on=[cat_col, "value"], how="inner")
     return j.select(sample_col, "idx", "timestep").distinct()
 
 

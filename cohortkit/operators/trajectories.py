@@ -14,6 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timefns import micros_sql
 from .ordered import ordered_scan, range_buckets, time_bucket
 
 
@@ -57,7 +58,7 @@ def session_ids(df: DataFrame, id_col: str = "CPR_hash", start: str = "start", e
     d, bucket = _bucketed(df.where(F.col(start).isNotNull()), id_col, start, tie_cols, bucket_seconds)
     d = ordered_scan(d, [id_col], [start, *tie_cols], bucket, lag={"__prev_end": end})
     d = d.withColumn("__new", F.coalesce(
-        F.expr(f"timestampdiff(MICROSECOND, __prev_end, {start})") >= F.lit(gap_us), F.lit(False)).cast("int"))
+        F.expr(micros_sql("__prev_end", start)) >= F.lit(gap_us), F.lit(False)).cast("int"))
     d = ordered_scan(d, [id_col], [start, *tie_cols], bucket, cumsum={out: "__new"})
     return d.withColumn(out, F.col(out).cast("bigint")).drop("__prev_end", "__new", "__b")
 

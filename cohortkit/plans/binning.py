@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import attach_to_bins, bin_aggregate
 from ..operators.grid import assign_points, expand_intervals, make_bins
 from ..operators.reshape import explode_values
+from ..session import cut_lineage
+from ..sources.sinks import binned_exists, write_binned
+from .concepts import NORMALISERS, collect_filter
 
 BIN_COLS = ["PID", "bin_start", "bin_end", "bin_counter", "bin_freq", "FEATURE", "VALUE"]
 
@@ -25,38 +28,66 @@ def map_concept(long: DataFrame, base: DataFrame, cfg: dict, agg_func: str = "me
     one ``groupBy`` aggregates; one equi-join on (PID, bin_counter) attaches
     the aggregates to all bins (A10).  No per-patient or per-feature loop.
     """
+    placed = place_concept(long, base, cfg, is_multi_label, closed, drop_last_col)
+    grid = bins if bins is not None else make_bins(_windows(base, drop_last_col), cfg["bin_intervals"],
+                                                   drop_last_col=drop_last_col)
+    return attach_to_bins(grid, bin_aggregate(placed, agg_func, is_categorical, is_multi_label)).select(*BIN_COLS)
+
+
+def _windows(base: DataFrame, drop_last_col: str | None) -> DataFrame:
+    return base.select("PID", "start", "end", *([drop_last_col] if drop_last_col else []))
+
+
+def place_concept(long: DataFrame, base: DataFrame, cfg: dict, is_multi_label: bool = False, closed: bool = False,
+                  drop_last_col: str | None = None) -> DataFrame:
+    """The concept's events with the bin that holds each; shared by all its aggregates."""
     intervals = cfg["bin_intervals"]
-    b = base.select("PID", "start", "end", *([drop_last_col] if drop_last_col else []))
+    b = _windows(base, drop_last_col)
     long = long.where(F.col("PID").isNotNull())
     if "END_TIMESTAMP" in long.columns:
         long = expand_intervals(long, b, intervals)
     if is_multi_label:
         long = explode_values(long, "VALUE")
-    placed = assign_points(long.select("PID", "TIMESTAMP", "FEATURE", "VALUE"), b, intervals,
-                           closed=closed, drop_last_col=drop_last_col)
-    agg = bin_aggregate(placed, agg_func, is_categorical, is_multi_label)
-    grid = bins if bins is not None else make_bins(b, intervals, drop_last_col=drop_last_col)
-    return attach_to_bins(grid, agg).select(*BIN_COLS)
+    return assign_points(long.select("PID", "TIMESTAMP", "FEATURE", "VALUE"), b, intervals,
+                         closed=closed, drop_last_col=drop_last_col)
+
+
+def normalise(concept: str, df: DataFrame, cfg: dict) -> DataFrame:
+    """The registry's normaliser of ``concept``; a table that is in the long
+    model already (FEATURE, VALUE, TIMESTAMP) and a concept without a
+    normaliser pass through."""
+    if concept not in NORMALISERS or {"FEATURE", "VALUE", "TIMESTAMP"} <= set(df.columns):
+        return df
+    return df.transform(collect_filter(concept, **cfg.get("normaliser_settings", {}).get(concept, {})))
 
 
 def map_concepts(concepts: dict[str, DataFrame], base: DataFrame, cfg: dict, out_root: str | None = None,
                  reset: bool = False) -> dict[tuple[str, str], DataFrame]:
-    """Every configured (concept, agg) pair; with ``out_root`` each
-    result is stored partitioned by ``concept``/``agg_func`` (S8) and pairs
-    already stored are skipped unless ``reset``."""
-    from ..sources.sinks import binned_exists, write_binned
-    results = {}
+    """Every configured (concept, agg) pair, from raw or long tables.
+
+    A concept is normalised and placed in its bins once, for all its
+    aggregates.  With ``out_root`` each result is stored partitioned by
+    ``concept``/``agg_func`` (S8); pairs that are stored already are read
+    back instead of computed, unless ``reset``.  Stored results come back
+    with VALUE as text, as every stored concept has it."""
+    spark, results = base.sparkSession, {}
     cat = set(cfg.get("dataset", {}).get("ts_cat_names", []))
     multi = set(cfg.get("dataset", {}).get("ts_categorical_multi_label", []))
     grid = make_bins(base, cfg["bin_intervals"])
     for concept, aggs in cfg["agg_func"].items():
         if concept not in concepts:
             raise KeyError(f"concept {concept!r} has no input table")
+        stored = {agg: bool(out_root) and not reset and binned_exists(spark, out_root, concept, agg) for agg in aggs}
+        placed = None
+        if not all(stored.values()):
+            placed = cut_lineage(place_concept(normalise(concept, concepts[concept], cfg), base, cfg, concept in multi))
         for agg in aggs:
-            if out_root and not reset and binned_exists(base.sparkSession, out_root, concept, agg):
-                continue
-            df = map_concept(concepts[concept], base, cfg, agg, concept in cat, concept in multi, bins=grid)
+            if not stored[agg]:
+                df = attach_to_bins(grid, bin_aggregate(placed, agg, concept in cat, concept in multi)).select(*BIN_COLS)
+                if out_root:
+                    write_binned(df, out_root, concept, agg)
+                else:
+                    results[(concept, agg)] = df
             if out_root:
-                write_binned(df, out_root, concept, agg)
-            results[(concept, agg)] = df
+                results[(concept, agg)] = spark.read.parquet(f"{out_root}/concept={concept}/agg_func={agg}").select(*BIN_COLS)
     return results

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG
-from ..operators.grid import Grid
 from ..operators.joins import window_join
 from ..operators.trajectories import build_trajectories, number_trajectories
 from ..plans.binning import map_concept
@@ -106,26 +105,28 @@ SQL_WLONG = """wlong AS (
 
 
 def sql_bins(intervals: dict = BINS, base_name: str = "base") -> str:
-    """Oracle bin grid: per trajectory and segment, the bins whose end lies
-    strictly before end + 10 min, generated with range()."""
-    g = Grid(intervals)
-    rows = ", ".join(
-        f"({s.start_us}, {s.freq_us}, {s.first_counter}, {'NULL' if s.n_bins is None else s.n_bins}, '{s.label}')"
-        for s in g.segments)
-    return f"""segs(s0, f, c0, nb, lbl) AS (VALUES {rows}),
-seg_counts AS (
-  SELECT b.PID, b.start, s.*,
-         CASE WHEN date_diff('microsecond', b.start, b."end") + 600000000 - s0 - 1 < 0 THEN 0
-              ELSE least(coalesce(nb, 9223372036854775807),
-                         (date_diff('microsecond', b.start, b."end") + 600000000 - s0 - 1) // f) END AS k
-  FROM {base_name} b CROSS JOIN segs s
-  WHERE b.start IS NOT NULL AND b."end" IS NOT NULL),
-bin_idx AS (SELECT PID, start, s0, f, c0, lbl, unnest(range(k)) AS i FROM seg_counts WHERE k > 0),
-bins AS (
-  SELECT PID, start + to_microseconds(s0 + i * f) AS bin_start,
-         start + to_microseconds(s0 + (i + 1) * f) AS bin_end,
-         CAST(c0 + i AS INTEGER) AS bin_counter, lbl AS bin_freq
-  FROM bin_idx)"""
+    """Oracle bin grid, derived by recursion from the configured texts: the
+    edges of an interval run from the previous interval's last edge,
+    strictly below its end and below end + 10 min."""
+    rows = ", ".join(f"({i + 1}, '{e}', '{f}')" for i, (e, f) in enumerate(intervals.items()))
+
+    def micros(c):
+        return (f"CAST(regexp_extract({c}, '[0-9]+') AS BIGINT) * CASE WHEN {c} LIKE '%min' THEN 60000000 "
+                f"WHEN {c} LIKE '%h' THEN 3600000000 ELSE 86400000000 END")
+    lim = "least(coalesce(c.ie, r.W), r.W)"
+    n = f"greatest(CASE WHEN {lim} > r.cur THEN ({lim} - r.cur + c.f - 1) // c.f ELSE 0 END - 1, 0)"
+    return f"""cfg(i, e, lbl) AS (VALUES {rows}),
+spans AS (SELECT i, lbl, CASE WHEN e <> 'end' THEN {micros('e')} END AS ie, {micros('lbl')} AS f FROM cfg),
+bw AS (SELECT PID, start, date_diff('microsecond', start, "end") + 600000000 AS W FROM {base_name}
+       WHERE start IS NOT NULL AND "end" IS NOT NULL AND date_diff('microsecond', start, "end") + 600000000 > 0),
+rec AS (SELECT PID, start, W, 0 AS i, CAST(0 AS BIGINT) AS s0, CAST(0 AS BIGINT) AS f, CAST(1 AS BIGINT) AS c0,
+               CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS cur, CAST(1 AS BIGINT) AS cnt, '' AS lbl FROM bw
+        UNION ALL
+        SELECT r.PID, r.start, r.W, c.i, r.cur, c.f, r.cnt, {n}, r.cur + {n} * c.f, r.cnt + {n}, c.lbl
+        FROM rec r JOIN spans c ON c.i = r.i + 1),
+bin_idx AS (SELECT PID, start, s0, f, c0, lbl, unnest(range(n)) AS k FROM rec WHERE n > 0),
+bins AS (SELECT PID, start + to_microseconds(s0 + k * f) AS bin_start, start + to_microseconds(s0 + (k + 1) * f) AS bin_end,
+                CAST(c0 + k AS INTEGER) AS bin_counter, lbl AS bin_freq FROM bin_idx)"""
 
 
 # ---------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.timefns import mask_mortality, step_intervals, step_to_time, time_to_step
+from ..functions.timefns import mask_mortality, micros_between, micros_sql, step_to_time, time_thresholds, time_to_step
 from ..operators.aggregates import bin_aggregate, categorical_wide, numeric_wide
 from ..operators.filters import mask_after
 from ..operators.grid import assign_points, expand_intervals, make_bins
@@ -191,36 +191,38 @@ FROM bins bn LEFT JOIN agg a ON bn.PID = a.PID AND bn.bin_counter = a.bin_counte
 def d6_d7_steps(spark: SparkSession, sf: str) -> DataFrame:
     b = base(spark, sf)
     lm = windowed_long(spark, sf, b).join(b.select("PID", "start"), "PID")
-    minutes = F.expr("timestampdiff(MICROSECOND, start, TIMESTAMP)") / F.lit(60_000_000.0)
-    d = lm.select("PID", "TIMESTAMP", "FEATURE", time_to_step(minutes, "min", BINS).alias("step"))
+    d = lm.select("PID", "TIMESTAMP", "FEATURE",
+                  time_to_step(micros_between(F.col("start"), F.col("TIMESTAMP")), "us", BINS).alias("step"))
     d = d.withColumn("step_min", step_to_time(F.col("step"), BINS))
     return d.select("PID", "TIMESTAMP", "FEATURE", "step", "step_min",
                     codes.step_label(F.col("step_min"), F.col("step")).alias("label"),
                     codes.hours_label(F.col("step_min")).alias("short_label"))
 
 
+# Oracle of the step grid, derived in SQL from the configured texts alone.
+def sql_step_ranges() -> str:
+    rows = ", ".join(f"({i}, '{e}', '{f}')" for i, (e, f) in enumerate(BINS.items()))
+
+    def minutes(c):
+        return (f"CAST(regexp_extract({c}, '[0-9]+') AS BIGINT) * CASE WHEN {c} LIKE '%min' THEN 1 WHEN {c} LIKE '%h' THEN 60 "
+                f"ELSE 1440 END")
+    return f"""cfg(i, e, f) AS (VALUES {rows}),
+mins AS (SELECT i, CASE WHEN e <> 'end' THEN {minutes('e')} END AS hi, {minutes('f')} AS size FROM cfg),
+lows AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY i), 0) AS lo FROM mins),
+ranges AS (SELECT *, coalesce(sum((hi - lo) // size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_step,
+                  max(i) OVER () AS last_i FROM lows)"""
+
+
 def _sql_steps() -> str:
-    ivs = step_intervals(BINS)
     t = "(date_diff('microsecond', b.start, w.\"TIMESTAMP\") / 60000000.0)"
-    parts, cum = [f"WHEN {t} <= 0 THEN 0"], 0
-    for s, e, bm in ivs:
-        cond = f"{t} > {s}" + ("" if e is None else f" AND {t} <= {e}")
-        parts.append(f"WHEN {cond} THEN CAST({cum} + ceil(({t} - {s}) / {bm}) - 1 AS BIGINT)")
-        if e is not None:
-            cum += (e - s) // bm
-    step_sql = "CASE " + " ".join(parts) + " END"
-    cums = [0]
-    for s, e, bm in ivs[:-1]:
-        if e is not None:
-            cums.append(cums[-1] + (e - s) // bm)
-    tparts = []
-    for i in range(len(cums) - 1):
-        s, _, bm = ivs[i]
-        tparts.append(f"WHEN step >= {cums[i]} AND step < {cums[i + 1]} THEN CAST({s} + (step - {cums[i]} + 1) * {bm} AS DOUBLE)")
-    time_sql = "CASE " + " ".join(tparts) + " END"
-    return W(dt.SQL_ADT, SQL_BASE, SQL_WLONG) + f""",
-s1 AS (SELECT w.PID, w."TIMESTAMP", w.FEATURE, {step_sql} AS step FROM wlong w JOIN base b ON w.PID = b.PID),
-s2 AS (SELECT *, {time_sql} AS step_min FROM s1)
+    return W(dt.SQL_ADT, SQL_BASE, SQL_WLONG, sql_step_ranges()) + f""",
+timed AS (SELECT w.PID, w."TIMESTAMP", w.FEATURE, {t} AS t FROM wlong w JOIN base b ON w.PID = b.PID),
+s1 AS (SELECT PID, "TIMESTAMP", FEATURE,
+              CASE WHEN t <= 0 THEN 0 ELSE CAST(first_step + ceil((t - lo) / size) - 1 AS BIGINT) END AS step
+       FROM timed LEFT JOIN ranges ON t > lo AND (hi IS NULL OR t <= hi)),
+s2 AS (SELECT s1.*, CASE WHEN r.i < r.last_i THEN CAST(r.lo + (step - r.first_step + 1) * r.size AS DOUBLE) END AS step_min
+       FROM s1 LEFT JOIN ranges r ON step >= r.first_step
+            AND step < r.first_step + coalesce((r.hi - r.lo) // r.size, 9223372036854775807 - r.first_step))
 SELECT PID, "TIMESTAMP", FEATURE, step, step_min,
   CASE WHEN step_min IS NULL THEN 'Step ' || CAST(step AS VARCHAR)
        WHEN step_min < 60 THEN CAST(CAST(step_min AS BIGINT) AS VARCHAR) || ' min'
@@ -238,6 +240,30 @@ FROM s2"""
 register("d6_d7_steps", _sql_steps())(d6_d7_steps)
 
 
+def d8_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    """D8 steps, and how many events of the table lie at or before each step's right edge."""
+    steps = time_thresholds(spark, BINS).withColumn("step_min", step_to_time(F.col("step"), BINS))
+    b = base(spark, sf)
+    lm = windowed_long(spark, sf, b).join(b.select("PID", "start"), "PID")
+    per = lm.select(time_to_step(micros_between(F.col("start"), F.col("TIMESTAMP")), "us", BINS).alias("s")).groupBy("s").count()
+    # both sides are as small as the grid; steps are joined by range over per-step counts
+    j = steps.join(per, F.col("s") <= F.col("step"), "left")
+    return j.groupBy("step", "step_min").agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("n_events"))
+
+
+register("d8_thresholds", W(dt.SQL_ADT, SQL_BASE, SQL_WLONG, sql_step_ranges()) + """,
+times AS (SELECT unnest(range(1, 73)) * 60 AS t UNION ALL SELECT unnest(range(4, 31)) * 1440),
+steps AS (SELECT DISTINCT CAST(first_step + ceil((t - lo) / size) - 1 AS BIGINT) AS step
+          FROM times JOIN ranges ON t > lo AND (hi IS NULL OR t <= hi)),
+edges AS (SELECT step, CASE WHEN r.i < r.last_i THEN CAST(r.lo + (step - r.first_step + 1) * r.size AS DOUBLE) END AS step_min
+          FROM steps JOIN ranges r ON step >= r.first_step
+               AND step < r.first_step + coalesce((r.hi - r.lo) // r.size, 9223372036854775807 - r.first_step)),
+timed AS (SELECT date_diff('microsecond', b.start, w."TIMESTAMP") / 60000000.0 AS t FROM wlong w JOIN base b ON w.PID = b.PID),
+ev AS (SELECT CASE WHEN t <= 0 THEN 0 ELSE CAST(first_step + ceil((t - lo) / size) - 1 AS BIGINT) END AS s
+       FROM timed LEFT JOIN ranges ON t > lo AND (hi IS NULL OR t <= hi))
+SELECT e.step, e.step_min, count(ev.s) AS n_events FROM edges e LEFT JOIN ev ON ev.s <= e.step GROUP BY ALL""")(d8_thresholds)
+
+
 # ---------------------------------------------------------------------------
 # Mortality masking of the trajectory end
 # ---------------------------------------------------------------------------
@@ -321,7 +347,7 @@ def k6_first_contacts(spark: SparkSession, sf: str) -> DataFrame:
     a = dt.adt(dt.read(spark, sf, "events"))
     out = add_first_hospital(add_first_contacts(b, a))
     return out.select("PID", "first_afsnit", "first_RH", "FIRST_HOSPITAL",
-                      r6(F.expr("timestampdiff(MICROSECOND, start, first_RH)") / 6e7).alias("time_to_RH_min"))
+                      r6(F.expr(micros_sql("start", "first_RH")) / 6e7).alias("time_to_RH_min"))
 
 
 register("k6_first_contacts", W(dt.SQL_ADT, SQL_BASE) + f""",
@@ -385,26 +411,7 @@ def g1_general_grid_mean(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("VALUE", r6("VALUE"))
 
 
-def _sql_general_bins() -> str:
-    from ..operators.grid import parse_duration_us
-    rows = ", ".join(f"({i + 1}, {'NULL' if e == 'end' else parse_duration_us(e)}, {parse_duration_us(f)}, '{f}')"
-                     for i, (e, f) in enumerate(GENERAL_BINS.items()))
-    lim = "least(coalesce(c.ie, r.W), r.W)"
-    n = f"greatest(CASE WHEN {lim} > r.cur THEN ({lim} - r.cur + c.f - 1) // c.f ELSE 0 END - 1, 0)"
-    return f"""cfg(i, ie, f, lbl) AS (VALUES {rows}),
-bw AS (SELECT PID, start, date_diff('microsecond', start, "end") + 600000000 AS W FROM base
-       WHERE start IS NOT NULL AND "end" IS NOT NULL AND date_diff('microsecond', start, "end") + 600000000 > 0),
-rec AS (SELECT PID, start, W, 0 AS i, CAST(0 AS BIGINT) AS s0, CAST(0 AS BIGINT) AS f, CAST(1 AS BIGINT) AS c0,
-               CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS cur, CAST(1 AS BIGINT) AS cnt, '' AS lbl FROM bw
-        UNION ALL
-        SELECT r.PID, r.start, r.W, c.i, r.cur, c.f, r.cnt, {n}, r.cur + {n} * c.f, r.cnt + {n}, c.lbl
-        FROM rec r JOIN cfg c ON c.i = r.i + 1),
-bin_idx AS (SELECT PID, start, s0, f, c0, lbl, unnest(range(n)) AS k FROM rec WHERE n > 0),
-bins AS (SELECT PID, start + to_microseconds(s0 + k * f) AS bin_start, start + to_microseconds(s0 + (k + 1) * f) AS bin_end,
-                CAST(c0 + k AS INTEGER) AS bin_counter, lbl AS bin_freq FROM bin_idx)"""
-
-
-register("g1_general_grid_mean", "WITH RECURSIVE " + W(dt.SQL_ADT, SQL_BASE, SQL_WLONG, _sql_general_bins())[5:] + """,
+register("g1_general_grid_mean", W(dt.SQL_ADT, SQL_BASE, SQL_WLONG, sql_bins(GENERAL_BINS)) + """,
 placed AS (SELECT w.PID, bn.bin_counter, w.FEATURE, w.VALUE FROM wlong w
            JOIN bins bn ON w.PID = bn.PID AND w."TIMESTAMP" >= bn.bin_start AND w."TIMESTAMP" < bn.bin_end),
 agg AS (SELECT PID, bin_counter, FEATURE, avg(VALUE) AS VALUE FROM placed GROUP BY PID, bin_counter, FEATURE)

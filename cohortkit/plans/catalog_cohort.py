@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
+from ..functions.timefns import micros_sql
 from ..operators.aggregates import cohort_summary
 from ..operators.joins import filter_by_time_window
 from ..operators.reshape import category_labels, multi_hot_transform, multi_hot_vocabulary
@@ -297,34 +298,34 @@ SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(quality) AS BIGINT) AS n_pos
 # ---------------------------------------------------------------------------
 # Multi-hot vocabulary and sparse transform
 # ---------------------------------------------------------------------------
-WEEKS = [0, 1, 2, 3, 4]
-
-
-def _weekly_sets(spark: SparkSession, sf: str) -> DataFrame:
+def _weekly_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """Event types per user and week, and the week columns: every week from the table's first to its last."""
     ev = dt.read(spark, sf, "events").withColumn(
         "week", F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("int"))
-    p = ev.groupBy("user_id").pivot("week", WEEKS).agg(F.array_sort(F.collect_set("event_type")))
+    first, last = ev.agg(F.min("week"), F.max("week")).first()
+    weeks = [] if first is None else list(range(first, last + 1))
+    p = ev.groupBy("user_id").pivot("week", weeks).agg(F.array_sort(F.collect_set("event_type")))
     # the feature label is derived from the row (a literal would let the
     # optimizer fold the vocabulary join key away)
     feature = F.when(F.col("user_id").isNotNull(), F.lit("etype"))
-    return p.select("user_id", feature.alias("FEATURE"), *[F.col(str(w)).alias(f"w{w}") for w in WEEKS])
+    return (p.select("user_id", feature.alias("FEATURE"), *[F.col(str(w)).alias(f"w{w}") for w in weeks]),
+            [f"w{w}" for w in weeks])
 
 
 def r7_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    voc = multi_hot_vocabulary(_weekly_sets(spark, sf), [f"w{w}" for w in WEEKS])
+    voc = multi_hot_vocabulary(*_weekly_sets(spark, sf))
     labels = category_labels(voc).select("feature", F.array_join("labels", ",").alias("labels"))
     return voc.join(labels, "feature")
 
 
 register("r7_vocabulary", """
-WITH v AS (SELECT DISTINCT event_type AS value FROM events WHERE ts < TIMESTAMP '2024-02-05')
+WITH v AS (SELECT DISTINCT event_type AS value FROM events)
 SELECT 'etype' AS feature, value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER) AS idx,
        (SELECT string_agg(value, ',' ORDER BY value) FROM v) AS labels FROM v""")(r7_vocabulary)
 
 
 def r8_multi_hot(spark: SparkSession, sf: str) -> DataFrame:
-    df = _weekly_sets(spark, sf)
-    steps = [f"w{w}" for w in WEEKS]
+    df, steps = _weekly_sets(spark, sf)
     voc = multi_hot_vocabulary(df, steps)
     return multi_hot_transform(df, voc, "user_id", steps)
 
@@ -333,8 +334,8 @@ register("r8_multi_hot", """
 WITH e AS (SELECT user_id, event_type, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS INTEGER) AS w
            FROM events),
 v AS (SELECT value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER) AS idx
-      FROM (SELECT DISTINCT event_type AS value FROM e WHERE w BETWEEN 0 AND 4))
-SELECT DISTINCT e.user_id, v.idx, e.w AS timestep FROM e JOIN v ON e.event_type = v.value WHERE e.w BETWEEN 0 AND 4""")(
+      FROM (SELECT DISTINCT event_type AS value FROM e))
+SELECT DISTINCT e.user_id, v.idx, CAST(e.w - (SELECT min(w) FROM e) AS INTEGER) AS timestep FROM e JOIN v ON e.event_type = v.value""")(
     r8_multi_hot)
 
 
@@ -354,7 +355,7 @@ def _k21_base(spark: SparkSession, sf: str) -> DataFrame:
     from ..session import cut_lineage
     return cut_lineage(b.join(pi, "CPR_hash", "left").select(
         "PID", "CPR_hash", "start", "end", age_years(F.col("DOB"), F.col("start")).alias("AGE"),
-        r6(days_between(F.col("start"), F.col("end"))).alias("DURATION"),
+        days_between(F.col("start"), F.col("end")).alias("DURATION"),
         codes.normalize_sex(F.col("SEX_RAW")).alias("SEX"),
         event_within_days(F.col("DOD"), F.col("start"), 90).alias("DECEASED_90d")))
 
@@ -372,8 +373,9 @@ def k21_wide_dataset(spark: SparkSession, sf: str) -> DataFrame:
                            normalisers={"Labsvar": filter_labs, "Medicin": filter_medicin},
                            pivot_values={"Labsvar": [f for f in LAB_FEATURES if f != "TEG-MA"], "Medicin": MED_VALUES})
     out = ds.build()
-    return out.select(*[r6(c).alias(c) if out.schema[c].dataType.typeName() == "double" else F.col(f"`{c}`")
-                        for c in out.columns])
+    # DURATION is one division of whole microseconds: compared as it is
+    return out.select(*[r6(c).alias(c) if out.schema[c].dataType.typeName() == "double" and c != "DURATION"
+                        else F.col(f"`{c}`") for c in out.columns])
 
 
 def _sql_k21() -> str:
@@ -396,7 +398,7 @@ def _sql_k21() -> str:
     return W(dt.SQL_ADT, SQL_BASE, dt.SQL_PINFO, dt.SQL_LABS, dt.SQL_MED) + f""",
 kb AS (SELECT b.PID, b.CPR_hash, b.start, b."end",
               CAST(floor(floor(date_diff('microsecond', p.DOB, b.start) / 86400000000.0) / 365.25) AS BIGINT) AS AGE,
-              round(date_diff('microsecond', b.start, b."end") / 86400000000.0, 6) AS DURATION,
+              date_diff('microsecond', b.start, b."end") / 86400000000.0 AS DURATION,
               CASE p.SEX_RAW WHEN 'Mand' THEN 'Male' WHEN 'Kvinde' THEN 'Female' ELSE p.SEX_RAW END AS SEX,
               CASE WHEN date_diff('microsecond', b.start, p.DOD) <= 90 * 86400000000 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS DECEASED_90d
        FROM base b LEFT JOIN pinfo p ON b.CPR_hash = p.CPR_hash),
@@ -533,7 +535,7 @@ def k18_preoperative_labs(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.filters import preop_cutoff
     from .windowing import window_table
     b = base(spark, sf).withColumn("ServiceDate", F.col("start"))
-    long_stay = F.expr("timestampdiff(MICROSECOND, start, end) > 4 * 3600000000")
+    long_stay = F.expr(f"{micros_sql('start', 'end')} > 4 * 3600000000")
     b = b.withColumn("knife_time", F.when(long_stay, F.col("start") + F.make_interval(hours=F.lit(2))))
     b = b.withColumn("preop_cutoff", preop_cutoff(b))
     out = window_table(b, dt.labs_raw(dt.read(spark, sf, "events")), "Prøvetagningstidspunkt", 0, "preop_cutoff")

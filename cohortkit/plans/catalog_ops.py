@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.numeric import lab_clean, numeric_or_null, parse_numeric
-from ..functions.timefns import age_years, days_between, event_within_days
+from ..functions.timefns import age_years, days_between, event_within_days, micros_sql
 from ..operators.filters import keyword_flags, member_filter, prefix_filter
 from ..operators.joins import (filter_by_time_window, lookback_join, match_trajectories, nearest_in_time,
                                semi_join_ids)
@@ -245,7 +245,7 @@ SELECT event_id, CPR_hash, CASE WHEN c > 0 THEN CAST(c AS BIGINT) END AS traject
 def w2_k4_trajectories(spark: SparkSession, sf: str) -> DataFrame:
     t = trajectories(spark, sf)
     return t.select("CPR_hash", "start", "end", "trajectory",
-                    r6(F.expr("timestampdiff(MICROSECOND, start, end)") / 6e7).alias("duration_min"))
+                    r6(F.expr(micros_sql("start", "end")) / 6e7).alias("duration_min"))
 
 
 register("w2_k4_trajectories", W(dt.SQL_ADT, SQL_TRAJ) + """

@@ -99,8 +99,8 @@ def add_case_knife_time(df: DataFrame, cases: DataFrame) -> DataFrame:
                            right_cols=["Case_ID", "knife_time", "knife_time_end", "elapsed_knife_time_minutes"])
 
 
-def add_diagnoses(df: DataFrame, diagnoses: DataFrame, inclusion: Sequence[str] = DIAGNOSIS_INCLUSION,
-                  max_n: int | None = None) -> DataFrame:
+def add_diagnoses(df: DataFrame, diagnoses: DataFrame,
+                  inclusion: Sequence[str] = DIAGNOSIS_INCLUSION) -> DataFrame:
     """K9: included diagnoses noted in ``[start - 6 months, end]`` (J4),
     numbered by note time per (CPR_hash, ServiceDate) into
     ``Diagnosekode_{n}`` (R2)."""
@@ -108,7 +108,7 @@ def add_diagnoses(df: DataFrame, diagnoses: DataFrame, inclusion: Sequence[str]
                  .withColumn("Noteret_dato", ts_column(diagnoses, "Noteret_dato"))
     keys = df.select("CPR_hash", "ServiceDate", "start", "end").distinct()
     m = lookback_join(keys, d, "Noteret_dato", months=6, carry=["ServiceDate"])
-    wide = numbered_pivot(m, ["CPR_hash", "ServiceDate"], ["Noteret_dato", "Diagnosekode"], ["Diagnosekode"], max_n)
+    wide = numbered_pivot(m, ["CPR_hash", "ServiceDate"], ["Noteret_dato", "Diagnosekode"], ["Diagnosekode"])
     return df.join(wide, ["CPR_hash", "ServiceDate"], "left")
 
 
@@ -162,7 +162,7 @@ def add_to_base(base: DataFrame, vitals: DataFrame | None = None) -> DataFrame:
     d = base.withColumn("DURATION", days_between(F.col("start"), F.col("end"))) \
             .withColumn("AGE", age_years(F.col("DOB"), F.col("start")))
     if vitals is not None:
-        d = left_join_unique(d, height_weight(base, vitals), "PID", check=False)
+        d = left_join_unique(d, height_weight(base, vitals), "PID")
     return d.withColumn("DECEASED_30d", event_within_days(F.col("DOD"), F.col("start"), 30)) \
             .withColumn("DECEASED_90d", event_within_days(F.col("DOD"), F.col("start"), 90))
 
@@ -178,7 +178,7 @@ def create_base(procedures: DataFrame, adt: DataFrame, cases: DataFrame, diagnos
     # recompute from the last stored stage only.
     population = load_population(procedures)
     moves = load_adt(adt)
-    of = cut_lineage(build_trajectories(moves, gap_hours=gap_hours))
+    of = cut_lineage(build_trajectories(moves, gap_hours=gap_hours, tie_cols=["Flyt_ud", "ADT_haendelse", "Afsnit"]))
     matched = cut_lineage(fill_window_from_date(match_population_to_trajectories(of, population)))
     d = add_first_contacts(matched, moves)
     d = add_first_hospital(d)

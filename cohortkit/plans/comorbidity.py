@@ -112,12 +112,13 @@ def pre_index_diagnoses(base: DataFrame, diagnoses: DataFrame) -> DataFrame:
     return j.select("PID", strip_code_ends(F.col("Diagnosekode")).alias("code"))
 
 
-def comorbidity_scores(codes_df: DataFrame, max_prefix: int = 7) -> DataFrame:
+def comorbidity_scores(codes_df: DataFrame) -> DataFrame:
     """Per PID the 0/1 flags ``ELIX_*`` / ``CHAR_*`` (milder flag
     zeroed when the severe one is set) and ``ASMT_ELIX`` /
     ``ASMT_CHARLSON`` weighted sums.  Only PIDs with codes appear."""
     spark = codes_df.sparkSession
-    pref = codes_df.select("PID", "code", F.explode(F.sequence(F.lit(1), F.least(F.length("code"), F.lit(max_prefix))))
+    longest = max(len(p) for m in (CHARLSON, ELIXHAUSER) for _, s in m.values() for p in expand(s))
+    pref = codes_df.select("PID", "code", F.explode(F.sequence(F.lit(1), F.least(F.length("code"), F.lit(longest))))
                            .alias("n")).select("PID", F.substring("code", F.lit(1), F.col("n")).alias("prefix"))
     hits = pref.join(F.broadcast(prefix_table(spark)), "prefix", "inner") \
                .select("PID", F.concat_ws("_", "scheme", "cond").alias("flag")).distinct()

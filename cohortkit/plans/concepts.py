@@ -5,6 +5,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,7 +98,8 @@ def filter_adt(adt: DataFrame, base: DataFrame | None = None) -> DataFrame:
     if base is not None:
         d = d.join(base.select("PID", F.col("end").alias("__base_end")), "PID", "left")
         fallback = "__base_end"
-    d = fill_missing_end(d, "PID", "Flyt_ind", "Flyt_ud", fallback)
+    ties = [c for c in ("Flyt_ud", "ADT_haendelse", "Afsnit") if c in d.columns]  # moves at one instant keep one order
+    d = fill_missing_end(d, "PID", "Flyt_ind", "Flyt_ud", fallback, tie_cols=ties)
     d = d.withColumn("TIMESTAMP", F.col("Flyt_ind")).withColumn("END_TIMESTAMP", F.col("Flyt_ud"))
     return d.drop("__base_end") if fallback else d
 
@@ -112,8 +114,13 @@ NORMALISERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def collect_filter(concept: str) -> Callable[..., DataFrame]:
-    """normaliser of a concept; unknown names raise KeyError."""
+def collect_filter(concept: str, **settings) -> Callable[[DataFrame], DataFrame]:
+    """normaliser of a concept as ``DataFrame -> DataFrame``; unknown
+    names raise KeyError.  ``settings`` go to the normaliser: ``Procedurer``
+    needs ``procedure_map`` (category -> codes)."""
     if concept not in NORMALISERS:
-        raise KeyError(f"No filter function registered for concept '{concept}'.")
-    return NORMALISERS[concept]
+        raise KeyError(f"{concept!r} has no normaliser; known: {', '.join(sorted(NORMALISERS))}")
+    f = NORMALISERS[concept]
+    if f is filter_procedures and "procedure_map" not in settings:
+        raise ValueError("the normaliser of 'Procedurer' needs procedure_map=...")
+    return partial(f, **settings) if settings else f

@@ -144,7 +144,7 @@ SQL_LABS = f"""labs_raw AS (
 
 
 def with_sql(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
 
 
 # -- diagnoses, vitals, medication, patient info -------------------------------

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timefns import micros_sql
 from ..operators.aggregates import WIDE_NUMERIC_AGGS, categorical_wide, numeric_wide
 from ..operators.filters import mask_after, member_filter, parse_masking_point
 from ..operators.joins import semi_join_ids
@@ -87,7 +88,7 @@ def cutoff_features(long: DataFrame, base: DataFrame, cutoffs_minutes: Sequence[
     from ..functions.numeric import numeric_column
     arr = F.array(*[F.lit(int(c)) for c in sorted(cutoffs_minutes)])
     j = long.join(base.select(id_col, "start"), id_col, "inner")
-    off = F.expr("timestampdiff(MICROSECOND, start, TIMESTAMP)") / F.lit(60_000_000.0)
+    off = F.expr(micros_sql("start", "TIMESTAMP")) / F.lit(60_000_000.0)
     j = j.withColumn("__v", numeric_column(long, "VALUE")).where(F.col("__v").isNotNull()) \
          .withColumn("masking_point", F.explode(F.filter(arr, lambda c: off <= c)))
     order = F.struct("TIMESTAMP", "__v")

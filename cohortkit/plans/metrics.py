@@ -77,16 +77,19 @@ def auroc_ap(df: DataFrame, label: str, score: str, alpha: float = 0.95) -> Data
                       F.col("__P").cast("bigint").alias("n_positive"))
 
 
-# Poisson(1) inverse CDF thresholds for bootstrap weights (cumulative
-# probabilities of k = 0..7).
-_POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+def _poisson1_cdf() -> list[float]:
+    """Cumulative probabilities of Poisson(1) up to the last one below 1 in double precision."""
+    out, total, k = [], math.exp(-1), 0
+    while total < 1.0 and (not out or total > out[-1]):
+        out.append(total)
+        k += 1
+        total += math.exp(-1) / math.factorial(k)
+    return out
 
 
 def poisson_weight(u: F.Column) -> F.Column:
-    expr = F.when(u < _POISSON1_CDF[0], F.lit(0))
-    for k, c in enumerate(_POISSON1_CDF[1:], start=1):
-        expr = expr.when(u < c, F.lit(k))
-    return expr.otherwise(F.lit(8))
+    """Exact inverse CDF of Poisson(1) for ``u`` in [0, 1): how many thresholds it has passed."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in _poisson1_cdf()]), lambda c: c <= u))
 
 
 def bootstrap_ap_ci(df: DataFrame, label: str, score: str, id_col: str, alpha: float = 0.95,

@@ -19,6 +19,8 @@ def temporal_split(base: DataFrame, split_date: str, date_col: str = "ServiceDat
 def _class_ranks(base: DataFrame, target: str, id_col: str, seed: int) -> DataFrame:
     """1-based rank inside each class in a seeded hash order (md5 of id and
     seed), computed with range buckets -- a class is never one task."""
+    if not base.where(F.col(target).isNull()).isEmpty():
+        raise ValueError(f"column {target!r} has null classes: drop or fill them before the split")
     h = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
     keyed = base.select(id_col, target).withColumn("__h", h)
     ranged = range_buckets(keyed, [target, "__h", id_col])
@@ -32,7 +34,7 @@ def stratified_split(base: DataFrame, target: str, id_col: str = "PID", fraction
     seeded hash order go to holdout (exact stratum sizes)."""
     ranks = _class_ranks(base, target, id_col, seed)
     sizes = {r[0]: r[1] for r in base.groupBy(target).count().collect()}  # one row per class
-    limits = F.create_map(*[x for k, n in sizes.items() if k is not None
+    limits = F.create_map(*[x for k, n in sizes.items()
                             for x in (F.lit(k), F.lit(int(math.ceil(fraction * n))))])
     flagged = ranks.withColumn("__hold", F.col("__rank") <= limits[F.col(target)]).select(id_col, "__hold")
     j = base.join(flagged, id_col, "inner")
@@ -49,7 +51,7 @@ def train_test_split(cfg: dict, base: DataFrame) -> tuple[DataFrame, DataFrame]:
     if kind == "random":
         return stratified_split(base, cfg["target"], cfg["dataset"]["id_col"],
                                 cfg.get("holdout_fraction", 0.2), cfg.get("seed", 2024))
-    raise ValueError(f"Unknown holdout_type: {kind}. Use 'temporal' or 'random'.")
+    raise ValueError(f"holdout_type is {kind!r}; a split is either 'temporal' or 'random'")
 
 
 def stratified_folds(df: DataFrame, target: str, id_col: str = "PID", k: int = 5, seed: int = 42,

@@ -1,14 +1,14 @@
 """Code, numeric and time scalars (X1-X13, N1, D4-D9), FIXTURES §4."""
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortkit.config import DEFAULT_CONFIG
 from cohortkit.functions import codes
 from cohortkit.functions.numeric import lab_clean, numeric_or_null, parse_numeric
 from cohortkit.functions.timefns import (age_years, event_within_days, mask_mortality, masking_summary,
-                                         py_time_to_step,
-                                         step_to_time, time_thresholds, time_to_step, to_ts)
+                                         micros_between, step_to_time, time_thresholds, time_to_step, to_ts)
 from cohortkit.operators.reshape import split_blood_pressure
 
 BINS = DEFAULT_CONFIG["bin_intervals"]
@@ -67,13 +67,30 @@ def test_tolerant_parse(spark):
     assert got == [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4), None, None]
 
 
+def test_wall_clock_in_every_session_zone(spark):
+    """The hour that a zone skips exists on the wall clock."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Copenhagen")
+    try:
+        got = col1(spark, ["31-03-2024 02:30:00", "2024-03-31 02:30:00", "31/03/2024 02:30"], to_ts)
+        assert got == [dt.datetime(2024, 3, 31, 2, 30)] * 3
+        a, b = dt.datetime(2024, 3, 31), dt.datetime(2024, 3, 31, 2, 30)
+        df = spark.createDataFrame([(a, b), (b, a)], "a timestamp_ntz, b timestamp_ntz")
+        assert [r[0] for r in df.select(micros_between(F.col("a"), F.col("b"))).collect()] == [9_000_000_000, -9_000_000_000]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_steps(spark):
     mins = [60, 180, 181, 1440, 4320, 5760, 21600]
-    assert [py_time_to_step(m, BINS) for m in mins] == [11, 35, 36, 101, 149, 153, 194]
     assert col1(spark, [float(m) for m in mins], lambda c: time_to_step(c, "min", BINS), "double") == \
         [11, 35, 36, 101, 149, 153, 194]
     assert col1(spark, [11, 149, 194], lambda c: step_to_time(c, BINS), "long") == [60.0, 4320.0, None]
-    assert len(time_thresholds(BINS)) == 99
+    assert col1(spark, [60 * 60_000_000, 60 * 60_000_000 + 1, 0, -5], lambda c: time_to_step(c, "us", BINS), "long") == [11, 12, 0, 0]
+    steps = [r[0] for r in time_thresholds(spark, BINS).collect()]
+    assert len(steps) == 99 and steps == sorted(set(steps))
+    with pytest.raises(ValueError):
+        time_to_step(F.col("x"), "weeks", BINS)
 
 
 def test_labels(spark):
