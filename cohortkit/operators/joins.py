@@ -146,12 +146,17 @@ def left_join_unique(left: DataFrame, right: DataFrame, on: str | Sequence[str],
 def pair_start_end(cases: DataFrame, case_col: str = "Case_ID", type_col: str = "Operationshændelse",
                    ts_col: str = "Operationshændelses_Tidspunkt", status_col: str = "Status",
                    start_type: str = "Knivtid/procedure start", start_status: str = "Fuldført",
-                   end_type: str = "Sidste sutur/procedure slut", id_col: str = "CPR_hash") -> DataFrame:
+                   end_type: str = "Sidste sutur/procedure slut", id_col: str = "CPR_hash",
+                   first_end: bool = False) -> DataFrame:
     """J12 + P7: start rows (type and status) left-joined to end rows of the
-    same case (end rows are not status-filtered and may be several)."""
+    same case (end rows are not status-filtered and may be several).
+    ``first_end`` pairs every start with the case's earliest end only, so
+    that the result has a row per start."""
     starts = cases.where((F.col(type_col) == start_type) & (F.col(status_col) == start_status)) \
                   .select(id_col, case_col, F.col(ts_col).alias("knife_time"))
     ends = cases.where(F.col(type_col) == end_type).select(case_col, F.col(ts_col).alias("knife_time_end"))
+    if first_end:
+        ends = ends.groupBy(case_col).agg(F.min("knife_time_end").alias("knife_time_end"))
     out = starts.join(ends, on=case_col, how="left")
     return out.withColumn("elapsed_knife_time_minutes",
                           F.expr(micros_sql("knife_time", "knife_time_end")) / F.lit(60_000_000.0))

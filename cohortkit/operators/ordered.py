@@ -36,14 +36,14 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                  bucket: str | None = None, *, lag: dict[str, str] | None = None,
                  lead: dict[str, str] | None = None,
-                 cumsum: dict[str, str | Column] | None = None) -> DataFrame:
-    """Add previous-row, next-row and running-sum columns per ``keys``.
+                 cumsum: dict[str, str | Column] | None = None, last: dict[str, str] | None = None) -> DataFrame:
+    """Add previous-row, next-row, running-sum and last-non-null columns per ``keys``.
 
     ``order`` must be a total, ascending, non-null order inside ``keys``;
     ``bucket`` (a column of ``df``) must be non-decreasing along it.
     ``bucket=None`` uses the plain window (for keys with bounded size).
     """
-    lag, lead, cumsum = lag or {}, lead or {}, cumsum or {}
+    lag, lead, cumsum, last = lag or {}, lead or {}, cumsum or {}, last or {}
     order_c = _cols(order)
     for out, c in cumsum.items():
         df = df.withColumn(f"__os_v_{out}", (F.col(c) if isinstance(c, str) else c))
@@ -56,6 +56,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
         wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         for out in cumsum:
             df = df.withColumn(out, F.sum(f"__os_v_{out}").over(wr)).drop(f"__os_v_{out}")
+        for out, c in last.items():
+            df = df.withColumn(out, F.last(c, ignorenulls=True).over(wr))
         return df
 
     pk = [*keys, bucket]
@@ -74,6 +76,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     for o in cumsum:
         out = out.withColumn(f"__os_c_{o}", F.sum(f"__os_v_{o}").over(wr))
         aggs.append(F.sum(f"__os_v_{o}").alias(f"__os_tot_{o}"))
+    for o, c in last.items():
+        out = out.withColumn(f"__os_a_{o}", F.last(c, ignorenulls=True).over(wr))
+        aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ordkey)).alias(f"__os_la_{o}"))
     # The summary is taken from the windowed frame: it is already partitioned
     # by (keys, bucket), so the aggregate needs no new shuffle and the input
     # is scanned once (the window's exchange is reused).
@@ -92,6 +97,10 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
             F.coalesce(F.sum(f"__os_tot_{o}").over(sw.rowsBetween(Window.unboundedPreceding, -1)),
                        F.lit(0)))
         keep.append(f"__os_off_{o}")
+    for o in last:
+        summ = summ.withColumn(f"__os_pa_{o}", F.last(f"__os_la_{o}", ignorenulls=True).over(
+            sw.rowsBetween(Window.unboundedPreceding, -1)))
+        keep.append(f"__os_pa_{o}")
     out = out.join(summ.select(*keep), on=pk, how="left")
     for o in lag:
         out = out.withColumn(o, F.when(F.col("__os_first"), F.col(f"__os_pl_{o}"))
@@ -101,6 +110,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
                              .otherwise(F.col(f"__os_n_{o}")))
     for o in cumsum:
         out = out.withColumn(o, F.col(f"__os_c_{o}") + F.col(f"__os_off_{o}"))
+    for o in last:
+        out = out.withColumn(o, F.coalesce(f"__os_a_{o}", f"__os_pa_{o}"))
     return out.drop(*[c for c in out.columns if c.startswith("__os_")])
 
 

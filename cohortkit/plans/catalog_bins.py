@@ -270,7 +270,7 @@ SELECT e.step, e.step_min, count(ev.s) AS n_events FROM edges e LEFT JOIN ev ON
 def d9_mask_mortality(spark: SparkSession, sf: str) -> DataFrame:
     b = _base_with_dod(spark, sf)
     pct = mask_mortality(b, "percentage").select("PID", F.col("end").alias("end_pct"),
-                                                 r6("hours_removed").alias("hours_removed_pct"))
+                                                 F.col("hours_removed").alias("hours_removed_pct"))
     ab = mask_mortality(b, "absolute").select("PID", F.col("end").alias("end_abs"))
     return pct.join(ab, "PID")
 
@@ -293,7 +293,7 @@ r AS (SELECT PID, "end", DOD,
         CASE WHEN DOD IS NOT NULL AND p <= start + INTERVAL 30 MINUTE THEN start + INTERVAL 30 MINUTE ELSE p END AS end_pct,
         CASE WHEN DOD IS NOT NULL AND a <= start + INTERVAL 30 MINUTE THEN start + INTERVAL 30 MINUTE ELSE a END AS end_abs
       FROM m)
-SELECT PID, end_pct, CASE WHEN DOD IS NOT NULL THEN round(date_diff('microsecond', end_pct, "end") / 3600000000.0, 6) END
+SELECT PID, end_pct, CASE WHEN DOD IS NOT NULL THEN date_diff('microsecond', end_pct, "end") / 3600000000.0 END
        AS hours_removed_pct, end_abs
 FROM r""")(d9_mask_mortality)
 
@@ -347,7 +347,7 @@ def k6_first_contacts(spark: SparkSession, sf: str) -> DataFrame:
     a = dt.adt(dt.read(spark, sf, "events"))
     out = add_first_hospital(add_first_contacts(b, a))
     return out.select("PID", "first_afsnit", "first_RH", "FIRST_HOSPITAL",
-                      r6(F.expr(micros_sql("start", "first_RH")) / 6e7).alias("time_to_RH_min"))
+                      (F.expr(micros_sql("start", "first_RH")) / 6e7).alias("time_to_RH_min"))
 
 
 register("k6_first_contacts", W(dt.SQL_ADT, SQL_BASE) + f""",
@@ -366,7 +366,7 @@ SELECT PID, first_afsnit, first_RH,
             WHEN starts_with(upper(fh), 'SJ ROS') THEN 'SJ ROSKILDE'
             WHEN upper(fh) IN ({', '.join(repr(h.upper()) for h in codes.VALID_HOSPITALS)}) THEN upper(fh)
             ELSE 'MISC' END AS FIRST_HOSPITAL,
-       round(date_diff('microsecond', start, first_RH) / 60000000.0, 6) AS time_to_RH_min
+       date_diff('microsecond', start, first_RH) / 60000000.0 AS time_to_RH_min
 FROM fw""")(k6_first_contacts)
 
 

@@ -158,7 +158,7 @@ def k8_knife_time(spark: SparkSession, sf: str) -> DataFrame:
     df = dt.procedures(ev).select("CPR_hash", "ServiceDate").distinct()
     out = add_case_knife_time(df, dt.cases(ev))
     return out.select("CPR_hash", "ServiceDate", "Case_ID", "knife_time", "knife_time_end",
-                      r6("elapsed_knife_time_minutes").alias("elapsed_knife_time_minutes"))
+                      F.col("elapsed_knife_time_minutes"))
 
 
 register("k8_knife_time", W(dt.SQL_PROC, dt.SQL_CASES) + """,
@@ -174,7 +174,7 @@ c AS (SELECT d.CPR_hash, d.ServiceDate, k.Case_ID, k.knife_time, k.knife_time_en
                ORDER BY abs(date_diff('microsecond', d.ServiceDate, k.knife_time)), k.knife_time, k.Case_ID,
                         k.knife_time_end NULLS FIRST) AS rn
       FROM df d JOIN k ON d.CPR_hash = k.CPR_hash AND abs(date_diff('microsecond', d.ServiceDate, k.knife_time)) <= 86400000000)
-SELECT d.CPR_hash, d.ServiceDate, c.Case_ID, c.knife_time, c.knife_time_end, round(c.elapsed, 6) AS elapsed_knife_time_minutes
+SELECT d.CPR_hash, d.ServiceDate, c.Case_ID, c.knife_time, c.knife_time_end, c.elapsed AS elapsed_knife_time_minutes
 FROM df d LEFT JOIN c ON d.CPR_hash = c.CPR_hash AND d.ServiceDate = c.ServiceDate AND c.rn = 1""")(k8_knife_time)
 
 
@@ -430,7 +430,7 @@ register("k21_wide_dataset", _sql_k21())(k21_wide_dataset)
 # ---------------------------------------------------------------------------
 # M11 input: features at many cutoffs in one scan
 # ---------------------------------------------------------------------------
-CUTOFFS = [60, 360, 1440, 4320]
+CUTOFFS = [60 * h for h in range(1, 73)] + [1440 * d for d in range(4, 31)]  # the 99 evaluation times of D8
 
 
 def m11_cutoff_features(spark: SparkSession, sf: str) -> DataFrame:

@@ -205,7 +205,7 @@ def d4_d5_static(spark: SparkSession, sf: str) -> DataFrame:
         F.min("o_orderdate").alias("start"), F.max("o_orderdate").alias("end"))
     pi = dt.patient_info(dt.read(spark, sf, "customer"))
     j = win.join(pi, "CPR_hash", "inner")
-    return j.select("CPR_hash", r6(days_between(F.col("start"), F.col("end"))).alias("DURATION"),
+    return j.select("CPR_hash", days_between(F.col("start"), F.col("end")).alias("DURATION"),
                     age_years(F.col("DOB"), F.col("start")).alias("AGE"),
                     event_within_days(F.col("DOD"), F.col("start"), 30).alias("DECEASED_30d"),
                     event_within_days(F.col("DOD"), F.col("start"), 90).alias("DECEASED_90d"),
@@ -215,7 +215,7 @@ def d4_d5_static(spark: SparkSession, sf: str) -> DataFrame:
 register("d4_d5_static", W(dt.SQL_PINFO) + """,
 win AS (SELECT CAST(o_custkey AS VARCHAR) AS CPR_hash, min(o_orderdate) AS start, max(o_orderdate) AS "end"
         FROM orders GROUP BY 1)
-SELECT w.CPR_hash, round(date_diff('microsecond', start, "end") / 86400000000.0, 6) AS DURATION,
+SELECT w.CPR_hash, date_diff('microsecond', start, "end") / 86400000000.0 AS DURATION,
        CAST(floor(floor(date_diff('microsecond', DOB, start) / 86400000000.0) / 365.25) AS BIGINT) AS AGE,
        CASE WHEN date_diff('microsecond', start, DOD) <= 30 * 86400000000 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS DECEASED_30d,
        CASE WHEN date_diff('microsecond', start, DOD) <= 90 * 86400000000 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS DECEASED_90d,
@@ -245,11 +245,11 @@ SELECT event_id, CPR_hash, CASE WHEN c > 0 THEN CAST(c AS BIGINT) END AS traject
 def w2_k4_trajectories(spark: SparkSession, sf: str) -> DataFrame:
     t = trajectories(spark, sf)
     return t.select("CPR_hash", "start", "end", "trajectory",
-                    r6(F.expr(micros_sql("start", "end")) / 6e7).alias("duration_min"))
+                    (F.expr(micros_sql("start", "end")) / 6e7).alias("duration_min"))
 
 
 register("w2_k4_trajectories", W(dt.SQL_ADT, SQL_TRAJ) + """
-SELECT CPR_hash, start, "end", trajectory, round(date_diff('microsecond', start, "end") / 60000000.0, 6) AS duration_min
+SELECT CPR_hash, start, "end", trajectory, date_diff('microsecond', start, "end") / 60000000.0 AS duration_min
 FROM traj""")(w2_k4_trajectories)
 
 

@@ -14,7 +14,7 @@ from ..functions.timefns import age_years, days_between, event_within_days, shif
 from ..operators.filters import fill_window_from_date, prefix_filter
 from ..operators.joins import (anti_reappend, left_join_unique, lookback_join, match_trajectories,
                                nearest_in_time, pair_start_end, window_join)
-from ..operators.ordered import dense_rank_global
+from ..operators.ordered import dense_rank_global, ordered_scan, range_buckets
 from ..operators.reshape import numbered_pivot
 from ..operators.trajectories import build_trajectories, overlap_with_next
 from ..session import cut_lineage
@@ -93,7 +93,8 @@ def add_case_knife_time(df: DataFrame, cases: DataFrame) -> DataFrame:
     """K8: start/end pairing per case (J12) then the knife time nearest to
     ServiceDate within 24 h per (CPR_hash, ServiceDate) (J5)."""
     c = cases.withColumn("Operationshændelses_Tidspunkt", ts_column(cases, "Operationshændelses_Tidspunkt"))
-    knife = pair_start_end(c)
+    # only the earliest end of a case can be picked (ties go to it), so a case's ends are reduced before the pairing
+    knife = pair_start_end(c, first_end=True)
     return nearest_in_time(df, knife, "CPR_hash", "ServiceDate", "knife_time",
                            ["CPR_hash", "ServiceDate"], tie_cols=["Case_ID", "knife_time_end"],
                            right_cols=["Case_ID", "knife_time", "knife_time_end", "elapsed_knife_time_minutes"])
@@ -141,20 +142,31 @@ def final_cleanup(df: DataFrame) -> DataFrame:
     return one.groupBy(*key).agg(F.min_by(F.struct(*cols), F.col("PID")).alias("r")).select("r.*")
 
 
-def height_weight(base: DataFrame, vitals: DataFrame, per: str = "PID") -> DataFrame:
+def height_weight(base: DataFrame, vitals: DataFrame) -> DataFrame:
     """K13 height/weight: numeric vitals 'Højde'/'Vægt' converted (in->cm,
-    oz->kg), the latest value at or before ``end`` per (``per``, feature),
-    pivoted to HEIGHT / WEIGHT (R3, W6)."""
-    v = vitals.select("CPR_hash", "Vital_parametre", "Værdi", "Registreringstidspunkt")
-    v = v.withColumn("FEATURE", codes.recode(F.col("Vital_parametre"), codes.HEIGHT_WEIGHT_MAP)) \
+    oz->kg), the latest value at or before ``end`` per PID, as HEIGHT /
+    WEIGHT (R3, W6).
+
+    One ordered scan per patient over measurements and stay ends carries
+    the last values along, instead of joining every measurement with every
+    stay of a patient; of several values at one instant the largest counts."""
+    v = vitals.withColumn("FEATURE", codes.recode(F.col("Vital_parametre"), codes.HEIGHT_WEIGHT_MAP)) \
               .withColumn("VALUE", numeric_or_null(F.col("Værdi"))) \
-              .withColumn("TIMESTAMP", ts_column(v, "Registreringstidspunkt")) \
-              .where(F.col("VALUE").isNotNull() & F.col("FEATURE").isin("HEIGHT", "WEIGHT"))
-    v = v.withColumn("VALUE", F.when(F.col("FEATURE") == "HEIGHT", F.col("VALUE") * 2.54)
-                              .otherwise(F.col("VALUE") * 0.0283495231))
-    j = v.join(base.select("PID", "CPR_hash", "end"), "CPR_hash", "inner").where(F.col("TIMESTAMP") <= F.col("end"))
-    latest = j.groupBy(per, "FEATURE").agg(F.max_by("VALUE", F.struct("TIMESTAMP", "VALUE")).alias("VALUE"))
-    return latest.groupBy(per).pivot("FEATURE", ["HEIGHT", "WEIGHT"]).agg(F.first("VALUE"))
+              .withColumn("t", ts_column(vitals, "Registreringstidspunkt")) \
+              .where(F.col("VALUE").isNotNull() & F.col("t").isNotNull() & F.col("FEATURE").isin("HEIGHT", "WEIGHT"))
+    measured = v.select(
+        "CPR_hash", "t", F.lit(0).alias("kind"), F.col("VALUE").alias("tie"), F.lit(None).cast("bigint").alias("PID"),
+        F.when(F.col("FEATURE") == "HEIGHT", F.col("VALUE") * 2.54).alias("h"),
+        F.when(F.col("FEATURE") == "WEIGHT", F.col("VALUE") * 0.0283495231).alias("w"))
+    none = F.lit(None).cast("double")
+    ends = base.where(F.col("end").isNotNull()).select(
+        "CPR_hash", F.col("end").alias("t"), F.lit(1).alias("kind"), F.col("PID").cast("double").alias("tie"),
+        F.col("PID").cast("bigint").alias("PID"), none.alias("h"), none.alias("w"))
+    order = ["t", "kind", "tie"]
+    ranged = range_buckets(measured.unionByName(ends).where(F.col("CPR_hash").isNotNull()), ["CPR_hash", *order])
+    seen = ordered_scan(ranged, ["CPR_hash"], order, "__rb", last={"HEIGHT": "h", "WEIGHT": "w"})
+    return seen.where((F.col("kind") == 1) & (F.col("HEIGHT").isNotNull() | F.col("WEIGHT").isNotNull())) \
+               .select("PID", "HEIGHT", "WEIGHT")
 
 
 def add_to_base(base: DataFrame, vitals: DataFrame | None = None) -> DataFrame:

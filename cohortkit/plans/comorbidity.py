@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import strip_code_ends
-from ..operators.filters import active_at_index
+from ..operators.ordered import ordered_scan, range_buckets
 from ..functions.timefns import ts_column
 
 
@@ -103,27 +103,58 @@ def prefix_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "scheme string, cond string, prefix string")
 
 
-def pre_index_diagnoses(base: DataFrame, diagnoses: DataFrame) -> DataFrame:
-    """P8 + X11: diagnoses active at the index start, code ends stripped."""
-    d = diagnoses.withColumn("Noteret_dato", ts_column(diagnoses, "Noteret_dato")) \
-                 .withColumn("Løst_dato", ts_column(diagnoses, "Løst_dato"))
-    j = base.select("CPR_hash", "PID", "start").join(d, "CPR_hash", "inner")
-    j = j.where(active_at_index(F.col("Noteret_dato"), F.col("Løst_dato"), F.col("start")))
-    return j.select("PID", strip_code_ends(F.col("Diagnosekode")).alias("code"))
-
-
-def comorbidity_scores(codes_df: DataFrame) -> DataFrame:
-    """Per PID the 0/1 flags ``ELIX_*`` / ``CHAR_*`` (milder flag
-    zeroed when the severe one is set) and ``ASMT_ELIX`` /
-    ``ASMT_CHARLSON`` weighted sums.  Only PIDs with codes appear."""
-    spark = codes_df.sparkSession
+def condition_flags(diagnoses: DataFrame) -> DataFrame:
+    """X11 + prefix lookup: (CPR_hash, noted, resolved, flag) per diagnosis
+    and condition of its code; every diagnosis also has the flag ``ANY``."""
+    spark = diagnoses.sparkSession
     longest = max(len(p) for m in (CHARLSON, ELIXHAUSER) for _, s in m.values() for p in expand(s))
-    pref = codes_df.select("PID", "code", F.explode(F.sequence(F.lit(1), F.least(F.length("code"), F.lit(longest))))
-                           .alias("n")).select("PID", F.substring("code", F.lit(1), F.col("n")).alias("prefix"))
+    d = diagnoses.select("CPR_hash", ts_column(diagnoses, "Noteret_dato").alias("noted"),
+                         ts_column(diagnoses, "Løst_dato").alias("resolved"),
+                         strip_code_ends(F.col("Diagnosekode")).alias("code")).where(F.col("noted").isNotNull())
+    pref = d.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.greatest(F.length("code"), F.lit(1)), F.lit(longest))))) \
+            .withColumn("prefix", F.substring("code", F.lit(1), F.col("n")))
     hits = pref.join(F.broadcast(prefix_table(spark)), "prefix", "inner") \
-               .select("PID", F.concat_ws("_", "scheme", "cond").alias("flag")).distinct()
+               .select("CPR_hash", "noted", "resolved", F.concat_ws("_", "scheme", "cond").alias("flag"))
+    return hits.unionByName(d.select("CPR_hash", "noted", "resolved", F.lit("ANY").alias("flag")))
+
+
+def active_flags(base: DataFrame, diagnoses: DataFrame) -> DataFrame:
+    """Distinct (PID, flag) of the conditions active at the index start.
+
+    A diagnosis is active for starts from a day after it is noted to a day
+    before it is resolved.  Per (patient, condition) one ordered scan over
+    these bounds and the patient's starts counts what is open, so a
+    patient's diagnoses are never joined with each of its stays; a stay is
+    repeated once per condition of its patient (at most the length of the
+    condition list)."""
+    day = F.make_interval(days=F.lit(1))
+    f = condition_flags(diagnoses).withColumn("first", F.col("noted") + day).withColumn("last", F.col("resolved") - day)
+    f = f.where(F.col("last").isNull() | (F.col("last") >= F.col("first")))
+    no_pid = F.lit(None).cast("bigint").alias("PID")
+    opens = f.select("CPR_hash", "flag", F.col("first").alias("t"), F.lit(0).alias("kind"), no_pid, F.lit(1).alias("step"))
+    closes = f.where(F.col("last").isNotNull()).select(
+        "CPR_hash", "flag", F.col("last").alias("t"), F.lit(2).alias("kind"), no_pid, F.lit(-1).alias("step"))
+    known = f.groupBy("CPR_hash").agg(F.collect_set("flag").alias("flags"))
+    starts = base.where(F.col("start").isNotNull()).select("CPR_hash", "PID", "start").join(known, "CPR_hash").select(
+        "CPR_hash", F.explode("flags").alias("flag"), F.col("start").alias("t"), F.lit(1).alias("kind"),
+        F.col("PID").cast("bigint").alias("PID"), F.lit(0).alias("step"))
+    # events at one instant are added up first, so that the order is total
+    moves = opens.unionByName(closes).groupBy("CPR_hash", "flag", "t", "kind", "PID").agg(F.sum("step").alias("step"))
+    rows = moves.unionByName(starts.withColumn("step", F.col("step").cast("bigint"))) \
+                .withColumn("tie", F.coalesce("PID", F.lit(0)))
+    keys, order = ["CPR_hash", "flag"], ["t", "kind", "tie"]
+    seen = ordered_scan(range_buckets(rows, [*keys, *order]), keys, order, "__rb", cumsum={"open": "step"})
+    return seen.where((F.col("kind") == 1) & (F.col("open") > 0)).select("PID", "flag").distinct()
+
+
+def comorbidity_scores(flags: DataFrame) -> DataFrame:
+    """Per PID the 0/1 flags ``ELIX_*`` / ``CHAR_*`` (milder flag
+    zeroed when the severe one is set) and ``ASMT_ELIX`` /
+    ``ASMT_CHARLSON`` weighted sums, from (PID, flag).  Only PIDs with the
+    flag ``ANY``, i.e. any active diagnosis, appear."""
+    hits = flags.where(F.col("flag") != "ANY")
+    pids = flags.where(F.col("flag") == "ANY").select("PID")
     names = [f"ELIX_{c}" for c in ELIXHAUSER] + [f"CHAR_{c}" for c in CHARLSON]
-    pids = codes_df.select("PID").distinct()
     wide = pids.join(hits.groupBy("PID").pivot("flag", names).agg(F.lit(1)), "PID", "left")
     for n in names:
         wide = wide.withColumn(n, F.coalesce(F.col(n), F.lit(0)).cast("int"))
@@ -139,5 +170,5 @@ def comorbidity_scores(codes_df: DataFrame) -> DataFrame:
 def add_comorbidity(base: DataFrame, diagnoses: DataFrame) -> DataFrame:
     """Scores joined onto the base by PID; PIDs without pre-index
     diagnoses keep nulls."""
-    scores = comorbidity_scores(pre_index_diagnoses(base, diagnoses))
+    scores = comorbidity_scores(active_flags(base, diagnoses))
     return base.join(scores, "PID", "left")

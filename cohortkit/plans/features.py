@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefns import micros_sql
@@ -81,19 +81,35 @@ class AggregatedDataset:
 
 def cutoff_features(long: DataFrame, base: DataFrame, cutoffs_minutes: Sequence[int], concept: str,
                     agg_funcs: Sequence[str] = ("last", "mean", "count"), id_col: str = "PID") -> DataFrame:
-    """M11 input in one scan: each event is exploded to the cutoffs it
-    falls under (``TIMESTAMP <= start + cutoff``) and aggregated per
-    (cutoff, PID, FEATURE).  Output is long -- ``(masking_point, PID,
-    FEATURE, agg...)`` -- so no per-cutoff job or pivot is needed."""
+    """M11 input in one scan, long form ``(masking_point, PID, FEATURE,
+    agg...)`` over the events with ``TIMESTAMP <= start + cutoff``.
+
+    Each event is aggregated once, into the slot of the first cutoff that
+    takes it; a running combine over the slots of (PID, FEATURE) -- at most
+    one row per cutoff -- gives every cutoff's aggregate.  ``std`` and
+    ``median`` do not combine and are refused."""
     from ..functions.numeric import numeric_column
-    arr = F.array(*[F.lit(int(c)) for c in sorted(cutoffs_minutes)])
+    cuts = sorted({int(c) for c in cutoffs_minutes})
+    arr = F.array(*[F.lit(c) for c in cuts])
     j = long.join(base.select(id_col, "start"), id_col, "inner")
     off = F.expr(micros_sql("start", "TIMESTAMP")) / F.lit(60_000_000.0)
-    j = j.withColumn("__v", numeric_column(long, "VALUE")).where(F.col("__v").isNotNull()) \
-         .withColumn("masking_point", F.explode(F.filter(arr, lambda c: off <= c)))
     order = F.struct("TIMESTAMP", "__v")
-    aggs = {"first": F.min_by("__v", order), "last": F.max_by("__v", order), "mean": F.avg("__v"),
-            "min": F.min("__v"), "max": F.max("__v"), "std": F.stddev_samp("__v"),
-            "count": F.count("__v").cast("double"), "median": F.median("__v")}
-    return j.groupBy("masking_point", id_col, "FEATURE").agg(
-        *[aggs[a].cast("double").alias(a) for a in agg_funcs])
+    parts = {"first": F.min(order), "last": F.max(order), "total": F.sum("__v"), "min": F.min("__v"), "max": F.max("__v"),
+             "n": F.count("__v")}
+    needs = {"first": ["first"], "last": ["last"], "mean": ["total", "n"], "min": ["min"], "max": ["max"],
+             "count": ["n"], "sum": ["total"]}
+    if unknown := [a for a in agg_funcs if a not in needs]:
+        raise ValueError(f"{', '.join(unknown)} cannot be combined over cutoffs")
+    used = list(dict.fromkeys(p for a in agg_funcs for p in needs[a]))
+    slots = j.withColumn("__v", numeric_column(long, "VALUE")).where(F.col("__v").isNotNull()) \
+             .withColumn("__s", F.size(F.filter(arr, lambda c: c < off))).where(F.col("__s") < len(cuts)) \
+             .groupBy(id_col, "FEATURE", "__s").agg(*[parts[p].alias(f"__{p}") for p in used])
+    w = Window.partitionBy(id_col, "FEATURE").orderBy("__s")
+    combine = {"first": F.min, "last": F.max, "total": F.sum, "min": F.min, "max": F.max, "n": F.sum}
+    run = slots.select(id_col, "FEATURE", "__s", F.coalesce(F.lead("__s").over(w), F.lit(len(cuts))).alias("__next"),
+                       *[combine[p](f"__{p}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__{p}") for p in used])
+    out = {"first": "__first.__v", "last": "__last.__v", "min": "__min", "max": "__max", "count": "__n", "sum": "__total"}
+    value = {a: F.col("__total") / F.col("__n") if a == "mean" else F.col(out[a]) for a in agg_funcs}
+    return run.withColumn("__c", F.explode(F.sequence(F.col("__s"), F.col("__next") - 1))).select(
+        F.get(arr, F.col("__c")).alias("masking_point"), id_col, "FEATURE",
+        *[v.cast("double").alias(a) for a, v in value.items()])
