@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import strip_code_ends
 from ..operators.ordered import ordered_scan, range_buckets
+from ..session import cut_lineage
 from ..functions.timefns import ts_column
 
 
@@ -129,7 +130,7 @@ def active_flags(base: DataFrame, diagnoses: DataFrame) -> DataFrame:
     condition list)."""
     day = F.make_interval(days=F.lit(1))
     f = condition_flags(diagnoses).withColumn("first", F.col("noted") + day).withColumn("last", F.col("resolved") - day)
-    f = f.where(F.col("last").isNull() | (F.col("last") >= F.col("first")))
+    f = cut_lineage(f.where(F.col("last").isNull() | (F.col("last") >= F.col("first"))))  # read four times below
     no_pid = F.lit(None).cast("bigint").alias("PID")
     opens = f.select("CPR_hash", "flag", F.col("first").alias("t"), F.lit(0).alias("kind"), no_pid, F.lit(1).alias("step"))
     closes = f.where(F.col("last").isNotNull()).select(
