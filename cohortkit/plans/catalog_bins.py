@@ -3,6 +3,8 @@ aggregates, time steps and mortality masking."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,13 @@ from ..functions import codes
 from ..functions.timefns import mask_mortality, micros_between, micros_sql, step_to_time, time_thresholds, time_to_step
 from ..operators.aggregates import bin_aggregate, categorical_wide, numeric_wide
 from ..operators.filters import mask_after
-from ..operators.grid import assign_points, expand_intervals, make_bins
-from ..operators.joins import window_join
+from ..operators.grid import assign_points, check_bin_freqs, expand_intervals, make_bins
+from ..operators.joins import filter_by_time_window, window_join
+from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources.readers import get_concept
 from . import driver_tables as dt
-from .binning import map_concept
-from .catalog_ops import _sql_classify
+from .binning import map_concept, map_concepts
+from .catalog_ops import _LAB_INCLUDE, _LAB_MAP_SQL, _NUM_RE, _sql_classify
 from .catalog import BINS, SQL_BASE, SQL_WLONG, base, r6, register, sql_bins, windowed_long
 from .cohort import add_first_contacts
 
@@ -51,14 +55,18 @@ FROM kept GROUP BY PID""")(g1_k16_bins)
 
 
 def s12_bin_freqs(spark: SparkSession, sf: str) -> DataFrame:
+    """Bins per frequency; the check (S12) names the frequencies that no trajectory reaches."""
     bins = make_bins(base(spark, sf), BINS)
-    return bins.groupBy("bin_freq").agg(F.count(F.lit(1)).cast("bigint").alias("n_bins"),
-                                        F.min("bin_counter").alias("first_counter"))
+    missing = check_bin_freqs(bins, BINS)
+    found = bins.groupBy("bin_freq").agg(F.count(F.lit(1)).cast("bigint").alias("n_bins"),
+                                         F.min("bin_counter").alias("first_counter"))
+    unused = spark.createDataFrame([(f, 0, None) for f in missing], "bin_freq string, n_bins bigint, first_counter int")
+    return found.unionByName(unused)
 
 
 register("s12_bin_freqs", W(dt.SQL_ADT, SQL_BASE, sql_bins()) + """
-SELECT bin_freq, CAST(count(*) AS BIGINT) AS n_bins, min(bin_counter) AS first_counter FROM bins GROUP BY bin_freq""")(
-    s12_bin_freqs)
+SELECT lbl AS bin_freq, CAST(count(bin_freq) AS BIGINT) AS n_bins, min(bin_counter) AS first_counter
+FROM (SELECT DISTINCT lbl FROM spans) LEFT JOIN bins ON bin_freq = lbl GROUP BY lbl""")(s12_bin_freqs)
 
 
 # ---------------------------------------------------------------------------
@@ -399,6 +407,37 @@ JOIN bins bn ON w.PID = bn.PID AND w."TIMESTAMP" >= bn.bin_start AND w."TIMESTAM
 GROUP BY w.PID, bn.bin_counter, w.FEATURE""")(a4_bin_count)
 
 
+# ---------------------------------------------------------------------------
+# A raw concept table to the binned store in one call, and back
+# ---------------------------------------------------------------------------
+def k20_map_concepts(spark: SparkSession, sf: str) -> DataFrame:
+    b = cut_lineage(base(spark, sf))
+    labs = filter_by_time_window(b, dt.labs_raw(dt.read(spark, sf, "events")), "Prøvetagningstidspunkt", offset_days=0)
+    root = f"{ensure_checkpoint_dir(spark)}/k20-{uuid.uuid4().hex}"
+    cfg = {"bin_intervals": BINS, "agg_func": {"Labsvar": ["mean", "count"]}}
+    map_concepts({"Labsvar": labs}, b, cfg, out_root=root)
+    again = map_concepts({"Labsvar": labs.limit(0)}, b, cfg, out_root=root)  # everything is stored: read back
+    assert set(again) == {("Labsvar", "mean"), ("Labsvar", "count")}
+    stored = get_concept(spark.read.parquet(root), "Labsvar", ["mean", "count"])
+    mean, count = (stored[a].select("PID", "bin_counter", "FEATURE", r6("VALUE").alias("VALUE"), F.lit(a).alias("agg_func"))
+                   for a in ("mean", "count"))
+    return mean.unionByName(count)
+
+
+register("k20_map_concepts", W(dt.SQL_ADT, SQL_BASE, dt.SQL_LABS, sql_bins()) + f""",
+lw AS (SELECT DISTINCT l.*, b.PID FROM labs_raw l JOIN base b ON l.CPR_hash = b.CPR_hash
+       AND l."Prøvetagningstidspunkt" >= b.start AND l."Prøvetagningstidspunkt" <= b."end"),
+lc AS (SELECT PID, "Prøvetagningstidspunkt" AS t, BestOrd, replace(replace("Resultatværdi", ',', '.'), '*', '') AS raw FROM lw),
+lk AS (SELECT PID, t, CASE BestOrd {_LAB_MAP_SQL} ELSE BestOrd END AS f, regexp_replace(raw, '[*<>]', '', 'g') AS r FROM lc
+       WHERE raw IS NOT NULL AND regexp_matches(raw, '[0-9]') AND BestOrd IN ({_LAB_INCLUDE})),
+lv AS (SELECT PID, t, f, TRY_CAST(trim(r) AS DOUBLE) AS v FROM lk WHERE regexp_matches(r, '{_NUM_RE}')),
+placed AS (SELECT lv.PID, bn.bin_counter, f, v FROM lv JOIN bins bn ON lv.PID = bn.PID AND t >= bn.bin_start AND t < bn.bin_end
+           WHERE v IS NOT NULL)
+SELECT PID, bin_counter, f AS FEATURE, round(avg(v), 6) AS VALUE, 'mean' AS agg_func FROM placed GROUP BY PID, bin_counter, f
+UNION ALL
+SELECT PID, bin_counter, f, CAST(count(v) AS DOUBLE), 'count' FROM placed GROUP BY PID, bin_counter, f""")(k20_map_concepts)
+
+
 # ---------------------------------------------------------------------------
 # G1 (general): a grid whose bin sizes shrink -- segments folded per trajectory
 # ---------------------------------------------------------------------------
