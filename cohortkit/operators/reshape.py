@@ -118,10 +118,15 @@ def multi_hot_transform(df: DataFrame, vocabulary: DataFrame, sample_col: str, t
     return j.select(sample_col, "idx", "timestep").distinct()
 
 
-def multi_hot_dense(ones: DataFrame, sample_col: str, n_categories: int, seq_len: int) -> DataFrame:
+def multi_hot_dense(ones: DataFrame, sample_col: str, n_categories: int, seq_len: int,
+                    samples: DataFrame | None = None) -> DataFrame:
     """R8 (dense form): per sample an ``n_categories x seq_len`` 0/1 float
-    matrix (one row per sample; size bounded by the vocabulary)."""
+    matrix (one row per sample; size bounded by the vocabulary).  With
+    ``samples`` every one of them has a row, all zero if it has no ones."""
     cells = ones.groupBy(sample_col).agg(F.collect_set(F.col("idx") * seq_len + F.col("timestep")).alias("__on"))
+    if samples is not None:
+        cells = samples.select(sample_col).distinct().join(cells, sample_col, "left") \
+                       .withColumn("__on", F.coalesce("__on", F.array().cast("array<int>")))
     mat = F.transform(F.sequence(F.lit(0), F.lit(n_categories - 1)),
                       lambda i: F.transform(F.sequence(F.lit(0), F.lit(seq_len - 1)),
                                             lambda t: F.array_contains("__on", i * seq_len + t).cast("float")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.config import default_config
 from cohortkit.operators.aggregates import categorical_wide, numeric_wide
-from cohortkit.operators.reshape import numbered_pivot, numbered_rows
+from cohortkit.operators.reshape import multi_hot_dense, numbered_pivot, numbered_rows
 from cohortkit.operators.trajectories import build_trajectories
 from cohortkit.plans.binning import map_concepts
 from cohortkit.plans.concepts import collect_filter
@@ -75,3 +75,10 @@ def test_ties_have_one_order(spark):
 def test_poisson_weights_are_exact(spark):
     df = spark.createDataFrame([(0.0,), (0.36,), (0.37,), (0.99,), (0.9999999,), (1 - 2 ** -52,)], "u double")
     assert [r[0] for r in df.select(poisson_weight(F.col("u"))).collect()][:5] == [0, 0, 1, 4, 10]
+
+
+def test_dense_matrix_of_absent_samples(spark):
+    ones = spark.createDataFrame([(1, 0, 1)], "s long, idx int, timestep int")
+    samples = spark.createDataFrame([(1,), (2,)], "s long")
+    got = {r.s: r.multi_hot for r in multi_hot_dense(ones, "s", 2, 2, samples).collect()}
+    assert got == {1: [[0.0, 1.0], [0.0, 0.0]], 2: [[0.0, 0.0], [0.0, 0.0]]}
