@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from cohortkit.llm.common import stage
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+ROWS_PER_FILE = 500_000
+
+
+def _parts(rows: int) -> int:
+    """Files for a table of so many links; small tables of a long loop stay in a few."""
+    return rows // ROWS_PER_FILE + 4
+
+
+def _star(links: DataFrame, large: bool, parts: int) -> DataFrame:
     """Links (u, v) to (larger end, smallest neighbour).
 
     The smallest neighbour comes from a map-side combined minimum that is
@@ -19,14 +27,14 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     if not large:
         both = both.filter(F.col("v") < F.col("u"))
     least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("c"), F.least("m", "u").alias("m")), "star")
+        F.col("u").alias("c"), F.least("m", "u").alias("m")).coalesce(parts), "star")
     near = both.join(least, both["u"] == least["c"])
     if large:
         out = near.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = near.select("v", "m").unionByName(least.select(F.col("c").alias("v"), "m")).select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-    return stage(out.filter(F.col("u") > F.col("v")).distinct(), "links")
+    return stage(out.filter(F.col("u") > F.col("v")).distinct().coalesce(parts), "links")
 
 
 def _digest(links: DataFrame):
@@ -36,10 +44,10 @@ def _digest(links: DataFrame):
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (u, v); the component is its smallest id."""
     links = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                  .filter(F.col("u") > F.col("v")).distinct(), "links")
+                  .filter(F.col("u") > F.col("v")).distinct().coalesce(_parts(links.count())), "links")
     before = _digest(links)
     while before[0]:
-        links = _star(_star(links, True), False)
+        links = _star(_star(links, True, _parts(before[0])), False, _parts(before[0]))
         now = _digest(links)
         if now == before:
             break
