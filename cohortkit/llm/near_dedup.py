@@ -446,6 +446,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component."""
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    """The rows of ``docs`` with the smallest id of their component; each row is linked by its own text.
+
+    If the smallest id has several texts in a component, one of them stays;
+    repeated rows of one id and text stay together, as do rows with a null id.
+    """
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"))
+    mine = rows.filter(F.col(id_col).isNotNull()).select("__row", text_col, own.alias("own"))
+    found = near_duplicates(mine, "__row", text_col).select(F.col("__row").alias("__r"), "component_id")
+    named = mine.select("__row", "own")
+    named = stage(named.join(found, named["__row"] == found["__r"]).select("__row", "own", "component_id"), "near-named")
+    best = (named.groupBy("component_id").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+            .select(F.col("component_id").alias("__c"), "best"))
+    gone = named.join(best, named["component_id"] == best["__c"]).filter("own != best").select(F.col("__row").alias("__gone"))
+    return rows.join(gone, rows["__row"] == gone["__gone"], "left_anti").drop("__row")

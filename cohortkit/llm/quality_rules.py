@@ -128,10 +128,7 @@ def judge(docs: DataFrame, host: str = "source", id_col: str = "doc_id") -> Data
 
 
 def keep_good(docs: DataFrame, host: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with their own columns.
-
-    Rows that share an id are dropped if any of them is; rows with a null id
-    are judged under the null id.
-    """
-    bad = judge(docs, host, id_col).filter(~F.col("kept")).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of ``docs`` that are kept, with their own columns; each row goes by its own verdict, whatever its id."""
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "quality-rows")
+    bad = judge(rows, host, "__row").filter(~F.col("kept")).select(F.col("__row").alias("__bad"))
+    return rows.join(bad, rows["__row"] == bad["__bad"], "left_anti").drop("__row")

@@ -102,3 +102,15 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (5, 5)], "u long, v long")
     got = {r.id: r.component for r in components(links).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 3: 3, 7: 3}
+
+
+def test_each_row_goes_by_its_own_text(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, words(1)), (5, words(1)), (5, words(2)), (6, words(3)), (7, words(4)), (7, words(3) + " more"),
+            (8, words(5)), (8, words(5) + " more"), (9, words(5)), (None, words(1)), (5, None)]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in nd.keep_one(df).collect()]
+    eight = [t for i, t in got if i == 8]
+    assert len(eight) == 1 and eight[0] in (words(5), words(5) + " more")
+    assert sorted((i or 0, t or "") for i, t in got if i != 8) == sorted(
+        [(0, words(1)), (1, words(1)), (5, ""), (5, words(2)), (6, words(3)), (7, words(4))])

@@ -87,3 +87,11 @@ def test_salts_change_nothing(spark, monkeypatch, salts):
     monkeypatch.setattr(qr, "HOST_SALTS", salts)
     rows = frame(spark, [(i, "# " * 60, "s") for i in range(5)])
     assert {r.kept for r in qr.judge(rows).collect()} == {False}
+
+
+def test_each_row_goes_by_its_own_verdict(spark):
+    rnd = random.Random(8)
+    good = [clean(rnd) for _ in range(4)]
+    df = frame(spark, [(None, "short", "s"), (None, good[0], "s"), (None, good[1], None), (3, good[2], "s"), (3, "", "s"),
+                       (3, good[3], "s")])
+    assert sorted(r.text for r in qr.keep_good(df).collect()) == sorted(good)
