@@ -1,17 +1,22 @@
 """Language-model scoring by cross-entropy difference (target against background).
 
-Two bigram models of one form share one vocabulary of ``WORDS`` hashed token
-slots and ``PAIRS`` hashed pair slots; the background is counted over every
-document, the target over the documents of the target set.  Tasks count all
-their tokens into tables of that fixed size and send the used slots; slots are
-summed by a map-side combined aggregation, so what is gathered follows the
-corpus while the two models keep their size.  A token's probability is
+Two bigram models of one form over all words and bigrams of the corpus; the
+background is counted over every document, the target over the documents of the
+target set.  Words, contexts and bigrams are known by 63 bits of their hash, so
+each has a count of its own.  A token's probability is
 
-    L * pair / context + (1 - L) * (word + A) / (total + A * WORDS)
+    L * pair / context + (1 - L) * (word + A) / (total + A * V)
 
-with the same L and A in both models (the pair term is left out where the
-context was never seen), and a document's score is the mean over its tokens of
-the background's loss less the target's: higher is more like the target.
+with the same L, A and V in both models (the pair term is left out where the
+context was never seen); V is the number of distinct words of the corpus,
+``WORDS`` at least.  A document's score is the mean over its tokens of the
+background's loss less the target's: higher is more like the target.
+
+Nothing of the models is held whole.  Documents are dealt into blocks of about
+``BLOCK`` bytes.  Each block sends its distinct n-grams with their counts once,
+cut into ranges of the hash; the task of a range sums them over the blocks and
+sends each block the sums of its own n-grams, which score its documents.  An
+n-gram has one row per block however frequent it is, so no key is hot.
 
 Defined cases: a null or empty text has no tokens and the score 0; without
 target documents the target model is uniform; repeated rows count and are
@@ -25,111 +30,240 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import stage
+from cohortkit.llm.common import shuffle_parts, stage
 from cohortkit.llm.shingles import mix
 from cohortkit.llm.slots import token_hashes
 
-WORDS = 1 << 16
-PAIRS = 1 << 19
+WORDS = 1 << 16            # the context of a text's first token, and the least vocabulary of the smoothing
 LAMBDA = 0.6
 ADD = 0.5
 SLICE = 512                # texts of a batch worked on at once
+BLOCK = 8 << 20            # bytes of text whose n-grams are asked for together, about
 BROADCAST_IDS = 1 << 20    # target ids that may be broadcast; beyond it they are joined
 
+_ODD, _CONTEXT, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(1)
+
 
-def events(texts: list[str | None], words: int = WORDS, pairs: int = PAIRS):
-    """(word slots, context slots, pair slots, tokens per text) chunk by chunk; a text starts after slot ``words``."""
-    for hashes, counts in token_hashes(texts):
-        word = (hashes % np.uint64(words)).astype(np.int64)
-        before = np.concatenate(([words], word[:-1])) if len(word) else word
+def events(texts: list[str | None]):
+    """(words, contexts, pairs, tokens per text) chunk by chunk, as hashes; a text starts after context ``WORDS``."""
+    for word, counts in token_hashes(texts):
+        before = np.concatenate((np.array([WORDS], np.uint64), word[:-1])) if len(word) else word
         starts = (np.cumsum(counts) - counts)[counts > 0]
-        before[starts] = words
-        pair = (mix(before.astype(np.uint64) * np.uint64(1 << 32) + word.astype(np.uint64)) % np.uint64(pairs)).astype(np.int64)
-        yield word, before, pair, counts
+        before[starts] = WORDS
+        yield word, before, mix(before * _ODD + word), counts
+
+
+def _keys(word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of words (odd), contexts and pairs (even)."""
+    return word | _ONE, mix(before ^ _CONTEXT) & ~_ONE, pair & ~_ONE
+
 
+def _sums(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys and the sums of their counts."""
+    if not len(keys):
+        return keys, *counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], *(np.add.reduceat(c[order], first, dtype=c.dtype) for c in counts)
 
-def _count(batches: Iterator[pa.RecordBatch], words: int, pairs: int) -> Iterator[pa.RecordBatch]:
-    """Used slots of one task: words at 0, contexts after them, then pairs."""
-    size = 2 * words + 1 + pairs
-    both = np.zeros((2, size), np.int64)
+
+def _deal(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows with their block, their number in it and the bytes of their text."""
+    block, row, held = TaskContext.get().partitionId() << 32, 0, 0
     for batch in batches:
-        target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-        for at in range(0, batch.num_rows, SLICE):
-            texts = batch.column("text").slice(at, SLICE).to_pylist()
-            mine, done = target[at:at + SLICE], 0
-            for word, before, pair, counts in events(texts, words, pairs):
-                use = np.repeat(mine[done:done + len(counts)], counts)
-                done += len(counts)
-                for slot in (word, words + before, 2 * words + 1 + pair):
-                    both[0] += np.bincount(slot, minlength=size)
-                    both[1] += np.bincount(slot[use], minlength=size)
-    used = np.flatnonzero(both[0])
-    for at in range(0, len(used), 100_000):
-        part = used[at:at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(both[0][part]), pa.array(both[1][part])],
-                                         names=["slot", "background", "target"])
-
-
-class Model:
-    """Counts of one model and its loss per token."""
-
-    def __init__(self, counts: np.ndarray, words: int):
-        self.words = words
-        self.word, self.context, self.pair = np.split(counts.astype(np.float64), (words, 2 * words + 1))
-        self.total = self.word.sum()
-
-    def loss(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        base = (self.word[word] + ADD) / (self.total + ADD * self.words)
-        seen = self.context[before]
-        p = np.where(seen > 0, LAMBDA * np.minimum(1.0, self.pair[pair] / np.maximum(seen, 1)) + (1 - LAMBDA) * base, base)
-        return -np.log(p)
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        words: int = WORDS, pairs: int = PAIRS) -> tuple[Model, Model]:
-    """(target, background) models; ``target_ids`` has one column of ids."""
-    ids = stage(target_ids.toDF("__i").dropna().distinct(), "target-ids")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col(id_col).alias("__d"), F.col(text_col).cast("string").alias("text")).join(
-        side, F.col("__d") == F.col("__i"), "left").select("text", F.col("__i").isNotNull().alias("target"))
-    sums = (rows.mapInArrow(lambda it: _count(it, words, pairs), "slot int, background long, target long")
-            .groupBy("slot").agg(F.sum("background").alias("b"), F.sum("target").alias("t")))
-    tables = np.zeros((2, 2 * words + 1 + pairs), np.int64)
-    got = sums.toPandas()  # at most 2 * words + 1 + pairs rows
-    if len(got):
-        tables[0][got["slot"]], tables[1][got["slot"]] = got["t"], got["b"]
-    return Model(tables[0], words), Model(tables[1], words)
-
-
-def text_scores(texts: list[str | None], target: Model, background: Model, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and score of each text."""
-    n, scores = [], []
-    for word, before, pair, counts in events(texts, target.words, pairs):
-        diff = background.loss(word, before, pair) - target.loss(word, before, pair)
-        doc = np.repeat(np.arange(len(counts)), counts)
-        n.append(counts)
-        scores.append(np.bincount(doc, weights=diff, minlength=len(counts)) / np.maximum(counts, 1))
-    return (np.concatenate(n), np.concatenate(scores)) if n else (np.empty(0, np.int64), np.empty(0))
-
-
-def _score(batches: Iterator[pa.RecordBatch], held, pairs: int) -> Iterator[pa.RecordBatch]:
-    target, background = held.value
+        sizes = [len(t.as_py().encode()) if t.is_valid else 0 for t in batch.column("text")]
+        blocks, numbers = [], []
+        for s in sizes:
+            if held and held + s > size:
+                block, row, held = block + 1, 0, 0
+            blocks.append(block)
+            numbers.append(row)
+            row, held = row + 1, held + s
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in (blocks, numbers, sizes))],
+                                         names=[*batch.schema.names, "block", "row", "size"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(block, first row of the run, rows): at most SLICE following rows of a block; a run may go on over many of them."""
+    last = None
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
-            n, score = text_scores(part.column("text").to_pylist(), target, background, pairs)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int64)), pa.array(score)],
-                                             names=["id", "n_tokens", "score"])
+        block, row = batch.column("block").to_numpy(), batch.column("row").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(row) != 1)) + 1).tolist(), len(block)]
+        for a, b in zip(cuts, cuts[1:]):
+            for at in range(a, b, SLICE):
+                to = min(SLICE, b - at)
+                if last is None or (last[0], last[2]) != (block[at], row[at]):
+                    last = (int(block[at]), int(row[at]), 0)
+                last = (last[0], last[1], int(row[at]) + to)
+                yield last[0], last[1], batch.slice(at, to)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], words_only: bool):
+    """(block, first row, keys, background counts, target counts) of each run."""
+    now, held = None, []
+    for block, first, part in _runs(batches):
+        if (block, first) != now and held:
+            whole, held = [np.concatenate(c) for c in zip(*held)], []
+            yield *now, *_sums(*whole)
+            del whole
+        now = (block, first)
+        target, done = part.column("target").to_numpy(zero_copy_only=False).astype(np.uint32), 0
+        for word, before, pair, counts in events(part.column("text").to_pylist()):
+            use = np.repeat(target[done:done + len(counts)], counts)
+            done += len(counts)
+            for keys in _keys(word, before, pair)[:1 if words_only else 3]:
+                held.append(_sums(keys, np.ones(len(keys), np.uint32), use))
+    if held:
+        yield *now, *_sums(*map(np.concatenate, zip(*held)))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, _, keys, b, t in _counted(batches, True):
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(t.astype(np.int64))], names=["key", "b", "t"])
+
+
+PACKED = "part int, block long, row long, keys binary, b binary, t binary"
+ROWS = 1024  # packed rows of a batch
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Compressed numbers, all their lowest bytes first."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                      names=["part", "block", "row", "keys", "b", "t"])
+
+
+def _ask(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Each run's distinct n-grams, cut into ``parts`` ranges of the key; sorted keys as steps."""
+    edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    for block, row, keys, b, t in _counted(batches, False):
+        cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+        rows = [(k, block, row, _pack(np.diff(keys[x:y], prepend=np.uint64(0))), _pack(b[x:y]), _pack(t[x:y]))
+                for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+        for at in range(0, len(rows), ROWS):
+            yield _packed(rows[at:at + ROWS])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by range: the sums over all blocks of each run's n-grams, in the order of its keys."""
+    def answers(part: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for _, _, k, _, _ in held]
+        known, b, t = _sums(np.concatenate(keys), *(
+            np.concatenate([_unpack(x[c], np.uint32) for x in held]).astype(np.int64) for c in (3, 4)))
+        for at in range(0, len(held), ROWS):
+            out = []
+            for (block, row, *_), mine in zip(held[at:at + ROWS], keys[at:at + ROWS]):
+                place = np.searchsorted(known, mine)
+                out.append((part, block, row, None, _pack(b[place]), _pack(t[place])))
+            yield _packed(out)
+
+    now, held = None, []
+    for batch in batches:
+        for part, *rest in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "row", "keys", "b", "t"))):
+            if part != now and held:
+                yield from answers(now, held)
+                held = []
+            now = part
+            held.append(tuple(rest))
+    if held:
+        yield from answers(now, held)
+
+
+def _loss(word: np.ndarray, context: np.ndarray, pair: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+    base = (word + ADD) / (total + ADD * vocabulary)
+    p = np.where(context > 0, LAMBDA * np.minimum(1.0, pair / np.maximum(context, 1)) + (1 - LAMBDA) * base, base)
+    return -np.log(p)
+
+
+def _scored(parts: list[pa.RecordBatch], answers: list[tuple], totals: tuple[int, int], vocabulary: int) -> Iterator[pa.RecordBatch]:
+    """Scores of a run; its sorted distinct n-grams are those that it asked for."""
+    grams = [[(_keys(*g), counts) for *g, counts in events(part.column("text").to_pylist())] for part in parts]
+    keys = [_sums(k)[0] for part in grams for g, _ in part for k in g]
+    keys = _sums(np.concatenate(keys))[0]
+    b, t = (np.concatenate([_unpack(a[c], np.int64) for a in sorted(answers)] or [np.empty(0, np.int64)]) for c in (1, 2))
+    assert len(keys) == len(b) == len(t)
+    for part, texts in zip(parts, grams):
+        n, scores = [], []
+        for g, counts in texts:
+            at = [np.searchsorted(keys, k) for k in g]
+            diff = _loss(*(b[x] for x in at), totals[0], vocabulary) - _loss(*(t[x] for x in at), totals[1], vocabulary)
+            n.append(counts)
+            scores.append(np.bincount(np.repeat(np.arange(len(counts)), counts), weights=diff, minlength=len(counts))
+                          / np.maximum(counts, 1))
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.concatenate(n).astype(np.int64)),
+                                          pa.array(np.concatenate(scores))], names=["id", "n_tokens", "score"])
+
+
+def _score(batches: Iterator[pa.RecordBatch], totals: tuple[int, int], vocabulary: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, the answers before the texts, the texts by their number."""
+    now, answers, run, held = None, {}, None, []
+    for batch in batches:
+        block, row, kind = (batch.column(c).to_numpy() for c in ("block", "row", "kind"))
+        at = 0
+        while at < len(block):
+            if block[at] != now or kind[at] == 0:
+                if held:
+                    yield from _scored(held, answers.pop(run, []), totals, vocabulary)
+                    held = []
+                if block[at] != now:
+                    now, answers, run = block[at], {}, None
+            if kind[at] == 0:
+                answers.setdefault(int(row[at]), []).append(tuple(batch.column(c)[at].as_py() for c in ("part", "b", "t")))
+                at += 1
+                continue
+            if row[at] in answers and row[at] != run:
+                if held:
+                    yield from _scored(held, answers.pop(run, []), totals, vocabulary)
+                    held = []
+                run = int(row[at])
+            to = at + 1
+            while to < min(len(block), at + SLICE) and block[to] == now and row[to] not in answers:
+                to += 1
+            held.append(batch.slice(at, to - at).select(["id", "text"]))
+            at = to
+    if held:
+        yield from _scored(held, answers.pop(run, []), totals, vocabulary)
 
 
 def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          words: int = WORDS, pairs: int = PAIRS) -> DataFrame:
-    """id, n_tokens and score of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, target_ids, id_col, text_col, words, pairs))  # fixed size
+          block: int = BLOCK) -> DataFrame:
+    """id, n_tokens and score of every row; ``target_ids`` has one column of ids."""
+    spark = docs.sparkSession
+    ids = stage(target_ids.toDF("__i").dropna().distinct(), "target-ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(lambda it: _score(it, held, pairs), f"id {kind}, n_tokens long, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
+        side, F.col("id") == F.col("__i"), "left").select("id", "text", F.col("__i").isNotNull().alias("target"))
+    rows = stage(rows.mapInArrow(lambda it: _deal(it, block),
+                                 f"id {kind}, text string, target boolean, block long, row long, size long"), "blocks")
+    size = rows.agg(F.sum("size")).first()[0] or 0
+    use = rows.select("text", "target", "block", "row")
+    words = (use.mapInArrow(_words, "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+             .agg(F.count(F.lit(1)), F.sum("b"), F.sum("t")).first())
+    vocabulary, totals = max(WORDS, words[0]), (words[1] or 0, words[2] or 0)
+    parts, n = 1 + size // block, shuffle_parts(spark)
+    answers = (use.mapInArrow(lambda it: _ask(it, parts), PACKED).repartition(n, "part").sortWithinPartitions("part")
+               .mapInArrow(_answer, PACKED).drop("keys")
+               .select("block", F.lit(0).alias("kind"), "row", "part", "b", "t", F.lit(None).cast(kind).alias("id"),
+                       F.lit(None).cast("string").alias("text")))
+    none = F.lit(None).cast("binary")
+    texts = rows.select("block", F.lit(1).alias("kind"), "row", F.lit(None).cast("int").alias("part"), none.alias("b"),
+                        none.alias("t"), "id", "text")
+    return (answers.unionByName(texts).repartition(n, "block").sortWithinPartitions("block", "kind", "row")
+            .mapInArrow(lambda it: _score(it, totals, vocabulary), f"id {kind}, n_tokens long, score double")
             .withColumnRenamed("id", id_col))

@@ -71,3 +71,35 @@ def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(lm, "BROADCAST_IDS", 0)
     got = {r.doc_id: r.score for r in lm.score(frame(spark, TEXTS), spark.createDataFrame([(1,)], "i long")).collect()}
     assert got[1] == pytest.approx(brute(TEXTS, {1})[1][1], abs=1e-9)
+
+
+def test_rare_pairs_share_no_count(spark):
+    """More distinct words and pairs than any fixed table, against counters over the words themselves; small blocks."""
+    rnd = np.random.default_rng(6)
+    name = lambda k: "".join("abcdefghijklmnop"[(int(k) >> 4 * i) & 15] for i in range(6))
+    texts = {i: " ".join(name(k) for k in rnd.integers(0, 1 << 24, 4000)) + " the end the cat" for i in range(50)}
+    models = []
+    for use in (range(10), texts):
+        w, p = Counter(), Counter()
+        for i in use:
+            t = texts[i].split()
+            w.update(t)
+            p.update(zip(["", *t], t))
+        c = Counter()
+        for (a, _), n in p.items():
+            c[a] += n
+        models.append((w, c, p, sum(w.values())))
+    size = max(lm.WORDS, len(models[1][0]))
+    assert size > lm.WORDS
+
+    def loss(model, a, b):
+        w, c, p, total = model
+        base = (w[b] + lm.ADD) / (total + lm.ADD * size)
+        return -math.log(lm.LAMBDA * p[a, b] / c[a] + (1 - lm.LAMBDA) * base if c[a] else base)
+    ids = spark.createDataFrame([(i,) for i in range(10)], "i long")
+    got = lm.score(frame(spark, texts), ids, block=100_000).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id].split()
+        want = sum(loss(models[1], a, b) - loss(models[0], a, b) for a, b in zip(["", *t], t)) / len(t)
+        assert r.n_tokens == len(t) and r.score == pytest.approx(want, abs=1e-9)
