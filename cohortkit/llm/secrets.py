@@ -8,8 +8,8 @@ words and what stands between them, and features of the whole text.  The CRF is
 fitted on a bounded sample of texts whose base matches serve as tags
 (``SAMPLE_DOCS``, ``SAMPLE_CHAINS``); every text is scanned.
 
-Base spans are whole matches of the three patterns.  A CRF span that touches a
-base span is part of it and not listed again.  Offsets are code points, the end
+Base spans are whole matches of the three patterns.  Of a CRF span that reaches
+over a base span the parts outside are listed.  Offsets are code points, the end
 exclusive.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned
@@ -46,6 +46,9 @@ SAMPLE_DOCS = 20_000     # texts, chosen by a hash of the id, that the CRF is fi
 SAMPLE_CHAINS = 20_000   # chains among them, at most
 SAMPLE_LENGTH = 64       # tokens of a chain that the fit takes as one sequence
 MASK = "[SECRET]"
+_SPACE = " \t\n\r\"'"
+_EDGE = re.compile(f"[{_SPACE}]*")
+_WORD = re.compile(r"[A-Za-z0-9]")
 
 _VALUE = np.zeros(256, bool)
 _VALUE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
@@ -216,7 +219,7 @@ def scan_texts(texts: list[str | None], model: ChainCRF) -> list[list[tuple[int,
             for (k, spans, _), tags in zip(part, model.viterbi(np.array([c[2] for c in part]))):
                 if tags.any():
                     found[k] += _runs(spans, tags)
-    return [_join(f) for f in found]
+    return [_join(_outside(f, t)) if f else f for f, t in zip(found, texts)]
 
 
 def _runs(spans, tags) -> list[tuple[int, int, int]]:
@@ -229,6 +232,31 @@ def _runs(spans, tags) -> list[tuple[int, int, int]]:
     return [(a, 3, b) for a, b in out]
 
 
+def _outside(spans: list[tuple[int, int, int]], text: str) -> list[tuple[int, int, int]]:
+    """The base spans, and the parts of the CRF spans outside them that hold a token."""
+    base = sorted((a, b) for a, k, b in spans if k != 3)
+    if len(base) == len(spans):
+        return spans
+    out, i, reach = [s for s in spans if s[1] != 3], 0, 0
+    for start, end in sorted((a, b) for a, k, b in spans if k == 3):  # CRF spans don't overlap one another
+        at = max(start, min(reach, end))
+        while i < len(base) and base[i][0] < end:
+            out.append((at, 3, base[i][0]))
+            at = max(at, min(base[i][1], end))
+            reach = max(reach, base[i][1])
+            i += 1
+        out.append((at, 3, end))
+    trimmed = []
+    for a, k, b in out:
+        if k == 3:
+            part = text[a:b] if a < b else ""
+            if not _WORD.search(part):
+                continue
+            a, b = a + _EDGE.match(part).end(), a + len(part.rstrip(_SPACE))
+        trimmed.append((a, k, b))
+    return trimmed
+
+
 def _join(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Without CRF spans that touch a base span."""
     base = sorted(s for s in spans if s[1] != 3)

@@ -106,3 +106,30 @@ def test_spans_join():
     assert sc._join([(5, 0, 20), (0, 3, 3), (18, 3, 25), (20, 3, 22)]) == [(0, 3, 3), (5, 0, 20), (20, 3, 22)]
     assert sc.masked("a password=abcdefgh b", [(2, 0, 19)]) == "a password=[SECRET] b"
     assert sc.weak_tags([(0, 2), (3, 5), (9, 12)], [(0, 2, 6)]) == [1, 2, O]
+
+
+class _All:
+    """Tags every chain as one span."""
+
+    def viterbi(self, features):
+        return np.array([[1] + [2] * (features.shape[1] - 1)] * len(features))
+
+
+def test_parts_outside_base_spans_are_listed():
+    text = "AKIAABCDEFGHIJKL12/wJalrXUtnFEMI"
+    spans = sc.scan_text(text, _All())
+    assert spans == [(0, 1, 18), (18, 3, len(text))] and sc.masked(text, spans) == "[SECRET][SECRET]"
+    key, other = "0123456789abcdef" * 2, "Zz9Zz9Zz9"
+    text = f"{other} {key} {other}1"
+    spans = sc.scan_text(text, _All())
+    assert [(text[a:b], k) for a, k, b in spans] == [(other, 3), (key, 2), (other + "1", 3)]
+    assert sc.scan_text(f"{key}", _All()) == [(0, 2, 32)]
+    rnd = np.random.default_rng(2)
+    for _ in range(200):
+        t = "".join(rnd.choice([key, other, " ", " x1 ", "password=abcdefgh", "AKIA0123456789AB", "/", "é "]) for _ in range(6))
+        base, spans = sc.base_spans(t), sc.scan_text(t, _All())
+        assert [s for s in spans if s[1] != 3] == base
+        want = {i for c, _ in sc.text_chains(t) for i in range(c[0][0], c[-1][1]) if t[i].isascii() and t[i].isalnum()}
+        have = [i for a, _, b in spans for i in range(a, b)]
+        assert want <= set(have)
+        assert not {i for a, _, b in base for i in range(a, b)} & {i for a, k, b in spans if k == 3 for i in range(a, b)}
