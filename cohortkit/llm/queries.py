@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortkit.llm import classifier, decontaminate, lm_score, near_dedup, packing, quality_rules, secrets, suffix_dedup, token_counts, url_filter
+from cohortkit.llm import (classifier, clustering, conversations, decontaminate, lm_score, near_dedup, packing, quality_rules, secrets,
+                           suffix_dedup, token_counts, url_filter)
 from cohortkit.llm.common import read_table, stage, stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +174,85 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit("3", deletes=stage(token_counts.exact_copies(docs), "copies"))
     store.commit("2", docs, versions=["byte_bpe_50k"])
     return store.totals()
+
+
+def kmeans_sql(k: int = clustering.K, rounds: int = clustering.ROUNDS) -> str:
+    """Plain k-means in long form; 64 components, 1024 and the seed 3 are the fixed values of the contract."""
+    parts = ["""v0 AS (SELECT row_number() OVER () AS rid, vec_id, embedding AS e FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    v AS MATERIALIZED (SELECT rid, unnest(range(1, 65)) AS j, floor(1024 * unnest(e)::DOUBLE)::BIGINT AS x FROM v0)""",
+             f"""c0 AS MATERIALIZED (SELECT k, j, x FROM v JOIN (
+        SELECT rid, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM v0) USING (rid) WHERE k < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT rid, min(struct_pack(d := d, k := k)) AS m FROM (
+        SELECT rid, k, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{i} c USING (j) GROUP BY rid, k) GROUP BY rid)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.k, c.j, coalesce((s - ((s % n) + n) % n) // n, c.x)::BIGINT AS x FROM c{i} c LEFT JOIN (
+        SELECT m.k AS k, j, sum(x) AS s, count(*) AS n FROM a{i} JOIN v USING (rid) GROUP BY ALL) t ON c.k = t.k AND c.j = t.j)""")
+    return f"""WITH {", ".join(parts)},
+    h AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+    SELECT vec_id, k::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+           (sum(m.d) OVER ())::BIGINT AS inertia, centroid_sha256
+    FROM a{rounds} JOIN v0 USING (rid) JOIN h ON m.k = h.k"""
+
+
+@query("op12_centroid_clustering", kmeans_sql())
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+# Damage kinds, costs, pattern and white space are the fixed values of the contract; every row extends the cheapest
+# (cost, audit) of each state, a plain forward table beside the library's divide and conquer.
+SQL_REPAIR = r"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS ck FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(ck, ''),
+            lambda b: [ord(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END),
+        4294967295) % 20 AS kind FROM raw),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key, copy) AS i
+        FROM (SELECT *, md5(strlen(role)::VARCHAR || ':' || role || ':' || text) AS key FROM hurt)),
+f AS MATERIALIZED (SELECT conv_id, turn, i, role, text, substr(role, 1, 1) AS ini,
+        CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+             WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+             WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE 'fine' END AS fault FROM placed),
+ins(p, x, c, a, r) AS (VALUES (0, 0, 0, '', []), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']),
+        (1, 1, 0, '', []), (1, 2, 2, 'I', ['user:']), (1, 3, 4, 'II', ['user:', 'assistant:']),
+        (2, 2, 0, '', []), (2, 3, 2, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 2, 'I', ['user:'])),
+op(l, ini, x, y, c, r) AS (VALUES ('D', NULL, 0, 0, 3, NULL), ('D', NULL, 1, 1, 3, NULL), ('D', NULL, 2, 2, 3, NULL), ('D', NULL, 3, 3, 3, NULL),
+        ('R', NULL, 0, 2, 2, 'user:'), ('R', NULL, 1, 2, 2, 'user:'), ('R', NULL, 2, 3, 2, 'assistant:'), ('R', NULL, 3, 2, 2, 'user:'),
+        ('K', 's', 0, 1, 0, NULL), ('K', 'u', 0, 2, 0, NULL), ('K', 'u', 1, 2, 0, NULL), ('K', 'u', 3, 2, 0, NULL), ('K', 'a', 2, 3, 0, NULL)),
+dp AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, struct_pack(c := 0, a := '', r := []::VARCHAR[]) AS w FROM (SELECT DISTINCT conv_id FROM f)
+       UNION ALL
+       SELECT conv_id, i, q, min(w) FROM (
+         SELECT dp.conv_id, f.i, op.y AS q, struct_pack(
+              c := dp.w.c + ins.c + op.c + CASE WHEN op.l <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END,
+              a := dp.w.a || ins.a || op.l,
+              r := list_concat(dp.w.r, list_concat(ins.r, CASE op.l WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text]
+                                                          ELSE [op.r || f.text] END))) AS w
+         FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1
+         JOIN ins ON ins.p = dp.q JOIN op ON op.x = ins.x AND (op.ini IS NULL OR op.ini = f.ini)
+              AND (op.l = 'D' OR f.fault NOT IN ('blank', 'duplicate'))) GROUP BY conv_id, i, q),
+n AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated FROM f GROUP BY conv_id),
+bad AS (SELECT conv_id, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (
+             SELECT conv_id, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM f) GROUP BY conv_id),
+fin AS (SELECT dp.conv_id, min(struct_pack(c := dp.w.c + ins.c, a := dp.w.a || ins.a, r := list_concat(dp.w.r, ins.r))) AS w
+        FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i JOIN ins ON ins.p = dp.q AND ins.x IN (0, 3)
+        GROUP BY dp.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.c, 0)::BIGINT AS cost,
+       coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(w.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN bad ON bad.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query("op13_conversation_repair", SQL_REPAIR)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversations.digest(conversations.repair(conversations.damage(rows)), rows)
