@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortkit.llm import (classifier, clustering, conversations, decontaminate, lm_score, near_dedup, packing, quality_rules, secrets,
-                           suffix_dedup, token_counts, url_filter)
+from cohortkit.llm import (classifier, clustering, conversations, decontaminate, lm_score, near_dedup, packing, quality_rules, reference_dedup,
+                           secrets, suffix_dedup, token_counts, url_filter)
 from cohortkit.llm.common import read_table, stage, stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +176,26 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+# The 50-word window and white space are the fixed values of the contract.
+SQL_PASSAGES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT rid, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g
+        FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+firsts AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g),
+gone AS (SELECT DISTINCT rid, i + o AS i FROM (SELECT rid, i FROM win JOIN firsts USING (g) WHERE first < doc_id), range(0, 50) AS s(o)),
+lists AS (SELECT rid, count(*) AS n, list(i) AS at FROM gone GROUP BY rid),
+words AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS k FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN lists USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
+@query("op11_reference_dedup", SQL_PASSAGES)
+def op11_reference_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reference_dedup.remove_passages(read_table(spark, sf_dir, "documents"))
+
+
 def kmeans_sql(k: int = clustering.K, rounds: int = clustering.ROUNDS) -> str:
     """Plain k-means in long form; 64 components, 1024 and the seed 3 are the fixed values of the contract."""
     parts = ["""v0 AS (SELECT row_number() OVER () AS rid, vec_id, embedding AS e FROM embeddings
@@ -216,9 +236,11 @@ hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS r
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key, copy) AS i
         FROM (SELECT *, md5(strlen(role)::VARCHAR || ':' || role || ':' || text) AS key FROM hurt)),
 f AS MATERIALIZED (SELECT conv_id, turn, i, role, text, substr(role, 1, 1) AS ini,
-        CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+        CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-             WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE 'fine' END AS fault FROM placed),
+             WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE 'fine' END AS fault FROM placed),
 ins(p, x, c, a, r) AS (VALUES (0, 0, 0, '', []), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']),
         (1, 1, 0, '', []), (1, 2, 2, 'I', ['user:']), (1, 3, 4, 'II', ['user:', 'assistant:']),
         (2, 2, 0, '', []), (2, 3, 2, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 2, 'I', ['user:'])),

@@ -32,8 +32,8 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of all texts in order, and the number of words of each text."""
+def word_hashes(texts: list[bytes], table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of all texts in order, and the number of words of each text; ``table`` has a number per byte."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     white = _WHITE[raw]
     begins = ~white
@@ -45,7 +45,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), counts
     which = np.cumsum(begins) - 1
     inside = np.arange(len(raw)) - start[np.maximum(which, 0)]
-    part = np.where(white, np.uint64(0), _BYTE[raw])
+    part = np.where(white, np.uint64(0), table[raw])
     size = np.add.reduceat(~white, start, dtype=np.int64)
     part *= _powers(int(inside.max(initial=0)) + 1)[np.maximum(inside, 0)]
     return mix(np.add.reduceat(part, start) + size.astype(np.uint64) * _STEP), counts
