@@ -8,7 +8,7 @@
    A node of at most ``NODE`` classes is a leaf.  Deeper than ``DEPTH`` a large
    node is cut into blocks and every pair of blocks is a leaf.
 3. A leaf compares all its classes by one-byte sketches.  First, in a few
-   trees, each class offers its smallest similar neighbours; offered links are confirmed on the
+   trees, each class offers its smallest similar neighbours, once a leaf; offered links are confirmed on the
    full shingle sets and joined into components.  Then the leaves of all trees name the
    classes that are similar to one of another component; these get a longer
    sketch and their shingle sets, and each leaf confirms the pairs that the
@@ -17,9 +17,9 @@
    and a group a little below the bound sends its members' sets and no pairs.
 4. Confirmed links give the components of the classes, then of the documents.
 
-A pair of similarity 0.75 shares a leaf with probability above 0.5 per tree even if
-every level down to ``DEPTH`` is branched, so 16 trees miss fewer than 1 in
-10,000 such pairs; both sketch bounds are four standard deviations below 0.75.
+A pair of similarity 0.75 shares a leaf with probability 0.45 per tree if three
+levels are branched, so 16 trees miss about 7 in 100,000 such pairs; all trees
+read one sketch, whose bound drops about as many more.  Closer pairs are missed far less often.
 
 Defined cases: a null or empty text has no shingles and is a component of its
 own, as is a row with a null id; rows of one id count as one document if their
@@ -218,7 +218,10 @@ PAIRS = 1 << 16       # pairs compared at once
 
 
 def _offers(batches: Iterator[pa.RecordBatch], percent: int, pick) -> Iterator[pa.RecordBatch]:
-    """What ``pick`` takes from the similar pairs of each leaf (rows sorted by node and id)."""
+    """What ``pick`` takes from the similar pairs of each leaf (rows sorted by node and id).
+
+    ``pick(t)`` gathers pairs and gives its rows once all pairs of a leaf are
+    in: their number is bounded by the leaf's classes, not by its pairs."""
     for t in _whole_groups(batches, "node"):
         node, ids, n = (t.column(c).to_numpy() for c in ("node", "id", "n"))
         comp = t.column("comp").to_numpy() if "comp" in t.column_names else None
@@ -232,6 +235,7 @@ def _offers(batches: Iterator[pa.RecordBatch], percent: int, pick) -> Iterator[p
             many = max(1, PAIRS // len(i))
             for at in range(0, len(groups), many):
                 base = groups[at:at + many, None]
+                taken = pick(t)
                 for lo in range(0, len(i), PAIRS):    # one large group is compared in parts
                     a, b = (base + i[lo:lo + PAIRS]).ravel(), (base + j[lo:lo + PAIRS]).ravel()
                     use = (ids[a] != ids[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
@@ -241,17 +245,27 @@ def _offers(batches: Iterator[pa.RecordBatch], percent: int, pick) -> Iterator[p
                     share = (data[a] == data[b]).mean(axis=1) if len(a) else np.empty(0)
                     near = share >= SKETCH
                     if near.any():
-                        yield pick(t, ids, node, a[near], b[near], share[near])
+                        taken.add(a[near], b[near], share[near])
+                if (out := taken.rows()).num_rows:
+                    yield out
 
 
-def _neighbours(t, ids, node, a, b, share) -> pa.RecordBatch:
+class _Neighbours:
     """Each class's smallest similar and smallest very similar neighbour, unless an earlier tree had the two together."""
-    keep = np.zeros(len(a), bool)
-    for level in (share >= SKETCH, share >= STRONG):
-        at = np.flatnonzero(level)
-        keep[at[np.unique(a[at], return_index=True)[1]]] = True
-    keep[keep] = _unseen(t, a[keep], b[keep])
-    return pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]])], names=["u", "v"])
+
+    def __init__(self, t):
+        self.t, self.best = t, np.full((2, t.num_rows), t.num_rows)
+
+    def add(self, a, b, share) -> None:
+        for best, level in zip(self.best, (share >= SKETCH, share >= STRONG)):
+            np.minimum.at(best, a[level], b[level])  # the rows of a leaf are sorted by id
+
+    def rows(self) -> pa.RecordBatch:
+        ids = self.t.column("id").to_numpy()
+        found = [(a := np.flatnonzero(best < self.t.num_rows), best[a]) for best in self.best]
+        a, b = np.unique(np.concatenate([np.stack(f) for f in found], axis=1), axis=1)
+        keep = _unseen(self.t, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]])], names=["u", "v"])
 
 
 def _unseen(t, a, b) -> np.ndarray:
@@ -263,44 +277,61 @@ def _unseen(t, a, b) -> np.ndarray:
     return ~((roots[a] == roots[b]) & bits[a] & bits[b]).any(axis=1)
 
 
-def _members(t, ids, node, a, b, share) -> pa.RecordBatch:
+class _Members:
     """The classes of a leaf that are in any pair that is looked at there."""
-    use = _unseen(t, a, b)
-    a, b = a[use], b[use]
-    at = np.unique(np.concatenate((a, b)))
-    return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(ids[at]), pa.array(t.column("tree").to_numpy()[at])],
-                                      names=["node", "id", "tree"])
-
-
-def _confirmed(t, ids, node, a, b, share, percent: int) -> pa.RecordBatch:
-    """Links between components of a leaf: pairs that the longer sketch shows as similar, confirmed on the full sets."""
-    use = _unseen(t, a, b)
-    a, b = a[use], b[use]
-    if not len(a):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["u", "v"])
-    at = np.unique(np.concatenate((a, b)))
-    data = _matrix(t.column("long").take(pa.array(at)), width=LONG)
-    a, b = np.searchsorted(at, a), np.searchsorted(at, b)
-    near = np.concatenate([(data[a[k:k + 4096]] == data[b[k:k + 4096]]).mean(axis=1) >= LONG_SHARE
-                           for k in range(0, len(a), 4096)])
-    need = np.unique(np.concatenate((a[near], b[near])))
-    sets = {k: np.frombuffer(raw, np.uint64) for k, raw in zip(
-        need.tolist(), t.column("shingles").take(pa.array(at[need])).to_pylist())}
-    comp = t.column("comp").to_numpy()[at]
-    now = {c: c for c in comp.tolist()}
-
-    def top(c):
-        while now[c] != c:
+
+    def __init__(self, t):
+        self.t, self.use = t, np.zeros(t.num_rows, bool)
+
+    def add(self, a, b, share) -> None:
+        use = _unseen(self.t, a, b)
+        self.use[a[use]] = self.use[b[use]] = True
+
+    def rows(self) -> pa.RecordBatch:
+        at = np.flatnonzero(self.use)
+        return pa.RecordBatch.from_arrays([pa.array(self.t.column(c).to_numpy()[at]) for c in ("node", "id", "tree")],
+                                          names=["node", "id", "tree"])
+
+
+class _Confirmed:
+    """Links between components of a leaf: pairs that the longer sketch shows as similar, confirmed on the full sets.
+
+    Components that a link has joined need no second one, so a leaf gives fewer links than it has components."""
+
+    def __init__(self, t, percent: int):
+        self.t, self.percent, self.links = t, percent, []
+        self.comp = t.column("comp").to_numpy()
+        self.now: dict[int, int] = {}
+
+    def _top(self, c: int) -> int:
+        now = self.now
+        while now.setdefault(c, c) != c:
             now[c] = c = now[now[c]]
         return c
-    us, vs = [], []
-    for i, j in zip(a[near].tolist(), b[near].tolist()):
-        x, y = top(int(comp[i])), top(int(comp[j]))
-        if x != y and _similar_sets(sets[i], sets[j], percent):
-            now[max(x, y)] = min(x, y)
-            us.append(int(ids[at[i]]))
-            vs.append(int(ids[at[j]]))
-    return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    def add(self, a, b, share) -> None:
+        use = _unseen(self.t, a, b)
+        a, b = a[use], b[use]
+        if not len(a):
+            return
+        at = np.unique(np.concatenate((a, b)))
+        data = _matrix(self.t.column("long").take(pa.array(at)), width=LONG)
+        a, b = np.searchsorted(at, a), np.searchsorted(at, b)
+        near = np.concatenate([(data[a[k:k + 4096]] == data[b[k:k + 4096]]).mean(axis=1) >= LONG_SHARE
+                               for k in range(0, len(a), 4096)])
+        need = np.unique(np.concatenate((a[near], b[near])))
+        sets = {k: np.frombuffer(raw, np.uint64) for k, raw in zip(
+            need.tolist(), self.t.column("shingles").take(pa.array(at[need])).to_pylist())}
+        for i, j in zip(a[near].tolist(), b[near].tolist()):
+            x, y = self._top(int(self.comp[at[i]])), self._top(int(self.comp[at[j]]))
+            if x != y and _similar_sets(sets[i], sets[j], self.percent):
+                self.now[max(x, y)] = min(x, y)
+                self.links.append((at[i], at[j]))
+
+    def rows(self) -> pa.RecordBatch:
+        ids = self.t.column("id").to_numpy()
+        at = np.array(self.links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], names=["u", "v"])
 
 
 def _similar_sets(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -420,18 +451,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a few trees join most copies; the pairs that are still apart are looked for in all of them
     some = found.filter(F.col("tree") % trees < FIRST_TREES)
     first = stage(_leaf_rows(some, classes, masks).mapInArrow(
-        lambda it: _offers(it, percent, _neighbours), "u long, v long").distinct().coalesce(parts), "offers")
+        lambda it: _offers(it, percent, _Neighbours), "u long, v long").distinct().coalesce(parts), "offers")
     links = stage(confirm(first, docs, id_col, text_col, words, percent), "confirmed")
     comp = stage(components(links).coalesce(parts), "components")
     # similar pairs in two components: the long way, for their members alone
     open_ = stage(_leaf_rows(found, classes, masks, comp).mapInArrow(
-        lambda it: _offers(it, percent, _members), "node long, id long, tree int").distinct().coalesce(parts), "open")
+        lambda it: _offers(it, percent, _Members), "node long, id long, tree int").distinct().coalesce(parts), "open")
     if not open_.isEmpty():
         ids = stage(open_.select(F.col("id").alias("__i")).distinct().coalesce(parts), "open-ids")
         long = stage(_some_texts(docs, ids, id_col, text_col).mapInArrow(
             lambda it: _long_sketch(it, words), "id long, long binary, shingles binary").dropDuplicates(["id"]), "long")
         more = stage(_leaf_rows(open_, classes, masks, comp, long).mapInArrow(
-            lambda it: _offers(it, percent, partial(_confirmed, percent=percent)), "u long, v long")
+            lambda it: _offers(it, percent, partial(_Confirmed, percent=percent)), "u long, v long")
             .distinct().coalesce(parts), "confirmed")
         if not more.isEmpty():
             comp = stage(components(links.unionByName(more)).coalesce(parts), "components")
@@ -446,18 +477,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component; each row is linked by its own text.
+    """One row of each component of ``docs``: one with the smallest id; each row is linked by its own text.
 
-    If the smallest id has several texts in a component, one of them stays;
-    repeated rows of one id and text stay together, as do rows with a null id.
+    If the smallest id has several rows in a component, repeated ones or with
+    other texts, the one with the least hash of its text stays; rows with a
+    null id stay, as they have no component.
     """
-    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"))
-    mine = rows.filter(F.col(id_col).isNotNull()).select("__row", text_col, own.alias("own"))
-    found = near_duplicates(mine, "__row", text_col).select(F.col("__row").alias("__r"), "component_id")
-    named = mine.select("__row", "own")
-    named = stage(named.join(found, named["__row"] == found["__r"]).select("__row", "own", "component_id"), "near-named")
+    row = next(n for n in (f"__row{'_' * k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"), F.col(row).alias("row"))
+    mine = rows.filter(F.col(id_col).isNotNull()).select(F.col(row).alias("near_row"), F.col(text_col).alias("near_text"), own.alias("own"))
+    found = near_duplicates(mine, "near_row", "near_text").select(F.col("near_row").alias("__r"), "component_id")
+    named = mine.select("near_row", "own")
+    named = stage(named.join(found, named["near_row"] == found["__r"]).select("near_row", "own", "component_id"), "near-named")
     best = (named.groupBy("component_id").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
             .select(F.col("component_id").alias("__c"), "best"))
-    gone = named.join(best, named["component_id"] == best["__c"]).filter("own != best").select(F.col("__row").alias("__gone"))
-    return rows.join(gone, rows["__row"] == gone["__gone"], "left_anti").drop("__row")
+    gone = named.join(best, named["component_id"] == best["__c"]).filter("own != best").select(F.col("near_row").alias("__gone"))
+    return rows.join(gone, rows[row] == gone["__gone"], "left_anti").select(*docs.columns)

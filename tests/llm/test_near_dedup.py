@@ -1,6 +1,9 @@
 import random
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -95,7 +98,25 @@ def test_edge_tables(spark):
     assert rows == [(0, None, True), (2, 2, True), (2, 2, True), (9, 2, False)]
     assert nd.near_duplicates(df.limit(0)).count() == 0
     kept = nd.keep_one(df)
-    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 2]
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("size", [300, 2000])
+def test_a_leaf_offers_each_class_once(size):
+    """All classes of a leaf similar and still apart: rows grow with the classes, not with the pairs."""
+    sets = [np.arange(100, dtype=np.uint64) * np.uint64(7919) + np.uint64(k < 0) for k in range(size)]
+    data = np.random.default_rng(1).integers(0, 256, nd.COORDS, dtype=np.uint8).tobytes()
+    long = nd.minwise(sets[:1], nd.COORDS, nd.LONG).astype(np.uint8).tobytes()
+    ids = np.arange(size)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(size, np.int64)), pa.array(ids), pa.array(np.full(size, 100)), pa.array([data] * size), pa.array(np.zeros(size, np.int32)),
+         pa.array([k.to_bytes(4, "little") * nd.TREES for k in range(size)]), pa.array(np.zeros(size, np.int64)), pa.array(ids),
+         pa.array([long] * size), pa.array([s.tobytes() for s in sets])],
+        names=["node", "id", "n", "bytes", "tree", "roots", "mask", "comp", "long", "shingles"])
+    rows = lambda pick: sum(b.num_rows for b in nd._offers(iter([batch]), nd.PERCENT, pick))
+    assert rows(nd._Members) == size
+    assert rows(nd._Neighbours) == size - 1
+    assert rows(partial(nd._Confirmed, percent=nd.PERCENT)) == size - 1
 
 
 def test_components_of_a_long_chain(spark):
