@@ -50,14 +50,15 @@ class Block:
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int):
         self.code: dict[bytes, int] = {}
+        self.ids = [item for item, _ in items]
         by: dict[int, tuple[list, list]] = {}
-        for item, text in items:
+        for at, (_, text) in enumerate(items):
             codes = [self.code.setdefault(w, len(self.code) + 1) for w in words(text)]
             size = min(window, len(codes))
             if size:
                 lines, ids = by.setdefault(size, ([], []))
                 lines += [codes[i:i + size] for i in range(len(codes) - size + 1)]
-                ids += [-1 if item is None else item] * (len(codes) - size + 1)
+                ids += [at] * (len(codes) - size + 1)
         self.windows = {k: (np.array(a, np.int64), np.array(b, np.int64)) for k, (a, b) in by.items()}
         self.shortest = min(by, default=0)
 
@@ -98,7 +99,7 @@ def find(codes: list[np.ndarray], block: Block) -> dict[int, tuple[set[int], lis
     out: dict[int, tuple[set[int], list[list[int]]]] = {}
     for d, a, b, item in hits.T.tolist():
         items, spans = out.setdefault(d, (set(), []))
-        items.add(item)
+        items.add(block.ids[item])
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
@@ -130,7 +131,7 @@ def _search(batches: Iterator[pa.RecordBatch], block: Block, keep: list[str], ag
                 if old:
                     at = len(items)
                     a, b = a | set(old[0][at].as_py()), merge(b + old[1][at].as_py())
-                items.append(sorted(a))
+                items.append(sorted(a, key=lambda x: (x is not None, x)))
                 spans.append(b)
 
         shard, held = [], 0
@@ -170,14 +171,14 @@ def _found(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
 
 def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", window: int = WINDOW,
            block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keep`` of every row, n_words, items (sorted ids, -1 for a null id) and spans (word [start, end) pairs)."""
+    """``keep`` of every row, n_words, items (sorted ids, a null id first) and spans (word [start, end) pairs)."""
     rows = _found(docs, benchmark, keep, text_col, window, block_bytes)
     return rows.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], "n_words", "items", "spans")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts, the hash of the item list and the verdict of every row of ``search``."""
-    ids = F.filter("items", lambda x: x >= 0)
+    ids = F.filter("items", lambda x: x.isNotNull())
     return found.select(
         id_col, "n_words",
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0]).alias("n_hit"),

@@ -127,7 +127,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, key = doc[order], key[order]
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
             n = np.diff(np.append(np.flatnonzero(new), len(new)))
-            out.append((key[new], np.array(t1, np.int64).astype(np.int32)[doc[new]], (n > 1).astype(np.int8)))
+            out.append((key[new], np.array(t1, np.int64)[doc[new]], (n > 1).astype(np.int8)))
         if out:
             key, tag, many = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tag), pa.array(many)],
@@ -291,7 +291,7 @@ def _not_first(rows: DataFrame, name: list[str], order: list[str]) -> DataFrame:
 
 def _shared_keys(texts: DataFrame) -> DataFrame:
     """Anchor hashes that two different texts have, or one text twice."""
-    rows = texts.mapInArrow(_keys, "key long, tag int, many byte")
+    rows = texts.mapInArrow(_keys, "key long, tag long, many byte")
     return stage(rows.groupBy("key").agg(F.min("tag").alias("a"), F.max("tag").alias("b"), F.max("many").alias("m"))
                  .filter("a <> b or m > 0").select("key"), "keys")
 

@@ -49,10 +49,12 @@ def _case():
     rnd = random.Random(5)
     word = lambda: rnd.choice(["a", "b", "cc", "Dd", "é", "9"])
     items = [(i, " ".join(word() for _ in range(rnd.randint(1, 16)))) for i in range(12)]
-    items += [(50, None), (51, ""), (52, "..."), (None, "null id item words are here"), (3, items[3][1])]
+    items += [(50, None), (51, ""), (52, "..."), (None, "null id item words are here"), (3, items[3][1]),
+              (-7, "an id below nothing"), (-1, "another id below nothing"), (-(1 << 63), "the least id of all")]
     docs = [(i, ", ".join(word() for _ in range(rnd.randint(0, 60)))) for i in range(40)]
     docs += [(100, None), (101, ""), (102, "x y " + items[4][1] + "! z " + items[4][1]), (103, "null id item words are here"),
-             (104, "a " * 30000), (103, "null id item words are here")]
+             (104, "a " * 30000), (103, "null id item words are here"),
+             (105, "an id below nothing, another id below nothing"), (106, "the least id of all; null id item words are here")]
     return docs, items
 
 
@@ -67,7 +69,7 @@ def test_matches_brute_force(spark):
         assert len(seen) == len(docs)
         for r in seen:
             n, hit, ids = want[r.doc_id]
-            assert (r.n_words, sum(b - a for a, b in r.spans), [i for i in r["items"] if i >= 0]) == (n, hit, ids)
+            assert (r.n_words, sum(b - a for a, b in r.spans), [i for i in r["items"] if i is not None]) == (n, hit, ids)
     digest = dc.digest(got).toPandas().set_index("doc_id")
     assert digest.loc[102, "contaminated"] and not digest.loc[100, "contaminated"]
 

@@ -15,9 +15,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, le
 
 
 def _ids(text):
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def check(rows, texts, limit=packing.LIMIT):
@@ -40,7 +38,8 @@ def check(rows, texts, limit=packing.LIMIT):
 
 
 def test_edge_cases(spark):
-    texts = {1: None, 2: "", 3: "word " * 3000, 4: "<|endoftext|> x", 5: "é ü 漢字", 6: "a" * 5000, 7: "x", 8: "x"}
+    texts = {1: None, 2: "", 3: "word " * 3000, 4: "y<|endoftext|><|endoftext|> x <|endoftext|", 5: "é ü 漢字", 6: "a" * 5000, 7: "x", 8: "x",
+             9: " " * 1_000_000 + "x", 10: "\n" * 400_000 + "é", 11: "a" * 300_000, 12: "<|endoftext|>" + " " * 400_000 + "z"}
     docs = spark.createDataFrame([(k, v, None, None, None, "clash") for k, v in texts.items()], SCHEMA)
     check(packing.pack(docs).toPandas(), texts)
     assert packing.pack(docs.limit(0)).count() == 0

@@ -12,7 +12,6 @@ DOCS = "doc_id long, text string, source string, lang string, tokenizer string,
 
 def bpe(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return len(t.encode(text or "", add_special_tokens=False).ids)
 
 
