@@ -62,6 +62,43 @@ def bin_aggregate(binned: DataFrame, agg_func: str = "mean", is_categorical: boo
     return d.groupBy(*k).agg(agg.cast("double").alias("VALUE"))
 
 
+def bin_aggregates(binned: DataFrame, agg_funcs: Sequence[str], is_categorical: bool = False, is_multi_label: bool = False,
+                   keys: Sequence[str] = ("PID", "bin_counter"), ts_col: str = "TIMESTAMP") -> DataFrame:
+    """All of ``agg_funcs`` of :func:`bin_aggregate` in one ``groupBy``:
+    ``keys + FEATURE + aggs``, where ``aggs`` is an array of (agg_func,
+    VALUE); VALUE is text for categories and a number otherwise."""
+    k = [*keys, "FEATURE"]
+    names = list(dict.fromkeys(agg_funcs))
+    if is_categorical and is_multi_label:
+        d = binned.select(*k, F.col("VALUE").cast("string").alias("VALUE")).distinct()
+        return d.select(*k, F.array(*[F.struct(F.lit(a).alias("agg_func"), "VALUE") for a in names]).alias("aggs"))
+    if is_categorical:
+        v = F.col("VALUE").cast("string")
+        pick = {"mode": F.mode(v, True), "first": F.min_by(v, _ordered(v, ts_col))}
+        exprs = [pick.get(a, F.max_by(v, _ordered(v, ts_col))) for a in names]
+        d = binned.where(v.isNotNull())
+    else:
+        v, order = F.col("__v"), F.struct(F.col(ts_col), F.col("__v"))
+        exprs = [_numeric_agg(a if a in NUMERIC_AGGS else "mean", v, order).cast("double") for a in names]
+        d = binned.withColumn("__v", numeric_column(binned, "VALUE")).where(v.isNotNull())
+    found = d.groupBy(*k).agg(*[e.alias(f"__{i}") for i, e in enumerate(exprs)])
+    return found.select(*k, F.array(*[F.struct(F.lit(a).alias("agg_func"), F.col(f"__{i}").alias("VALUE"))
+                                      for i, a in enumerate(names)]).alias("aggs"))
+
+
+def attach_all_to_bins(bins: DataFrame, found: DataFrame, agg_funcs: Sequence[str],
+                       keys: Sequence[str] = ("PID", "bin_counter")) -> DataFrame:
+    """A10 for :func:`bin_aggregates`: one join for all aggregates, then a row
+    per aggregate (``agg_func``); each aggregate has every bin, as
+    :func:`attach_to_bins` gives it."""
+    names = list(dict.fromkeys(agg_funcs))
+    value = found.schema["aggs"].dataType.elementType["VALUE"].dataType
+    empty = F.array(*[F.struct(F.lit(a).alias("agg_func"), F.lit(None).cast(value).alias("VALUE")) for a in names])
+    out = bins.join(found, on=list(keys), how="left").withColumn("__a", F.explode(F.coalesce("aggs", empty)))
+    out = out.withColumn("agg_func", F.col("__a.agg_func")).withColumn("VALUE", F.col("__a.VALUE")).drop("__a", "aggs")
+    return out.where(~(F.col("FEATURE").isNotNull() & F.col("VALUE").isNull()))
+
+
 def attach_to_bins(bins: DataFrame, agg: DataFrame, keys: Sequence[str] = ("PID", "bin_counter")) -> DataFrame:
     """A10: every bin once (all-null row when empty) plus its aggregates;
     rows with FEATURE but no VALUE (std of one value) are dropped, so a bin

@@ -50,8 +50,10 @@ def window_join(events: DataFrame, windows: DataFrame, id_col: str, ts_col: str,
     cols = list(events.columns) + [c for c in carry if c not in events.columns]
     if keep_window_cols:
         cols += ["__lo", "__hi"]
-    out = j.select(*cols)
-    return out.distinct() if distinct else out
+    if not distinct:
+        return j.select(*cols)
+    # with the bucket in the key, equal rows are where the join has put them: no second shuffle
+    return j.select(*cols, "__b").distinct().drop("__b")
 
 
 def filter_by_time_window(base: DataFrame, df: DataFrame, dt_name: str, start_col: str = "start",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import attach_to_bins, bin_aggregate
+from ..operators.aggregates import attach_all_to_bins, attach_to_bins, bin_aggregate, bin_aggregates
 from ..operators.grid import assign_points, expand_intervals, make_bins
 from ..operators.reshape import explode_values
 from ..session import cut_lineage
-from ..sources.sinks import binned_exists, write_binned
+from ..sources.sinks import binned_exists, fingerprint, read_binned, write_binned
 from .concepts import NORMALISERS, collect_filter
 
 BIN_COLS = ["PID", "bin_start", "bin_end", "bin_counter", "bin_freq", "FEATURE", "VALUE"]
@@ -65,29 +65,38 @@ def map_concepts(concepts: dict[str, DataFrame], base: DataFrame, cfg: dict, out
                  reset: bool = False) -> dict[tuple[str, str], DataFrame]:
     """Every configured (concept, agg) pair, from raw or long tables.
 
-    A concept is normalised and placed in its bins once, for all its
-    aggregates.  With ``out_root`` each result is stored partitioned by
-    ``concept``/``agg_func`` (S8); pairs that are stored already are read
-    back instead of computed, unless ``reset``.  Stored results come back
-    with VALUE as text, as every stored concept has it."""
+    A concept is normalised and placed in its bins once; all its aggregates
+    are one ``groupBy`` and one join with the bins, and a partitioned write
+    splits them by ``concept`` / ``agg_func`` (S8).  With ``out_root`` a
+    commit record with a fingerprint of the concept's table, the cohort and
+    the bins is written last: pairs whose record has the same fingerprint are
+    read back (an empty result too), all others are computed, unless
+    ``reset``.  Stored results come back with VALUE as text, as every stored
+    concept has it."""
     spark, results = base.sparkSession, {}
     cat = set(cfg.get("dataset", {}).get("ts_cat_names", []))
     multi = set(cfg.get("dataset", {}).get("ts_categorical_multi_label", []))
     grid = make_bins(base, cfg["bin_intervals"])
+    cohort = fingerprint(_windows(base, None)) if out_root else ""
     for concept, aggs in cfg["agg_func"].items():
         if concept not in concepts:
             raise KeyError(f"concept {concept!r} has no input table")
-        stored = {agg: bool(out_root) and not reset and binned_exists(spark, out_root, concept, agg) for agg in aggs}
-        placed = None
-        if not all(stored.values()):
-            placed = cut_lineage(place_concept(normalise(concept, concepts[concept], cfg), base, cfg, concept in multi))
-        for agg in aggs:
-            if not stored[agg]:
-                df = attach_to_bins(grid, bin_aggregate(placed, agg, concept in cat, concept in multi)).select(*BIN_COLS)
-                if out_root:
-                    write_binned(df, out_root, concept, agg)
-                else:
-                    results[(concept, agg)] = df
+        mark = None
+        if out_root:
+            settings = repr((cfg["bin_intervals"], cfg.get("normaliser_settings", {}).get(concept), concept in cat, concept in multi))
+            mark = f"{fingerprint(concepts[concept])}/{cohort}/{settings}"
+        todo = [a for a in aggs if reset or not out_root or not binned_exists(spark, out_root, concept, a, mark)]
+        if todo:
+            placed = place_concept(normalise(concept, concepts[concept], cfg), base, cfg, concept in multi)
+            found = bin_aggregates(placed, todo, concept in cat, concept in multi)
+            df = attach_all_to_bins(grid, found, todo).select(*BIN_COLS, "agg_func")
             if out_root:
-                results[(concept, agg)] = spark.read.parquet(f"{out_root}/concept={concept}/agg_func={agg}").select(*BIN_COLS)
+                write_binned(df, out_root, concept, todo, mark)
+            else:
+                df = cut_lineage(df)
+                results.update({(concept, a): df.where(F.col("agg_func") == a).drop("agg_func") for a in todo})
+        if out_root:
+            stored = read_binned(spark, out_root)
+            results.update({(concept, a): stored.where((F.col("concept") == concept) & (F.col("agg_func") == a)).select(*BIN_COLS)
+                            for a in aggs})
     return results

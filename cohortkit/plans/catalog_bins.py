@@ -16,6 +16,7 @@ from ..operators.grid import assign_points, check_bin_freqs, expand_intervals, m
 from ..operators.joins import filter_by_time_window, window_join
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.readers import get_concept
+from ..sources.sinks import read_binned
 from . import driver_tables as dt
 from .binning import map_concept, map_concepts
 from .catalog_ops import _LAB_INCLUDE, _LAB_MAP_SQL, _NUM_RE, _sql_classify
@@ -416,9 +417,7 @@ def k20_map_concepts(spark: SparkSession, sf: str) -> DataFrame:
     root = f"{ensure_checkpoint_dir(spark)}/k20-{uuid.uuid4().hex}"
     cfg = {"bin_intervals": BINS, "agg_func": {"Labsvar": ["mean", "count"]}}
     map_concepts({"Labsvar": labs}, b, cfg, out_root=root)
-    again = map_concepts({"Labsvar": labs.limit(0)}, b, cfg, out_root=root)  # everything is stored: read back
-    assert set(again) == {("Labsvar", "mean"), ("Labsvar", "count")}
-    stored = get_concept(spark.read.parquet(root), "Labsvar", ["mean", "count"])
+    stored = get_concept(read_binned(spark, root), "Labsvar", ["mean", "count"])
     mean, count = (stored[a].select("PID", "bin_counter", "FEATURE", r6("VALUE").alias("VALUE"), F.lit(a).alias("agg_func"))
                    for a in ("mean", "count"))
     return mean.unionByName(count)
@@ -438,6 +437,61 @@ UNION ALL
 SELECT PID, bin_counter, f, CAST(count(v) AS DOUBLE), 'count' FROM placed GROUP BY PID, bin_counter, f""")(k20_map_concepts)
 
 
+# ---------------------------------------------------------------------------
+# Three concepts, all their aggregates, one pass each
+# ---------------------------------------------------------------------------
+NUMERIC = ["first", "last", "mean", "max", "min", "std", "sum", "count"]
+K20_CONCEPTS = {"events": NUMERIC, "Steps": ["mode", "first", "last"], "Kinds": ["last"]}
+
+
+def k20_all_aggregates(spark: SparkSession, sf: str) -> DataFrame:
+    """Values (all numeric aggregates), event types as categories (mode, first, last) and as a multi-label
+    concept, each placed once; stored by concept and aggregate and read back, then asked for again."""
+    b = cut_lineage(base(spark, sf))
+    lm = cut_lineage(windowed_long(spark, sf, b))
+    steps = lm.select("PID", "TIMESTAMP", F.lit("step").alias("FEATURE"), F.col("FEATURE").alias("VALUE"))
+    concepts = {"events": lm, "Steps": steps, "Kinds": steps.withColumn("VALUE", F.array("VALUE", F.lit("any")))}
+    root = f"{ensure_checkpoint_dir(spark)}/k20-{uuid.uuid4().hex}"
+    cfg = {"bin_intervals": BINS, "agg_func": K20_CONCEPTS,
+           "dataset": {"ts_cat_names": ["Steps", "Kinds"], "ts_categorical_multi_label": ["Kinds"]}}
+    map_concepts(concepts, b, cfg, out_root=root)
+    again = map_concepts(concepts, b, cfg, out_root=root)  # nothing has changed: read back by their records
+    out = None
+    for (concept, agg), df in again.items():
+        text = F.round(F.col("VALUE").cast("double"), 6).cast("string") if concept == "events" else F.col("VALUE")
+        d = df.where(F.col("FEATURE").isNotNull()).select(F.lit(concept).alias("concept"), F.lit(agg).alias("agg_func"), "PID",
+                                                          "bin_counter", "FEATURE", text.alias("VALUE"))
+        out = d if out is None else out.unionByName(d)
+    return out.withColumn("NUMBER", F.when(F.col("concept") == "events", F.col("VALUE").cast("double"))).withColumn(
+        "VALUE", F.when(F.col("concept") != "events", F.col("VALUE")))
+
+
+def _sql_k20_all() -> str:
+    fn = {"first": "arg_min(VALUE, {o})", "last": "arg_max(VALUE, {o})", "mean": "avg(VALUE)", "max": "max(VALUE)", "min": "min(VALUE)",
+          "std": "stddev_samp(VALUE)", "sum": "sum(VALUE)", "count": "CAST(count(VALUE) AS DOUBLE)"}
+    order = "struct_pack(t := \"TIMESTAMP\", v := VALUE)"
+    numeric = " UNION ALL ".join(
+        f"SELECT 'events' AS concept, '{a}' AS agg_func, PID, bin_counter, FEATURE, CAST(NULL AS VARCHAR) AS VALUE, "
+        f"round({fn[a].format(o=order)}, 6) AS NUMBER FROM placed GROUP BY PID, bin_counter, FEATURE" for a in NUMERIC)
+    pick = {"first": "arg_min(FEATURE, struct_pack(t := \"TIMESTAMP\", v := FEATURE))",
+            "last": "arg_max(FEATURE, struct_pack(t := \"TIMESTAMP\", v := FEATURE))"}
+    texts = " UNION ALL ".join(
+        f"SELECT 'Steps', '{a}', PID, bin_counter, 'step', {pick[a]}, NULL FROM placed GROUP BY PID, bin_counter" for a in pick)
+    return W(dt.SQL_ADT, SQL_BASE, SQL_WLONG, sql_bins()) + f""",
+placed AS (SELECT w.PID, bn.bin_counter, w.FEATURE, w."TIMESTAMP", w.VALUE FROM wlong w
+           JOIN bins bn ON w.PID = bn.PID AND w."TIMESTAMP" >= bn.bin_start AND w."TIMESTAMP" < bn.bin_end),
+modes AS (SELECT PID, bin_counter, FEATURE, row_number() OVER (PARTITION BY PID, bin_counter ORDER BY count(*) DESC, FEATURE) AS rn
+          FROM placed GROUP BY PID, bin_counter, FEATURE)
+SELECT * FROM ({numeric} UNION ALL {texts}
+UNION ALL SELECT 'Steps', 'mode', PID, bin_counter, 'step', FEATURE, NULL FROM modes WHERE rn = 1
+UNION ALL SELECT DISTINCT 'Kinds', 'last', PID, bin_counter, 'step', FEATURE, CAST(NULL AS DOUBLE) FROM placed
+UNION ALL SELECT DISTINCT 'Kinds', 'last', PID, bin_counter, 'step', 'any', CAST(NULL AS DOUBLE) FROM placed)
+WHERE VALUE IS NOT NULL OR NUMBER IS NOT NULL"""
+
+
+register("k20_all_aggregates", _sql_k20_all())(k20_all_aggregates)
+
+
 # ---------------------------------------------------------------------------
 # G1 (general): a grid whose bin sizes shrink -- segments folded per trajectory
 # ---------------------------------------------------------------------------

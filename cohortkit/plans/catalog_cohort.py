@@ -3,6 +3,8 @@ splits, metrics, reshape and the wide dataset."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +13,17 @@ from ..functions.timefns import micros_sql
 from ..operators.aggregates import cohort_summary
 from ..operators.joins import filter_by_time_window
 from ..operators.reshape import category_labels, multi_hot_transform, multi_hot_vocabulary
+from ..session import ensure_checkpoint_dir
 from . import driver_tables as dt
 from .catalog import SQL_BASE, SQL_TRAJ, SQL_WLONG, base, r6, register, trajectories, windowed_long
+from .catalog_bins import sql_step_ranges
 from .catalog_ops import _sql_classify
 from .cohort import add_case_knife_time, height_weight, match_population_to_trajectories
 from .comorbidity import CHARLSON, CHARLSON_ZERO, ELIX_ZERO, ELIXHAUSER, add_comorbidity, expand
 from .concepts import filter_adt, filter_ita, filter_labs, filter_medicin, filter_procedures, filter_vitals
 from .features import AggregatedDataset, cutoff_features
-from .metrics import auroc_ap
+from .evaluation import metrics_by_cutoff, predictions, store_predictions
+from .metrics import _poisson_cdf, ap_interval, auroc_ap
 from .split import stratified_folds, stratified_split, temporal_split
 
 W = dt.with_sql
@@ -285,6 +290,65 @@ SELECT round(A, 6) AS auroc, round(var, 6) AS auroc_var,
        round(ap, 6) AS ap, CAST(P + N AS BIGINT) AS n, CAST(P AS BIGINT) AS n_positive FROM v""")(m2_m3_auroc_ap)
 
 
+# ---------------------------------------------------------------------------
+# M3: interval of average precision, drawn on counts
+# ---------------------------------------------------------------------------
+RESAMPLES = 1000
+
+
+def _scored_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return dt.read(spark, sf, "labels").join(dt.read(spark, sf, "documents"), "doc_id") \
+             .select(F.col("quality").alias("y"), F.floor(F.sqrt(F.col("n_chars").cast("double"))).cast("double").alias("p"))
+
+
+def m3_ap_interval(spark: SparkSession, sf: str) -> DataFrame:
+    s = _scored_labels(spark, sf)
+    ci = ap_interval(s, "y", "p", n_bootstraps=RESAMPLES)
+    return auroc_ap(s, "y", "p").select(r6("ap").alias("ap"), "n").crossJoin(
+        ci.select(r6("ap_ci_low").alias("ap_ci_low"), r6("ap_ci_high").alias("ap_ci_high"), "n_resamples"))
+
+
+def _sql_uniform(name: str, part: str) -> str:
+    return f"CAST(CAST('0x' || substr(md5({name} || '|{part}'), 1, 13) AS BIGINT) AS DOUBLE) / {float(1 << 52)!r}"
+
+
+def _sql_poisson(n: str, name: str, bits: int) -> str:
+    """Poisson(n) for n below 2^bits; the thresholds are Poisson's distribution function."""
+    parts = []
+    for j in range(bits):
+        cdf = ", ".join(f"{c!r}::DOUBLE" for c in _poisson_cdf(1 << j))
+        parts.append(f"CASE WHEN {n} & {1 << j} <> 0 THEN len(list_filter([{cdf}], lambda c: c <= {_sql_uniform(name, str(j))})) ELSE 0 END")
+    return " + ".join(parts)
+
+
+def _sql_ap_interval(counts: str, bits: int, keys: tuple[str, ...] = (), resamples: int = RESAMPLES, seed: int = 42) -> str:
+    """CTEs from ``counts`` (keys, p, np, nn) to ``ci`` (keys, ap_ci_low, ap_ci_high, n_resamples)."""
+    k = "".join(f"{c}, " for c in keys)
+    name = "concat_ws('|', " + k + f"CAST(p AS VARCHAR), CAST(b AS VARCHAR), '{seed}')"
+    part = f"PARTITION BY {k}b"
+    return f"""
+drawn AS (SELECT {k}b, p, {_sql_poisson('np', f"({name} || '|1')", bits)} AS np, {_sql_poisson('nn', f"({name} || '|0')", bits)} AS nn
+          FROM (SELECT {k}p, CAST(np AS BIGINT) AS np, CAST(nn AS BIGINT) AS nn FROM {counts}), range(0, {resamples}) AS r(b)),
+ran AS (SELECT {k}b, np, sum(np) OVER ({part} ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp,
+               sum(np + nn) OVER ({part} ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS k,
+               sum(np) OVER ({part}) AS pos, sum(nn) OVER ({part}) AS neg FROM drawn),
+aps AS (SELECT {k}b, sum(CASE WHEN np > 0 THEN np * tp / k ELSE 0.0 END) / max(pos) AS ap FROM ran WHERE pos > 0 AND neg > 0 GROUP BY {k}b),
+lst AS (SELECT {k}list_sort(list(ap)) AS v FROM aps GROUP BY {k[:-2] or "()"}),
+ci AS (SELECT {k}v[least(len(v) - 1, CAST(floor({(1.0 - 0.95) / 2!r} * len(v)) AS BIGINT)) + 1] AS ap_ci_low,
+              v[least(len(v) - 1, CAST(floor({(1.0 + 0.95) / 2!r} * len(v)) AS BIGINT)) + 1] AS ap_ci_high,
+              CAST(len(v) AS BIGINT) AS n_resamples FROM lst)"""
+
+
+register("m3_ap_interval", f"""
+WITH s AS (SELECT CAST(floor(sqrt(CAST(n_chars AS DOUBLE))) AS DOUBLE) p, CAST(quality AS INTEGER) y FROM labels JOIN documents USING (doc_id)),
+g AS (SELECT p, CAST(sum(y) AS DOUBLE) np, CAST(sum(1 - y) AS DOUBLE) nn FROM s GROUP BY p),
+cu AS (SELECT *, sum(np) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp,
+              sum(np + nn) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS k, sum(np) OVER () AS tot_p FROM g),
+{_sql_ap_interval('g', 8)}
+SELECT (SELECT round(sum(np / tot_p * tp / k), 6) FROM cu) AS ap, (SELECT CAST(sum(np + nn) AS BIGINT) FROM g) AS n,
+       round(ap_ci_low, 6) AS ap_ci_low, round(ap_ci_high, 6) AS ap_ci_high, n_resamples FROM ci""")(m3_ap_interval)
+
+
 def a13_cohort_summary(spark: SparkSession, sf: str) -> DataFrame:
     return cohort_summary(dt.read(spark, sf, "labels"), "quality").select(
         "n_rows", "n_positive", r6("positive_rate").alias("positive_rate"))
@@ -449,6 +513,60 @@ SELECT masking_point, PID, FEATURE, round(arg_max(VALUE, "TIMESTAMP"), 6) AS las
 FROM j GROUP BY masking_point, PID, FEATURE""")(m11_cutoff_features)
 
 
+# ---------------------------------------------------------------------------
+# Metrics at all 99 cutoffs, from stored predictions
+# ---------------------------------------------------------------------------
+# A fixed additive score on the event counts, in halves so that ties are exact in every engine.
+COUNT_WEIGHTS = {"error": 2.0, "purchase": 1.0, "click": 0.5, "view": 0.5, "signup": -1.0}
+POINT = "CASE WHEN m % 1440 = 0 THEN (m // 1440) || 'D' WHEN m % 60 = 0 THEN (m // 60) || 'h' ELSE m || 'min' END"
+
+
+def m10_metrics_all_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of each event type at 99 cutoffs -> a fixed additive score -> predictions stored by masking
+    point -> metrics of all masking points in one job."""
+    b = _k21_base(spark, sf)
+    cfg = {"target": "DECEASED_90d", "dataset": {"id_col": "PID", "num_cols": ["AGE"]}}
+    ds = AggregatedDataset(cfg, b, {"events": windowed_long(spark, sf, b)}, agg_funcs=["count"],
+                           pivot_values={"events": list(COUNT_WEIGHTS)})
+    wide = ds.build_at(CUTOFFS)
+    score = sum((F.col(f"{f}_events_count") * w for f, w in COUNT_WEIGHTS.items()), F.lit(0.0))
+    stored = store_predictions(predictions(wide, "DECEASED_90d", score=score), f"{ensure_checkpoint_dir(spark)}/predictions-{uuid.uuid4().hex}")
+    m = metrics_by_cutoff(stored, n_bootstraps=20)
+    return m.select("masking_point", "time_min", "time_hours", "time_days", "censor_step", *[r6(c).alias(c) for c in (
+        "auroc", "auroc_ci_low", "auroc_ci_high", "ap", "ap_ci_low", "ap_ci_high")], "n", "n_positive", "n_resamples")
+
+
+def _sql_m10() -> str:
+    weights = " ".join(f"WHEN '{f}' THEN {w}::DOUBLE" for f, w in COUNT_WEIGHTS.items())
+    return W(dt.SQL_ADT, SQL_BASE, SQL_WLONG, dt.SQL_PINFO, sql_step_ranges()) + f""",
+c(m) AS (VALUES {', '.join(f'({c})' for c in CUTOFFS)}),
+kb AS (SELECT b.PID, b.start, CASE WHEN date_diff('microsecond', b.start, p.DOD) <= 90 * 86400000000 THEN 1 ELSE 0 END AS y
+       FROM base b LEFT JOIN pinfo p ON b.CPR_hash = p.CPR_hash),
+sc AS (SELECT c.m, kb.PID, kb.y, coalesce(sum(CASE w.FEATURE {weights} END) FILTER (WHERE w.VALUE IS NOT NULL), 0.0) AS p
+       FROM kb CROSS JOIN c LEFT JOIN wlong w ON w.PID = kb.PID AND date_diff('microsecond', kb.start, w."TIMESTAMP") <= c.m * CAST(60000000 AS BIGINT)
+       GROUP BY c.m, kb.PID, kb.y),
+g AS (SELECT m, {POINT} AS mp, CAST(m AS DOUBLE) AS tm, p, CAST(sum(y) AS DOUBLE) np, CAST(sum(1 - y) AS DOUBLE) nn FROM sc GROUP BY m, p),
+cu AS (SELECT *, sum(nn) OVER (PARTITION BY m ORDER BY p ROWS UNBOUNDED PRECEDING) - nn AS neg_below,
+              sum(np) OVER (PARTITION BY m ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp,
+              sum(np + nn) OVER (PARTITION BY m ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS k,
+              sum(np) OVER (PARTITION BY m) AS tot_p, sum(nn) OVER (PARTITION BY m) AS tot_n FROM g),
+a AS (SELECT mp, tm, CASE WHEN max(tot_p) * max(tot_n) > 0 THEN sum(np * (neg_below + 0.5 * nn)) / (max(tot_p) * max(tot_n)) END AS A,
+             CASE WHEN max(tot_p) > 0 THEN sum(np / tot_p * tp / k) END AS ap, max(tot_p) AS P, max(tot_n) AS N FROM cu GROUP BY mp, tm),
+v AS (SELECT *, (A / (2 - A) - A * A) / N + (2 * A * A / (1 + A) - A * A) / P AS var FROM a),
+{_sql_ap_interval('g', 8, ('mp', 'tm'), resamples=20)},
+edges AS (SELECT CAST(first_step + ceil((tm - lo) / size) - 1 AS BIGINT) AS step, tm AS tm2
+          FROM (SELECT DISTINCT tm FROM g) JOIN ranges ON tm > lo AND (hi IS NULL OR tm <= hi))
+SELECT v.mp AS masking_point, v.tm AS time_min, v.tm / 60 AS time_hours, v.tm / 1440 AS time_days, step AS censor_step,
+       round(A, 6) AS auroc, round(greatest(0.0, least(1.0, A - 1.959963984540054 * sqrt(greatest(var, 0.0)))), 6) AS auroc_ci_low,
+       round(greatest(0.0, least(1.0, A + 1.959963984540054 * sqrt(greatest(var, 0.0)))), 6) AS auroc_ci_high, round(ap, 6) AS ap,
+       round(ap_ci_low, 6) AS ap_ci_low, round(ap_ci_high, 6) AS ap_ci_high, CAST(P + N AS BIGINT) AS n, CAST(P AS BIGINT) AS n_positive,
+       n_resamples
+FROM v JOIN edges ON v.tm = tm2 LEFT JOIN ci ON ci.mp = v.mp AND ci.tm = v.tm"""
+
+
+register("m10_metrics_all_cutoffs", _sql_m10())(m10_metrics_all_cutoffs)
+
+
 # ---------------------------------------------------------------------------
 # Included diagnoses in the look-back window, numbered wide
 # ---------------------------------------------------------------------------
@@ -548,3 +666,64 @@ pb AS (SELECT PID, CPR_hash, start,
                        start) AS cutoff FROM base)
 SELECT DISTINCT l.event_id, b.PID FROM labs_raw l JOIN pb b ON l.CPR_hash = b.CPR_hash
  AND l."Prøvetagningstidspunkt" >= b.start AND l."Prøvetagningstidspunkt" <= b.cutoff""")(k18_preoperative_labs)
+
+
+# ---------------------------------------------------------------------------
+# Every catalogued table that the driver tables can give, windowed in one scan
+# ---------------------------------------------------------------------------
+def catalogued_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    ev = dt.read(spark, sf, "events")
+    by_pid = lambda d: d.withColumn("CPR_hash", F.col("PID").cast("string")).drop("PID")
+    return {"ADTHaendelser": dt.adt(ev), "Procedurer": dt.procedures(ev), "Diagnoser": dt.diagnoses(ev),
+            "VitaleVaerdier": dt.vitals(ev).drop("PID"), "Medicin": by_pid(dt.medication(ev)), "Labsvar": dt.labs_raw(ev),
+            "Cases": dt.cases(ev), "ITAOversigtsrapport": by_pid(dt.ita(ev))}
+
+
+def _window_all(spark: SparkSession, sf: str, b: DataFrame, end_col: str) -> DataFrame:
+    from ..sources.readers import load_catalogue
+    from .windowing import filter_tables
+    tables = catalogued_tables(spark, sf)
+    cat = load_catalogue(spark, configured=list(tables)).collect()
+    w = filter_tables(b, tables, cat, end_col)
+    name = F.coalesce(*[F.col(f"t_{t}.event_id").cast("string") for t in tables if t != "Cases"], F.col("t_Cases.Case_ID"))
+    return w.select("filename", "PID", F.col("__t").alias("TIMESTAMP"), name.alias("row"))
+
+
+def k17_window_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _window_all(spark, sf, base(spark, sf), "end")
+
+
+def _with_preop(b: DataFrame) -> DataFrame:
+    from ..operators.filters import preop_cutoff
+    b = b.withColumn("ServiceDate", F.col("start"))
+    long_stay = F.expr(f"{micros_sql('start', 'end')} > 4 * 3600000000")
+    b = b.withColumn("knife_time", F.when(long_stay, F.col("start") + F.make_interval(hours=F.lit(2))))
+    return b.withColumn("preop_cutoff", preop_cutoff(b))
+
+
+def k18_preoperative_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _window_all(spark, sf, _with_preop(base(spark, sf)), "preop_cutoff")
+
+
+def _sql_window_all(cutoff: str) -> str:
+    """Per table: its rows inside the window, widened by the catalogue's days."""
+    from ..sources.schemas import CATALOGUE_ROWS
+    cte = {"ADTHaendelser": ("adt", "CPR_hash"), "Procedurer": ("proc", "CPR_hash"), "Diagnoser": ("diag", "CPR_hash"),
+           "VitaleVaerdier": ("vit", "CPR_hash"), "Medicin": ("med", "CAST(PID AS VARCHAR)"), "Labsvar": ("labs_raw", "CPR_hash"),
+           "Cases": ("cases", "CPR_hash"), "ITAOversigtsrapport": ("ita", "CAST(PID AS VARCHAR)")}
+    parts = []
+    for name, col, _, _, days in CATALOGUE_ROWS:
+        if name in cte:
+            table, key = cte[name]
+            row = "Case_ID" if name == "Cases" else "CAST(event_id AS VARCHAR)"
+            parts.append(f"""SELECT '{name}' AS filename, PID, t AS "TIMESTAMP", row FROM (
+  SELECT DISTINCT b.PID, x.t, x.row, x.k FROM (SELECT {key} AS id, "{col}" AS t, {row} AS row, {table}::VARCHAR AS k FROM {table}) x
+  JOIN pb b ON x.id = b.CPR_hash AND x.t >= b.start - to_days({days}) AND x.t <= b.cutoff + to_days({days}))""")
+    return W(dt.SQL_ADT, SQL_BASE, dt.SQL_PROC, dt.SQL_DIAG, dt.SQL_VITALS, dt.SQL_MED, dt.SQL_LABS, dt.SQL_CASES, dt.SQL_ITA) + f""",
+pb AS (SELECT PID, CPR_hash, start, {cutoff} AS cutoff FROM base)
+""" + " UNION ALL ".join(parts)
+
+
+register("k17_window_all", _sql_window_all('"end"'))(k17_window_all)
+register("k18_preoperative_all", _sql_window_all("""coalesce(CASE WHEN date_diff('microsecond', start, "end") > 4 * 3600000000
+       THEN start + INTERVAL 2 HOUR END, start)"""))(k18_preoperative_all)

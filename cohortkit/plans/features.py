@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefns import micros_sql
-from ..operators.aggregates import WIDE_NUMERIC_AGGS, categorical_wide, numeric_wide
+from ..operators.aggregates import WIDE_NUMERIC_AGGS, categorical_wide, clean_name, numeric_wide
 from ..operators.filters import mask_after, member_filter, parse_masking_point
 from ..operators.joins import semi_join_ids
 
@@ -40,7 +40,8 @@ class AggregatedDataset:
         self.continuous_features += [c for c in ds.get("num_cols", []) if c in base.columns]
         self.categorical_features += [c for c in ds.get("cat_cols", []) if c in base.columns]
 
-    def concept_frame(self, name: str, df: DataFrame) -> DataFrame | None:
+    def _prepared(self, name: str, df: DataFrame) -> DataFrame:
+        """The concept's long model: cohort only, normalised, masked, without dropped features."""
         d = semi_join_ids(df, self.base, self.id_col)
         if name in self.normalisers:
             d = d.transform(self.normalisers[name])
@@ -49,7 +50,10 @@ class AggregatedDataset:
         drops = self.cfg.get("drop_features", {}).get(name)
         if drops:
             d = member_filter(d, "FEATURE", drops, keep=False)
-        d = d.select(self.id_col, "TIMESTAMP", "FEATURE", "VALUE")
+        return d.select(self.id_col, "TIMESTAMP", "FEATURE", "VALUE")
+
+    def concept_frame(self, name: str, df: DataFrame) -> DataFrame | None:
+        d = self._prepared(name, df)
         if name in self.cfg["dataset"].get("ts_cat_names", []):
             out, given, count = categorical_wide(d, name, self.pivot_values.get(name), self.id_col)
             self.categorical_features += given
@@ -67,7 +71,48 @@ class AggregatedDataset:
             frame = self.concept_frame(name, df)
             if frame is not None:
                 final = final.join(frame, self.id_col, "left")
-        feats = [c for c in final.columns if c not in (self.id_col, target)]
+        return self._finished(final, [self.id_col, target])
+
+    def build_at(self, cutoffs_minutes: Sequence[int]) -> DataFrame:
+        """The dataset at many cutoffs, one row per (``masking_point`` in
+        minutes, PID), with the columns that :meth:`build` has at one.
+
+        The concepts are scanned, normalised and aggregated once for all
+        cutoffs (:func:`cutoff_features`); a pivot on (cutoff, PID) makes them
+        wide.  Concepts need their list of columns in ``pivot_values``."""
+        if self.delta is not None:
+            raise ValueError("a dataset at many cutoffs takes no masking point of its own")
+        target = self.cfg.get("target")
+        cuts = sorted({int(c) for c in cutoffs_minutes})
+        keep = dict.fromkeys([self.id_col] + self.tab_cols + ([target] if target and target in self.base.columns else []))
+        keys = ["masking_point", self.id_col]
+        final = self.base.select(F.explode(F.array(*[F.lit(c) for c in cuts])).alias("masking_point"), *keep)
+        for name, df in self.concepts.items():
+            d = self._prepared(name, df)
+            if name in self.cfg["dataset"].get("ts_cat_names", []):
+                d = d.where(F.col("VALUE").isNotNull()).withColumn("FEATURE", F.col("VALUE").cast("string")).withColumn("VALUE", F.lit(1))
+                values, aggs = self.pivot_values[name], ["count"]
+            else:
+                values, aggs = self.pivot_values[name], [a for a in self.agg_funcs if a in WIDE_NUMERIC_AGGS]
+            at = cutoff_features(d, self.base, cuts, name, aggs, self.id_col)
+            wide = at.groupBy(*keys).agg(*[F.max(F.when(F.col("FEATURE") == v, F.col(a))).alias(f"__{k}_{a}")
+                                           for k, v in enumerate(values) for a in aggs])
+            if name in self.cfg["dataset"].get("ts_cat_names", []):
+                given = [f"{clean_name(v)}_{name}_given" for v in values]
+                count = [f"{clean_name(v)}_{name}_count" for v in values]
+                n = [F.coalesce(F.col(f"__{k}_count"), F.lit(0.0)).cast("bigint") for k in range(len(values))]
+                columns = [x for g, c, v in zip(given, count, n) for x in ((v > 0).cast("bigint").alias(g), v.alias(c))]
+                self.categorical_features += given
+                self.continuous_features += count
+            else:
+                names = {f"{v}_{name}_{a}": F.col(f"__{k}_{a}") for k, v in enumerate(values) for a in aggs}
+                columns = [F.coalesce(c, F.lit(0.0)).alias(n) for n, c in names.items()]
+                self.continuous_features += list(names)
+            final = final.join(wide.select(*keys, *columns), keys, "left")
+        return self._finished(final, [*keys, target])
+
+    def _finished(self, final: DataFrame, other: Sequence[str]) -> DataFrame:
+        feats = [c for c in final.columns if c not in other]
         numeric = [c for c in feats if final.schema[c].dataType.typeName() in
                    ("double", "float", "integer", "long", "short", "decimal")]
         self.continuous_features = list(dict.fromkeys(self.continuous_features))
@@ -79,6 +124,26 @@ class AggregatedDataset:
         return self.continuous_features, self.categorical_features
 
 
+COMBINABLE_AGGS = ("first", "last", "mean", "min", "max", "std", "count", "sum")
+
+
+def first_cutoff(offset_micros: str, cutoffs_minutes: Sequence[int]) -> Column:
+    """Number of the first cutoff (sorted, in minutes) at or after an offset; their number when there is none.
+
+    The cutoffs are split into runs of one step, and each run is one division."""
+    cuts = [int(c) * 60_000_000 for c in cutoffs_minutes]
+    runs, at = [], 0
+    while at < len(cuts):
+        to = at + 1
+        while to + 1 < len(cuts) and cuts[to + 1] - cuts[to] == cuts[at + 1] - cuts[at]:
+            to += 1
+        to = min(to, len(cuts) - 1)
+        step = max(1, cuts[to] - cuts[to - 1]) if to > at else 1
+        runs.append(f"WHEN {offset_micros} <= {cuts[to]} THEN {at} + (greatest({offset_micros} - {cuts[at]}, 0) + {step - 1}) div {step}")
+        at = to + 1
+    return F.expr(f"CASE {' '.join(runs)} ELSE {len(cuts)} END").cast("int")
+
+
 def cutoff_features(long: DataFrame, base: DataFrame, cutoffs_minutes: Sequence[int], concept: str,
                     agg_funcs: Sequence[str] = ("last", "mean", "count"), id_col: str = "PID") -> DataFrame:
     """M11 input in one scan, long form ``(masking_point, PID, FEATURE,
@@ -86,30 +151,41 @@ def cutoff_features(long: DataFrame, base: DataFrame, cutoffs_minutes: Sequence[
 
     Each event is aggregated once, into the slot of the first cutoff that
     takes it; a running combine over the slots of (PID, FEATURE) -- at most
-    one row per cutoff -- gives every cutoff's aggregate.  ``std`` and
-    ``median`` do not combine and are refused."""
+    one row per cutoff -- gives every cutoff's aggregate.  ``std`` adds the
+    slots' squared deviations to those of their means, taken from the first
+    slot's mean so that large values lose no digits.  ``median`` does not
+    combine and is refused.  Events that carry their ``start`` need no join."""
     from ..functions.numeric import numeric_column
     cuts = sorted({int(c) for c in cutoffs_minutes})
     arr = F.array(*[F.lit(c) for c in cuts])
-    j = long.join(base.select(id_col, "start"), id_col, "inner")
-    off = F.expr(micros_sql("start", "TIMESTAMP")) / F.lit(60_000_000.0)
+    j = long if "start" in long.columns else long.join(base.select(id_col, "start"), id_col, "inner")
     order = F.struct("TIMESTAMP", "__v")
     parts = {"first": F.min(order), "last": F.max(order), "total": F.sum("__v"), "min": F.min("__v"), "max": F.max("__v"),
-             "n": F.count("__v")}
+             "n": F.count("__v"), "m2": F.var_pop("__v") * F.count("__v")}
     needs = {"first": ["first"], "last": ["last"], "mean": ["total", "n"], "min": ["min"], "max": ["max"],
-             "count": ["n"], "sum": ["total"]}
+             "count": ["n"], "sum": ["total"], "std": ["total", "n", "m2"]}
     if unknown := [a for a in agg_funcs if a not in needs]:
         raise ValueError(f"{', '.join(unknown)} cannot be combined over cutoffs")
     used = list(dict.fromkeys(p for a in agg_funcs for p in needs[a]))
     slots = j.withColumn("__v", numeric_column(long, "VALUE")).where(F.col("__v").isNotNull()) \
-             .withColumn("__s", F.size(F.filter(arr, lambda c: c < off))).where(F.col("__s") < len(cuts)) \
+             .withColumn("__s", first_cutoff(micros_sql("start", "TIMESTAMP"), cuts)).where(F.col("__s") < len(cuts)) \
              .groupBy(id_col, "FEATURE", "__s").agg(*[parts[p].alias(f"__{p}") for p in used])
     w = Window.partitionBy(id_col, "FEATURE").orderBy("__s")
-    combine = {"first": F.min, "last": F.max, "total": F.sum, "min": F.min, "max": F.max, "n": F.sum}
-    run = slots.select(id_col, "FEATURE", "__s", F.coalesce(F.lead("__s").over(w), F.lit(len(cuts))).alias("__next"),
-                       *[combine[p](f"__{p}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__{p}") for p in used])
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    if "std" in agg_funcs:
+        mean = F.col("__total") / F.col("__n")
+        slots = slots.withColumn("__d", mean - F.first(mean).over(so_far))
+    combine = {"first": F.min, "last": F.max, "total": F.sum, "min": F.min, "max": F.max, "n": F.sum, "m2": F.sum}
+    columns = [combine[p](f"__{p}").over(so_far).alias(f"__{p}") for p in used]
+    if "std" in agg_funcs:
+        columns += [F.sum(F.col("__n") * F.col("__d")).over(so_far).alias("__nd"),
+                    F.sum(F.col("__n") * F.col("__d") * F.col("__d")).over(so_far).alias("__ndd")]
+    run = slots.select(id_col, "FEATURE", "__s", F.coalesce(F.lead("__s").over(w), F.lit(len(cuts))).alias("__next"), *columns)
     out = {"first": "__first.__v", "last": "__last.__v", "min": "__min", "max": "__max", "count": "__n", "sum": "__total"}
-    value = {a: F.col("__total") / F.col("__n") if a == "mean" else F.col(out[a]) for a in agg_funcs}
+    value = {a: F.col(out[a]) for a in agg_funcs if a in out}
+    value["mean"] = F.col("__total") / F.col("__n")
+    spread = F.col("__m2") + F.col("__ndd") - F.col("__nd") * F.col("__nd") / F.col("__n")
+    value["std"] = F.when(F.col("__n") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.col("__n") - 1)))
     return run.withColumn("__c", F.explode(F.sequence(F.col("__s"), F.col("__next") - 1))).select(
         F.get(arr, F.col("__c")).alias("masking_point"), id_col, "FEATURE",
-        *[v.cast("double").alias(a) for a, v in value.items()])
+        *[value[a].cast("double").alias(a) for a in agg_funcs])

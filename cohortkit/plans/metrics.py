@@ -10,6 +10,7 @@ scores.  AUROC averages ties; AP sums over distinct scores.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from statistics import NormalDist
 
 from pyspark.ml.feature import Bucketizer
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordered_scan
+from ..session import cut_lineage
 
 
 def _score_bucket(df: DataFrame, score: str, n_buckets: int | None = None, out: str = "__sb") -> DataFrame:
@@ -58,56 +60,112 @@ def _metric_aggs(keys: tuple[str, ...] = ()) -> list[F.Column]:
             P.alias("__P"), N.alias("__N")]
 
 
-def auroc_ap(df: DataFrame, label: str, score: str, alpha: float = 0.95) -> DataFrame:
-    """M2 + M3 point estimates in one pass: one row ``auroc, auroc_var,
-    auroc_ci_low, auroc_ci_high, ap, n, n_positive`` (metrics null when a
-    class is missing).  AUROC variance is the closed form
-    ``(A/(2-A) - A^2)/N_neg + (2A^2/(1+A) - A^2)/N_pos`` with a normal CI
-    clipped to [0, 1]."""
-    r = _running_desc(score_counts(df, label, score))
-    out = r.agg(*_metric_aggs())
+def auroc_ap(df: DataFrame, label: str, score: str, alpha: float = 0.95, keys: Sequence[str] = ()) -> DataFrame:
+    """M2 + M3 point estimates in one pass: one row per ``keys`` (one in all
+    without any) of ``auroc, auroc_var, auroc_ci_low, auroc_ci_high, ap, n,
+    n_positive`` (metrics null when a class is missing).  AUROC variance is
+    the closed form ``(A/(2-A) - A^2)/N_neg + (2A^2/(1+A) - A^2)/N_pos`` with
+    a normal CI clipped to [0, 1].
+
+    The running sums of all keys are one scan over (keys, score range), so
+    99 cutoffs cost one job, and one hot key is many tasks."""
+    keys = tuple(keys)
+    r = _running_desc(score_counts(df, label, score, keys), keys)
+    out = r.groupBy(*keys).agg(*_metric_aggs())
     z = NormalDist().inv_cdf(1 - (1 - alpha) / 2)
     a = F.col("auroc")
     var = F.try_divide(a / (2 - a) - a * a, F.col("__N")) + F.try_divide(2 * a * a / (1 + a) - a * a, F.col("__P"))
     sd = F.sqrt(F.greatest(var, F.lit(0.0)))
-    return out.select("auroc", var.alias("auroc_var"),
+    return out.select(*keys, "auroc", var.alias("auroc_var"),
                       F.greatest(F.lit(0.0), F.least(F.lit(1.0), a - z * sd)).alias("auroc_ci_low"),
                       F.greatest(F.lit(0.0), F.least(F.lit(1.0), a + z * sd)).alias("auroc_ci_high"),
                       "ap", (F.col("__P") + F.col("__N")).cast("bigint").alias("n"),
                       F.col("__P").cast("bigint").alias("n_positive"))
 
 
-def _poisson1_cdf() -> list[float]:
-    """Cumulative probabilities of Poisson(1) up to the last one below 1 in double precision."""
-    out, total, k = [], math.exp(-1), 0
-    while total < 1.0 and (not out or total > out[-1]):
+def _poisson_cdf(mean: int) -> list[float]:
+    """Cumulative probabilities of Poisson(mean) up to the last one below 1 in double precision."""
+    out, total, k = [], 0.0, 0
+    while True:
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        if total >= 1.0 or (k > mean and out and total <= out[-1]):
+            return out
         out.append(total)
         k += 1
-        total += math.exp(-1) / math.factorial(k)
-    return out
-
-
-def poisson_weight(u: F.Column) -> F.Column:
-    """Exact inverse CDF of Poisson(1) for ``u`` in [0, 1): how many thresholds it has passed."""
-    return F.size(F.filter(F.array(*[F.lit(c) for c in _poisson1_cdf()]), lambda c: c <= u))
-
-
-def bootstrap_ap_ci(df: DataFrame, label: str, score: str, id_col: str, alpha: float = 0.95,
-                    n_bootstraps: int = 1000, seed: int = 42) -> tuple[float, float]:
-    """M3 CI: Poisson(1) bootstrap -- resample ``b`` weights row ``i`` by a
-    hash of (id, b, seed) -- AP per resample from weighted per-score counts,
-    percentile interval over the resamples that hold both classes.  Work is
-    rows x resamples, fully distributed; only the ``n_bootstraps`` APs
-    reach the driver."""
-    bs = F.explode(F.sequence(F.lit(0), F.lit(n_bootstraps - 1))).alias("b")
-    u = (F.abs(F.xxhash64(F.col(id_col), F.col("b"), F.lit(seed))) % F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    w = df.select(id_col, label, score, bs).withColumn("w", poisson_weight(u)).where(F.col("w") > 0)
-    counts = score_counts(w, label, score, keys=("b",), weight="w")
-    aps = _running_desc(counts, ("b",)).groupBy("b").agg(*_metric_aggs())
-    aps = aps.where((F.col("__P") > 0) & (F.col("__N") > 0))
-    vals = sorted(row["ap"] for row in aps.select("ap").collect())
-    if not vals:
+
+
+def poisson_draw(u: F.Column, mean: int = 1) -> F.Column:
+    """Inverse CDF of Poisson(mean) for ``u`` in [0, 1): how many thresholds it has passed."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in _poisson_cdf(mean)]), lambda c: c <= u))
+
+
+DRAW_BITS = 8          # counts below 2^8 are drawn exactly
+_UNIT = float(1 << 52)
+
+
+def _uniform(name: F.Column, part: str) -> F.Column:
+    """A hash of ``name`` and ``part`` as a number in [0, 1)."""
+    return F.conv(F.substring(F.md5(F.concat(name, F.lit(f"|{part}"))), 1, 13), 16, 10).cast("double") / F.lit(_UNIT)
+
+
+def poisson_weight(n: F.Column, name: F.Column) -> F.Column:
+    """The sum of ``n`` independent Poisson(1) weights, drawn at once as Poisson(n) from hashes of ``name``.
+
+    Below 2^8 it is the sum of exact draws for the bits of ``n``; above, the
+    normal quantile with the first correction term (off by O(1/n) in
+    probability, far below the noise of 1000 resamples)."""
+    bits = [F.when(n.bitwiseAND(F.lit(1 << j)) != 0, poisson_draw(_uniform(name, str(j)), 1 << j)).otherwise(F.lit(0))
+            for j in range(DRAW_BITS)]
+    exact = bits[0]
+    for b in bits[1:]:
+        exact = exact + b
+    z = F.sqrt(-2 * F.log(1 - _uniform(name, "r"))) * F.cos(F.lit(2 * math.pi) * _uniform(name, "a"))
+    wide = F.greatest(F.lit(0.0), F.floor(n + z * F.sqrt(n.cast("double")) + (z * z - 1) / 6 + 0.5)).cast("bigint")
+    return F.when(n < (1 << DRAW_BITS), exact.cast("bigint")).otherwise(wide)
+
+
+def bootstrap_ap(df: DataFrame, label: str, score: str, n_bootstraps: int = 1000, seed: int = 42,
+                 keys: Sequence[str] = ()) -> DataFrame:
+    """Average precision of each Poisson resample: ``keys, b, ap`` (resamples that hold both classes).
+
+    A row's weight in a resample is Poisson(1); rows of one score and label are
+    alike, and the sum of n such weights is Poisson(n), so a resample draws one
+    weight per distinct score and label: the work is distinct scores times
+    resamples, however many rows there are.  The draws are hashes of (keys,
+    score, label, resample, seed)."""
+    keys = tuple(keys)
+    counts = cut_lineage(score_counts(df, label, score, keys))
+    # one bucket per score range for all resamples: found on the counts, before they are multiplied
+    ranged = _score_bucket(counts.withColumn("__neg_score", -F.col("score")), "__neg_score")
+    drawn = ranged.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_bootstraps - 1))))
+    name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("score").cast("string"), F.col("b").cast("string"),
+                       F.lit(str(seed)))
+    drawn = drawn.select(*keys, "b", "score", "__neg_score", "__sb",
+                         poisson_weight(F.col("np").cast("bigint"), F.concat(name, F.lit("|1"))).cast("double").alias("np"),
+                         poisson_weight(F.col("nn").cast("bigint"), F.concat(name, F.lit("|0"))).cast("double").alias("nn"))
+    run = ordered_scan(drawn.where(F.col("np") + F.col("nn") > 0), [*keys, "b"], ["__neg_score"], "__sb",
+                       cumsum={"tp": "np", "neg_ge": "nn", "k": F.col("np") + F.col("nn")})
+    aps = run.groupBy(*keys, "b").agg(*_metric_aggs())
+    return aps.where((F.col("__P") > 0) & (F.col("__N") > 0)).select(*keys, "b", "ap")
+
+
+def ap_interval(df: DataFrame, label: str, score: str, alpha: float = 0.95, n_bootstraps: int = 1000, seed: int = 42,
+                keys: Sequence[str] = ()) -> DataFrame:
+    """M3 interval: ``keys, ap_ci_low, ap_ci_high, n_resamples`` by the percentiles of :func:`bootstrap_ap`."""
+    aps = bootstrap_ap(df, label, score, n_bootstraps, seed, keys)
+    by = aps.groupBy(*keys).agg(F.array_sort(F.collect_list("ap")).alias("v"))  # at most ``n_bootstraps`` numbers
+    n = F.size("v")
+
+    def at(share: float) -> F.Column:
+        return F.get("v", F.least(n - 1, F.floor(F.lit(share) * n).cast("int")))
+    return by.select(*keys, at((1.0 - alpha) / 2).alias("ap_ci_low"), at((1.0 + alpha) / 2).alias("ap_ci_high"),
+                     n.cast("bigint").alias("n_resamples"))
+
+
+def bootstrap_ap_ci(df: DataFrame, label: str, score: str, alpha: float = 0.95, n_bootstraps: int = 1000,
+                    seed: int = 42) -> tuple[float, float]:
+    """The interval as two numbers; NaN when no resample holds both classes."""
+    row = ap_interval(df, label, score, alpha, n_bootstraps, seed).first()
+    if row is None or row["ap_ci_low"] is None:
         return float("nan"), float("nan")
-    lo = vals[int((1.0 - alpha) / 2 * len(vals))]
-    hi = vals[min(len(vals) - 1, int((1.0 + alpha) / 2 * len(vals)))]
-    return float(lo), float(hi)
+    return row["ap_ci_low"], row["ap_ci_high"]

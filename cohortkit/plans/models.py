@@ -1,8 +1,7 @@
 """Model training and evaluation on Spark ML.
 
-Trainers are distributed Spark ML estimators; the search is a
-``CrossValidator`` over a seeded sample of the grid with stratified fold
-ids (M4) and AUROC scoring.  The additive boosted model is re-aimed as
+Trainers are distributed Spark ML estimators; the search (``search.py``)
+scores a seeded sample of the grid by the AUROC of stratified folds (M4).  The additive boosted model is re-aimed as
 depth-limited gradient boosting (depth 1 = additive in single features);
 the SVM is linear (kernel SVMs have no distributed form here).
 """
@@ -10,20 +9,21 @@ the SVM is linear (kernel SVMs have no distributed form here).
 from __future__ import annotations
 
 import itertools
+import json
 import random
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .metrics import auroc_ap
+from .search import best_candidates, search
 from .split import stratified_folds
 
 
@@ -96,29 +96,30 @@ def positive_score(df: DataFrame) -> DataFrame:
 
 def run_cv_and_final_train(train: DataFrame, holdout: DataFrame, target: str, id_col: str,
                            categorical: Sequence[str], continuous: Sequence[str], config: dict,
-                           n_folds: int = 5, seed: int = 42, parallelism: int = 2) -> dict:
-    """M5: preprocessing fitted on train, seeded random search scored by
-    CV AUROC, refit on all of train, holdout AUROC / AP."""
+                           n_folds: int = 5, seed: int = 42, parallelism: int = 4, store: str | None = None) -> dict:
+    """M5: preprocessing fitted on train, seeded search of ``n_iter``
+    candidates (the whole grid when it has no more) scored by the AUROC of
+    stratified folds, refit on all of train, holdout AUROC / AP.
+
+    Results of the search go to ``store``, where a second run finds them."""
     pre = fit_preprocessor(train, categorical, continuous, scale=config["scale"])
     # The search scans the training frame once per fold, candidate and
     # boosting round: store it once (stage boundary) instead of replaying
     # the feature plan every time.
     tr = cut_lineage(stratified_folds(pre.transform(train).withColumn("label", F.col(target).cast("double")),
-                                      "label", id_col, n_folds, seed))
+                                      "label", id_col, n_folds, seed).select(id_col, "features", "label", "fold"))
     est = config["estimator"](featuresCol="features", labelCol="label", **({"seed": seed} if config["estimator"] is not LinearSVC else {}))
     grid = sample_grid(est, config["grid"], config["n_iter"], seed)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, numFolds=n_folds, foldCol="fold",
-                        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
-                        parallelism=parallelism, seed=seed)
-    cvm = cv.fit(tr)
-    best = cvm.bestModel
+    store = store or f"{ensure_checkpoint_dir(train.sparkSession)}/search-{uuid.uuid4().hex}"
+    found = search(tr, {config["name"]: (est, grid)}, store, n_folds, parallelism)
+    top = best_candidates(found.where(F.col("model") == config["name"]), n_folds).first()
+    best = est.copy(grid[top["candidate"]]).fit(tr)
     scored = positive_score(best.transform(pre.transform(holdout))).withColumn("label", F.col(target))
     m = auroc_ap(scored, "label", "y_pred").first()
-    best_i = max(range(len(cvm.avgMetrics)), key=lambda i: cvm.avgMetrics[i])
     return {"model_name": config["name"],
-            "best_params": {p.name: v for p, v in grid[best_i].items()},
-            "cv_auroc": float(cvm.avgMetrics[best_i]), "holdout_auroc": m["auroc"], "holdout_auprc": m["ap"],
-            "n_train": train.count(), "n_holdout": m["n"], "n_positive_holdout": m["n_positive"],
+            "best_params": json.loads(top["params"]), "n_candidates": top["n_candidates"], "search_seconds": top["seconds"],
+            "cv_auroc": top["cv_auroc"], "holdout_auroc": m["auroc"], "holdout_auprc": m["ap"],
+            "n_train": tr.count(), "n_holdout": m["n"], "n_positive_holdout": m["n_positive"],
             "pipeline": PipelineModel(stages=[*pre.stages, best])}
 
 
@@ -130,17 +131,18 @@ def check_class_diversity(df: DataFrame, target: str) -> None:
 
 def train_models(dataset: DataFrame, cfg: dict, categorical: Sequence[str], continuous: Sequence[str],
                  out_dir: str | None = None, configs: Sequence[dict] = MODEL_CONFIGS,
-                 return_pipelines: bool = False, **kw):
+                 return_pipelines: bool = False, store: str | None = None, **kw):
     """M9: split by PID, guard classes, fit every configured model, save
     the pipelines and return one summary row per model (S13) -- plus the
-    fitted pipelines by name when ``return_pipelines``."""
+    fitted pipelines by name when ``return_pipelines``.  With a ``store`` a
+    second run reads the search results of the first."""
     from .split import train_test_split
     target, id_col = cfg["target"], cfg["dataset"]["id_col"]
     train, holdout = train_test_split(cfg, cut_lineage(dataset))
     check_class_diversity(train, target)
     rows, pipes = [], {}
     for c in configs:
-        r = run_cv_and_final_train(train, holdout, target, id_col, categorical, continuous, c, **kw)
+        r = run_cv_and_final_train(train, holdout, target, id_col, categorical, continuous, c, store=store, **kw)
         if out_dir:
             r["pipeline"].write().overwrite().save(f"{out_dir}/{c['name']}")
         pipes[c["name"]] = r["pipeline"]

@@ -63,6 +63,13 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a stored folder that is about to be written anew, in whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def collect_subsets(spark: SparkSession, names: Sequence[str], raw_root: str, base: DataFrame,
                     out_root: str, reset: bool = False, id_col: str = "CPR_hash") -> list[str]:
     """Restrict every configured raw table to the cohort; tables already
