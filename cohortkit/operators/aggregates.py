@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_column
+from .selection import HOT_GROUP, exact_median
 
 NUMERIC_AGGS = ("first", "last", "mean", "max", "min", "std", "sum", "count")
 WIDE_NUMERIC_AGGS = ("first", "last", "min", "max", "mean", "std", "count", "median")
@@ -109,7 +110,7 @@ def attach_to_bins(bins: DataFrame, agg: DataFrame, keys: Sequence[str] = ("PID"
 
 def numeric_wide(long: DataFrame, concept: str, agg_funcs: Sequence[str] = WIDE_NUMERIC_AGGS,
                  features: Sequence[str] | None = None, id_col: str = "PID",
-                 ts_col: str = "TIMESTAMP") -> tuple[DataFrame, list[str]]:
+                 ts_col: str = "TIMESTAMP", hot_group: int = HOT_GROUP) -> tuple[DataFrame, list[str]]:
     """A1 + A2 + R4: per (PID, FEATURE) aggregates pivoted to
     ``{FEATURE}_{concept}_{agg}``; nulls -> 0.0 (so a single value's std is
     0.0).  Unknown agg names are ignored.  ``features`` is the pivot list
@@ -119,10 +120,22 @@ def numeric_wide(long: DataFrame, concept: str, agg_funcs: Sequence[str] = WIDE_
     if features is None:
         features = _pivot_list(d, "FEATURE")
     order = F.struct(F.col(ts_col), F.col("__v"))
-    exprs = [_numeric_agg(a, F.col("__v"), order).cast("double").alias(a) for a in aggs]
-    p = d.groupBy(id_col).pivot("FEATURE", list(features)).agg(*exprs)
-    names = {f"{f}_{a}" if len(aggs) > 1 else f: f"{f}_{concept}_{a}" for f in features for a in aggs}
-    return p.select(id_col, *[F.coalesce(F.col(_quoted(src)), F.lit(0.0)).alias(dst) for src, dst in names.items()]), \
+    names = {(i, a): f"{f}_{concept}_{a}" for i, f in enumerate(features) for a in aggs}
+    wide = None
+    for part in ([a for a in aggs if a != "median"], [a for a in aggs if a == "median"]):
+        if not part:
+            continue
+        # the median of a hot group is selected by counting over all tasks; everything else combines map-side
+        src = exact_median(d, [id_col, "FEATURE"], "__v", hot_group) if part == ["median"] else d
+        exprs = [F.max("median").alias("median")] if part == ["median"] else \
+            [_numeric_agg(a, F.col("__v"), order).cast("double").alias(a) for a in part]
+        p = src.groupBy(id_col).pivot("FEATURE", list(features)).agg(*exprs)
+        p = p.select(id_col, *[F.col(_quoted(f"{f}_{a}" if len(part) > 1 else f)).alias(f"__{i}_{a}")
+                               for i, f in enumerate(features) for a in part])
+        wide = p if wide is None else wide.join(p, id_col, "left")
+    if wide is None:
+        wide = d.select(id_col).distinct()
+    return wide.select(id_col, *[F.coalesce(F.col(f"__{i}_{a}"), F.lit(0.0)).alias(dst) for (i, a), dst in names.items()]), \
         list(names.values())
 
 

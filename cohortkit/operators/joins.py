@@ -10,12 +10,13 @@ sorted window over the whole group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.timefns import micros_sql
+from ..session import cut_lineage
 from .ordered import time_bucket
 
 
@@ -130,19 +131,38 @@ def anti_reappend(population: DataFrame, matched: DataFrame, keys: Sequence[str]
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
+def observed_left_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> tuple[DataFrame, Callable[[], None]]:
+    """J10 + J11 without a job of its own: the left join and a check.
+
+    Rows are counted on the left side and behind the join while the result is
+    computed (``observe``); ``check()``, called after the action that stored
+    it, raises if the numbers differ.  Counts can run high where tasks were
+    repeated after a lost executor, so the key is looked up before it raises."""
+    keys = [on] if isinstance(on, str) else list(on)
+    before, after = Observation(), Observation()
+    one = F.count(F.lit(1)).alias("n")
+    out = left.observe(before, one).join(right, on=keys, how="left").observe(after, one)
+
+    def check() -> None:
+        if before.get["n"] != after.get["n"]:
+            dup = right.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
+            if dup:
+                raise ValueError(f"the join made {after.get['n']} rows of {before.get['n']}: duplicate key {dup[0].asDict()}")
+    return out, check
+
+
 def left_join_unique(left: DataFrame, right: DataFrame, on: str | Sequence[str],
                      check: bool = True) -> DataFrame:
     """J10 + J11: left enrichment join that must keep the row count.
 
-    The guard checks the right side is unique on the key (one aggregate
-    job) instead of counting both sides.
-    """
-    keys = [on] if isinstance(on, str) else list(on)
-    if check:
-        dup = right.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
-        if dup:
-            raise ValueError(f"join would change row count: duplicate key {dup[0].asDict()}")
-    return left.join(right, on=keys, how="left")
+    The checked form stores the result (reliable checkpoint) and compares the
+    rows counted before and behind the join in that write."""
+    if not check:
+        return left.join(right, on=[on] if isinstance(on, str) else list(on), how="left")
+    out, verify = observed_left_join(left, right, on)
+    out = cut_lineage(out)
+    verify()
+    return out
 
 
 def pair_start_end(cases: DataFrame, case_col: str = "Case_ID", type_col: str = "Operationshændelse",

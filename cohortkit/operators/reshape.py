@@ -44,6 +44,33 @@ def numbered_pivot(df: DataFrame, keys: Sequence[str], order: Sequence[str], col
     return p.select(*keys, *[f"{c}_{n}" for c in cols for n in values])
 
 
+def numbered_collection(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
+                        out: str = "items") -> DataFrame:
+    """R1/R2 nested form: per group its rows in ``order`` as an array of
+    structs of ``cols``; the row numbered n is element n.
+
+    The schema is the same whatever the data; :func:`flatten_numbered` makes
+    it wide where a fixed number of columns is wanted."""
+    item = F.struct(F.struct(*[F.col(c) for c in order]).alias("__o"), F.struct(*[F.col(c) for c in cols]).alias("__v"))
+    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["__v"]).alias(out))
+
+
+def flatten_numbered(df: DataFrame, width: int, items: str = "items", cols: Sequence[str] | None = None) -> DataFrame:
+    """The numbered columns ``{col}_1`` to ``{col}_{width}`` of a nested
+    collection, in its place; a group with more items raises, so that none is
+    left out unseen."""
+    names = [f.name for f in df.schema[items].dataType.elementType.fields] if cols is None else list(cols)
+    size = F.coalesce(F.size(items), F.lit(0))
+    bad = F.raise_error(F.concat(F.lit(f"{items}: a group has "), size.cast("string"), F.lit(f" items, over the {width} columns given")))
+    checked = df.withColumn(items, F.when(size > width, bad.cast(df.schema[items].dataType)).otherwise(F.col(items)))
+    return checked.select(*[F.col(_quoted(c)) for c in df.columns if c != items],
+                          *[F.get(items, F.lit(n))[c].alias(f"{c}_{n + 1}") for c in names for n in range(width)])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def feature_pivot(df: DataFrame, id_col: str, features: Sequence[str], value: str = "VALUE",
                   feature_col: str = "FEATURE") -> DataFrame:
     """FEATURE values to columns (explicit list), first value."""
@@ -121,16 +148,21 @@ def multi_hot_transform(df: DataFrame, vocabulary: DataFrame, sample_col: str, t
 def multi_hot_dense(ones: DataFrame, sample_col: str, n_categories: int, seq_len: int,
                     samples: DataFrame | None = None) -> DataFrame:
     """R8 (dense form): per sample an ``n_categories x seq_len`` 0/1 float
-    matrix (one row per sample; size bounded by the vocabulary).  With
+    matrix (one row per sample; size bounded by the vocabulary), filled from
+    the sorted positions of its ones: the cost is the cells plus the ones.  With
     ``samples`` every one of them has a row, all zero if it has no ones."""
-    cells = ones.groupBy(sample_col).agg(F.collect_set(F.col("idx") * seq_len + F.col("timestep")).alias("__on"))
+    cells = ones.groupBy(sample_col).agg(F.array_sort(F.collect_set((F.col("idx") * seq_len + F.col("timestep")).cast("int"))).alias("__on"))
     if samples is not None:
         cells = samples.select(sample_col).distinct().join(cells, sample_col, "left") \
                        .withColumn("__on", F.coalesce("__on", F.array().cast("array<int>")))
-    mat = F.transform(F.sequence(F.lit(0), F.lit(n_categories - 1)),
-                      lambda i: F.transform(F.sequence(F.lit(0), F.lit(seq_len - 1)),
-                                            lambda t: F.array_contains("__on", i * seq_len + t).cast("float")))
-    return cells.select(sample_col, mat.alias("multi_hot"))
+    # the ones scattered: zeros up to each position, then its one, then the zeros that are left
+    n = n_categories * seq_len
+    cells = cells.withColumn("__flat", F.expr(f"""concat(
+        flatten(transform(__on, (p, i) -> concat(array_repeat(0F, p - if(i = 0, 0, __on[i - 1] + 1)), array(1F)))),
+        array_repeat(0F, {n} - if(size(__on) = 0, 0, __on[size(__on) - 1] + 1)))"""))
+    rows = F.expr(f"transform(sequence(0, {n_categories - 1}), i -> slice(__flat, i * {seq_len} + 1, {seq_len}))") if n \
+        else F.array().cast("array<array<float>>")
+    return cells.select(sample_col, rows.alias("multi_hot"))
 
 
 def category_labels(vocabulary: DataFrame) -> DataFrame:

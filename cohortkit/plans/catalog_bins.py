@@ -14,6 +14,7 @@ from ..operators.aggregates import bin_aggregate, categorical_wide, numeric_wide
 from ..operators.filters import mask_after
 from ..operators.grid import assign_points, check_bin_freqs, expand_intervals, make_bins
 from ..operators.joins import filter_by_time_window, window_join
+from ..operators.selection import exact_median
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.readers import get_concept
 from ..sources.sinks import read_binned
@@ -335,6 +336,16 @@ def _sql_a1() -> str:
 register("a1_numeric_wide", _sql_a1())(a1_numeric_wide)
 
 
+def a1_group_median(spark: SparkSession, sf: str) -> DataFrame:
+    """Median and row count per event type: groups of a fifth of all rows, selected by counting over all tasks."""
+    lm = dt.long_model(dt.read(spark, sf, "events"))
+    return exact_median(lm, ["FEATURE"], "VALUE", hot=100).select("FEATURE", "median")
+
+
+register("a1_group_median", "SELECT event_type AS FEATURE, median(value) AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")(
+    a1_group_median)
+
+
 def a3_categorical_wide(spark: SparkSession, sf: str) -> DataFrame:
     lm = dt.long_model(dt.read(spark, sf, "events")).withColumn("VALUE", F.col("FEATURE"))
     wide, _, _ = categorical_wide(lm, "events", EVENT_TYPES)

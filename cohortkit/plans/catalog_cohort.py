@@ -133,9 +133,8 @@ def k5_match_population(spark: SparkSession, sf: str) -> DataFrame:
     t = trajectories(spark, sf)
     p = dt.procedures(dt.read(spark, sf, "events"))
     m = match_population_to_trajectories(t, p)
-    nums = sorted((int(c.rsplit("_", 1)[1]) for c in m.columns if c.startswith("ProcedureCode_")))
     return m.select("CPR_hash", "trajectory", "event_id", "ServiceDate", "start", "end",
-                    F.concat_ws(",", *[F.col(f"ProcedureCode_{n}") for n in nums]).alias("codes"))
+                    F.concat_ws(",", F.transform("procedures", lambda p: p["ProcedureCode"])).alias("codes"))
 
 
 register("k5_match_population", W(dt.SQL_ADT, SQL_TRAJ, dt.SQL_PROC) + """,
@@ -403,6 +402,28 @@ SELECT DISTINCT e.user_id, v.idx, CAST(e.w - (SELECT min(w) FROM e) AS INTEGER)
     r8_multi_hot)
 
 
+def r8_multi_hot_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense matrices of all users, fitted and transformed on two of three: the others are absent samples, all zero."""
+    wide, steps = _weekly_sets(spark, sf)
+    some = wide.where(F.col("user_id") % 3 != 0)
+    voc = multi_hot_vocabulary(some, steps)
+    dense = multi_hot_dense(multi_hot_transform(some, voc, "user_id", steps), "user_id", voc.count(), len(steps), wide)
+    bits = F.concat_ws("", F.transform("row", lambda x: x.cast("int").cast("string"))).alias("bits")
+    return dense.select("user_id", F.posexplode("multi_hot").alias("idx", "row")).select("user_id", "idx", bits)
+
+
+register("r8_multi_hot_dense", """
+WITH e AS (SELECT user_id, event_type, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS INTEGER) AS w
+           FROM events),
+v AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS idx
+      FROM (SELECT DISTINCT event_type AS value FROM e WHERE user_id % 3 <> 0)),
+steps AS (SELECT unnest(range((SELECT min(w) FROM e), (SELECT max(w) FROM e) + 1)) AS w),
+ones AS (SELECT DISTINCT e.user_id, v.idx, e.w FROM e JOIN v ON e.event_type = v.value WHERE user_id % 3 <> 0),
+cells AS (SELECT u.user_id, v.idx, s.w FROM (SELECT DISTINCT user_id FROM e) u CROSS JOIN v CROSS JOIN steps s)
+SELECT c.user_id, c.idx, string_agg(CASE WHEN o.w IS NULL THEN '0' ELSE '1' END, '' ORDER BY c.w) AS bits
+FROM cells c LEFT JOIN ones o ON o.user_id = c.user_id AND o.idx = c.idx AND o.w = c.w GROUP BY c.user_id, c.idx""")(r8_multi_hot_dense)
+
+
 # ---------------------------------------------------------------------------
 # Wide per-patient dataset at 24 h
 # ---------------------------------------------------------------------------
@@ -575,8 +596,7 @@ def k9_diagnoses(spark: SparkSession, sf: str) -> DataFrame:
     b = base(spark, sf).withColumn("ServiceDate", F.col("start"))
     d = dt.diagnoses(dt.read(spark, sf, "events")).drop("event_id")
     wide = add_diagnoses(b.select("PID", "CPR_hash", "ServiceDate", "start", "end"), d, DIAGNOSIS_INCLUSION)
-    nums = sorted(int(c.rsplit("_", 1)[1]) for c in wide.columns if c.startswith("Diagnosekode_"))
-    return wide.select("PID", F.concat_ws(",", *[F.col(f"Diagnosekode_{n}") for n in nums]).alias("codes"))
+    return wide.select("PID", F.concat_ws(",", F.transform("diagnoses", lambda d: d["Diagnosekode"])).alias("codes"))
 
 
 def _sql_k9() -> str:

@@ -15,7 +15,7 @@ from ..operators.filters import fill_window_from_date, prefix_filter
 from ..operators.joins import (anti_reappend, left_join_unique, lookback_join, match_trajectories,
                                nearest_in_time, pair_start_end, window_join)
 from ..operators.ordered import dense_rank_global, ordered_scan, range_buckets
-from ..operators.reshape import numbered_pivot
+from ..operators.reshape import numbered_collection
 from ..operators.trajectories import build_trajectories, overlap_with_next
 from ..session import cut_lineage
 
@@ -46,24 +46,30 @@ def match_population_to_trajectories(of: DataFrame, population: DataFrame,
                                      proc_cols: Sequence[str] | None = None,
                                      tie_cols: Sequence[str] = ("ServiceDatetime", "ProcedureCode")) -> DataFrame:
     """K5: procedures within ``[start-1d, end+1d]`` of a trajectory (J3);
-    several procedures of a trajectory spread to ``{col}_{n}`` (R1); the
-    other columns from its earliest procedure (W7); trajectory start/end
-    attached; population rows left unmatched are appended with null
-    trajectory and procedure columns renamed ``_1`` (J7)."""
+    several procedures of a trajectory become its ordered array
+    ``procedures`` (R1, nested: the schema does not grow with the data; the
+    first one's columns stand beside it as ``{col}_1``); the other columns
+    from its earliest procedure (W7); trajectory start/end attached;
+    population rows left unmatched are appended with null trajectory and one
+    procedure (J7)."""
     if proc_cols is None:
         proc_cols = [c for c in population.columns if c.startswith("Procedure")] + ["ServiceDatetime"]
-    # matched procedures feed the pivot, the first-row pick and the width
-    # probe: store them once
-    fdf = cut_lineage(match_trajectories(of, population, "ServiceDate"))
+    fdf = match_trajectories(of, population, "ServiceDate")
     keys = ["CPR_hash", "trajectory"]
     order = ["ServiceDate", *tie_cols]
-    wide = numbered_pivot(fdf, keys, order, proc_cols)
     rest = [c for c in fdf.columns if c not in proc_cols and c not in keys]
-    firsts = fdf.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r")) \
-                .select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
-    df = firsts.join(wide, keys, "left").join(of.select(*keys, "start", "end", "duration"), keys, "left")
+    # the earliest row as a whole and all procedures in order: one aggregate
+    item = F.struct(F.struct(*order).alias("__o"), F.struct(*proc_cols).alias("__v"))
+    grouped = fdf.groupBy(*keys).agg(
+        F.min_by(F.struct(*rest), F.struct(*order)).alias("__r"),
+        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["__v"]).alias("procedures"))
+    first = [F.get("procedures", F.lit(0))[c].alias(f"{c}_1") for c in proc_cols]
+    df = grouped.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest], "procedures", *first) \
+                .join(of.select(*keys, "start", "end", "duration"), keys, "left")
     renames = {c: f"{c}_1" for c in proc_cols}
-    return anti_reappend(population, df, ["CPR_hash", "ServiceDate"], renames)
+    single = population.withColumn("procedures", F.array(F.struct(*proc_cols)))
+    # read twice by the append (as rows and as keys): stored once
+    return anti_reappend(single, cut_lineage(df), ["CPR_hash", "ServiceDate"], renames)
 
 
 def add_first_contacts(df: DataFrame, adt: DataFrame, site_pattern: str = codes.SITE_PATTERN) -> DataFrame:
@@ -103,14 +109,14 @@ def add_case_knife_time(df: DataFrame, cases: DataFrame) -> DataFrame:
 def add_diagnoses(df: DataFrame, diagnoses: DataFrame,
                   inclusion: Sequence[str] = DIAGNOSIS_INCLUSION) -> DataFrame:
     """K9: included diagnoses noted in ``[start - 6 months, end]`` (J4),
-    numbered by note time per (CPR_hash, ServiceDate) into
-    ``Diagnosekode_{n}`` (R2)."""
+    in order of note time per (CPR_hash, ServiceDate) as the array
+    ``diagnoses`` (R2, nested)."""
     d = diagnoses.where(F.col("Diagnosekode").isin(list(inclusion))) \
                  .withColumn("Noteret_dato", ts_column(diagnoses, "Noteret_dato"))
     keys = df.select("CPR_hash", "ServiceDate", "start", "end").distinct()
     m = lookback_join(keys, d, "Noteret_dato", months=6, carry=["ServiceDate"])
-    wide = numbered_pivot(m, ["CPR_hash", "ServiceDate"], ["Noteret_dato", "Diagnosekode"], ["Diagnosekode"])
-    return df.join(wide, ["CPR_hash", "ServiceDate"], "left")
+    found = numbered_collection(m, ["CPR_hash", "ServiceDate"], ["Noteret_dato", "Diagnosekode"], ["Diagnosekode"], "diagnoses")
+    return df.join(found, ["CPR_hash", "ServiceDate"], "left")
 
 
 def add_patient_info(df: DataFrame, info: DataFrame) -> DataFrame:

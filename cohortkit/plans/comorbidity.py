@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import strip_code_ends
+from ..operators.joins import left_join_unique
 from ..operators.ordered import ordered_scan, range_buckets
 from ..session import cut_lineage
 from ..functions.timefns import ts_column
@@ -170,6 +171,5 @@ def comorbidity_scores(flags: DataFrame) -> DataFrame:
 
 def add_comorbidity(base: DataFrame, diagnoses: DataFrame) -> DataFrame:
     """Scores joined onto the base by PID; PIDs without pre-index
-    diagnoses keep nulls."""
-    scores = comorbidity_scores(active_flags(base, diagnoses))
-    return base.join(scores, "PID", "left")
+    diagnoses keep nulls.  The join must keep the row count (J11)."""
+    return left_join_unique(base, comorbidity_scores(active_flags(base, diagnoses)), "PID")

@@ -36,26 +36,26 @@ def score_counts(df: DataFrame, label: str, score: str, keys: tuple[str, ...] =
     """Positives / negatives per distinct score (optionally weighted)."""
     w = F.col(weight) if weight else F.lit(1.0)
     y = F.col(label).cast("double")
-    return df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
-        F.sum(w * y).alias("np"), F.sum(w * (1 - y)).alias("nn"))
+    return df.groupBy(*keys, F.col(score).cast("double").alias("__score")).agg(
+        F.sum(w * y).alias("__np"), F.sum(w * (1 - y)).alias("__nn"))
 
 
 def _running_desc(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Inclusive running sums from the highest score down: ``tp`` (positives
     with score >= s), ``fp_all`` (rows with score >= s), ``neg_ge``."""
-    d = counts.withColumn("__neg_score", -F.col("score"))
+    d = counts.withColumn("__neg_score", -F.col("__score"))
     b = _score_bucket(d, "__neg_score")
     return ordered_scan(b, list(keys), ["__neg_score"], "__sb",
-                        cumsum={"tp": "np", "neg_ge": "nn", "k": F.col("np") + F.col("nn")})
+                        cumsum={"__tp": "__np", "__neg_ge": "__nn", "__k": F.col("__np") + F.col("__nn")})
 
 
 def _metric_aggs(keys: tuple[str, ...] = ()) -> list[F.Column]:
     """AUROC (ties averaged) and AP from the descending sums, no totals needed
     per row:  AUC*P*N = N*P - sum(np*neg_ge) + 0.5*sum(np*nn);
     AP*P = sum(np * tp / k)."""
-    P, N = F.sum("np"), F.sum("nn")
-    auc_num = N * P - F.sum(F.col("np") * F.col("neg_ge")) + 0.5 * F.sum(F.col("np") * F.col("nn"))
-    ap_num = F.sum(F.when(F.col("np") > 0, F.col("np") * F.col("tp") / F.col("k")).otherwise(F.lit(0.0)))
+    P, N = F.sum("__np"), F.sum("__nn")
+    auc_num = N * P - F.sum(F.col("__np") * F.col("__neg_ge")) + 0.5 * F.sum(F.col("__np") * F.col("__nn"))
+    ap_num = F.sum(F.when(F.col("__np") > 0, F.col("__np") * F.col("__tp") / F.col("__k")).otherwise(F.lit(0.0)))
     return [F.try_divide(auc_num, P * N).alias("auroc"), F.try_divide(ap_num, P).alias("ap"),
             P.alias("__P"), N.alias("__N")]
 
@@ -136,15 +136,15 @@ def bootstrap_ap(df: DataFrame, label: str, score: str, n_bootstraps: int = 1000
     keys = tuple(keys)
     counts = cut_lineage(score_counts(df, label, score, keys))
     # one bucket per score range for all resamples: found on the counts, before they are multiplied
-    ranged = _score_bucket(counts.withColumn("__neg_score", -F.col("score")), "__neg_score")
+    ranged = _score_bucket(counts.withColumn("__neg_score", -F.col("__score")), "__neg_score")
     drawn = ranged.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_bootstraps - 1))))
-    name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("score").cast("string"), F.col("b").cast("string"),
+    name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("__score").cast("string"), F.col("b").cast("string"),
                        F.lit(str(seed)))
-    drawn = drawn.select(*keys, "b", "score", "__neg_score", "__sb",
-                         poisson_weight(F.col("np").cast("bigint"), F.concat(name, F.lit("|1"))).cast("double").alias("np"),
-                         poisson_weight(F.col("nn").cast("bigint"), F.concat(name, F.lit("|0"))).cast("double").alias("nn"))
-    run = ordered_scan(drawn.where(F.col("np") + F.col("nn") > 0), [*keys, "b"], ["__neg_score"], "__sb",
-                       cumsum={"tp": "np", "neg_ge": "nn", "k": F.col("np") + F.col("nn")})
+    drawn = drawn.select(*keys, "b", "__score", "__neg_score", "__sb",
+                         poisson_weight(F.col("__np").cast("bigint"), F.concat(name, F.lit("|1"))).cast("double").alias("__np"),
+                         poisson_weight(F.col("__nn").cast("bigint"), F.concat(name, F.lit("|0"))).cast("double").alias("__nn"))
+    run = ordered_scan(drawn.where(F.col("__np") + F.col("__nn") > 0), [*keys, "b"], ["__neg_score"], "__sb",
+                       cumsum={"__tp": "__np", "__neg_ge": "__nn", "__k": F.col("__np") + F.col("__nn")})
     aps = run.groupBy(*keys, "b").agg(*_metric_aggs())
     return aps.where((F.col("__P") > 0) & (F.col("__N") > 0)).select(*keys, "b", "ap")
 

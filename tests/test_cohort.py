@@ -45,7 +45,7 @@ def test_create_base(spark, clinical):
     assert p1.knife_time == dt.datetime(2024, 1, 1, 10, 5) and p1.elapsed_knife_time_minutes == 90.0
     assert p1.SEX == "Male" and p1.AGE == 73 and p1.DECEASED_90d == 0.0
     assert abs(p1.HEIGHT - 177.8) < 1e-9 and abs(p1.WEIGHT - 79.378665) < 1e-6
-    assert p1.CHAR_mi == 1 and p1.Diagnosekode_1 == "DC221A"
+    assert p1.CHAR_mi == 1 and p1.diagnoses[0].Diagnosekode == "DC221A"
     assert ("p1", "2024-01-02") in rows and rows[("p1", "2024-01-02")].trajectory is None  # later procedure re-appended
     p3 = rows[("p3", "2024-05-05")]
     assert p3.start == p3.end == dt.datetime(2024, 5, 5)  # unmatched: window from the service date

@@ -10,7 +10,7 @@ from cohortkit.operators.reshape import multi_hot_dense, numbered_pivot, numbere
 from cohortkit.operators.trajectories import build_trajectories
 from cohortkit.plans.binning import map_concepts
 from cohortkit.plans.concepts import collect_filter
-from cohortkit.plans.metrics import poisson_weight
+from cohortkit.plans.metrics import poisson_draw
 from cohortkit.plans.split import stratified_folds, stratified_split
 
 LONG = "PID long, TIMESTAMP timestamp_ntz, FEATURE string, VALUE string"
@@ -74,7 +74,7 @@ def test_ties_have_one_order(spark):
 
 def test_poisson_weights_are_exact(spark):
     df = spark.createDataFrame([(0.0,), (0.36,), (0.37,), (0.99,), (0.9999999,), (1 - 2 ** -52,)], "u double")
-    assert [r[0] for r in df.select(poisson_weight(F.col("u"))).collect()][:5] == [0, 0, 1, 4, 10]
+    assert [r[0] for r in df.select(poisson_draw(F.col("u"))).collect()][:5] == [0, 0, 1, 4, 10]
 
 
 def test_dense_matrix_of_absent_samples(spark):

@@ -31,7 +31,7 @@ def test_auroc_symmetry_and_ties(spark):
 def test_bootstrap_ci(spark):
     df = spark.createDataFrame([(i, i % 3 == 0, float(i % 7)) for i in range(60)], "id long, y boolean, p double") \
         .withColumn("y", F.col("y").cast("int"))
-    lo, hi = bootstrap_ap_ci(df, "y", "p", "id", n_bootstraps=50)
+    lo, hi = bootstrap_ap_ci(df, "y", "p", n_bootstraps=50)
     ap = auroc_ap(df, "y", "p").first().ap
     assert 0 <= lo <= hi <= 1 and lo - 0.2 <= ap <= hi + 0.2
 
