@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import shuffle_parts, stage
+from cohortkit.llm.common import shuffle_parts, stage, with_row_ids
 from cohortkit.llm.components import components
 from cohortkit.llm.shingles import WORDS, mix, shingle_sets
 
@@ -483,8 +483,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     other texts, the one with the least hash of its text stays; rows with a
     null id stay, as they have no component.
     """
-    row = next(n for n in (f"__row{'_' * k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
-    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    rows, row = with_row_ids(docs)
     own = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"), F.col(row).alias("row"))
     mine = rows.filter(F.col(id_col).isNotNull()).select(F.col(row).alias("near_row"), F.col(text_col).alias("near_text"), own.alias("own"))
     found = near_duplicates(mine, "near_row", "near_text").select(F.col("near_row").alias("__r"), "component_id")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import SPACES, stage, text_or_empty
+from cohortkit.llm.common import SPACES, stage, text_or_empty, with_row_ids
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -129,6 +129,6 @@ def judge(docs: DataFrame, host: str = "source", id_col: str = "doc_id") -> Data
 
 def keep_good(docs: DataFrame, host: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns; each row goes by its own verdict, whatever its id."""
-    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "quality-rows")
-    bad = judge(rows, host, "__row").filter(~F.col("kept")).select(F.col("__row").alias("__bad"))
-    return rows.join(bad, rows["__row"] == bad["__bad"], "left_anti").drop("__row")
+    rows, row = with_row_ids(docs)
+    bad = judge(rows, host, row).filter(~F.col("kept")).select(F.col(row).alias("__bad"))
+    return rows.join(bad, rows[row] == bad["__bad"], "left_anti").select(*docs.columns)
