@@ -279,18 +279,19 @@ def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """(id, t1, lo, hi) word ranges that start in an earlier document, of texts (id, t1, text)."""
     spark = texts.sparkSession
     found = stage(texts.mapInArrow(_instances, INSTANCE), "instances")
-    shared = (found.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key"))
+    # aggregates are staged before their joins, so that Spark can split a hot key's rows there
+    shared = stage(found.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key"), "keys")
     found = stage(_joined(found, shared, ["key"]), "shared")
     distinct = found.groupBy("key", "c").agg(F.min(F.struct("id", "t1", "first", "run")).alias("f")).select("key", "c", "f.*")
     distinct = stage(distinct, "distinct")
-    sizes = distinct.groupBy("key").agg((F.count(F.lit(1)) > hot).alias("hot"))
+    sizes = stage(distinct.groupBy("key").agg((F.count(F.lit(1)) > hot).alias("hot")), "sizes")
     asked = (_joined(distinct, sizes, ["key"]).groupBy("id", "t1")
              .agg(F.collect_list(F.struct("key", "c", "first", "run", "hot")).alias("asked")))  # at most a text's own anchors
     passages = stage(_joined(texts, asked, ["id", "t1"]).mapInArrow(_passages, PASSAGE), "passages")
     cold = (passages.filter("not hot").select("key", "c", "id", "words").repartition(shuffle_parts(spark), "key")
             .sortWithinPartitions("key").mapInArrow(_sharded, VERDICT))
     windows = stage(passages.filter("hot").mapInArrow(_windows, "w1 long, w2 long, key long, c long, id long, at int"), "windows")
-    owners = windows.groupBy("w1", "w2").agg(F.min("id").alias("owner"))
+    owners = stage(windows.groupBy("w1", "w2").agg(F.min("id").alias("owner")), "owners")
     warm = (_joined(windows, owners, ["w1", "w2"]).groupBy("key", "c", "owner", F.col("at").alias("lo")).agg(F.max("at").alias("hi"))
             .select("key", "c", "lo", "hi", "owner"))
     verdicts = stage(cold.unionByName(warm), "verdicts")
