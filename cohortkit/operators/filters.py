@@ -54,22 +54,46 @@ def mask_after(concept: DataFrame, base: DataFrame | None, delta: Column | str,
     return j.where(F.col(ts_col) <= F.col("__start") + d).select(*concept.columns)
 
 
+# Seconds per unit of a duration text (fixed values).
+DURATION_UNITS = {"w": 604800, "week": 604800, "weeks": 604800, "d": 86400, "day": 86400, "days": 86400,
+                  "h": 3600, "hr": 3600, "hour": 3600, "hours": 3600, "m": 60, "min": 60, "minute": 60, "minutes": 60,
+                  "s": 1, "sec": 1, "second": 1, "seconds": 1, "ms": 1e-3, "us": 1e-6}
+
+
+def duration_seconds(text: str) -> float:
+    """A duration text in seconds: numbers with units ('24h', '1 day 30 min',
+    '2D'), a clock ('02:00:00', '26:30:00.5'), days and a clock
+    ('1 days 02:00:00'), each with an optional sign."""
+    import re
+    t = text.strip().lower()
+    sign = -1 if t.startswith("-") else 1
+    rest = t.lstrip("+-").strip() if t[:1] in ("+", "-") else t
+    clock = re.search(r"(\d+):(\d{1,2}):(\d{1,2}(?:\.\d+)?)$", rest)
+    total, parts = 0.0, 0
+    if clock:
+        hours, minutes, seconds = clock.groups()
+        total, parts = int(hours) * 3600 + int(minutes) * 60 + float(seconds), 1
+        rest = rest[:clock.start()].strip().removesuffix("+").strip()
+    while rest:
+        m = re.match(r"(\d+(?:\.\d+)?)\s*([a-z]+)[\s,]*", rest)
+        if not m or m.group(2) not in DURATION_UNITS:
+            raise ValueError(f"Cannot parse masking point {text!r}")
+        total, parts, rest = total + float(m.group(1)) * DURATION_UNITS[m.group(2)], parts + 1, rest[m.end():]
+    if not parts:
+        raise ValueError(f"Cannot parse masking point {text!r}")
+    return sign * total
+
+
 def parse_masking_point(value) -> Column | None:
-    """P10: None -> no mask; a ``datetime.timedelta`` or pandas-like text
-    ('24h', '2D', '90min', '1 day') -> an interval literal; else error."""
+    """P10: None -> no mask; a ``datetime.timedelta`` or a duration text
+    (:func:`duration_seconds`) -> an interval literal; else an error."""
     import datetime as _dt
-    import re
     if value is None:
         return None
     if isinstance(value, _dt.timedelta):
         return F.make_dt_interval(secs=F.lit(value.total_seconds()))
     if isinstance(value, str):
-        m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*(min|minutes?|h|hours?|d|days?|s|seconds?)\s*", value, re.I)
-        if not m:
-            raise ValueError(f"Cannot parse masking point {value!r}")
-        n, unit = float(m.group(1)), m.group(2).lower()
-        secs = n * {"m": 60, "h": 3600, "d": 86400, "s": 1}[unit[0]]
-        return F.make_dt_interval(secs=F.lit(secs))
+        return F.make_dt_interval(secs=F.lit(duration_seconds(value)))
     raise TypeError(f"Unsupported masking point type: {type(value).__name__}")
 
 

@@ -125,13 +125,12 @@ class Grid:
         return f"aggregate({segs}, CAST(0 AS BIGINT), (a, s) -> a + s.n)"
 
     @staticmethod
-    def g_counter_of_offset(t: str, segs: str = "__segs") -> str:
-        seg = f"filter({segs}, s -> ({t}) >= s.s0 AND ({t}) < s.s0 + s.n * s.f)"
-        return f"(CASE WHEN size({seg}) > 0 THEN {seg}[0].c0 + (({t}) - {seg}[0].s0) div {seg}[0].f END)"
+    def g_seg_of_counter(c: str, segs: str = "__segs") -> str:
+        return f"get(filter({segs}, s -> ({c}) >= s.c0 AND ({c}) < s.c0 + s.n), 0)"
 
     @staticmethod
-    def g_seg_of_counter(c: str, segs: str = "__segs") -> str:
-        return f"filter({segs}, s -> ({c}) >= s.c0 AND ({c}) < s.c0 + s.n)[0]"
+    def g_seg_of_offset(t: str, segs: str = "__segs") -> str:
+        return f"get(filter({segs}, s -> ({t}) >= s.s0 AND ({t}) < s.s0 + s.n * s.f), 0)"
 
     # -- counts ---------------------------------------------------------
     def n_bins_sql(self, w: str) -> str:
@@ -173,9 +172,13 @@ class Grid:
         return f"{micros_sql(start, end)} + {_lit(WINDOW_SLACK_US)}"
 
 
-def _bin_cols(grid: Grid, start: str, counter: str = "bin_counter") -> list[Column]:
+def _with_segment(df: DataFrame, grid: Grid, lookup: str) -> DataFrame:
+    """The segment of a bin as one struct column: looked up once, whatever reads it."""
+    return df.withColumn("__seg", F.expr(lookup)) if grid.general else df
+
+
+def _bin_cols(grid: Grid, start: str, counter: str = "bin_counter", seg: str = "__seg") -> list[Column]:
     if grid.general:
-        seg = grid.g_seg_of_counter(counter)
         s_off = f"({seg}.s0 + (({counter}) - {seg}.c0) * {seg}.f)"
         f = f"{seg}.f"
         return [
@@ -227,6 +230,7 @@ def make_bins(base: DataFrame, bin_intervals: dict[str, str], id_col: str = "PID
                         grid, start, end, drop_last_col)
     df = df.where(F.col("__nbins") >= 1) \
            .withColumn("bin_counter", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__nbins"))))
+    df = _with_segment(df, grid, grid.g_seg_of_counter("bin_counter"))
     return df.select(F.col(id_col), *_bin_cols(grid, start))
 
 
@@ -242,26 +246,32 @@ def assign_points(events: DataFrame, base: DataFrame, bin_intervals: dict[str, s
     """
     grid = Grid(bin_intervals)
     keep = [id_col, start, "__nbins"] + (["__segs"] if grid.general else [])
-    b = with_bin_total(base.select(id_col, start, end, *([drop_last_col] if drop_last_col else [])),
-                       grid, start, end, drop_last_col).select(*keep)
-    ev = events.join(b, on=id_col, how="inner")
-    t = micros_sql(start, ts_col)
-    c_here = grid.g_counter_of_offset(t) if grid.general else grid.counter_of_offset_sql(t)
+    own = [start, end, *([drop_last_col] if drop_last_col else [])]
+    carried = set(own) <= set(events.columns)
+    if carried:
+        # events that carry their window (it was joined to them before) need no second join on a hot id
+        ev = with_bin_total(events, grid, start, end, drop_last_col).drop(*own[1:])
+    else:
+        b = with_bin_total(base.select(id_col, *own), grid, start, end, drop_last_col).select(*keep)
+        ev = events.join(b, on=id_col, how="inner")
+    ev = ev.withColumn("__t", F.expr(micros_sql(start, ts_col)))
+    ev = _with_segment(ev, grid, grid.g_seg_of_offset("__t"))
+    c_here = "(__seg.c0 + (__t - __seg.s0) div __seg.f)" if grid.general else grid.counter_of_offset_sql("__t")
     if closed:
-        tm = f"({t} - 1)"
         if grid.general:
-            c_prev = grid.g_counter_of_offset(tm)
-            seg = grid.g_seg_of_counter(c_prev)
-            prev_end = f"({seg}.s0 + (({c_prev}) - {seg}.c0 + 1) * {seg}.f)"
+            ev = ev.withColumn("__prev", F.expr(grid.g_seg_of_offset("(__t - 1)")))
+            c_prev = "(__prev.c0 + (__t - 1 - __prev.s0) div __prev.f)"
+            prev_end = f"(__prev.s0 + ({c_prev} - __prev.c0 + 1) * __prev.f)"
         else:
-            c_prev = grid.counter_of_offset_sql(tm)
+            c_prev = grid.counter_of_offset_sql("(__t - 1)")
             prev_end = f"{grid.start_of_counter_sql(c_prev)} + {grid.freq_of_counter_sql(c_prev)}"
-        cands = f"array_distinct(filter(array({c_here}, CASE WHEN {prev_end} = {t} THEN {c_prev} END), x -> x IS NOT NULL))"
+        cands = f"array_distinct(filter(array({c_here}, CASE WHEN {prev_end} = __t THEN {c_prev} END), x -> x IS NOT NULL))"
         ev = ev.withColumn("bin_counter", F.explode(F.expr(cands)))
+        ev = _with_segment(ev, grid, grid.g_seg_of_counter("bin_counter"))
     else:
         ev = ev.withColumn("bin_counter", F.expr(c_here))
     ev = ev.where((F.col("bin_counter") >= 1) & (F.col("bin_counter") <= F.col("__nbins")))
-    rest = [c for c in events.columns if c != id_col]
+    rest = [c for c in events.columns if c != id_col and not (carried and c in own)]
     return ev.select(id_col, *rest, *_bin_cols(grid, start))
 
 
@@ -284,8 +294,9 @@ def expand_intervals(events: DataFrame, base: DataFrame, bin_intervals: dict[str
     if grid.general:
         last_end = f"aggregate(__segs, CAST(0 AS BIGINT), (a, s) -> greatest(a, s.s0 + s.n * s.f))"
         lo = (f"CASE WHEN {ts_off} < 0 THEN CAST(1 AS BIGINT) WHEN {ts_off} >= {last_end} THEN __nbins + 1 "
-              f"ELSE {grid.g_counter_of_offset(ts_off)} END")
-        hi_c = f"least(__nbins, coalesce({grid.g_counter_of_offset(f'({te_off} - 1)')}, __nbins))"
+              f"ELSE __first.c0 + ({ts_off} - __first.s0) div __first.f END")
+        hi_c = f"least(__nbins, coalesce(__last.c0 + ({te_off} - 1 - __last.s0) div __last.f, __nbins))"
+        ev = ev.withColumn("__first", F.expr(grid.g_seg_of_offset(ts_off))).withColumn("__last", F.expr(grid.g_seg_of_offset(f"({te_off} - 1)")))
         hi = f"CASE WHEN {te_off} >= 1 THEN {hi_c} END"
     else:
         lo = f"CASE WHEN {ts_off} < 0 THEN CAST(1 AS BIGINT) ELSE {grid.counter_of_offset_sql(ts_off)} END"
@@ -295,8 +306,8 @@ def expand_intervals(events: DataFrame, base: DataFrame, bin_intervals: dict[str
     ev = ev.where(F.col("__lo") <= F.col("__hi"))
     ev = ev.withColumn("bin_counter", F.explode(F.sequence(F.col("__lo"), F.col("__hi"))))
     if grid.general:
-        seg = grid.g_seg_of_counter("bin_counter")
-        s_off = f"({seg}.s0 + (bin_counter - {seg}.c0) * {seg}.f)"
+        ev = _with_segment(ev, grid, grid.g_seg_of_counter("bin_counter"))
+        s_off = "(__seg.s0 + (bin_counter - __seg.c0) * __seg.f)"
     else:
         s_off = grid.start_of_counter_sql("bin_counter")
     ev = ev.withColumn(ts_col, F.expr(f"timestampadd(MICROSECOND, {s_off}, {start})"))

@@ -122,8 +122,8 @@ def anti_reappend(population: DataFrame, matched: DataFrame, keys: Sequence[str]
                   rename: dict[str, str] | None = None) -> DataFrame:
     """Population rows whose ``keys`` are absent from ``matched``
     (null-safe key equality), renamed and appended by name."""
-    m = matched.select(*keys).distinct()
-    cond = [population[k].eqNullSafe(m[k]) for k in keys]
+    m = matched.select(*[F.col(k).alias(f"__m_{k}") for k in keys]).distinct()
+    cond = [population[k].eqNullSafe(m[f"__m_{k}"]) for k in keys]
     unmatched = population.join(m, on=cond, how="left_anti")
     for a, b in (rename or {}).items():
         if a in unmatched.columns:

@@ -48,7 +48,8 @@ def place_concept(long: DataFrame, base: DataFrame, cfg: dict, is_multi_label: b
         long = expand_intervals(long, b, intervals)
     if is_multi_label:
         long = explode_values(long, "VALUE")
-    return assign_points(long.select("PID", "TIMESTAMP", "FEATURE", "VALUE"), b, intervals,
+    carried = [c for c in ("start", "end", drop_last_col) if c and c in long.columns]
+    return assign_points(long.select("PID", "TIMESTAMP", "FEATURE", "VALUE", *carried), b, intervals,
                          closed=closed, drop_last_col=drop_last_col)
 
 

@@ -89,12 +89,12 @@ SQL_BASE = SQL_TRAJ + """,
 base AS (SELECT CAST(dense_rank() OVER (ORDER BY CPR_hash, start) AS BIGINT) AS PID, * FROM traj)"""
 
 
-def windowed_long(spark: SparkSession, sf: str, b: DataFrame) -> DataFrame:
-    """Event long model restricted to each trajectory window (J2, offset 0)."""
+def windowed_long(spark: SparkSession, sf: str, b: DataFrame, carry: tuple[str, ...] = ("PID", "start", "end")) -> DataFrame:
+    """Event long model restricted to each trajectory window (J2, offset 0); the window travels with the event."""
     ev = dt.read(spark, sf, "events")
     lm = ev.select(F.col("user_id").cast("string").alias("CPR_hash"), F.col("ts").alias("TIMESTAMP"),
                    F.col("event_type").alias("FEATURE"), F.col("value").alias("VALUE"))
-    w = window_join(lm, b, "CPR_hash", "TIMESTAMP", F.col("start"), F.col("end"), carry=["PID"])
+    w = window_join(lm, b, "CPR_hash", "TIMESTAMP", F.col("start"), F.col("end"), carry=list(carry))
     return w.drop("CPR_hash")
 
 
@@ -153,3 +153,4 @@ from . import catalog_ops  # noqa: E402,F401  (registers more queries)
 from . import catalog_bins  # noqa: E402,F401
 from . import catalog_cohort  # noqa: E402,F401
 from . import catalog_jobs  # noqa: E402,F401
+from . import catalog_small  # noqa: E402,F401

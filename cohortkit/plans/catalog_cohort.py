@@ -12,7 +12,7 @@ from ..functions import codes
 from ..functions.timefns import micros_sql
 from ..operators.aggregates import cohort_summary
 from ..operators.joins import filter_by_time_window
-from ..operators.reshape import category_labels, multi_hot_transform, multi_hot_vocabulary
+from ..operators.reshape import category_labels, multi_hot_dense, multi_hot_transform, multi_hot_vocabulary
 from ..session import ensure_checkpoint_dir
 from . import driver_tables as dt
 from .catalog import SQL_BASE, SQL_TRAJ, SQL_WLONG, base, r6, register, trajectories, windowed_long
@@ -191,7 +191,8 @@ def k14_comorbidity(spark: SparkSession, sf: str) -> DataFrame:
     return out.where(F.col("ASMT_ELIX").isNotNull()).drop("CPR_hash", "start")
 
 
-def _sql_comorbidity() -> str:
+def sql_comorbidity(base_name: str = "base") -> str:
+    """CTEs up to ``scores``, from the diagnoses and a base of (PID, CPR_hash, start)."""
     rows = [("CHAR", c, p) for c, (_, s) in CHARLSON.items() for p in expand(s)]
     rows += [("ELIX", c, p) for c, (_, s) in ELIXHAUSER.items() for p in expand(s)]
     values = ", ".join(f"('{a}_{b}', '{p}')" for a, b, p in rows)
@@ -205,19 +206,20 @@ def _sql_comorbidity() -> str:
                       for c, (w, _) in ELIXHAUSER.items())
     char = " + ".join(f"({w}) * {('CASE WHEN ' + zero['CHAR_' + c] + ' = 1 THEN 0 ELSE CHAR_' + c + ' END') if 'CHAR_' + c in zero else 'CHAR_' + c}"
                       for c, (w, _) in CHARLSON.items())
-    return W(dt.SQL_ADT, SQL_BASE, dt.SQL_DIAG) + f""",
+    ctes = f"""
 pref(flag, prefix) AS (VALUES {values}),
 codes AS (SELECT b.PID, substr(d.Diagnosekode, 2, greatest(length(d.Diagnosekode) - 2, 0)) AS code
-          FROM base b JOIN diag d ON b.CPR_hash = d.CPR_hash
+          FROM {base_name} b JOIN diag d ON b.CPR_hash = d.CPR_hash
           WHERE d.Noteret_dato <= b.start - INTERVAL 1 DAY
             AND (d."Løst_dato" IS NULL OR d."Løst_dato" >= b.start + INTERVAL 1 DAY)),
 h AS (SELECT DISTINCT c.PID, p.flag FROM codes c JOIN pref p ON starts_with(c.code, p.prefix)),
 pids AS (SELECT DISTINCT PID FROM codes),
-raw AS (SELECT pids.PID, {raw} FROM pids LEFT JOIN h ON pids.PID = h.PID GROUP BY pids.PID)
-SELECT PID, {final}, CAST({elix} AS DOUBLE) AS ASMT_ELIX, CAST({char} AS DOUBLE) AS ASMT_CHARLSON FROM raw"""
+raw AS (SELECT pids.PID, {raw} FROM pids LEFT JOIN h ON pids.PID = h.PID GROUP BY pids.PID),
+scores AS (SELECT PID, {final}, CAST({elix} AS DOUBLE) AS ASMT_ELIX, CAST({char} AS DOUBLE) AS ASMT_CHARLSON FROM raw)"""
+    return ctes
 
 
-register("k14_comorbidity", _sql_comorbidity())(k14_comorbidity)
+register("k14_comorbidity", W(dt.SQL_ADT, SQL_BASE, dt.SQL_DIAG) + "," + sql_comorbidity() + "\nSELECT * FROM scores")(k14_comorbidity)
 
 
 # ---------------------------------------------------------------------------
