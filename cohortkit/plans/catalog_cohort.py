@@ -3,6 +3,7 @@ splits, metrics, reshape and the wide dataset."""
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -314,12 +315,14 @@ def _sql_uniform(name: str, part: str) -> str:
 
 
 def _sql_poisson(n: str, name: str, bits: int) -> str:
-    """Poisson(n) for n below 2^bits; the thresholds are Poisson's distribution function."""
+    """Poisson(n): below 2^bits by the thresholds of Poisson's distribution function, above by the corrected normal quantile."""
     parts = []
     for j in range(bits):
         cdf = ", ".join(f"{c!r}::DOUBLE" for c in _poisson_cdf(1 << j))
         parts.append(f"CASE WHEN {n} & {1 << j} <> 0 THEN len(list_filter([{cdf}], lambda c: c <= {_sql_uniform(name, str(j))})) ELSE 0 END")
-    return " + ".join(parts)
+    z = f"(sqrt(-2 * ln(1 - {_sql_uniform(name, 'r')})) * cos({2 * math.pi!r} * {_sql_uniform(name, 'a')}))"
+    wide = f"CAST(greatest(0.0, floor({n} + {z} * sqrt(CAST({n} AS DOUBLE)) + ({z} * {z} - 1) / 6 + 0.5)) AS BIGINT)"
+    return f"CASE WHEN {n} < {1 << bits} THEN {' + '.join(parts)} ELSE {wide} END"
 
 
 def _sql_ap_interval(counts: str, bits: int, keys: tuple[str, ...] = (), resamples: int = RESAMPLES, seed: int = 42) -> str:
