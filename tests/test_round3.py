@@ -18,6 +18,7 @@ from cohortkit.plans.features import AggregatedDataset, cutoff_features, first_c
 from cohortkit.plans.metrics import _poisson_cdf, ap_interval, auroc_ap, bootstrap_ap, poisson_weight
 from cohortkit.plans.search import best_candidates, results, search
 from cohortkit.plans.windowing import filter_tables, split_stream
+from cohortkit.session import cut_lineage
 from cohortkit.sources.schemas import CATALOGUE_ROWS
 
 T0 = dt.datetime(2024, 1, 1)
@@ -168,7 +169,7 @@ def test_search_goes_on_where_it_stopped(spark, tmp_path):
     from pyspark.ml.feature import VectorAssembler
     df = spark.createDataFrame([(i, float(i % 10), float(i * 7 % 11), float(i % 10 > 6), i % 3) for i in range(120)],
                                "PID long, x double, z double, label double, fold int")
-    tr = VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(df).cache()
+    tr = cut_lineage(VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(df))
     est = LogisticRegression(maxIter=5)
     grid = [{est.regParam: v} for v in (0.0, 10.0)]
     store = str(tmp_path / "store")
