@@ -10,9 +10,9 @@ sorted window over the whole group.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefns import micros_sql
@@ -131,38 +131,43 @@ def anti_reappend(population: DataFrame, matched: DataFrame, keys: Sequence[str]
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
-def observed_left_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> tuple[DataFrame, Callable[[], None]]:
-    """J10 + J11 without a job of its own: the left join and a check.
+def guarded_left_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """J10 + J11 without a job of its own: the left join, which raises where a
+    left row meets a key that ``right`` has several times.
 
-    Rows are counted on the left side and behind the join while the result is
-    computed (``observe``); ``check()``, called after the action that stored
-    it, raises if the numbers differ.  Counts can run high where tasks were
-    repeated after a lost executor, so the key is looked up before it raises."""
+    The right side is counted per key in the join's own plan (its rows are
+    dealt by the key for the join anyway), so the check costs no pass over
+    the data, sees the same rows as the join, and holds if tasks are
+    repeated.  (Counts by ``observe`` would leave an object in the session
+    that Spark ML's closures can't be serialised with.)"""
     keys = [on] if isinstance(on, str) else list(on)
-    before, after = Observation(), Observation()
-    one = F.count(F.lit(1)).alias("n")
-    out = left.observe(before, one).join(right, on=keys, how="left").observe(after, one)
+    rest = [c for c in right.columns if c not in keys]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    one = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"), *[F.first(quoted(c)).alias(f"__r{i}") for i, c in enumerate(rest)])
+    joined = left.join(one, on=keys, how="left")
+    key = F.to_json(F.struct(*keys))
+    fine = F.col("__copies").isNull() | (F.col("__copies") == 1)
 
-    def check() -> None:
-        if before.get["n"] != after.get["n"]:
-            dup = right.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
-            if dup:
-                raise ValueError(f"the join made {after.get['n']} rows of {before.get['n']}: duplicate key {dup[0].asDict()}")
-    return out, check
+    def checked(i: int, c: str) -> Column:
+        bad = F.raise_error(F.concat(F.lit("the join would repeat rows: duplicate key "), key)).cast(right.schema[c].dataType)
+        return F.when(fine, F.col(f"__r{i}")).otherwise(bad).alias(c)
+    return joined.select(*[quoted(c) for c in joined.columns if c in left.columns], *[checked(i, c) for i, c in enumerate(rest)])
 
 
 def left_join_unique(left: DataFrame, right: DataFrame, on: str | Sequence[str],
                      check: bool = True) -> DataFrame:
     """J10 + J11: left enrichment join that must keep the row count.
 
-    The checked form stores the result (reliable checkpoint) and compares the
-    rows counted before and behind the join in that write."""
+    The checked form stores the result (reliable checkpoint), and a key that
+    would repeat rows raises in that write."""
     if not check:
         return left.join(right, on=[on] if isinstance(on, str) else list(on), how="left")
-    out, verify = observed_left_join(left, right, on)
-    out = cut_lineage(out)
-    verify()
-    return out
+    try:
+        return cut_lineage(guarded_left_join(left, right, on))
+    except Exception as e:
+        if "duplicate key" in str(e):
+            raise ValueError("the join would repeat rows: " + str(e)[str(e).index("duplicate key"):].split("\n")[0]) from e
+        raise
 
 
 def pair_start_end(cases: DataFrame, case_col: str = "Case_ID", type_col: str = "Operationshændelse",

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.timefns import micros_sql
 from ..operators.aggregates import WIDE_NUMERIC_AGGS, categorical_wide, clean_name, numeric_wide
 from ..operators.filters import mask_after, member_filter, parse_masking_point
-from ..operators.joins import observed_left_join, semi_join_ids
-from ..session import cut_lineage
+from ..operators.joins import guarded_left_join, semi_join_ids
 
 
 class AggregatedDataset:
@@ -67,21 +66,12 @@ class AggregatedDataset:
     def build(self) -> DataFrame:
         target = self.cfg.get("target")
         keep = [self.id_col] + self.tab_cols + ([target] if target and target in self.base.columns else [])
-        final, checks = self.base.select(*dict.fromkeys(keep)), []
+        final = self.base.select(*dict.fromkeys(keep))
         for name, df in self.concepts.items():
             frame = self.concept_frame(name, df)
             if frame is not None:
-                final, check = observed_left_join(final, frame, self.id_col)
-                checks.append(check)
-        return self._stored(self._finished(final, [self.id_col, target]), checks)
-
-    @staticmethod
-    def _stored(final: DataFrame, checks: list) -> DataFrame:
-        """J11 for all joins in one write: the dataset is a stage boundary, and its joins are checked when it is stored."""
-        final = cut_lineage(final)
-        for check in checks:
-            check()
-        return final
+                final = guarded_left_join(final, frame, self.id_col)
+        return self._finished(final, [self.id_col, target])
 
     def build_at(self, cutoffs_minutes: Sequence[int]) -> DataFrame:
         """The dataset at many cutoffs, one row per (``masking_point`` in
@@ -96,7 +86,7 @@ class AggregatedDataset:
         cuts = sorted({int(c) for c in cutoffs_minutes})
         keep = dict.fromkeys([self.id_col] + self.tab_cols + ([target] if target and target in self.base.columns else []))
         keys = ["masking_point", self.id_col]
-        final, checks = self.base.select(F.explode(F.array(*[F.lit(c) for c in cuts])).alias("masking_point"), *keep), []
+        final = self.base.select(F.explode(F.array(*[F.lit(c) for c in cuts])).alias("masking_point"), *keep)
         for name, df in self.concepts.items():
             d = self._prepared(name, df)
             if name in self.cfg["dataset"].get("ts_cat_names", []):
@@ -118,9 +108,8 @@ class AggregatedDataset:
                 names = {f"{v}_{name}_{a}": F.col(f"__{k}_{a}") for k, v in enumerate(values) for a in aggs}
                 columns = [F.coalesce(c, F.lit(0.0)).alias(n) for n, c in names.items()]
                 self.continuous_features += list(names)
-            final, check = observed_left_join(final, wide.select(*keys, *columns), keys)
-            checks.append(check)
-        return self._stored(self._finished(final, [*keys, target]), checks)
+            final = guarded_left_join(final, wide.select(*keys, *columns), keys)
+        return self._finished(final, [*keys, target])
 
     def _finished(self, final: DataFrame, other: Sequence[str]) -> DataFrame:
         feats = [c for c in final.columns if c not in other]
