@@ -1,12 +1,16 @@
 """Secret scan: fixed patterns, and a linear-chain CRF that adds spans.
 
-Tokens are runs of ``[A-Za-z0-9+/_=-]``.  A run of under LONG letters without a
-digit is tagged outside by rule; that tag cuts the chain, so Viterbi runs over
-the chains of neighbouring tokens that are left and gives the best path of the
-whole text under the rule.  Features: shape, length, character set, neighbouring
-words and what stands between them, and features of the whole text.  The CRF is
-fitted on a bounded sample of texts whose base matches serve as tags
-(``SAMPLE_DOCS``, ``SAMPLE_CHAINS``); every text is scanned.
+Tokens are runs of ``[A-Za-z0-9+/_=-]``; the chain of a text is all its tokens.
+Viterbi runs over whole texts, many at once.  Features: shape, length, character
+set, neighbouring words and what stands between them, and whether the text names
+a secret at all.
+
+The CRF is fitted on windows of a bounded sample of texts (``SAMPLE_DOCS``,
+``SAMPLE_CHAINS``) whose base matches serve as tags.  As it is to find what the
+patterns miss, each sampled text with a match is also taken in disguise: names
+without their separator or gone, key prefixes replaced, hexadecimal digits in
+upper case, tags kept.  Starting a span costs ``MARGIN`` more than fitted, as the
+windows hold more secrets than texts do.
 
 Base spans are whole matches of the three patterns.  Of a CRF span that reaches
 over a base span the parts outside are listed.  Offsets are code points, the end
@@ -23,6 +27,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +42,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
                     re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are whole, so a run of 32 or more is a match that passes
+_HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-LONG = 20                # letters alone are a word below this
 SLOTS = 1 << 14
-SAMPLE_DOCS = 20_000     # texts, chosen by a hash of the id, that the CRF is fitted on, about
-SAMPLE_CHAINS = 20_000   # chains among them, at most
-SAMPLE_LENGTH = 64       # tokens of a chain that the fit takes as one sequence
+SAMPLE_DOCS = 20_000     # texts, chosen by a hash of id and text, that the CRF is fitted on, about
+SAMPLE_CHAINS = 6_000    # windows among them, at most
+SAMPLE_LENGTH = 16       # tokens of a window
+SAMPLE_PLAIN = 3_000     # windows without a secret among them, about
+MARGIN = 2.0
 MASK = "[SECRET]"
 _SPACE = " \t\n\r\"'"
 _EDGE = re.compile(f"[{_SPACE}]*")
@@ -52,8 +59,6 @@ _WORD = re.compile(r"[A-Za-z0-9]")
 
 _VALUE = np.zeros(256, bool)
 _VALUE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[[ord(c) for c in "0123456789"]] = True
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -68,18 +73,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidate_tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all tokens, and which of them the rule leaves open."""
-    raw = np.frombuffer(data, np.uint8)
-    value = np.zeros(len(raw) + 2, np.int8)
-    value[1:-1] = _VALUE[raw]
-    step = np.diff(value)
-    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    digits = np.concatenate(([0], np.flatnonzero(_DIGIT[raw])))
-    has = np.searchsorted(digits[1:], start) < np.searchsorted(digits[1:], end)
-    return start, end, has | (end - start >= LONG)
-
-
 def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) % SLOTS
 
@@ -93,13 +86,9 @@ def _shape(token: str) -> str:
 def _charset(token: str) -> str:
     if re.fullmatch(r"[0-9]+", token):
         return "digits"
-    if re.fullmatch(r"[0-9a-f]+", token):
-        return "hex"
-    if re.fullmatch(r"[A-Z0-9]+", token):
-        return "upper"
-    if re.fullmatch(r"[a-z0-9]+", token):
-        return "lower"
-    return "any" if re.fullmatch(r"[A-Za-z0-9]+", token) else "symbols"
+    kind = ("hex" if re.fullmatch(r"[0-9a-f]+", token) else "upper" if re.fullmatch(r"[A-Z0-9]+", token)
+            else "lower" if re.fullmatch(r"[a-z0-9]+", token) else "any" if re.fullmatch(r"[A-Za-z0-9]+", token) else "symbols")
+    return kind + ("9" if re.search(r"[0-9]", token) else "")
 
 
 def _between(gap: str) -> str:
@@ -107,96 +96,168 @@ def _between(gap: str) -> str:
     return gap if len(gap) <= 2 else "far"
 
 
-def token_features(before: str, gap: str, token: str, gap_after: str, after: str, whole: tuple[str, ...]) -> list[int]:
-    """Slots of a token's features; always the same number of them."""
-    size, left = len(token).bit_length(), before.lower()[-16:]
-    spread = len(set(token)) * 4 // max(1, min(len(token), 64))
-    return [_slot(x) for x in (
-        "bias", f"shape={_shape(token)}", f"size={min(size, 9)}", f"set={_charset(token)}",
-        f"set,size={_charset(token)},{min(size, 9)}", f"spread={spread}", f"head={token[:4]}", f"left={left}",
-        f"gap={_between(gap)}", f"left,gap={left},{_between(gap)}", f"right={_shape(after[:12])}",
-        f"gapright={_between(gap_after)}", *whole)]
-
-
-FEATURES = 15
-
-
-def text_chains(text: str) -> list[tuple[list[tuple[int, int]], list[list[int]]]]:
-    """Chains of a text: code-point spans and feature slots of their tokens."""
-    data = text.encode()
-    start, end, open_ = candidate_tokens(data)
-    which = np.flatnonzero(open_)
-    if not len(which):
-        return []
-    low = text.lower()
-    whole = (f"words={min(12, len(start).bit_length())}", f"share={len(which) * 20 // len(start)}",
-             f"named={any(k in low for k in KEYWORDS)}")
-    place = (None if len(data) == len(text)
-             else np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80))))
-    word = lambda i: data[start[i]:end[i]].decode()  # noqa: E731  tokens are ASCII
-    gap = lambda i, j: data[end[i] if i >= 0 else 0:start[j] if j < len(start) else len(data)][:64].decode(errors="replace")
-    chains: list = []
-    last = -2
-    for i in which.tolist():
-        if i != last + 1:
-            chains.append(([], []))
-        last = i
-        a, b = int(start[i]), int(end[i])
-        chains[-1][0].append((a, b) if place is None else (int(place[a]), int(place[b])))
-        chains[-1][1].append(token_features(word(i - 1) if i else "", gap(i - 1, i), word(i), gap(i, i + 1),
-                                            word(i + 1) if i + 1 < len(start) else "", whole))
-    return chains
-
-
-def weak_tags(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int]:
-    """B for a chain's first token in a base match, I for the next ones in it."""
-    tags, now = [], None
+def _own(token: str) -> list[int]:
+    return _own_kept(token) if len(token) <= 64 else _own_kept.__wrapped__(token)
+
+
+@lru_cache(1 << 16)
+def _own_kept(token: str) -> list[int]:
+    size = min(len(token).bit_length(), 9)
+    spread = len(set(token)) * 4 // min(len(token), 64)
+    return [_slot(x) for x in ("bias", f"shape={_shape(token)}", f"size={size}", f"set={_charset(token)}",
+                               f"set,size={_charset(token)},{size}", f"spread={spread}", f"head={token[:4]}")]
+
+
+def _left(token: str) -> str:
+    return token.lower()[-16:]
+
+
+FEATURES = 13
+_NAMED = (_slot("named=False"), _slot("named=True"))
+
+
+def _distinct(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Codes and distinct values of the strings that end at ``ends`` in ``data``."""
+    offsets = np.concatenate(([0], ends))
+    values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [
+        None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return values.indices.to_numpy().astype(np.int64), [v.decode(errors="replace") for v in values.dictionary.to_pylist()]
+
+
+class Chains:
+    """Tokens of many texts: their text, code-point span, feature slots, and whether they start a text."""
+
+    def __init__(self, texts: list[str]):
+        parts = [t.encode() for t in texts]
+        raw = np.frombuffer(b"\n".join([b"", *parts, b""]), np.uint8)  # no token reaches over a line's end
+        begins = 1 + np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)))
+        value = _VALUE[raw]
+        step = np.diff(value.astype(np.int8))
+        start, end = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+        self.text = np.searchsorted(begins, start, "right") - 1
+        place = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        self.start, self.end = (place[x] - place[begins[self.text]] for x in (start, end))
+        n = len(start)
+        self.first = np.concatenate(([True], np.diff(self.text) != 0))[:n]
+        self.slots = np.zeros((n, FEATURES), np.int32)
+        if not n:
+            return
+        last = np.concatenate((self.first[1:], [True]))
+        code, words = _distinct(raw[value], np.cumsum(end - start))
+        gap_ends = np.concatenate((np.cumsum(start - np.concatenate(([0], end[:-1]))), [(~value).sum()]))
+        gap, gaps = _distinct(raw[~value], gap_ends)
+        before, after = np.where(self.first, len(gaps), gap[:-1]), np.where(last, len(gaps), gap[1:])
+        previous = np.where(self.first, len(words), np.concatenate(([0], code[:-1])))
+        following = np.where(last, len(words), np.concatenate((code[1:], [0])))
+        own = np.array([_own(w) for w in words], np.int32)
+        left = [_left(w) for w in words] + [""]
+        between = [_between(g) for g in gaps] + ["edge"]
+        self.slots[:, :7] = own[code]
+        self.slots[:, 7] = np.array([_slot(f"left={w}") for w in left])[previous]
+        self.slots[:, 8] = np.array([_slot(f"gap={g}") for g in between])[before]
+        pair, which = np.unique(previous * len(between) + before, return_inverse=True)
+        self.slots[:, 9] = np.array([_slot(f"left,gap={left[p // len(between)]},{between[p % len(between)]}")
+                                     for p in pair.tolist()])[which]
+        self.slots[:, 10] = np.array([_slot(f"right={_shape(w[:12])}") for w in [*words, ""]])[following]
+        self.slots[:, 11] = np.array([_slot(f"gapright={g}") for g in between])[after]
+        named = np.array([any(k in t for k in KEYWORDS) for t in (t.lower() for t in texts)])
+        self.slots[:, 12] = np.where(named[self.text], _NAMED[1], _NAMED[0])
+
+
+def weak_tags(spans: list[tuple[int, int]], base: list[tuple[int, int]]) -> list[int]:
+    """B for a text's first token in a secret, I for the next ones in it; both in their order."""
+    tags, now, i = [], None, 0
     for a, b in spans:
-        hit = next(((s, e) for s, _, e in base if s < b and a < e), None)
+        while i < len(base) and base[i][1] <= a:
+            i += 1
+        hit = i if i < len(base) and base[i][0] < b else None
         tags.append(O if hit is None else I if hit == now else B)
         now = hit
     return tags
 
 
-def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def values(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the secrets themselves, an assignment without its name; those inside an earlier one left out."""
+    out, reach = [], 0
+    for a, k, b in base_spans(text):
+        if k == 0:
+            a = ASSIGN.match(text, a).start(2)
+        if a >= reach:
+            out.append((a, k, b))
+            reach = b
+    return out
+
+
+def disguised(text: str, seed: int) -> tuple[str, list[tuple[int, int]]]:
+    """The text with its secrets in forms that the patterns miss, and where they are."""
+    out, spans, at, size = [], [], 0, 0
+    matches = {m.start(2): m for m in ASSIGN.finditer(text)}
+    for j, (a, k, b) in enumerate(values(text)):
+        form = zlib.crc32(f"{seed}:{j}".encode()) % 4
+        secret, head = text[a:b], text[at:a]
+        if k == 0 and matches[a].start() >= at:
+            name = "" if form == 0 else matches[a][1] + (" is " if form % 2 else " ")
+            head = text[at:matches[a].start()] + name
+        if k == 1:
+            secret = secret[-4:] + secret[4:]
+        elif k == 2 or _HEX.fullmatch(secret):
+            secret = secret.upper() if form < 3 else secret
+        out += [head, secret]
+        size += len(head)
+        spans.append((size, size + len(secret)))
+        size += len(secret)
+        at = b
+    return "".join([*out, text[at:]]), spans
+
+
+def _training(batches: Iterator[pa.RecordBatch], every: int) -> Iterator[pa.RecordBatch]:
+    """Windows with a secret, of texts as they are and in disguise, and one in ``every`` of the others."""
     for batch in batches:
         rows = []
         for key, t in zip(batch.column("key").to_pylist(), batch.column("__text")):
             text = t.as_py()
-            if text:
-                base = base_spans(text)
-                k = 0
-                for spans, features in text_chains(text):
-                    tags = weak_tags(spans, base)
-                    for at in range(0, len(tags), SAMPLE_LENGTH):
-                        part = tags[at:at + SAMPLE_LENGTH]
-                        rows.append((key, k, sum(features[at:at + SAMPLE_LENGTH], []), [part[0] and B, *part[1:]]))
-                        k += 1
-        cols = list(zip(*rows)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                                          pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.int32()))],
-                                         names=["key", "k", "features", "tags"])
+            if not text:
+                continue
+            found = [(a, b) for a, _, b in values(text)]
+            for j, (form, secrets) in enumerate([(text, found), disguised(text, key)] if found else [(text, found)]):
+                chains = Chains([form])
+                tags = np.array(weak_tags(list(zip(chains.start.tolist(), chains.end.tolist())), secrets), np.int32)
+                for at in range(0, len(tags), SAMPLE_LENGTH):
+                    part = tags[at:at + SAMPLE_LENGTH].copy()
+                    if not part.any() and (j or zlib.crc32(f"{key}:{at}".encode()) % every):
+                        continue
+                    part[0] = part[0] and B
+                    rows.append((key, j, at, chains.slots[at:at + SAMPLE_LENGTH].ravel(), part))
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                                         names=["key", "form", "at", "features", "tags"])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
         sample_chains: int = SAMPLE_CHAINS) -> ChainCRF:
-    """CRF fitted on the sample of ``docs`` with the lowest hashes of the id."""
-    total = docs.count()
+    """CRF fitted on windows of the texts of ``docs`` with the lowest hashes."""
+    text = F.col(text_col).cast("string")
+    total, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length(text).cast("double"))).first()
     space = 1 << 30
-    limit = space if total <= sample_docs else space * sample_docs // total
-    rows = (docs.select(F.xxhash64(id_col).alias("key"), F.col(text_col).cast("string").alias("__text"))
-            .filter(F.pmod("key", F.lit(space)) < limit)
-            .mapInArrow(_training, "key long, k long, features array<int>, tags array<int>")
-            .orderBy("key", "k", "tags", "features").limit(sample_chains).collect())
+    share = min(1.0, sample_docs / max(1, total))
+    windows = share * (chars or 0) / (6 * SAMPLE_LENGTH)  # a word has about six characters
+    every = max(1, int(windows / SAMPLE_PLAIN))
+    rows = (docs.select(F.xxhash64(F.col(id_col), text).alias("key"), text.alias("__text"))
+            .filter(F.pmod("key", F.lit(space)) < int(space * share))
+            .mapInArrow(lambda it: _training(it, every), "key long, form int, at long, features array<int>, tags array<int>")
+            .orderBy("key", "form", "at", "features").limit(sample_chains).collect())
     model = ChainCRF(SLOTS)
     by: dict[int, tuple[list, list]] = {}
     for r in rows:
         f, t = by.setdefault(len(r.tags), ([], []))
-        f.append(np.array(r.features).reshape(-1, FEATURES))
+        f.append(np.array(r.features, np.int32).reshape(-1, FEATURES))
         t.append(r.tags)
     groups = [(np.stack(f), np.array(t)) for _, (f, t) in sorted(by.items())]
     if any((t != O).any() for _, t in groups):
         model.fit(groups)
+        model.start[B] -= MARGIN
+        model.moves[:, B] -= MARGIN
     else:
         model.start[B] = model.moves[O, B] = -1.0  # nothing to learn from: all outside
     return model
@@ -209,27 +270,15 @@ def scan_text(text: str | None, model: ChainCRF) -> list[tuple[int, int, int]]:
 
 def scan_texts(texts: list[str | None], model: ChainCRF) -> list[list[tuple[int, int, int]]]:
     found = [base_spans(t) if t else [] for t in texts]
-    by: dict[int, list] = {}
-    for k, t in enumerate(texts):
-        for spans, features in text_chains(t) if t else []:
-            by.setdefault(len(spans), []).append((k, spans, features))
-    for chains in by.values():
-        for at in range(0, len(chains), max(1, 20_000 // len(chains[0][1]))):
-            part = chains[at:at + max(1, 20_000 // len(chains[0][1]))]
-            for (k, spans, _), tags in zip(part, model.viterbi(np.array([c[2] for c in part]))):
-                if tags.any():
-                    found[k] += _runs(spans, tags)
-    return [_join(_outside(f, t)) if f else f for f, t in zip(found, texts)]
-
-
-def _runs(spans, tags) -> list[tuple[int, int, int]]:
-    out: list[list[int]] = []
-    for (a, b), tag in zip(spans, tags):
+    chains = Chains([t or "" for t in texts])
+    tags = model.best(chains.slots, chains.first)
+    hit = np.flatnonzero(tags)
+    for k, a, b, tag in zip(*(x[hit].tolist() for x in (chains.text, chains.start, chains.end, tags))):
         if tag == B:
-            out.append([a, b])
-        elif tag == I:
-            out[-1][1] = b
-    return [(a, 3, b) for a, b in out]
+            found[k].append((a, 3, b))
+        else:  # the span before it in the same text goes on
+            found[k][-1] = (found[k][-1][0], 3, b)
+    return [sorted(_outside(f, t)) if f else f for f, t in zip(found, texts)]
 
 
 def _outside(spans: list[tuple[int, int, int]], text: str) -> list[tuple[int, int, int]]:
@@ -257,21 +306,6 @@ def _outside(spans: list[tuple[int, int, int]], text: str) -> list[tuple[int, in
     return trimmed
 
 
-def _join(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Without CRF spans that touch a base span."""
-    base = sorted(s for s in spans if s[1] != 3)
-    if len(base) == len(spans):
-        return base
-    starts = [s[0] for s in base]
-    longest = np.maximum.accumulate([s[2] for s in base]) if base else np.empty(0, int)
-    extra = []
-    for a, k, b in (s for s in spans if s[1] == 3):
-        i = int(np.searchsorted(starts, b))  # base spans that start before b
-        if i == 0 or longest[i - 1] <= a:
-            extra.append((a, k, b))
-    return sorted(base + extra)
-
-
 def spell(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
