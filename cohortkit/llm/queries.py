@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortkit.llm import (classifier, clustering, conversations, decontaminate, lm_score, near_dedup, packing, quality_rules, reference_dedup,
                            secrets, suffix_dedup, token_counts, url_filter)
@@ -166,12 +167,15 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document counted, recounted by a second tokenizer version, exact copies deleted, one batch sent twice."""
+    """Every document counted, recounted by a second tokenizer version, texts with other white space than single spaces
+    revised under both versions, exact copies deleted, one batch sent twice."""
     docs = read_table(spark, sf_dir, "documents")
     store = token_counts.TokenStore(spark, stage_path(spark, "token-counts"))
     store.commit("1", docs, versions=["words-1"])
     store.commit("2", docs, versions=["byte_bpe_50k"])
-    store.commit("3", deletes=stage(token_counts.exact_copies(docs), "copies"))
+    plain = docs.withColumn("text", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
+    store.commit("3", plain.filter(F.col("text") != docs["text"]))
+    store.commit("4", deletes=stage(token_counts.exact_copies(docs), "copies"))
     store.commit("2", docs, versions=["byte_bpe_50k"])
     return store.totals()
 
