@@ -13,10 +13,12 @@ context was never seen); V is the number of distinct words of the corpus,
 background's loss less the target's: higher is more like the target.
 
 Nothing of the models is held whole.  Documents are dealt into blocks of about
-``BLOCK`` bytes.  Each block sends its distinct n-grams with their counts once,
-cut into ranges of the hash; the task of a range sums them over the blocks and
-sends each block the sums of its own n-grams, which score its documents.  An
-n-gram has one row per block however frequent it is, so no key is hot.
+``BLOCK`` bytes.  Each block sends its distinct words and bigrams with their
+counts once, cut into ranges of the hash; the task of a range sums them over the
+blocks and sends each block the sums of its own n-grams, which score its
+documents, with the range's share of V and of the totals.  A word's count as a
+context travels as what it differs by from the word's count.  An n-gram has one
+row per block however frequent it is, so no key is hot.
 
 Defined cases: a null or empty text has no tokens and the score 0; without
 target documents the target model is uniform; repeated rows count and are
@@ -58,8 +60,8 @@ def events(texts: list[str | None]):
 
 
 def _keys(word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of words (odd), contexts and pairs (even)."""
-    return word | _ONE, mix(before ^ _CONTEXT) & ~_ONE, pair & ~_ONE
+    """Keys of words and of contexts, which are words (odd), and of pairs (even)."""
+    return word | _ONE, before | _ONE, pair & ~_ONE
 
 
 def _sums(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -103,31 +105,32 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Reco
                 yield last[0], last[1], batch.slice(at, to)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], words_only: bool):
-    """(block, first row, keys, background counts, target counts) of each run."""
+def _counted(batches: Iterator[pa.RecordBatch]):
+    """(block, first row, keys, counts) of each run: counts of the n-gram in the background and the target, and how much
+    more often it is a word than a context there."""
     now, held = None, []
     for block, first, part in _runs(batches):
         if (block, first) != now and held:
             whole, held = [np.concatenate(c) for c in zip(*held)], []
-            yield *now, *_sums(*whole)
+            keys, *counts = _sums(*whole)
+            yield *now, keys, counts
             del whole
         now = (block, first)
-        target, done = part.column("target").to_numpy(zero_copy_only=False).astype(np.uint32), 0
+        target, done = part.column("target").to_numpy(zero_copy_only=False).astype(np.int32), 0
         for word, before, pair, counts in events(part.column("text").to_pylist()):
             use = np.repeat(target[done:done + len(counts)], counts)
             done += len(counts)
-            for keys in _keys(word, before, pair)[:1 if words_only else 3]:
-                held.append(_sums(keys, np.ones(len(keys), np.uint32), use))
+            one, none = np.ones(len(use), np.int32), np.zeros(len(use), np.int32)
+            w, c, p = _keys(word, before, pair)
+            held.append(_sums(np.concatenate((w, c)), *(np.concatenate(x) for x in (
+                (one, none), (use, none), (one, -one), (use, -use)))))
+            held.append(_sums(p, one, use, none, none))
     if held:
-        yield *now, *_sums(*map(np.concatenate, zip(*held)))
+        keys, *counts = _sums(*map(np.concatenate, zip(*held)))
+        yield *now, keys, counts
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, keys, b, t in _counted(batches, True):
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(t.astype(np.int64))], names=["key", "b", "t"])
-
-
-PACKED = "part int, block long, row long, keys binary, b binary, t binary"
+PACKED = "part int, block long, row long, keys binary, counts binary, shares array<long>"
 ROWS = 1024  # packed rows of a batch
 
 
@@ -143,38 +146,42 @@ def _unpack(packed: bytes, kind: type) -> np.ndarray:
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                      names=["part", "block", "row", "keys", "b", "t"])
+                                      names=["part", "block", "row", "keys", "counts", "shares"])
 
 
 def _ask(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Each run's distinct n-grams, cut into ``parts`` ranges of the key; sorted keys as steps."""
+    """Each run's distinct n-grams, cut into ``parts`` ranges of the key (empty ones too); sorted keys as steps."""
     edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
-    for block, row, keys, b, t in _counted(batches, False):
+    for block, row, keys, counts in _counted(batches):
         cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-        rows = [(k, block, row, _pack(np.diff(keys[x:y], prepend=np.uint64(0))), _pack(b[x:y]), _pack(t[x:y]))
-                for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+        rows = [(k, block, row, _pack(np.diff(keys[x:y], prepend=np.uint64(0))), _pack(np.concatenate([c[x:y] for c in counts])), None)
+                for k, (x, y) in enumerate(zip(cuts, cuts[1:]))]
         for at in range(0, len(rows), ROWS):
             yield _packed(rows[at:at + ROWS])
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range: the sums over all blocks of each run's n-grams, in the order of its keys."""
+    """Rows sorted by range: the sums over all blocks of each run's n-grams, in the order of its keys, and the range's
+    words, tokens of the background and tokens of the target."""
     def answers(part: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for _, _, k, _, _ in held]
-        known, b, t = _sums(np.concatenate(keys), *(
-            np.concatenate([_unpack(x[c], np.uint32) for x in held]).astype(np.int64) for c in (3, 4)))
+        keys = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for _, _, k, _ in held]
+        counts = [_unpack(c, np.int32).reshape(4, -1) for *_, c in held]
+        known, *sums = _sums(np.concatenate(keys), *(np.concatenate([c[i] for c in counts]).astype(np.int64) for i in range(4)))
+        del counts
+        word = (known & _ONE) == _ONE
+        shares = [int((word & (sums[0] > 0)).sum()), int(sums[0][word].sum()), int(sums[1][word].sum())]
         for at in range(0, len(held), ROWS):
             out = []
             for (block, row, *_), mine in zip(held[at:at + ROWS], keys[at:at + ROWS]):
                 place = np.searchsorted(known, mine)
-                out.append((part, block, row, None, _pack(b[place]), _pack(t[place])))
+                out.append((part, block, row, None, _pack(np.concatenate([x[place] for x in sums])), shares))
             yield _packed(out)
 
     now, held = None, []
     for batch in batches:
-        for part, *rest in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "row", "keys", "b", "t"))):
+        for part, *rest in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "row", "keys", "counts"))):
             if part != now and held:
                 yield from answers(now, held)
                 held = []
@@ -190,26 +197,29 @@ def _loss(word: np.ndarray, context: np.ndarray, pair: np.ndarray, total: int, v
     return -np.log(p)
 
 
-def _scored(parts: list[pa.RecordBatch], answers: list[tuple], totals: tuple[int, int], vocabulary: int) -> Iterator[pa.RecordBatch]:
+def _scored(parts: list[pa.RecordBatch], answers: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Scores of a run; its sorted distinct n-grams are those that it asked for."""
     grams = [[(_keys(*g), counts) for *g, counts in events(part.column("text").to_pylist())] for part in parts]
     keys = [_sums(k)[0] for part in grams for g, _ in part for k in g]
-    keys = _sums(np.concatenate(keys))[0]
-    b, t = (np.concatenate([_unpack(a[c], np.int64) for a in sorted(answers)] or [np.empty(0, np.int64)]) for c in (1, 2))
-    assert len(keys) == len(b) == len(t)
+    keys = _sums(np.concatenate(keys))[0] if keys else np.empty(0, np.uint64)
+    sums = [np.concatenate(c) for c in zip(*(_unpack(a[1], np.int64).reshape(4, -1) for a in sorted(answers)))] or [keys] * 4
+    vocabulary, *totals = (sum(x) for x in zip(*(a[2] for a in answers))) if answers else (0, 0, 0)
+    vocabulary = max(WORDS, vocabulary)
+    assert len(keys) == len(sums[0])
     for part, texts in zip(parts, grams):
         n, scores = [], []
         for g, counts in texts:
-            at = [np.searchsorted(keys, k) for k in g]
-            diff = _loss(*(b[x] for x in at), totals[0], vocabulary) - _loss(*(t[x] for x in at), totals[1], vocabulary)
+            w, c, p = (np.searchsorted(keys, k) for k in g)
+            background, target = (_loss(x[w], x[c] - more[c], x[p], total, vocabulary)
+                                  for x, more, total in zip(sums[:2], sums[2:], totals))
             n.append(counts)
-            scores.append(np.bincount(np.repeat(np.arange(len(counts)), counts), weights=diff, minlength=len(counts))
+            scores.append(np.bincount(np.repeat(np.arange(len(counts)), counts), weights=background - target, minlength=len(counts))
                           / np.maximum(counts, 1))
         yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.concatenate(n).astype(np.int64)),
                                           pa.array(np.concatenate(scores))], names=["id", "n_tokens", "score"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], totals: tuple[int, int], vocabulary: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block, the answers before the texts, the texts by their number."""
     now, answers, run, held = None, {}, None, []
     for batch in batches:
@@ -218,17 +228,17 @@ def _score(batches: Iterator[pa.RecordBatch], totals: tuple[int, int], vocabular
         while at < len(block):
             if block[at] != now or kind[at] == 0:
                 if held:
-                    yield from _scored(held, answers.pop(run, []), totals, vocabulary)
+                    yield from _scored(held, answers.pop(run, []))
                     held = []
                 if block[at] != now:
                     now, answers, run = block[at], {}, None
             if kind[at] == 0:
-                answers.setdefault(int(row[at]), []).append(tuple(batch.column(c)[at].as_py() for c in ("part", "b", "t")))
+                answers.setdefault(int(row[at]), []).append(tuple(batch.column(c)[at].as_py() for c in ("part", "counts", "shares")))
                 at += 1
                 continue
             if row[at] in answers and row[at] != run:
                 if held:
-                    yield from _scored(held, answers.pop(run, []), totals, vocabulary)
+                    yield from _scored(held, answers.pop(run, []))
                     held = []
                 run = int(row[at])
             to = at + 1
@@ -237,7 +247,7 @@ def _score(batches: Iterator[pa.RecordBatch], totals: tuple[int, int], vocabular
             held.append(batch.slice(at, to - at).select(["id", "text"]))
             at = to
     if held:
-        yield from _scored(held, answers.pop(run, []), totals, vocabulary)
+        yield from _scored(held, answers.pop(run, []))
 
 
 def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -250,20 +260,14 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
         side, F.col("id") == F.col("__i"), "left").select("id", "text", F.col("__i").isNotNull().alias("target"))
     rows = stage(rows.mapInArrow(lambda it: _deal(it, block),
-                                 f"id {kind}, text string, target boolean, block long, row long, size long"), "blocks")
+                                 f"id {kind}, text string, target boolean, block long, row long, size long"), "blocks", "zstd")
     size = rows.agg(F.sum("size")).first()[0] or 0
-    use = rows.select("text", "target", "block", "row")
-    words = (use.mapInArrow(_words, "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-             .agg(F.count(F.lit(1)), F.sum("b"), F.sum("t")).first())
-    vocabulary, totals = max(WORDS, words[0]), (words[1] or 0, words[2] or 0)
     parts, n = 1 + size // block, shuffle_parts(spark)
-    answers = (use.mapInArrow(lambda it: _ask(it, parts), PACKED).repartition(n, "part").sortWithinPartitions("part")
-               .mapInArrow(_answer, PACKED).drop("keys")
-               .select("block", F.lit(0).alias("kind"), "row", "part", "b", "t", F.lit(None).cast(kind).alias("id"),
+    answers = (rows.select("text", "target", "block", "row").mapInArrow(lambda it: _ask(it, parts), PACKED)
+               .repartition(n, "part").sortWithinPartitions("part").mapInArrow(_answer, PACKED).drop("keys")
+               .select("block", F.lit(0).alias("kind"), "row", "part", "counts", "shares", F.lit(None).cast(kind).alias("id"),
                        F.lit(None).cast("string").alias("text")))
-    none = F.lit(None).cast("binary")
-    texts = rows.select("block", F.lit(1).alias("kind"), "row", F.lit(None).cast("int").alias("part"), none.alias("b"),
-                        none.alias("t"), "id", "text")
+    texts = rows.select("block", F.lit(1).alias("kind"), "row", F.lit(None).cast("int").alias("part"),
+                        F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("array<long>").alias("shares"), "id", "text")
     return (answers.unionByName(texts).repartition(n, "block").sortWithinPartitions("block", "kind", "row")
-            .mapInArrow(lambda it: _score(it, totals, vocabulary), f"id {kind}, n_tokens long, score double")
-            .withColumnRenamed("id", id_col))
+            .mapInArrow(_score, f"id {kind}, n_tokens long, score double").withColumnRenamed("id", id_col))
