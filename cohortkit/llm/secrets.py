@@ -77,13 +77,20 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) % SLOTS
 
 
+_few = lru_cache(1 << 12)(_slot)  # features of few values
+
+
 def _shape(token: str) -> str:
+    if token.isalpha() and (token.islower() or token.istitle()):  # most words
+        return "x" if token.islower() else "Xx" if len(token) > 1 else "X"
     out = re.sub(r"[A-Z]+", "X", re.sub(r"[a-z]+", "x", token))
     out = re.sub(r"[0-9]+", "9", out)
     return out if len(out) <= 6 else "mixed" + str(min(8, len(out).bit_length()))
 
 
 def _charset(token: str) -> str:
+    if token.isalpha():
+        return ("lower" if token.strip("abcdef") else "hex") if token.islower() else "upper" if token.isupper() else "any"
     if re.fullmatch(r"[0-9]+", token):
         return "digits"
     kind = ("hex" if re.fullmatch(r"[0-9a-f]+", token) else "upper" if re.fullmatch(r"[A-Z0-9]+", token)
@@ -104,8 +111,9 @@ def _own(token: str) -> list[int]:
 def _own_kept(token: str) -> list[int]:
     size = min(len(token).bit_length(), 9)
     spread = len(set(token)) * 4 // min(len(token), 64)
-    return [_slot(x) for x in ("bias", f"shape={_shape(token)}", f"size={size}", f"set={_charset(token)}",
-                               f"set,size={_charset(token)},{size}", f"spread={spread}", f"head={token[:4]}")]
+    kind = _charset(token)
+    return [_few("bias"), _few(f"shape={_shape(token)}"), _few(f"size={size}"), _few(f"set={kind}"), _few(f"set,size={kind},{size}"),
+            _few(f"spread={spread}"), _slot(f"head={token[:4]}")]
 
 
 def _left(token: str) -> str:
@@ -158,7 +166,7 @@ class Chains:
         pair, which = np.unique(previous * len(between) + before, return_inverse=True)
         self.slots[:, 9] = np.array([_slot(f"left,gap={left[p // len(between)]},{between[p % len(between)]}")
                                      for p in pair.tolist()])[which]
-        self.slots[:, 10] = np.array([_slot(f"right={_shape(w[:12])}") for w in [*words, ""]])[following]
+        self.slots[:, 10] = np.array([_few(f"right={_shape(w[:12])}") for w in [*words, ""]])[following]
         self.slots[:, 11] = np.array([_slot(f"gapright={g}") for g in between])[after]
         named = np.array([any(k in t for k in KEYWORDS) for t in (t.lower() for t in texts)])
         self.slots[:, 12] = np.where(named[self.text], _NAMED[1], _NAMED[0])
