@@ -62,3 +62,18 @@ def test_general_grid_segments(spark):
     for i, w in enumerate(windows):
         assert sorted(got.get(i, [])) == list(enumerate(_edges(w * 1_000_000), 1))
     assert Grid(GENERAL_BINS).general
+
+
+def test_predictions_are_written_without_a_sort(spark, tmp_path):
+    from cohortkit.sources.sinks import WRITERS, write_predictions
+    before = spark.conf.get(WRITERS)
+    rows = spark.range(0, 3000, 1, 2).select("id", (F.col("id") % 3).cast("string").alias("masking_point"))
+    seen = []
+    write = type(rows.write).parquet
+    try:
+        type(rows.write).parquet = lambda self, *a, **k: (seen.append(spark.conf.get(WRITERS)), write(self, *a, **k))[1]
+        write_predictions(rows, str(tmp_path / "p"))
+    finally:
+        type(rows.write).parquet = write
+    assert seen == ["128"] and spark.conf.get(WRITERS) == before
+    assert spark.read.parquet(str(tmp_path / "p")).groupBy("masking_point").count().count() == 3
