@@ -64,6 +64,27 @@ def test_general_grid_segments(spark):
     assert Grid(GENERAL_BINS).general
 
 
+def test_runs_of_cutoffs(spark):
+    base = spark.createDataFrame([(1, T0, 40, 1), (2, T0, 50, 0), (None, T0, 60, 0)], "PID long, start timestamp_ntz, AGE long, y int")
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    labs = spark.createDataFrame([(1, at(30), "a", 1.0), (1, at(90), "b", 2.0), (1, at(100), "a", 3.0), (1, at(999999), "a", 9.0)],
+                                 "PID long, TIMESTAMP timestamp_ntz, FEATURE string, VALUE double")
+    med = spark.createDataFrame([(1, at(61), "x", "m")], "PID long, TIMESTAMP timestamp_ntz, FEATURE string, VALUE string")
+    cfg = {"target": "y", "dataset": {"id_col": "PID", "num_cols": ["AGE"], "ts_cat_names": ["Med"]}}
+    ds = AggregatedDataset(cfg, base, {"Labs": labs, "Med": med}, agg_funcs=["last", "std", "count"],
+                           pivot_values={"Labs": ["a", "b"], "Med": ["m"]})
+    cuts = [60 * h for h in range(1, 73)]
+    runs = ds.build_runs(cuts)
+    assert runs.count() == 4  # two states of PID 1, one each of the others; not a row per cutoff
+    full = {(r.masking_point, r.PID): r for r in ds.build_at(cuts).collect()}
+    assert len(full) == 3 * 72
+    first, later = full[(60, 1)], full[(4320, 1)]
+    assert (first["a_Labs_last"], first["a_Labs_count"], first["b_Labs_last"], first["m_Med_given"]) == (1.0, 1.0, 0.0, 0)
+    assert (later["a_Labs_last"], later["a_Labs_count"], later["b_Labs_last"], later["m_Med_count"]) == (3.0, 2.0, 2.0, 1)
+    assert abs(later["a_Labs_std"] - 2 ** 0.5) < 1e-9 and first["a_Labs_std"] == 0.0
+    assert full[(60, None)]["AGE"] == 60 and full[(4320, 2)]["a_Labs_count"] == 0.0
+
+
 def test_predictions_are_written_without_a_sort(spark, tmp_path):
     from cohortkit.sources.sinks import WRITERS, write_predictions
     before = spark.conf.get(WRITERS)
