@@ -65,9 +65,11 @@ class ChainCRF:
         value = np.where(np.eye(3, dtype=bool), 0, np.int64(-1) << 60) + np.zeros((pieces, 1, 1), np.int64)
         back = np.empty((length, pieces, 3, 3), np.int8)
         for t in range(length):  # value: piece x entered with x now
-            both = value[:, :, :, None] + either[starts[:, t].astype(int)][:, None]
-            back[t] = both.argmax(axis=2)
-            value = both.max(axis=2) + scores[:, t, None, :]
+            step = either[starts[:, t].astype(int)][:, None]
+            zero, one, two = (value[:, :, y, None] + step[:, :, y] for y in range(3))
+            most = np.maximum(zero, one)
+            back[t] = np.where(two > most, 2, one > zero)  # the first of equal ones
+            value = np.maximum(most, two) + scores[:, t, None, :]
         total, entered = np.zeros(3, np.int64), np.empty((pieces, 3), np.int8)
         for k in range(pieces):
             both = total[:, None] + value[k]

@@ -173,3 +173,15 @@ def test_parts_outside_base_spans_are_listed():
         have = [i for a, _, b in spans for i in range(a, b)]
         assert want <= set(have)
         assert not {i for a, _, b in base for i in range(a, b)} & {i for a, k, b in spans if k == 3 for i in range(a, b)}
+
+
+def test_best_of_equal_paths_is_the_first():
+    model = ChainCRF(8)  # all weights equal: ties everywhere
+    assert model.best(np.zeros((50, 3), np.int32), np.arange(50) % 7 == 0).tolist() == [0] * 50
+    rng = np.random.default_rng(3)
+    model.weights[:] = rng.integers(-2, 3, model.weights.shape)
+    features = rng.integers(0, 8, (40, 6, 3)).astype(np.int32)
+    flat = features.reshape(-1, 3)
+    got = model.best(flat, np.arange(len(flat)) % 6 == 0).reshape(40, 6)
+    score = lambda f, t: model.weights[f, t[:, None]].sum()
+    assert all(score(f, a) == score(f, b) for f, a, b in zip(features, got, model.viterbi(features)))
