@@ -21,7 +21,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,7 +116,9 @@ def merge(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _search(batches: Iterator[pa.RecordBatch], block: Block, keep: list[str], again: bool) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], block: Block, keep: list[str], again: bool,
+            cut: bool = False) -> Iterator[pa.RecordBatch]:
+    """``keep`` and what was found; with ``cut`` the shortened text instead, null where nothing was found."""
     get = block.code.get
     for batch in batches:
         texts = batch.column("__text")
@@ -144,13 +145,18 @@ def _search(batches: Iterator[pa.RecordBatch], block: Block, keep: list[str], ag
                 flush(shard)
                 shard, held = [], 0
         flush(shard)
+        if cut:
+            new = [cut_words(t.as_py(), s) if s else None for t, s in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(new, pa.string())], names=[*keep, "__cut"])
+            continue
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in keep] + [pa.array(x, t) for x, t in zip((n_words, items, spans), FOUND_ARROW)],
             names=[*keep, *(f.name for f in FOUND)])
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str, window: int, block_bytes: int) -> DataFrame:
-    """Columns ``keep`` as __0, __1, ..., and n_words, items and spans."""
+def _found(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str, window: int, block_bytes: int,
+           cut: bool = False) -> DataFrame:
+    """Columns ``keep`` as __0, __1, ..., and n_words, items and spans; with ``cut`` __text and __cut instead of these."""
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -160,10 +166,12 @@ def _found(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
     for k in range(blocks):
         items = [(r[0], r[1]) for r in benchmark.select("item_id", "text").filter(part == k).distinct().collect()]
         block = spark.sparkContext.broadcast(Block(items, window))
-        hold = [*names, "__text"] if k < blocks - 1 else names
-        schema = T.StructType([rows.schema[c] for c in hold] + FOUND)
-        rows = rows.mapInArrow(lambda it, b=block, h=hold, again=k > 0: _search(it, b.value, h, again), schema)
-        if k < blocks - 1:
+        last = k == blocks - 1
+        hold = names if last and not cut else [*names, "__text"]
+        fields = [T.StructField("__cut", T.StringType())] if last and cut else FOUND
+        schema = T.StructType([rows.schema[c] for c in hold] + fields)
+        rows = rows.mapInArrow(lambda it, b=block, h=hold, again=k > 0, c=last and cut: _search(it, b.value, h, again, c), schema)
+        if not last:
             rows = stage(rows, "decontaminate")
             block.unpersist()
     return rows
@@ -199,19 +207,14 @@ def cut_words(text: str, spans: list) -> str:
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str = "n_chars",
            window: int = WINDOW) -> DataFrame:
-    """All rows of ``docs``; benchmark passages are cut out of the texts that hold any."""
-    columns = docs.columns
-    name = {c: f"__{i}" for i, c in enumerate(columns)}
-    found = _found(docs, benchmark, columns, text_col, window, BLOCK_BYTES)
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t, s) if t else t for t, s in zip(text, spans)], dtype=object)
-
-    hit = F.size("spans") > 0
-    text = F.col(name[text_col])
-    out = found.withColumn("__cut", F.when(hit, cut(F.when(hit, text), F.col("spans"))).otherwise(text))
+    """All rows of ``docs``; benchmark passages are cut out of the texts that hold any.
+
+    The task that finds the passages cuts them: a second Python step would hold a second worker with texts for each core."""
+    others = [c for c in docs.columns if c != text_col]
+    name = {c: f"__{i}" for i, c in enumerate(others)}
+    out = _found(docs, benchmark, others, text_col, window, BLOCK_BYTES, cut=True)
+    hit = F.col("__cut").isNotNull()
     return out.select(*[
-        F.col("__cut").alias(c) if c == text_col
+        F.coalesce("__cut", "__text").alias(c) if c == text_col
         else F.when(hit, F.length("__cut")).otherwise(F.col(name[c])).cast(docs.schema[c].dataType).alias(c) if c == length_col
-        else F.col(name[c]).alias(c) for c in columns])
+        else F.col(name[c]).alias(c) for c in docs.columns])

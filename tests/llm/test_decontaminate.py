@@ -93,3 +93,16 @@ def test_removal(spark):
     assert got.columns == df.columns and got.dtypes == df.dtypes
     got = {r.doc_id: (r.text, r.n_chars) for r in got.collect()}
     assert got == {1: ("Keep this. , and that.", 22), 2: ("clean text", 10), 3: (None, None)}
+
+
+def test_removal_takes_one_python_step(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, passage, 55, "x"), (2, "", 0, "y"), (3, f"a {passage}", 57, None), (3, f"a {passage}", 57, None), (None, "b", 1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, __cut_ string")
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = dc.remove(df, bench)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan  # one worker with texts for each core
+    assert got.dtypes == df.dtypes
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        [(1, "", 0, "x"), (2, "", 0, "y"), (3, "a ", 2, None), (3, "a ", 2, None), (None, "b", 1, "")], key=repr)
