@@ -64,3 +64,21 @@ def test_comorbidity(spark):
     assert r[1].CHAR_mi == 1 and r[1].CHAR_diab == 1 and r[1].ELIX_diabunc == 1
     assert r[1].ASMT_CHARLSON == 0.0
     assert r[2].ASMT_ELIX is None  # noted within a day of start: not pre-index
+
+
+def test_models_are_trained_at_the_same_time(spark, monkeypatch):
+    from threading import Barrier
+
+    from cohortkit.plans import models
+
+    together = Barrier(3, timeout=30)  # breaks if one model waits for the other to end
+
+    def slow(train, holdout, target, id_col, categorical, continuous, config, **kw):
+        together.wait()
+        return {"model_name": config["name"], "n_train": train.count(), "pipeline": config["name"]}
+
+    monkeypatch.setattr(models, "run_cv_and_final_train", slow)
+    df = spark.createDataFrame([(i, i % 2) for i in range(20)], "PID long, y int")
+    cfg = {"target": "y", "holdout_type": "random", "holdout_fraction": 0.2, "dataset": {"id_col": "PID"}}
+    rows, pipes = models.train_models(df, cfg, [], [], configs=[{"name": n} for n in "abc"], return_pipelines=True)
+    assert rows == [{"model_name": n, "n_train": 16} for n in "abc"] and pipes == {n: n for n in "abc"}
