@@ -143,20 +143,29 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["node", "id", "tree"])
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with two classes at least, and the node's size."""
-    rows = stage(rows, "nodes")
+def _sized(rows: DataFrame, files: int) -> DataFrame:
+    """Rows of nodes with two classes at least, and the node's size; the rows are staged in ``files`` files at most."""
+    rows = stage(rows.coalesce(files), "nodes")
     size = stage(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
                  .withColumnRenamed("node", "__n"), "node-sizes")
     return rows.join(size, rows["node"] == size["__n"]).drop("__n")
 
 
+def _files(rows: int) -> int:
+    """Files of a narrow table of so many rows between the steps.
+
+    On a local disk without Hadoop's native library an executor starts a process to set the mode of each file that it
+    writes; that process shares the executor's memory for a moment, and a reader of both counts it twice."""
+    return rows // CLASSES_PER_FILE + 6
+
+
 def leaves(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, most: int = NODE) -> tuple[DataFrame, DataFrame]:
     """(node, id, tree) rows of all leaves, and per class the trees whose root's child is a leaf (id, mask).
 
     No leaf has many more than ``most`` classes; below a root's children ``trees`` is added to the tree's number."""
-    rows = stage(_sized(classes.select("id", "tokens").mapInArrow(lambda it: _roots(it, trees), "node long, id long, tree int")),
-                 "level")
+    files = _files(classes.count())
+    rows = stage(_sized(classes.select("id", "tokens").mapInArrow(lambda it: _roots(it, trees), "node long, id long, tree int"),
+                        files), "level")
     done = [rows.filter(F.col("size") <= most).select("node", "id", "tree")]
     masks = done[0].select(F.col("id").alias("__m"), "tree").distinct().groupBy("__m").agg(
         F.expr("sum(shiftleft(1L, tree))").alias("mask"))
@@ -167,7 +176,7 @@ def leaves(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, most: int
             break
         tokens = classes.select(F.col("id").alias("__id"), "tokens")
         rows = stage(_sized(large.join(tokens, large["id"] == tokens["__id"]).select("node", "id", "tree", "tokens")
-                            .mapInArrow(_branch, "node long, id long, tree int")), "level")
+                            .mapInArrow(_branch, "node long, id long, tree int"), files), "level")
         done.append(rows.filter(F.col("size") <= most).select("node", "id", "tree"))
     large = rows.filter(F.col("size") > most)
     # every pair of blocks of a node that is still large
@@ -407,7 +416,7 @@ def confirm(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, words
     """
     spark = docs.sparkSession
     ids = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
-    few = links.count() // CLASSES_PER_FILE + 6
+    few = _files(links.count())
     ids = stage(ids.withColumnRenamed("id", "__i").coalesce(few), "link-ids")
     sets = stage(_some_texts(docs, ids, id_col, text_col).mapInArrow(
         lambda it: _text_sets(it, words), "id long, shingles binary"), "sets")
@@ -421,7 +430,7 @@ def confirm(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, words
     wide = wanted.join(sets, wanted["u"] == sets["id"]).select("u", "v", "part", "shingles")
     return (wide.repartition(shuffle_parts(spark), "v", "part")
             .sortWithinPartitions("v", "part", (F.col("u") != F.col("v")).cast("int"))
-            .mapInArrow(lambda it: _confirm(it, percent), "u long, v long"))
+            .mapInArrow(lambda it: _confirm(it, percent), "u long, v long").distinct().coalesce(few))
 
 
 def _bytes(tokens: pd.Series) -> pd.Series:
@@ -445,7 +454,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(names.join(r, (names["id"] == r["__id"]) & (names["one"] == r["__1"]) & (names["two"] == r["__2"]))
                     .select("id", "n", "one", "two", "tokens").dropDuplicates(["id", "one", "two"])
                     .withColumn("bytes", small("tokens")).withColumn("roots", roots("tokens")), "class-tokens")
-    parts = classes.count() // CLASSES_PER_FILE + 6  # files of the small tables between the steps
+    parts = _files(classes.count())  # files of the small tables between the steps
     found, masks = leaves(classes, trees, depth, most)
     found, masks = stage(found, "leaves"), stage(masks.coalesce(parts), "masks")
     # a few trees join most copies; the pairs that are still apart are looked for in all of them

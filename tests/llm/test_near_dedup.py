@@ -135,3 +135,28 @@ def test_each_row_goes_by_its_own_text(spark):
     assert len(eight) == 1 and eight[0] in (words(5), words(5) + " more")
     assert sorted((i or 0, t or "") for i, t in got if i != 8) == sorted(
         [(0, words(1)), (1, words(1)), (5, ""), (5, words(2)), (6, words(3)), (7, words(4))])
+
+
+def test_narrow_tables_are_a_few_files_whatever_the_partitions(spark, monkeypatch):
+    """Each file that an executor writes to a local disk starts a process for its mode."""
+    rows = [(k, " ".join("w%d" % (k // 2 * 100 + i) for i in range(30 + k % 2))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    files, old = {}, nd.stage
+
+    def stage(df, name):
+        out = old(df, name)
+        files.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(nd, "stage", stage)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r.component_id for r in nd.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {k: k // 2 * 2 for k in range(400)}
+    assert files["confirmed"].count() == 200
+    assert {name: len(files[name].inputFiles()) for name in ("nodes", "confirmed")} == {"nodes": 6, "confirmed": 6}
