@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cohortkit.plans import catalog_cohort
+from cohortkit.plans import catalog_cohort, catalog_jobs
 from cohortkit.plans.evaluation import metrics_by_cutoff, predictions, store_predictions
 from cohortkit.plans.metrics import _poisson_cdf, bootstrap_ap
+from cohortkit.plans.models import MODEL_CONFIGS, sample_grid
 
 
 def _drawn(n, name):
@@ -78,3 +79,23 @@ def test_m10_draws_as_many_resamples_as_the_interval_alone(spark, monkeypatch):
     got = catalog_cohort.m10_metrics_all_cutoffs(spark, "/root/testdata/sf0.001")
     assert asked == [1000] == [catalog_cohort.RESAMPLES] and got.count() == 99
     assert "range(0, 1000)" in entry.oracle_sql()["m10_metrics_all_cutoffs"]
+
+
+def test_m9_asks_for_the_whole_search(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def train_models(data, cfg, cat, cont, configs, n_folds, **kw):
+        raise Asked({c["name"]: len(sample_grid(c["estimator"](), c["grid"], c["n_iter"], 42)) for c in configs}, n_folds)
+
+    monkeypatch.setattr(catalog_jobs, "train_models", train_models)
+    with pytest.raises(Asked) as asked:
+        entry.queries()["m9_train_evaluate"](spark, "/root/testdata/sf0.001")
+    assert asked.value.args == ({"additive_boosting": 18, "random_forest": 30, "svm": 5}, 5)
+
+
+def test_m9_gives_every_cutoff_its_interval(spark):
+    svm = dict(MODEL_CONFIGS[2], grid={"regParam": [0.1, 10.0], "maxIter": [2]})
+    got = catalog_jobs.m9_train_evaluate(spark, "/root/testdata/sf0.001", configs=[svm], n_folds=2).collect()
+    assert len(got) == 99 and {r.n_candidates for r in got} == {2}
+    assert all(950 <= r.n_resamples <= 1000 and r.ap_ci_low <= r.ap <= r.ap_ci_high for r in got)
