@@ -1,4 +1,5 @@
 """The whole interval of every cutoff and the whole search of every model."""
+import random
 from hashlib import md5
 
 import numpy as np
@@ -9,7 +10,7 @@ import __spark_entry__ as entry
 from cohortkit.plans import catalog_cohort, catalog_jobs
 from cohortkit.plans.evaluation import metrics_by_cutoff, predictions, store_predictions
 from cohortkit.plans.metrics import _poisson_cdf, bootstrap_ap
-from cohortkit.plans.models import MODEL_CONFIGS, sample_grid
+from cohortkit.plans.models import MODEL_CONFIGS, run_cv_and_final_train, sample_grid
 
 
 def _drawn(n, name):
@@ -99,3 +100,17 @@ def test_m9_gives_every_cutoff_its_interval(spark):
     got = catalog_jobs.m9_train_evaluate(spark, "/root/testdata/sf0.001", configs=[svm], n_folds=2).collect()
     assert len(got) == 99 and {r.n_candidates for r in got} == {2}
     assert all(950 <= r.n_resamples <= 1000 and r.ap_ci_low <= r.ap <= r.ap_ci_high for r in got)
+
+
+def test_forests_keep_the_nodes_of_rows_and_their_trees(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.random(), rnd.random(), float(rnd.random() < 0.4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "PID long, x double, z double, y double").coalesce(1)
+    forest = dict(MODEL_CONFIGS[1], grid={"numTrees": [6], "maxDepth": [14]})
+    got = run_cv_and_final_train(df, df, "y", "PID", [], ["x", "z"], forest, n_folds=2)["pipeline"]
+    assert got.stages[-1].getOrDefault("cacheNodeIds")
+    ready = got.stages[-2].transform(got.stages[0].transform(df)).persist()  # the same rows in the same order
+    kept, plain = (forest["estimator"](featuresCol="features", labelCol="y", seed=42, numTrees=6, maxDepth=14, **p).fit(ready)
+                   for p in (forest["params"], {}))
+    assert not plain.getOrDefault("cacheNodeIds") and kept.totalNumNodes > 300
+    assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in plain.trees]
