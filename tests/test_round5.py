@@ -27,10 +27,10 @@ def _aps(counts, prefix, resamples, seed=42):
     out = {}
     for b in range(resamples):
         tp = k = ap = 0
-        for score, (pos, neg) in sorted(counts.items(), reverse=True):
-            p, q = (_drawn(n, f"{prefix}{score}|{b}|{seed}|{y}") for n, y in ((pos, 1), (neg, 0)))
+        for score, (pos, neg) in sorted(counts.items(), key=lambda x: -float("inf") if x[0] is None else -x[0]):
+            p, q = (_drawn(n, f"{prefix}{'' if score is None else f'{score}|'}{b}|{seed}|{y}") for n, y in ((pos, 1), (neg, 0)))
             tp, k = tp + p, k + p + q
-            ap += p * tp / k if p else 0.0
+            ap += p * tp / k if p and score is not None else 0.0
         if 0 < tp < k:
             out[b] = ap / tp
     return out
@@ -51,12 +51,16 @@ def test_resamples_are_those_of_the_hashes(spark, batch):
     assert got == pytest.approx(want) and len(want) > 150
 
 
-def test_scores_without_a_number_come_last_and_rows_without_a_label_are_left_out(spark):
-    rows = [(1.0, 1), (1.0, 0), (float("nan"), 1), (None, 0), (None, 1), (5.0, None), (None, None)]
-    df = spark.createDataFrame(rows * 3, "p double, y int")
-    aps = [r.ap for r in bootstrap_ap(df, "y", "p", 300).collect()]
-    assert len(aps) > 290 and 0 < min(aps) and max(aps) <= 1 and len(set(aps)) > 50
-    assert bootstrap_ap(df.where("p = 5"), "y", "p", 300).count() == 0
+def test_scores_and_labels_that_are_missing(spark):
+    counts = {None: (2, 3), 1.0: (1, 4), 0.0: (5, 2)}
+    rows = [(s, y) for s, n in counts.items() for y, m in zip((1, 0), n) for _ in range(m)] + [(7.0, None), (None, None)]
+    got = {r.b: r.ap for r in bootstrap_ap(spark.createDataFrame(rows, "p double, y int"), "y", "p", 90).collect()}
+    assert got == pytest.approx(_aps(counts, "", 90)) and len(got) > 80
+    none = spark.createDataFrame([(None, 1), (None, 0)] * 9, "p double, y int")
+    assert {r.ap for r in bootstrap_ap(none, "y", "p", 20).collect()} == {None}
+    assert bootstrap_ap(none.where("y is null"), "y", "p", 20).count() == 0
+    nan = spark.createDataFrame([(float("nan"), 1), (1.0, 0)] * 9, "p double, y int")  # the last of all
+    assert abs(np.mean([r.ap for r in bootstrap_ap(nan, "y", "p", 200).collect()]) - 0.5) < 0.05
 
 
 def test_large_counts_keep_mean_and_spread(spark):
